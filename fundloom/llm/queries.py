@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontaminate, neardup, quality, secrets, urls
+from fundloom.llm import chat, decontaminate, neardup, quality, secrets, toxicity, urls
 from fundloom.llm.shared import table
 
 
@@ -33,11 +33,15 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), labels)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op8_toxicity, op9_benchmark_decontamination)}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""

@@ -15,6 +15,8 @@ U = np.uint64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words without punctuation: all of ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 SEGMENT = 1 << 20
@@ -36,12 +38,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, starts: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """data: lowered bytes; starts: where each text starts, then the end. Hashes, and each text's first word (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(starts), np.int64)
-    space = IS_SPACE[data]
+    space = between[data]
     first, last = ~space, ~space
     first[1:] &= space[:-1]
     last[:-1] &= space[1:]
@@ -59,7 +61,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return found.cast(pa.large_string()) if found.type != pa.large_string() else found
 
 
-def hashed_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_texts(texts: pa.Array, between: np.ndarray = IS_SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row of the first text, word hashes, first word of each text and the end) for runs of texts of about a segment;
     a longer text stands alone and is hashed in segments cut at white space."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -71,14 +73,14 @@ def hashed_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         data = np.frombuffer(bytes(body[a:z]).translate(LOWER), np.uint8) if z > a else np.zeros(0, np.uint8)
         starts = offsets[row : to + 1] - a
         if len(data) <= 2 * SEGMENT:
-            yield row, *hash_words(data, starts)
+            yield row, *hash_words(data, starts, between)
         else:
             found, at = [], 0
             while at < len(data):
                 stop = min(at + SEGMENT, len(data))
-                while stop < len(data) and not IS_SPACE[data[stop]]:
+                while stop < len(data) and not between[data[stop]]:
                     stop += 1
-                found.append(hash_words(data[at:stop], np.array([0, stop - at]))[0])
+                found.append(hash_words(data[at:stop], np.array([0, stop - at]), between)[0])
                 at = stop
             every = np.concatenate(found)
             yield row, every, np.array([0, len(every)])
