@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontaminate, neardup, quality, secrets, toxicity, urls
+from fundloom.llm import chat, decontaminate, neardup, packing, quality, secrets, toxicity, urls
 from fundloom.llm.shared import table
 
 
@@ -41,7 +42,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op8_toxicity, op9_benchmark_decontamination)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
