@@ -12,8 +12,10 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,59 +30,67 @@ END_ID = 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Chunks of these characters alone are taken apart here as the tokenizer does (letters, single digits, the rest); the apostrophe is
+#: left out, as it takes letters with it. All other chunks go through the whole tokenizer.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+NOT_ASCII = [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
+
+
 class ChunkIds:
-    """Token ids of white-space separated chunks, each tokenised once while it is remembered.
+    """Token ids of white-space separated chunks, for the word-level tokenizer files (white space dropped, lower case).
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks in order.
-    Chunks are tokenised many at a time, apart by a special token; one that holds the special token's string goes alone.
+    Such a tokenizer never joins across white space, so the ids of a text are those of its chunks in order. Up to ``MOST`` chunks and
+    as many words are remembered; later ones are tokenised whenever they come.
     """
 
-    MOST = 600_000
+    MOST = 700_000
 
-    def __init__(self, path: str, apart: str = "<|endoftext|>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.apart, self.apart_id = apart, self.tokenizer.token_to_id(apart)
-        self.forget()
-
-    def forget(self) -> None:
+        if not all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens that start otherwise than <|")
+        # How the tokenizer writes the bytes of a letter, asked from itself.
+        self.written = {k: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))[0][0] for k in NOT_ASCII}
         self.at: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.size = 0
+        self.words: dict[str, list[int]] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.at) + len(chunks) > self.MOST:
-            self.forget()
-        alone = [c for c in chunks if self.apart.encode() in c or self.apart_id is None]
-        rest = [c for c in chunks if not (self.apart.encode() in c or self.apart_id is None)]
-        new: list[np.ndarray] = []
-        for k in range(0, len(rest), 512):
-            some = rest[k : k + 512]
-            ids = self.encode(self.apart.join(c.decode() for c in some))
-            parts = np.split(ids, np.flatnonzero(ids == self.apart_id))
-            new += [parts[0], *(p[1:] for p in parts[1:])]
-        new += [self.encode(c.decode()) for c in alone]
-        for c in [*rest, *alone]:
-            self.at[c] = len(self.at)
-        self.flat = np.concatenate([self.flat, *new])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in new], dtype=np.int64)])
+    def word(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            found = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.written))]
+            if len(self.words) < self.MOST:
+                self.words[word] = found
+        return found
+
+    def chunk(self, chunk: bytes) -> list[int]:
+        text = chunk.decode()
+        if b"<|" not in chunk and PLAIN.fullmatch(text):
+            text = text.lower()
+            return self.word(text) if text.isalpha() else [k for x in PARTS.findall(text) for k in self.word(x)]
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks in a row, and where each chunk's ids start (and the last end)."""
-        missing = {c for c in chunks if c not in self.at}
-        if missing:
-            if len(self.at) + len(missing) > self.MOST:
-                missing = set(chunks)
-            self.learn(list(missing))
-        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        lengths = self.starts[at + 1] - self.starts[at]
+        at = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        flat, starts = self.flat, self.starts
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new: dict[bytes, int] = {}
+            first = len(starts) - 1
+            at[missing] = [new.setdefault(chunks[k], first + len(new)) for k in missing.tolist()]
+            ids = [self.chunk(c) for c in new]
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+            if len(self.at) + len(new) <= self.MOST:
+                self.at.update(new)
+                self.flat, self.starts = flat, starts
+        lengths = starts[at + 1] - starts[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends[:-1], lengths)], ends
+        return flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], lengths)], ends
 
 
 def token_ids(texts: pa.Array, encode: ChunkIds) -> Iterator[np.ndarray]:

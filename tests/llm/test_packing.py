@@ -44,7 +44,7 @@ def test_plan_is_best_fit(seed):
 def test_packed(spark):
     rnd = random.Random(0)
     t = Tokenizer.from_file(PATH)
-    odd = ["<|endoftext|> a<|endoftext|>b", "don't STOP\x1c x́ 1234 %%% été", "日本語 テキスト", "a" * 3000, "", None, " \n", "é" * 40 + " " + "end"]
+    odd = ["<|endoftext|> a<|endoftext|>b", "don't STOP\x1c x́ 1234 %%% été", "<|startoftext|>x Straße ÀÖÿ µm ªb º×÷ It's i'LL x'd' l.o.l ½ a1b2,,c''d ﬁ İI ǅ e\u0301 \u1e9e <|endoftext| |>", "日本語 テキスト", "a" * 3000, "", None, " \n", "é" * 40 + " " + "end"]
     texts = odd + [" ".join(rnd.choice(["Alpha", "beta,", "gamma's", "δ", "12"]) for _ in range(rnd.randint(1, 200))) for _ in range(120)]
     rows = [(i, x) for i, x in enumerate(texts)] + [(None, "x"), (3, texts[20]), (3, texts[20])]
     got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as length", "2 as rank"), PATH, size=64, keep_ids=True).collect()
@@ -68,5 +68,5 @@ def test_packed(spark):
 def test_cache_forgets(monkeypatch):
     monkeypatch.setattr(packing.ChunkIds, "MOST", 5)
     e, t = packing.ChunkIds(PATH), Tokenizer.from_file(PATH)
-    for text in ("a b c d", "c d e f", "g h i j k l m n", "a"):
+    for text in ("Éa ß. b-c d", "a b c d", "c d e f", "g h i j k l m n", "a"):
         assert e([c.encode() for c in text.split()])[0].tolist() == t.encode(text, add_special_tokens=False).ids
