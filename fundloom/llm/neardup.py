@@ -170,3 +170,9 @@ def unlinked_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, perce
     other = every.select(F.col("key").alias("key_v"), F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("groups").alias("g_v"))
     fits = (F.col("key") == F.col("key_v")) & (F.col("rep") > F.col("v")) & (F.col("label") != F.col("label_v")) & sizes_fit("n", "n_v", percent) & agreeing("groups", "g_v")
     return every.join(other, fits).select(F.col("rep").alias("u"), "v").distinct()
+
+
+def without_near_duplicates(docs: DataFrame, **kind) -> DataFrame:
+    """Rows of ``docs`` whose document stands for its group (rows of a repeated doc_id stay or go together); all columns."""
+    gone = near_duplicates(docs, **kind).where("not kept").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontaminate, neardup, packing, quality, secrets, toxicity, urls
+from fundloom.llm import chat, decontaminate, neardup, packing, quality, secrets, toxicity, urls, warc
 from fundloom.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), labels)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
@@ -46,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op7_warc, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
@@ -64,6 +68,16 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(upto) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
         FROM numbered GROUP BY conv_id""",
+    "op7_warc": r"""
+        WITH told AS (
+            SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (
+            SELECT payload_digest, min(page_id) AS first FROM told WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM told LEFT JOIN firsts USING (payload_digest)""",
     "op9_benchmark_decontamination": r"""
         WITH RECURSIVE doc AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
