@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fundloom.plans import risk_queries
+
+MODULES = [risk_queries]
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
