@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontaminate, neardup, packing, quality, secrets, toxicity, urls, warc
+from fundloom.llm import chat, decontaminate, katz, neardup, packing, quality, secrets, toxicity, urls, warc
 from fundloom.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), labels)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op7_warc, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op6_lm_scoring, op7_warc, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
