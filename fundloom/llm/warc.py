@@ -229,7 +229,9 @@ def read_archives(archives: DataFrame, columns: list[str] | None = None) -> Data
     kinds = {"page_id": "long", "url": "string", "payload": "binary", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long"}
     many = archives.sparkSession.sparkContext.defaultParallelism
     ranges = written(archives.select("uri").repartition(many).mapInArrow(located, "uri string, start long, lengths array<long>"), "warc-ranges")
-    return ranges.repartition(F.col("uri"), F.col("start")).mapInArrow(range_reader(columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
+    # A range is a few bytes here and megabytes of work, so the number of tasks is stated and not left to sizes.
+    tasks = max(many, ranges.count() // 8)
+    return ranges.repartition(tasks, "uri", "start").mapInArrow(range_reader(columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def archived(pages: DataFrame) -> DataFrame:
