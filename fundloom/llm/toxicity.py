@@ -4,8 +4,8 @@ Two bigram models, one of toxic and one of ordinary texts, share what they back
 A word's count is the number of contexts (words before it) in which it stands, or of texts if that is smaller, so neither
 copied passages nor a repeated word count more than once. The discount of a class is what the shared counts lead one to expect, and
 ``Z`` standard deviations: only what one class repeats beyond chance gets probability of its own; all else, rare words above all, is
-as likely under both. A text's measure is the difference of the two log-likelihoods over its distinct words, per word; a
-logistic curve fitted on labelled texts that the models haven't seen makes it a score.
+as likely under both. A text's measure is the difference of the two log-likelihoods over its distinct words, over the root of their number (the noise of a sum
+grows like that, and what is toxic in a long text is few of its distinct words); a logistic curve fitted on labelled texts that the models haven't seen makes it a score.
 
 The models are fitted on a bounded sample of labelled rows: the ``per_class`` rows of each class that come first by
 a hash of their id (a fifth of them for the curve), and keep at most ``most_ngrams`` n-grams of each order, by count; so what is broadcast is bounded.
@@ -34,6 +34,8 @@ from fundloom.llm.shared import written
 START = np.uint64(1)
 #: Deviations beyond the expectation that the discount takes off, and the share of the models that is the shared level.
 Z, BACKOFF = 5.0, 0.5
+#: Words added to a text's length, so that texts of one or two distinct words aren't judged on those alone.
+FEW = 30
 
 
 def tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -85,10 +87,9 @@ def beyond(count: str, both: Column, share: Column) -> Column:
     return F.greatest(F.col(count) - expected - Z * F.sqrt(expected) - 1, F.lit(0.0))
 
 
-def ratio(t: Column, all_t: Column, o: Column, all_o: Column, shared: Column) -> Column:
-    """Log ratio of the two models where each has its own excess counts and the shared level."""
-    own = lambda e, total: F.when(total > 0, (1 - BACKOFF) * e / total + BACKOFF * shared).otherwise(shared)
-    return F.log(own(t, all_t)) - F.log(own(o, all_o))
+def likelihood(own: Column, total: Column, below: Column) -> Column:
+    """A class's excess count and what it backs off to."""
+    return F.when(total > 0, (1 - BACKOFF) * own / total + BACKOFF * below).otherwise(below)
 
 
 def fitted(texts: DataFrame, most_ngrams: int = 1_000_000) -> dict[str, np.ndarray]:
@@ -102,7 +103,9 @@ def fitted(texts: DataFrame, most_ngrams: int = 1_000_000) -> dict[str, np.ndarr
     both, every = F.col("t") + F.col("o"), max(n_t + n_o, 1.0)
     words = words.withColumns({"et": beyond("t", both, F.lit(n_t / every)), "eo": beyond("o", both, F.lit(n_o / every))})
     all_t, all_o = (float(x or 0) for x in words.agg(F.sum("et"), F.sum("eo")).first())
-    words = words.where("et > 0 or eo > 0").withColumn("r", ratio(F.col("et"), F.lit(all_t), F.col("eo"), F.lit(all_o), both / F.lit(every)))
+    # How much likelier than at the shared level a word is under either model.
+    times = lambda e, total: likelihood(F.col(e), F.lit(total), both / F.lit(every)) / (both / F.lit(every))
+    words = words.where("et > 0 or eo > 0").withColumns({"rt": times("et", all_t), "ro": times("eo", all_o)}).withColumn("r", F.log("rt") - F.log("ro"))
 
     # A bigram that always follows one word is a copied passage as likely as an expression.
     free = grams.where("h is not null").withColumn("free", F.col("g_min") != F.col("g_max"))
@@ -111,7 +114,9 @@ def fitted(texts: DataFrame, most_ngrams: int = 1_000_000) -> dict[str, np.ndarr
     share = F.col("ht") / (F.col("ht") + F.col("ho"))
     pairs = written(pairs.withColumns({"et": beyond("t", both, share), "eo": beyond("o", both, 1 - share)}).where("et > 0 or eo > 0"), "toxic-pairs")
     sums = pairs.groupBy("h").agg(F.sum("et").alias("all_t"), F.sum("eo").alias("all_o"))
-    pairs = pairs.join(sums, "h").withColumn("r", ratio(F.col("et"), F.col("all_t"), F.col("eo"), F.col("all_o"), both / (F.col("ht") + F.col("ho"))))
+    pairs = pairs.join(sums, "h").join(words.select("w", "rt", "ro"), "w", "left")
+    below = lambda r: both / (F.col("ht") + F.col("ho")) * F.coalesce(r, F.lit(1.0))
+    pairs = pairs.withColumn("r", F.log(likelihood(F.col("et"), F.col("all_t"), below("rt"))) - F.log(likelihood(F.col("eo"), F.col("all_o"), below("ro"))))
 
     def pulled(df: DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = df.select(*keys, F.col("r").cast("double").alias("r"), both.alias("n")).orderBy(F.desc("n"), *keys).limit(most_ngrams).toArrow()
@@ -144,7 +149,7 @@ def measurer(shared_model):
                     pair = np.unique(pair_hash(np.concatenate([[START], w[:-1]]), w), return_index=True)
                     ratio, known = looked_up(m["pairs"], m["pair_ratio"], pair[0], 0)
                     rest = np.unique(w[pair[1][~known]])  # a word counts once, however often it is backed off to
-                    out[i] = (ratio[known].sum() + looked_up(m["words"], m["word_ratio"], rest, 0)[0].sum()) / (known.sum() + len(rest))
+                    out[i] = (ratio[known].sum() + looked_up(m["words"], m["word_ratio"], rest, 0)[0].sum()) / np.sqrt(known.sum() + len(rest) + FEW)
             kept = [k for k, x in enumerate(batch.schema.names) if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(out)], names=[*(batch.schema.names[k] for k in kept), "measure"])
 
