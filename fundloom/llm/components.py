@@ -1,4 +1,9 @@
-"""Connected components by alternating large-star and small-star steps over an edge table."""
+"""Connected components of an edge table by contraction.
+
+In each round every node names the neighbour (or itself) of the least rank, and edges are redrawn between the named nodes; a star or
+clique is done in one round, a long chain loses a share of its nodes in each. Ranks are hashes with the round's number, so no
+order of ids makes it slow. Minima are pre-aggregated, and hot nodes are joined, never gathered.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +13,37 @@ from pyspark.sql import functions as F
 from fundloom.llm.shared import written
 
 
-def with_least(edges: DataFrame) -> DataFrame:
-    """u, v, m: each edge with the least neighbour of ``u``, or ``u``. Hot nodes are pre-aggregated, and joined, not gathered."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
-
-
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, label (the least node of its component) for every node of ``edges`` (u, v). Only counts reach the driver."""
-    edges = edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct()
-    before = None
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = with_least(large)
-        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "component-edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
+    """node, label (the least node of its component) for every node of ``edges`` (u, v)."""
+    edges = written(edges.where("u <> v").select("u", "v").distinct(), "component-edges")
+    names = None
+    for turn in range(most_rounds):
+        if edges.isEmpty():
             break
-        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        rank = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("id"))
+        nearest = both.groupBy("u").agg(F.min(rank("v")).alias("near"))
+        least = written(nearest.select(F.col("u").alias("node"), F.least(rank("u"), "near")["id"].alias("m")), "component-names")
+        by = lambda c: least.select(F.col("node").alias(f"node_{c}"), F.col("m").alias(f"m_{c}"))
+        edges = edges.join(by("u"), F.col("u") == F.col("node_u")).join(by("v"), F.col("v") == F.col("node_v")).where("m_u <> m_v").select(F.col("m_u").alias("u"), F.col("m_v").alias("v")).distinct()
+        edges = written(edges, "component-edges")
+        if names is None:
+            names = least.select("node", F.col("m").alias("label"))
+        else:
+            names = names.join(by("l"), F.col("label") == F.col("node_l"), "left").select("node", F.coalesce("m_l", "label").alias("label"))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    if names is None:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    names = written(names, "component-names")
+    least = names.groupBy(F.col("label").alias("l")).agg(F.min("node").alias("least"))
+    return names.join(least, F.col("label") == F.col("l")).select("node", F.col("least").alias("label"))
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more edges: these are drawn between labels, so only what they touch is worked on."""
+    at = lambda c: labels.select(F.col("node").alias(f"node_{c}"), F.col("label").alias(f"label_{c}"))
+    drawn = edges.join(at("u"), F.col("u") == F.col("node_u"), "left").join(at("v"), F.col("v") == F.col("node_v"), "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
+    new = written(connected(drawn), "component-new").withColumnsRenamed({"node": "n2", "label": "l2"})
+    old = labels.join(new, F.col("label") == F.col("n2"), "left").select("node", F.coalesce("l2", "label").alias("label"))
+    return old.unionByName(new.join(labels, F.col("n2") == F.col("node"), "left_anti").select(F.col("n2").alias("node"), F.col("l2").alias("label")))

@@ -6,12 +6,13 @@ is keyed by group i of the first collection together with group j of the second,
 7e-5, at 0.9 with 5e-6.
 
 1. Documents with equal shingle sets are one representative (its smallest doc_id).
-2. Each bucket of a table has a hub, its member of the least rank (the same rank in all tables), found by a
-   pre-aggregated minimum; members are paired with hubs only, never with each other.
+2. Each bucket of a table has a hub, its member of the least rank (the one that shares the most minhashes with others; the same rank
+   in all tables), found by a pre-aggregated minimum; members are paired with hubs only, never with each other.
 3. Pairs that sizes and sketches allow are confirmed on the full shingle sets. Confirmed links give components.
-4. Buckets that still hold several components are not done: their members of different components are paired, in buckets
-   of over ``LARGE`` members after refining the key by one more group of each collection. So no link that shares
-   a bucket is lost, and pairs inside a component (large groups of copies) are never listed.
+4. In buckets that still hold several components, the members outside the largest are paired with those of other
+   components, each pair once, in buckets with over ``LARGE`` of them after refining the key by one further group of each
+   collection. So a link that shares a bucket is not lost, and pairs inside a component (large groups of copies) are never
+   listed.
 
 A set: distinct hashes of 5-word shingles (64 bits); with fewer words, the whole sequence as one; without words, empty and
 linked with nothing. A null text has no words. Rows with a null doc_id link with nothing: component_id is null, kept true. Rows
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.llm import texthash
-from fundloom.llm.components import connected
+from fundloom.llm.components import connected, relabelled
 from fundloom.llm.shared import written
 
 GROUPS, ROWS = 8, 2
@@ -129,47 +130,71 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     signed = written(docs.select("doc_id", "text").mapInArrow(signer(words), SIGNED), "near-signed")
     named = signed.where("n > 0 and doc_id is not null")
-    reps = written(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("groups").alias("groups")), "near-reps")
+    reps = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("groups").alias("groups"))
+    reps = written(with_rank(written(reps, "near-sets")), "near-reps")
 
-    keys = reps.select("rep", "n", F.expr(f"explode(flatten(transform(sequence(0, {GROUPS - 1}), i -> transform(sequence(0, {GROUPS - 1}), j -> named_struct('t', i * {GROUPS} + j, 'key', xxhash64(i, j, groups[i], groups[j + {GROUPS}]))))))").alias("k")).select("k.key", "k.t", "rep", "n")
-    rank = F.struct(F.xxhash64("rep").alias("rank"), F.col("rep").alias("rep"))
-    hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(rank)["rep"].alias("hub")).where("size > 1").withColumnRenamed("key", "hub_key")
-    members = written(keys.join(hubs, F.col("key") == F.col("hub_key")).drop("hub_key"), "near-members")
-
-    star = members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    pairs = written(with_sketches(star, reps, percent), "near-pairs")
-    links = written(confirmed(docs, pairs, words, percent), "near-links")
+    keys = reps.select("rep", "n", "rank", F.expr(f"explode(flatten(transform(sequence(0, {GROUPS - 1}), i -> transform(sequence(0, {GROUPS - 1}), j -> named_struct('t', i * {GROUPS} + j, 'key', xxhash64(i, j, groups[i], groups[j + {GROUPS}]))))))").alias("k")).select("k.key", "k.t", "rep", "n", "rank")
+    hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rank", "rep", "n")).alias("hub")).where("size > 1").withColumnRenamed("key", "hub_key")
+    members = written(keys.drop("rank").join(hubs, F.col("key") == F.col("hub_key")).drop("hub_key", "size"), "near-members")
+    tried = written(with_sketches(star(members.where("rep <> hub.rep"), percent), reps, percent), "near-pairs")
     # A document that has several texts is one node.
     several = named.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("a"), F.max(F.struct("f1", "f2", "n")).alias("b")).where("a <> b").select("doc_id")
     own = named.join(several, "doc_id").join(reps, ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    edges = written(links.unionByName(own), "near-edges")
+    edges = written(confirmed(docs, tried, words, percent).unionByName(own), "near-edges")
     labels = written(connected(edges), "near-labels")
 
-    more = written(unlinked_pairs(members, reps, labels, percent).join(pairs, ["u", "v"], "left_anti"), "near-more-pairs")
-    if not more.isEmpty():
-        edges = edges.unionByName(confirmed(docs, more, words, percent))
-        labels = written(connected(edges), "near-labels")
+    open_ = written(still_mixed(members, labels), "near-open")
+    if not open_.isEmpty():
+        more = written(cross_pairs(open_, reps, percent).join(tried, ["u", "v"], "left_anti"), "near-more-pairs")
+        labels = written(relabelled(labels, written(confirmed(docs, more, words, percent), "near-edges")), "near-labels")
 
     told = signed.join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "rep", "doc_id"))
     return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def unlinked_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u > v) that share a bucket but no component so far."""
-    held = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+def with_rank(reps: DataFrame) -> DataFrame:
+    """``reps`` with a rank: the more documents share its minhash groups, the lower. The text that copies were made from shares
+    most, and copies that are less like each other than the bound are still like that one."""
+    groups = reps.select("rep", F.posexplode("groups").alias("g", "value"))
+    shared = groups.groupBy(F.col("g").alias("g2"), F.col("value").alias("v2")).agg(F.count("*").alias("held")).where("held > 1")
+    rank = groups.join(shared, (F.col("g") == F.col("g2")) & (F.col("value") == F.col("v2"))).groupBy(F.col("rep").alias("r2")).agg((-F.sum("held")).alias("rank"))
+    return reps.join(rank, F.col("rep") == F.col("r2"), "left").drop("r2").withColumn("rank", F.coalesce("rank", F.lit(0)))
+
+
+def star(held: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u > v) of a member with its bucket's hub, if their sizes fit."""
+    fits = held.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    return fits.select(F.greatest("rep", "hub.rep").alias("u"), F.least("rep", "hub.rep").alias("v")).distinct()
+
+
+def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, t, rep, n, label of the buckets that hold more than one component."""
+    held = members.select("key", "t", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", "n", F.coalesce("label", "rep").alias("label"))
     mixed = held.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select(F.col("key").alias("mixed"))
-    open_ = held.join(mixed, F.col("key") == F.col("mixed")).select("key", "t", "rep", "n", "label", "size")
-    open_ = written(open_.join(reps.select("rep", "n", "groups"), ["rep", "n"]), "near-open")
-    # A large bucket's key is refined by one other group of each collection (49 finer tables for each bucket).
+    return held.join(mixed, F.col("key") == F.col("mixed")).drop("mixed")
+
+
+def cross_pairs(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u > v) that share a bucket but no component, each once. One of the two is not of the bucket's largest component,
+    so that minority is paired with the bucket. Where it has over ``LARGE`` members, the key is refined by one further group
+    of each collection. A pair is told in the first table that it shares, and by the second groups where the key is refined."""
+    largest = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), (F.sum("m") - F.max("m")).alias("minor")).withColumnRenamed("key", "of")
+    held = written(open_.join(largest, F.col("key") == F.col("of")).drop("of").join(reps.select("rep", "n", "groups"), ["rep", "n"]), "near-held")
+    last = GROUPS - 1
     finer = F.expr(
-        f"explode(flatten(transform(filter(sequence(0, {GROUPS - 1}), i -> i <> t div {GROUPS}), i -> transform(filter(sequence(0, {GROUPS - 1}), j -> j <> t % {GROUPS}), j -> xxhash64(key, i, j, groups[i], groups[j + {GROUPS}])))))"
+        f"explode(flatten(transform(filter(sequence(0, {last}), i -> i > t div {GROUPS}), i -> transform(filter(sequence(0, {last}), j -> j > t % {GROUPS}), j -> named_struct('key', xxhash64(key, i, j, groups[i], groups[j + {GROUPS}]), 't2', i * {GROUPS} + j)))))"
     )
-    every = open_.where(F.col("size") <= LARGE).select("key", "rep", "n", "label", "groups").unionByName(open_.where(F.col("size") > LARGE).select(finer.alias("key"), "rep", "n", "label", "groups"))
-    every = every.hint("merge")
-    other = every.select(F.col("key").alias("key_v"), F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("groups").alias("g_v"))
-    fits = (F.col("key") == F.col("key_v")) & (F.col("rep") > F.col("v")) & (F.col("label") != F.col("label_v")) & sizes_fit("n", "n_v", percent) & agreeing("groups", "g_v")
-    return every.join(other, fits).select(F.col("rep").alias("u"), "v").distinct()
+    rest = ["t", "rep", "n", "label", "largest", "groups"]
+    small = held.where(F.col("minor") <= LARGE).select("key", F.lit(-1).alias("t2"), *rest)
+    every = small.unionByName(held.where(F.col("minor") > LARGE).select(finer.alias("k"), *rest).select("k.key", "k.t2", *rest))
+    minority = every.where("label <> largest").select(F.col("key").alias("key_m"), F.col("rep").alias("m"), F.col("n").alias("n_m"), F.col("label").alias("label_m"), F.col("groups").alias("g_m"))
+    same = lambda k, at: f"get(filter(sequence(0, {last}), k -> groups[k + {at}] = g_m[k + {at}]), {k - 1})"
+    first = f"t = {same(1, 0)} * {GROUPS} + {same(1, GROUPS)}"
+    second = f"(t2 < 0 or t2 = {same(2, 0)} * {GROUPS} + {same(2, GROUPS)})"
+    once = F.expr(f"{first} and {second}") & ((F.col("rep") > F.col("m")) | (F.col("label") == F.col("largest")))
+    fits = (F.col("key") == F.col("key_m")) & (F.col("label") != F.col("label_m")) & sizes_fit("n", "n_m", percent) & agreeing("groups", "g_m") & once
+    return every.hint("merge").join(minority.hint("merge"), fits).select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, **kind) -> DataFrame:
