@@ -37,6 +37,9 @@ GROUPS, ROWS = 8, 2
 LARGE = 64
 #: Groups of all 16 that must agree before a pair is confirmed; a pair at 0.85 has 11.6 on average, under 4 with 2e-6.
 AGREE = 4
+#: Least shingles of a text that are compared before a pair is confirmed, and the percentage of those of the union that both must
+#: have: 0.14 under the bound, where the share's deviation is at most 0.032 (sets of up to ``LOW`` are compared whole).
+LOW, SPARE = 128, 14
 SEEDS = texthash.mixed(np.arange(1, 2 * GROUPS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 FACTORS = texthash.mixed(SEEDS) | np.uint64(1)
 
@@ -84,6 +87,17 @@ def signer(words: int):
 FIRST = 0x2545F4914F6CDD1D
 
 
+def lowest(words: int):
+    """The ``LOW`` least shingles of each text (their upper 31 bits, in order)."""
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(x[:LOW] >> np.uint64(33)).astype(np.int32) for x in shingle_sets(texthash.column(batch, "text"), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["rep", "n", "low"])
+
+    return low
+
+
 def confirmer(words: int, percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -119,6 +133,12 @@ def agreeing(a: str, b: str) -> Column:
     return F.expr(f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), t -> t)) >= {AGREE}")
 
 
+def alike(a: str, b: str, percent: int) -> Column:
+    """Of the least shingles of the union, the percentage that both have is at least ``percent``."""
+    least = f"slice(sort_array(array_union({a}, {b})), 1, {LOW})"
+    return F.expr(f"100 * size(array_intersect(array_intersect({a}, {b}), {least})) >= {percent} * size({least})")
+
+
 def with_sketches(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (u, v) that the sizes and the sketches of any of their texts allow."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("groups").alias(f"g_{x}"))
@@ -145,7 +165,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
     open_ = written(still_mixed(members, labels), "near-open")
     if not open_.isEmpty():
-        more = written(cross_pairs(open_, reps, percent).join(tried, ["u", "v"], "left_anti"), "near-more-pairs")
+        ids = written(open_.select("rep").distinct(), "near-open-ids")
+        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep")
+        # Texts of a repeated doc_id are told apart by the size of their sets.
+        low = written(texts.mapInArrow(lowest(words), "rep long, n long, low array<int>").groupBy("rep", "n").agg(F.any_value("low").alias("low")), "near-low")
+        more = written(cross_pairs(open_, reps.join(low, ["rep", "n"]), percent).join(tried, ["u", "v"], "left_anti"), "near-more-pairs")
         labels = written(relabelled(labels, written(confirmed(docs, more, words, percent), "near-edges")), "near-labels")
 
     told = signed.join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").join(labels, F.col("rep") == F.col("node"), "left")
@@ -180,20 +204,20 @@ def cross_pairs(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     so that minority is paired with the bucket. Where it has over ``LARGE`` members, the key is refined by one further group
     of each collection. A pair is told in the first table that it shares, and by the second groups where the key is refined."""
     largest = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), (F.sum("m") - F.max("m")).alias("minor")).withColumnRenamed("key", "of")
-    held = written(open_.join(largest, F.col("key") == F.col("of")).drop("of").join(reps.select("rep", "n", "groups"), ["rep", "n"]), "near-held")
+    held = written(open_.join(largest, F.col("key") == F.col("of")).drop("of").join(reps.select("rep", "n", "groups", "low"), ["rep", "n"]), "near-held")
     last = GROUPS - 1
     finer = F.expr(
         f"explode(flatten(transform(filter(sequence(0, {last}), i -> i > t div {GROUPS}), i -> transform(filter(sequence(0, {last}), j -> j > t % {GROUPS}), j -> named_struct('key', xxhash64(key, i, j, groups[i], groups[j + {GROUPS}]), 't2', i * {GROUPS} + j)))))"
     )
-    rest = ["t", "rep", "n", "label", "largest", "groups"]
+    rest = ["t", "rep", "n", "label", "largest", "groups", "low"]
     small = held.where(F.col("minor") <= LARGE).select("key", F.lit(-1).alias("t2"), *rest)
     every = small.unionByName(held.where(F.col("minor") > LARGE).select(finer.alias("k"), *rest).select("k.key", "k.t2", *rest))
-    minority = every.where("label <> largest").select(F.col("key").alias("key_m"), F.col("rep").alias("m"), F.col("n").alias("n_m"), F.col("label").alias("label_m"), F.col("groups").alias("g_m"))
+    minority = every.where("label <> largest").select(F.col("key").alias("key_m"), F.col("rep").alias("m"), F.col("n").alias("n_m"), F.col("label").alias("label_m"), F.col("groups").alias("g_m"), F.col("low").alias("l_m"))
     same = lambda k, at: f"get(filter(sequence(0, {last}), k -> groups[k + {at}] = g_m[k + {at}]), {k - 1})"
     first = f"t = {same(1, 0)} * {GROUPS} + {same(1, GROUPS)}"
     second = f"(t2 < 0 or t2 = {same(2, 0)} * {GROUPS} + {same(2, GROUPS)})"
     once = F.expr(f"{first} and {second}") & ((F.col("rep") > F.col("m")) | (F.col("label") == F.col("largest")))
-    fits = (F.col("key") == F.col("key_m")) & (F.col("label") != F.col("label_m")) & sizes_fit("n", "n_m", percent) & agreeing("groups", "g_m") & once
+    fits = (F.col("key") == F.col("key_m")) & (F.col("label") != F.col("label_m")) & sizes_fit("n", "n_m", percent) & agreeing("groups", "g_m") & once & alike("low", "l_m", percent - SPARE)
     return every.hint("merge").join(minority.hint("merge"), fits).select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
 
 
