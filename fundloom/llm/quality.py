@@ -2,12 +2,15 @@
 
 Every text gets a handful of measures. Their distribution per language and source is held in
 mergeable log-bucket quantile sketches (relative error ``ALPHA``); a sketch is a set of bucket counts, so sketches
-of a language or of everything are sums of the finer ones. Tukey fences read from the sketches are the thresholds,
-which are joined to the measures and applied. Native DataFrame expressions throughout.
+of a language or of everything are sums of the finer ones. Rows that fail the base rule are not sketched. A group's
+thresholds are read from its sketch: the higher of the Tukey fence and the ``TAIL`` quantile, and for the mean word length a
+lower fence in the same way. They stay within a factor ``APART`` of the language's, and those of a language of the
+thresholds of all rows, so a source that is mostly junk can't lift its own fence. They are joined to the measures and
+applied. Native DataFrame expressions throughout.
 
 Nulls and edge cases: a null text has no words and fails the base rule; null ``lang`` or ``source`` form a group of
-their own; a group with fewer than ``min_group`` rows uses its language's thresholds, and such a language those of all
-rows; repeated rows are measured one by one; an empty table gives an empty result; other columns are ignored.
+their own; a group with fewer than ``min_group`` sketched rows uses its language's thresholds, and such a language those of all
+rows, there with the least fences of ``SLACK``; repeated rows are measured one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ from fundloom.llm.shared import SPACE, let, words_of, written
 
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: Measure -> least distance of its upper fence from zero. A group of spotless texts has fences at zero; the slack
-#: keeps one stray character from counting as an outlier there.
+#: Quantile above which rows may be outliers, and how many times its parent's a group's fence may be (and a fraction of it).
+TAIL, APART = 0.95, 2.0
+#: Measure -> what a text may have beyond its fence, so that one stray symbol, one repeated line or one repeated window of 3
+#: words is no outlier in a group of spotless texts, whose fences are at zero.
+STRAY = {"symbol_rate": ("n_symbols", 1), "dup_line_rate": ("n_dup_lines", 1), "repeat_rate": ("n_repeat_words", 6)}
+#: Measure -> least upper fence over all rows, for languages with too few rows to have fences of their own.
 SLACK = {"symbol_rate": 0.05, "dup_line_rate": 0.2, "repeat_rate": 0.2, "mean_word": 12.0}
 
 
@@ -67,9 +74,19 @@ def measures(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").alias("n_lines"))
 
 
-def rates() -> dict[str, Column]:
-    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return {"symbol_rate": over("n_symbols", "word_chars"), "dup_line_rate": over("n_dup_lines", "n_lines"), "repeat_rate": over("n_repeat_words", "n_words"), "mean_word": over("word_chars", "n_words")}
+def rates(stray: bool = False) -> dict[str, Column]:
+    """The measures that are judged; with ``stray``, after what a text may have beyond its fence."""
+
+    def over(measure: str, a: str, b: str) -> Column:
+        few = STRAY[measure][1] if stray and measure in STRAY else 0
+        return F.when(F.col(b) > 0, F.greatest(F.col(a) - few, F.lit(0)) / F.col(b)).otherwise(F.lit(0.0))
+
+    of = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "mean_word": ("word_chars", "n_words")}
+    return {m: over(m, *ab) for m, ab in of.items()}
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -83,33 +100,50 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(counts: DataFrame, reach: float = 3.0) -> DataFrame:
-    """One row per group: its size and the upper fence of each measure, ``q3 + reach * (q3 - q1)``."""
+    """One row per group: its size; the upper fence of each measure, ``q3 + reach * (q3 - q1)`` or the ``TAIL`` quantile if that
+    is higher (over all rows ``SLACK`` at least; ``_raw``: without that); and ``_low``, the lower fence in the same way."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = counts.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     value = F.when(F.col("bucket") == -100_000, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * 2 / (1 + GAMMA))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("all")), value))
-    fences = ranked.groupBy("level", "lang", "source", "measure").agg(F.max("all").alias("size"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-    fences = fences.withColumn("fence", F.col("q3") + F.lit(reach) * (F.col("q3") - F.col("q1")))
-    picked = [F.max(F.when(F.col("measure") == m, F.greatest(F.col("fence"), F.lit(slack)))).alias(m) for m, slack in SLACK.items()]
+    fences = ranked.groupBy("level", "lang", "source", "measure").agg(F.max("all").alias("size"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(TAIL).alias("top"), at(1 - TAIL).alias("bottom"))
+    spread = F.lit(reach) * (F.col("q3") - F.col("q1"))
+    fences = fences.withColumns({"fence": F.greatest(F.col("q3") + spread, F.col("top")), "low": F.least(F.col("q1") - spread, F.col("bottom"))})
+    picked = []
+    for m, slack in SLACK.items():
+        of = lambda c, m=m: F.max(F.when(F.col("measure") == m, c))
+        least = F.when(F.col("level") == 2, F.greatest(F.col("fence"), F.lit(slack))).otherwise(F.col("fence"))
+        picked += [of(least).alias(m), of(F.col("fence")).alias(f"{m}_raw"), of(F.col("low")).alias(f"{m}_low")]
     return fences.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *picked)
 
 
+def near(own: Column, parent: Column) -> Column:
+    """``own``, but within a factor ``APART`` of ``parent``."""
+    return F.when(own.isNotNull(), F.least(F.greatest(own, parent / APART), parent * APART))
+
+
 def quality_rules(docs: DataFrame, min_group: int = 50, reach: float = 3.0) -> DataFrame:
     """Measures, ``base_failed`` and ``kept`` for each row of ``docs``."""
     measured = written(measures(docs), "quality-measures")
     # A few numbers for each language and source, written so that the planner sees their true size.
-    fences = written(thresholds(sketches(measured), reach), "quality-thresholds")
-    names = list(SLACK)
+    fences = written(thresholds(sketches(measured.where(~base_failed())), reach), "quality-thresholds")
+    names = [f"{m}{end}" for m in SLACK for end in ("", "_raw", "_low")]
     as_level = lambda n: fences.where((F.col("level") == n) & ((F.col("size") >= min_group) | F.lit(n == 2))).select(F.col("lang").alias(f"l{n}"), F.col("source").alias(f"s{n}"), F.struct(*names).alias(f"f{n}"))
     with_fences = (
         measured.join(as_level(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
         .join(as_level(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
         .join(F.broadcast(as_level(2)), F.lit(True), "left")  # one row
     )
-    fence = F.coalesce("f0", "f1", "f2")
+
+    def fence(m: str, end: str) -> Column:
+        f0, f1, f2 = (F.col(f"f{n}")[m + end] for n in range(3))
+        f1 = near(f1, f2)
+        return F.coalesce(near(f0, f1), f1, F.col("f2")[m] if end == "_raw" else f2)
+
     # bool_or over the measures; the sketch's relative error is allowed for.
     outlier = F.lit(False)
-    for m, rate in rates().items():
-        outlier = outlier | (rate > fence[m] * (1 + 2 * ALPHA))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    for m, rate in rates(stray=True).items():
+        outlier = outlier | (rate > fence(m, "_raw") * (1 + 2 * ALPHA))
+    outlier = outlier | (rates()["mean_word"] < fence("mean_word", "_low") * (1 - 2 * ALPHA))
+    failed = base_failed()
     return with_fences.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept"))

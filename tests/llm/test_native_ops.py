@@ -92,6 +92,19 @@ def test_quality_adapts_and_keeps_whole(spark):
     assert quality.quality_rules(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_quality_fences_follow_the_data(spark):
+    rnd = random.Random(6)
+    word = lambda a, b: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(a, b)))
+    text = lambda a, b, end="": " ".join(word(a, b) + end for _ in range(80))
+    rows = [(i, text(3, 8), "en", "s", 1) for i in range(1500)] + [(2000 + i, text(3, 8, "%%"), "en", "junk", 1) for i in range(60)]
+    rows += [(3000, text(10, 12), "en", "s", 1), (3001, text(2, 2), "en", "s", 1), (3002, text(3, 8) + " 100%", "en", "s", 1)]
+    rows += [(4000 + i, text(10, 12), "fi", "s", 1) for i in range(60)]  # long words are common here
+    kept = {r["doc_id"] for r in quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect() if r["kept"]}
+    assert 3000 not in kept and 3001 not in kept and 3002 in kept
+    assert not {2000 + i for i in range(60)} & kept and {4000 + i for i in range(60)} <= kept
+    assert len(kept) > 1550
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" * rnd.randint(1, 9) for _ in range(60)), "en", f"s{i % 4}", 1) for i in range(200)]
