@@ -41,3 +41,10 @@ def test_stages_take_effect(spark, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces = corpus_pipeline.run(spark, d).collect()
     assert {r["doc_id"]: r["length"] for r in pieces} == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in kept.items()}
+
+
+def test_near_copies_from_four_fifths_up_go(spark, tmp_path):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; 2 changed words apart take 10: 90 of 110 are common
+    copy = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
