@@ -3,16 +3,17 @@
 Two small collections of ``GROUPS`` groups of ``ROWS`` minhashes each are evaluated (2 * 8 * 2 = 32 minhashes). Table (i, j)
 is keyed by group i of the first collection together with group j of the second, which gives 8 * 8 = 64 tables of
 4 minhashes a key, for the cost of 32 minhashes in place of 256. At a similarity of 0.85 a pair meets in no table with probability
-7e-5, at 0.9 with 5e-6.
+7e-5, at 0.9 with 5e-6, at 0.80 with 6e-4.
 
 1. Documents with equal shingle sets are one representative (its smallest doc_id).
 2. Each bucket of a table has a hub, its member of the least rank (the one that shares the most minhashes with others; the same rank
    in all tables), found by a pre-aggregated minimum; members are paired with hubs only, never with each other.
 3. Pairs that sizes and sketches allow are confirmed on the full shingle sets. Confirmed links give components.
 4. In buckets that still hold several components, the members outside the largest are paired with those of other
-   components, each pair once, in buckets with over ``LARGE`` of them after refining the key by one further group of each
-   collection. So a link that shares a bucket is not lost, and pairs inside a component (large groups of copies) are never
-   listed.
+   components, each pair once, in buckets with over ``LARGE`` of them after refining the key by two further groups: one of each
+   collection, or two of the same where the pair has just one group in common in the other. Every pair with ``AGREE`` groups in
+   common has such two, so refining loses no pair that would be confirmed otherwise, and pairs inside a component (large
+   groups of copies) are never listed.
 
 A set: distinct hashes of 5-word shingles (64 bits); with fewer words, the whole sequence as one; without words, empty and
 linked with nothing. A null text has no words. Rows with a null doc_id link with nothing: component_id is null, kept true. Rows
@@ -35,11 +36,13 @@ from fundloom.llm.shared import written
 
 GROUPS, ROWS = 8, 2
 LARGE = 64
-#: Groups of all 16 that must agree before a pair is confirmed; a pair at 0.85 has 11.6 on average, under 4 with 2e-6.
+#: Groups of all 16 that must agree before a pair is confirmed; a pair at 0.85 has 11.6 on average, under 4 with 2e-5; at 0.80 10.2,
+#: and under 4 with 3e-4. Refining the keys of large buckets needs 4 at least.
 AGREE = 4
 #: Least shingles of a text that are compared before a pair is confirmed, and the percentage of those of the union that both must
-#: have: 0.14 under the bound, where the share's deviation is at most 0.032 (sets of up to ``LOW`` are compared whole).
-LOW, SPARE = 128, 14
+#: have: 0.16 under the bound, where the share's deviation is at most 0.032 at 0.85 and 0.035 at 0.80, so 4.5 deviations there (sets
+#: of up to ``LOW`` are compared whole).
+LOW, SPARE = 128, 16
 SEEDS = texthash.mixed(np.arange(1, 2 * GROUPS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 FACTORS = texthash.mixed(SEEDS) | np.uint64(1)
 
@@ -201,21 +204,25 @@ def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def cross_pairs(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """All pairs (u > v) that share a bucket but no component, each once. One of the two is not of the bucket's largest component,
-    so that minority is paired with the bucket. Where it has over ``LARGE`` members, the key is refined by one further group
-    of each collection. A pair is told in the first table that it shares, and by the second groups where the key is refined."""
+    so that minority is paired with the bucket. Where it has over ``LARGE`` members, the key is refined by two further groups. A pair
+    is told in the first table that it shares and, where the key is refined, by its second groups in both collections (way 0); if it
+    has just one group in common in the first collection, by the second and third of the other (way 1), and vice versa (way 2)."""
     largest = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), (F.sum("m") - F.max("m")).alias("minor")).withColumnRenamed("key", "of")
     held = written(open_.join(largest, F.col("key") == F.col("of")).drop("of").join(reps.select("rep", "n", "groups", "low"), ["rep", "n"]), "near-held")
     last = GROUPS - 1
-    finer = F.expr(
-        f"explode(flatten(transform(filter(sequence(0, {last}), i -> i > t div {GROUPS}), i -> transform(filter(sequence(0, {last}), j -> j > t % {GROUPS}), j -> named_struct('key', xxhash64(key, i, j, groups[i], groups[j + {GROUPS}]), 't2', i * {GROUPS} + j)))))"
-    )
+    pairs_of = lambda way, one, two, x, y: f"flatten(transform({one}, x -> transform({two}, y -> named_struct('key', xxhash64(key, {way}, x, y, groups[{x}], groups[{y}]), 't2', ({way} * {GROUPS} + x) * {GROUPS} + y))))"
+    later = lambda after: f"filter(sequence(0, {last}), z -> z > {after})"
+    i, j = f"t div {GROUPS}", f"t % {GROUPS}"
+    ways = [pairs_of(0, later(i), later(j), "x", f"y + {GROUPS}"), pairs_of(1, later(j), later("x"), f"x + {GROUPS}", f"y + {GROUPS}"), pairs_of(2, later(i), later("x"), "x", "y")]
+    finer = F.expr(f"explode(concat({', '.join(ways)}))")
     rest = ["t", "rep", "n", "label", "largest", "groups", "low"]
     small = held.where(F.col("minor") <= LARGE).select("key", F.lit(-1).alias("t2"), *rest)
     every = small.unionByName(held.where(F.col("minor") > LARGE).select(finer.alias("k"), *rest).select("k.key", "k.t2", *rest))
     minority = every.where("label <> largest").select(F.col("key").alias("key_m"), F.col("rep").alias("m"), F.col("n").alias("n_m"), F.col("label").alias("label_m"), F.col("groups").alias("g_m"), F.col("low").alias("l_m"))
     same = lambda k, at: f"get(filter(sequence(0, {last}), k -> groups[k + {at}] = g_m[k + {at}]), {k - 1})"
     first = f"t = {same(1, 0)} * {GROUPS} + {same(1, GROUPS)}"
-    second = f"(t2 < 0 or t2 = {same(2, 0)} * {GROUPS} + {same(2, GROUPS)})"
+    told = lambda way, x, y: f"({way} * {GROUPS} + {x}) * {GROUPS} + {y}"
+    second = f"(t2 < 0 or t2 = case when {same(2, 0)} is null then {told(1, same(2, GROUPS), same(3, GROUPS))} when {same(2, GROUPS)} is null then {told(2, same(2, 0), same(3, 0))} else {told(0, same(2, 0), same(2, GROUPS))} end)"
     once = F.expr(f"{first} and {second}") & ((F.col("rep") > F.col("m")) | (F.col("label") == F.col("largest")))
     fits = (F.col("key") == F.col("key_m")) & (F.col("label") != F.col("label_m")) & sizes_fit("n", "n_m", percent) & agreeing("groups", "g_m") & once & alike("low", "l_m", percent - SPARE)
     return every.hint("merge").join(minority.hint("merge"), fits).select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()

@@ -58,3 +58,16 @@ def test_edges(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(5, 26, 5, True), (5, 26, 5, True), (5, 3, 5, True), (9, 3, 5, False), (7, 27, 5, False), (None, 26, None, True), (None, 0, None, True), (1, 0, 1, True), (2, 0, 2, True)], key=str)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_buckets_lose_no_pair_that_agrees_in_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 4)
+    common = {0: {0, 8, 9, 10}, 1: {0, 1, 2, 8}, 2: {0, 1, 8, 9}, 3: {0, *range(8, 16)}, 4: {*range(8), 8}, 5: set(range(16)), 6: {0, 8, 9}, 7: {0, 3, 7, 8, 15}}
+    low, reps, n = list(range(100)), [], 0
+    for k, shared in common.items():  # each pair agrees with one another in ``shared``, with all others in group 0 of both
+        for side in (0, 1):
+            reps.append((2 * k + side, 100, [7 if g in (0, 8) else 1000 * (k + 1) + g if g in shared else -(1000 * (2 * k + side) + g) for g in range(16)], low))
+    reps = spark.createDataFrame(reps, "rep long, n long, groups array<long>, low array<int>")
+    open_ = reps.selectExpr("12345L as key", "0 as t", "rep", "n", "rep as label")
+    got = sorted((r["v"], r["u"]) for r in neardup.cross_pairs(open_, reps, 85).collect())
+    assert got == [(2 * k, 2 * k + 1) for k in common if k != 6]  # too few of all groups in the sixth
