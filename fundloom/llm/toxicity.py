@@ -9,7 +9,10 @@ grows like that, and what is toxic in a long text is few of its distinct words);
 
 The models are fitted on a bounded sample of labelled rows: the ``per_class`` rows of each class that come first by
 a hash of their id (a fifth of them for the curve), and keep at most ``most_ngrams`` n-grams of each order, by count; so what is broadcast is bounded.
-All other counts and all scoring cover whole texts of all rows.
+All other counts and all scoring cover whole texts of all rows. The curve weighs the rows of a class by how many learning labels
+each stands for, so scores and decisions follow the labels' class ratio at any size of input. The discount compares counts of the
+sample, so it takes the classes' shares in the sample: with those of the labels every word of a class that was cut would seem
+rare in it.
 
 Nulls and edge cases: a null text is empty; a text without tokens has measure 0 and its score is the curve's; rows with a
 null ``doc_id`` or label teach nothing (a null id is not held out) but are scored; of several labels of one id the highest
@@ -157,15 +160,19 @@ def measurer(shared_model):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """text, toxic and part (a number from 0 to 4) of at most ``per_class`` learning rows of each class."""
+    """text, toxic, part (a number from 0 to 4) and weight (learning labels for each row taken) of at most ``per_class`` learning rows
+    of each class."""
     learn = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     first = F.xxhash64("doc_id", F.lit("toxicity"))
     ids = None
     for c in (0, 1):
         own = learn.where(F.col("toxic") == c).orderBy(first, "doc_id").limit(per_class)
         ids = own if ids is None else ids.unionByName(own)
-    ids = written(ids.select(F.col("doc_id").alias("id"), "toxic", F.pmod(first, F.lit(5)).alias("part")), "toxic-sample")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "toxic", "part")
+    # Two rows: what each class has in full.
+    every = learn.groupBy(F.col("toxic").alias("c")).agg((F.count("*") / F.least(F.count("*"), F.lit(per_class))).alias("weight"))
+    ids = ids.select(F.col("doc_id").alias("id"), "toxic", F.pmod(first, F.lit(5)).alias("part"))
+    ids = written(ids.join(F.broadcast(every), F.col("toxic") == F.col("c")).drop("c"), "toxic-sample")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "toxic", "part", "weight")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 15_000) -> DataFrame:
@@ -178,10 +185,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 15_000)
     if len(parts) < 4:
         return keyed.select("doc_id", "text_hash", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     model = sc.broadcast(fitted(sample.where("part <> 0")))
-    unseen = written(sample.where("part = 0").select("toxic", "text").mapInArrow(measurer(model), "toxic int, measure double"), "toxic-curve")
-    curve = LogisticRegression(labelCol="toxic", featuresCol="x", regParam=1e-6).fit(unseen.select("toxic", array_to_vector(F.array("measure")).alias("x")))
+    unseen = written(sample.where("part = 0").select("toxic", "weight", "text").mapInArrow(measurer(model), "toxic int, weight double, measure double"), "toxic-curve")
+    curve = LogisticRegression(labelCol="toxic", featuresCol="x", weightCol="weight", regParam=1e-6).fit(unseen.select("toxic", "weight", array_to_vector(F.array("measure")).alias("x")))
     a, b = float(curve.coefficients[0]), float(curve.intercept)
-    # The sample holds the classes as labels do only below the bound; the curve is that of the sample.
     score = 1 / (1 + F.exp(-(F.lit(a) * F.col("measure") + F.lit(b))))
     measured = keyed.mapInArrow(measurer(model), "doc_id long, text_hash long, measure double")
     return measured.select("doc_id", "text_hash", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -39,3 +39,14 @@ def test_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()] == [0.0, 0.0]
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_a_capped_sample_keeps_the_class_ratio(spark):
+    rnd = random.Random(7)
+    # One word in ten texts of both classes is all that there is to learn: the scores are the labels' ratio.
+    data = [(i, " ".join(rnd.choice("abcdefgh") * 2 for _ in range(20)), int(i % 10 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, labels, per_class=200).collect()
+    assert abs(sum(r["score"] for r in got) / len(got) - 0.1) < 0.05
+    assert sum(r["predicted"] for r in got) < 30
