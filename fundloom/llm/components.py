@@ -2,7 +2,7 @@
 
 In each round every node names the neighbour (or itself) of the least rank, and edges are redrawn between the named nodes; a star or
 clique is done in one round, a long chain loses a share of its nodes in each. Ranks are hashes with the round's number, so no
-order of ids makes it slow. Minima are pre-aggregated, and hot nodes are joined, never gathered.
+order of ids makes it slow. Edges with a null end and loops join nothing and are left out; repeated edges count once; an empty table has no nodes. Minima are pre-aggregated, and hot nodes are joined, never gathered.
 """
 
 from __future__ import annotations

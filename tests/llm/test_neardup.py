@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from fundloom.llm import neardup
 
 
@@ -46,7 +48,7 @@ def corpus():
 
 def test_against_all_pairs(spark, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(neardup, "LARGE", 8)  # large buckets, and so refining, occur here too
+    monkeypatch.setattr(neardup, "BLOCK", 8)  # buckets of several blocks occur here too
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as key", "3 as label", "4 as u")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
     assert got == brute(rows)
@@ -60,14 +62,36 @@ def test_edges(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_large_buckets_lose_no_pair_that_agrees_in_few_groups(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE", 4)
-    common = {0: {0, 8, 9, 10}, 1: {0, 1, 2, 8}, 2: {0, 1, 8, 9}, 3: {0, *range(8, 16)}, 4: {*range(8), 8}, 5: set(range(16)), 6: {0, 8, 9}, 7: {0, 3, 7, 8, 15}}
-    low, reps, n = list(range(100)), [], 0
-    for k, shared in common.items():  # each pair agrees with one another in ``shared``, with all others in group 0 of both
-        for side in (0, 1):
-            reps.append((2 * k + side, 100, [7 if g in (0, 8) else 1000 * (k + 1) + g if g in shared else -(1000 * (2 * k + side) + g) for g in range(16)], low))
-    reps = spark.createDataFrame(reps, "rep long, n long, groups array<long>, low array<int>")
-    open_ = reps.selectExpr("12345L as key", "0 as t", "rep", "n", "rep as label")
-    got = sorted((r["v"], r["u"]) for r in neardup.cross_pairs(open_, reps, 85).collect())
-    assert got == [(2 * k, 2 * k + 1) for k in common if k != 6]  # too few of all groups in the sixth
+def family(n, words, rate, seed):
+    """Texts that each change some words of one text that is not among them: few pairs are just alike enough."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for k in rnd.sample(range(words), rnd.randint(*rate)):
+            text[k] = f"x{i}_{k}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+@pytest.mark.parametrize("n,words,rate", [(300, 400, (4, 12)), (60, 200, (2, 6)), (60, 900, (6, 12))])
+def test_family_of_copies_unlike_their_source_loses_no_link(spark, n, words, rate):
+    rows = family(n, words, rate, 5)
+    want = brute(rows)
+    assert 1 < len({c for _, c in want.values()}) < n
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+
+
+def test_blank_row_of_a_repeated_document_stays_with_it(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    got = neardup.near_duplicates(spark.createDataFrame([(2, text), (5, text), (5, None)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()) == [(2, 26, 2, True), (5, 0, 2, False), (5, 26, 2, False)]
+
+
+def test_a_link_that_one_block_decides_by_estimate(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LOW", 64)  # sets larger than their sketches
+    rows = family(80, 300, (3, 9), 9)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows)
