@@ -63,3 +63,24 @@ def test_no_rows_no_training(spark):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     rows = [(alone, "all held out")]
     close(katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), plain(rows))
+
+
+def test_texts_without_frequent_words(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(3000))), (2, " ".join(f"v{i}" for i in range(2500)))]
+    close(katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), plain(rows))
+
+
+def test_hot_bigrams_and_many_buckets(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(i, ("spam spam eggs " * rnd.randint(0, 9)) + " ".join(f"w{rnd.randrange(50)}" for _ in range(20))) for i in range(200)]
+    close(katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 500, 20).collect(), plain(rows))
+
+
+def test_tables_score_other_texts(spark):
+    rnd = random.Random(1)
+    rows = [(i, " ".join(f"w{int(rnd.random() ** 2 * 60)}" for _ in range(rnd.randint(0, 40)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = katz.trained(df)
+    want = {r[0]: r[6] for r in plain(rows)}
+    got = {r["doc_id"]: r["score"] for r in katz.evaluated(df, model).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)

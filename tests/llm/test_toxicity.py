@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
+import pytest
 from fundloom.llm import toxicity
 
 
@@ -50,3 +54,66 @@ def test_a_capped_sample_keeps_the_class_ratio(spark):
     got = toxicity.toxicity_scores(docs, labels, per_class=200).collect()
     assert abs(sum(r["score"] for r in got) / len(got) - 0.1) < 0.05
     assert sum(r["predicted"] for r in got) < 30
+
+
+def plain_measures(train, texts):
+    """Both models with dictionaries; each text's mean log ratio over its tokens."""
+    words = lambda t: ["<s>", *re.findall(r"[a-z0-9]+", t.lower())]
+    grams, alone, lefts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}, defaultdict(set)
+    for t, y in train:
+        w = words(t)
+        grams[y].update(set(zip(w, w[1:])))
+        alone[y].update(set(w[1:]))
+        for k in range(1, len(w)):
+            lefts[w[k - 1], w[k]].add(w[max(k - 2, 0)])
+    count = {y: {w: min(n, sum(1 for h, x in grams[y] if x == w)) for w, n in alone[y].items()} for y in (0, 1)}
+    total = {y: sum(count[y].values()) for y in (0, 1)}
+    every = sum(total.values())
+    beyond = lambda n, expected: max(n - expected - toxicity.Z * math.sqrt(expected) - 1, 0)
+    both = {w: count[0].get(w, 0) + count[1].get(w, 0) for w in {*count[0], *count[1]}}
+    own = {y: {w: beyond(count[y].get(w, 0), both[w] * total[y] / every) for w in both} for y in (0, 1)}
+    mass = {y: sum(own[y].values()) for y in (0, 1)}
+    mix = lambda e, all_, below: (1 - toxicity.BACKOFF) * e / all_ + toxicity.BACKOFF * below if all_ else below
+    word_p = lambda y, w: mix(own[y][w], mass[y], both[w] / every)
+    free = {g for g in {*grams[0], *grams[1]} if len(lefts[g]) > 1}
+    after = defaultdict(lambda: [0, 0])
+    for y in (0, 1):
+        for (h, w), n in grams[y].items():
+            after[h][y] += n
+    pair_own = {y: {(h, w): beyond(grams[y][h, w], (grams[0][h, w] + grams[1][h, w]) * after[h][y] / sum(after[h])) for h, w in free} for y in (0, 1)}
+    pair_mass = {y: Counter() for y in (0, 1)}
+    for y in (0, 1):
+        for (h, _), e in pair_own[y].items():
+            pair_mass[y][h] += e
+
+    def log_p(y, h, w):
+        if pair_own[0].get((h, w), 0) > 0 or pair_own[1].get((h, w), 0) > 0:
+            shared = (grams[0][h, w] + grams[1][h, w]) / sum(after[h])
+            ratio = word_p(y, w) / (both[w] / every) if own[0][w] > 0 or own[1][w] > 0 else 1.0
+            return math.log(mix(pair_own[y][h, w], pair_mass[y][h], shared * ratio))
+        return math.log(word_p(y, w)) if w in both and (own[0][w] > 0 or own[1][w] > 0) else 0.0
+
+    out = []
+    for t in texts:
+        w = words(t)
+        out.append(sum(log_p(1, h, x) - log_p(0, h, x) for h, x in zip(w, w[1:])) / max(len(w) - 1, 1))
+    return out
+
+
+def test_against_plain_models(spark):
+    rnd = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    train = []
+    for i in range(400):
+        w = [rnd.choice(common) for _ in range(rnd.randint(0, 25))]
+        if i % 3 == 0:
+            for _ in range(2):
+                w.insert(rnd.randrange(len(w) + 1), rnd.choice(["zorgon", "quux", "very bad"]))
+        train.append((" ".join(w), int(i % 3 == 0)))
+    model = toxicity.fitted(spark.createDataFrame(train, "text string, toxic int"))
+    texts = [t for t, _ in train[:60]] + ["", "zorgon", "nothing known here", "very bad very bad"]
+    shared = spark.sparkContext.broadcast(model)
+    got = [r["measure"] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).selectExpr("text", "1 as k").mapInArrow(toxicity.measurer(shared), "k int, measure double").collect()]
+    want = plain_measures(train, texts)
+    assert len(model["words"]) and len(model["pairs"]) and sum(x != 0 for x in want) > 20
+    assert got == pytest.approx(want, abs=1e-5)
