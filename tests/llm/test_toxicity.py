@@ -102,16 +102,18 @@ def plain_measures(train, texts):
 
 def test_against_plain_models(spark):
     rnd = random.Random(5)
-    common = [f"c{i}" for i in range(30)]
+    common = [f"c{i}" for i in range(300)]
     train = []
-    for i in range(400):
+    for i in range(1200):
         w = [rnd.choice(common) for _ in range(rnd.randint(0, 25))]
         if i % 3 == 0:
-            for _ in range(2):
-                w.insert(rnd.randrange(len(w) + 1), rnd.choice(["zorgon", "quux", "very bad"]))
+            for said in (rnd.choice(["zorgon", "quux", "frumious"]), "seldom c2"):
+                w.insert(rnd.randrange(len(w) + 1), said)
+        else:
+            w.insert(rnd.randrange(len(w) + 1), f"seldom c{rnd.randrange(30)}")
         train.append((" ".join(w), int(i % 3 == 0)))
     model = toxicity.fitted(spark.createDataFrame(train, "text string, toxic int"))
-    texts = [t for t, _ in train[:60]] + ["", "zorgon", "nothing known here", "very bad very bad"]
+    texts = [t for t, _ in train[:60]] + ["", "zorgon", "nothing known here", "seldom c2 zorgon seldom c2"]
     shared = spark.sparkContext.broadcast(model)
     got = [r["measure"] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).selectExpr("text", "1 as k").mapInArrow(toxicity.measurer(shared), "k int, measure double").collect()]
     want = plain_measures(train, texts)
