@@ -1,8 +1,9 @@
 """URL filters by association rules.
 
 Labelled pages give transactions of URL tokens plus a ``label:block`` item. FP-growth mines the token combinations that
-go with it; rules are pruned by support, confidence, and by a shorter rule that is as sure. Each rule is filed under its
-rarest token in an inverted index; a URL meets only the rules filed under its own tokens, then all tokens are confirmed.
+go with it; rules are pruned by support (a share of the pages and ``LEAST`` of them), by the lower bound of their confidence, so that a
+few hits of a few pages are no rule at any size of the table, and by a shorter rule that is as sure. Each rule is filed under its
+rarest token (the smallest on ties) in an inverted index; a URL meets only the rules filed under its own tokens, then all tokens are confirmed.
 Listed rules (host and path prefix) come first; the mined rules decide the rest.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and path, no tokens, and is allowed; a null
@@ -21,6 +22,8 @@ from fundloom.llm.shared import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label:block"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Pages that a rule must block at least, and the deviations that its confidence's lower bound (Wilson's) is off.
+LEAST, DEVIATIONS = 20, 2.58
 #: The listed rules (host, path prefix, action).
 LISTED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -46,19 +49,31 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
-    """``labelled``: url, bad (boolean). rule tokens, confidence, support; no rule that a part of it makes as surely."""
+def surely(hits: Column, of: Column, deviations: float = DEVIATIONS) -> Column:
+    """The lower bound of a share of ``hits`` in ``of``."""
+    z2 = deviations * deviations
+    p = hits / of
+    return (p + z2 / (2 * of) - deviations * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
+
+
+def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, least: int = LEAST) -> DataFrame:
+    """``labelled``: url, bad (boolean). tokens, confidence (its lower bound), support; no rule that a part of it makes as surely."""
     items = labelled.where("url is not null and bad is not null").select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    sets = written(FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).freqItemsets.withColumn("items", F.sort_array("items")), "url-itemsets")
+    items = written(items, "url-items")
     n = items.count()
+    support = max(min_support, least / max(n, 1))
+    if support > 1:  # fewer pages than a rule needs
+        return written(items.select(F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0), "url-rules")
+    sets = written(FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).freqItemsets.withColumn("items", F.sort_array("items")), "url-itemsets")
     bad = sets.where(F.array_contains("items", BLOCK)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("hits")).where(F.size("tokens") > 0)
-    rules = bad.join(sets.withColumnRenamed("items", "tokens"), "tokens").select("tokens", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(max(n, 1))).alias("support")).where(F.col("confidence") >= min_confidence)
+    both = bad.hint("merge").join(sets.withColumnRenamed("items", "tokens").hint("merge"), "tokens")
+    rules = both.select("tokens", surely(F.col("hits"), F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support")).where(F.col("confidence") >= min_confidence)
     rules = written(rules, "url-rules")
     # A rule is dropped if leaving out one token leaves a rule that is as sure.
     shorter = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).select("tokens", "confidence", F.array_remove(F.col("tokens"), F.col("t")).alias("part"))
     known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    beaten = shorter.join(known, "part").where("sure >= confidence").select("tokens").distinct()
-    return written(rules.join(beaten, "tokens", "left_anti"), "url-rules-pruned")
+    beaten = shorter.hint("merge").join(known.hint("merge"), "part").where("sure >= confidence").select("tokens").distinct()
+    return written(rules.hint("merge").join(beaten.hint("merge"), "tokens", "left_anti"), "url-rules-pruned")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
@@ -66,7 +81,7 @@ def blocked_urls(urls: DataFrame, rules: DataFrame, broadcast_rows: int = 100_00
     known = urls.where("url is not null").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
     index = rules.select(F.sort_array("tokens").alias("rule"), F.explode("tokens").alias("token"))
     common = index.groupBy("token").agg(F.count("*").alias("in_rules"))
-    rarest = index.join(common, "token").groupBy("rule").agg(F.min_by("token", F.struct("in_rules", "token")).alias("token"))
+    rarest = index.hint("merge").join(common.hint("merge"), "token").groupBy("rule").agg(F.min_by("token", F.struct("in_rules", "token")).alias("token"))
     rarest = written(rarest, "url-index")
     small = rarest.count() <= broadcast_rows
     met = known.select("url", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(rarest) if small else rarest.hint("merge"), "token")
