@@ -1,11 +1,14 @@
 """Brute-force versions on small fixtures with nulls, ties, repeats, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from fundloom.llm import chat, decontaminate, quality, secrets, urls
 
@@ -105,6 +108,66 @@ def test_quality_fences_follow_the_data(spark):
     assert len(kept) > 1550
 
 
+def exact_kept(rows, min_group=50, reach=3.0):
+    """The fences from exact quantiles; also how near each row is to the nearest fence it was held against."""
+    told = []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, rep = brute_quality(t)
+        lines = len([x for x in t.split("\n") if re.search(SPACES, x)])
+        few = lambda a, b, k: max(a - k, 0) / b if b else 0.0
+        rate = {"symbol_rate": few(symbols, chars, 0), "dup_line_rate": few(dup, lines, 0), "repeat_rate": few(rep, n, 0), "mean_word": few(chars, n, 0)}
+        less = {"symbol_rate": few(symbols, chars, 1), "dup_line_rate": few(dup, lines, 1), "repeat_rate": few(rep, n, 6), "mean_word": few(chars, n, 0)}
+        told.append((i, lang, source, n < 50 or 100 * rep > 50 * n, rate, less))
+
+    def fences(group):
+        out = {}
+        for m in quality.SLACK:
+            v = sorted(r[4][m] for r in group)
+            at = lambda q: v[max(math.ceil(q * len(v)), 1) - 1]  # noqa: E731, B023
+            q1, q3 = at(0.25), at(0.75)
+            out[m] = (max(q3 + reach * (q3 - q1), at(quality.TAIL)), min(q1 - reach * (q3 - q1), at(1 - quality.TAIL)))
+        return out
+
+    good = [r for r in told if not r[3]]
+    near = lambda own, parent: min(max(own, parent / quality.APART), parent * quality.APART)
+    top, kept, close = fences(good), {}, {}
+    for i, lang, source, failed, rate, less in told:
+        by_lang, own = [r for r in good if r[1] == lang], [r for r in good if r[1:3] == (lang, source)]
+        f1, f0 = fences(by_lang) if len(by_lang) >= min_group else None, fences(own) if len(own) >= min_group else None
+        bad, gap = False, 1.0
+        for m in quality.SLACK:
+            for side in (0, 1) if m == "mean_word" else (0,):
+                f = top[m][side] if f1 or side else max(top[m][side], quality.SLACK[m])
+                f = near(f1[m][side], top[m][side]) if f1 else f
+                f = near(f0[m][side], f) if f0 else f
+                x = less[m] if side == 0 else rate[m]
+                bad |= x > f * (1 + 2 * quality.ALPHA) if side == 0 else x < f * (1 - 2 * quality.ALPHA)
+                gap = min(gap, abs(x / f - 1) if f > 0 else 1.0)
+        kept[i], close[i] = not failed and not bad, gap
+    return kept, close
+
+
+def test_quality_against_exact_quantiles(spark):
+    rnd = random.Random(12)
+    word = lambda a, b: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(a, b)))
+    rows = []
+    for i in range(1200):
+        lang, source = rnd.choice(["en", "de"]), rnd.choices(["web", "news", "code"], [5, 5, 1.2])[0]
+        a = 3 if lang == "en" else 6
+        end = "#" if source == "code" else ""
+        text = " ".join(word(a, a + 5) + (end if rnd.random() < 0.3 else "") for _ in range(rnd.randint(45, 90)))
+        if rnd.random() < 0.05:
+            text += " " + "%%%% " * rnd.randint(1, 20)
+        rows.append((i, text, lang, source))
+    symbols = " ".join(word(3, 8) + ("#" if k % 4 == 0 else "") for k in range(80))
+    rows += [(1000, symbols, "en", "code"), (1001, symbols, "en", "news")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame([(*r, 1) for r in rows], DOCS)).collect()}
+    want, close = exact_kept(rows)
+    assert {i for i in got if got[i] != want[i] and close[i] > 5 * quality.ALPHA} == set()
+    assert 0.01 < sum(not k for k in got.values()) / len(got) < 0.4
+    assert got[1000] and not got[1001]  # common in one source, an outlier in the other
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" * rnd.randint(1, 9) for _ in range(60)), "en", f"s{i % 4}", 1) for i in range(200)]
@@ -141,11 +204,41 @@ def test_listed_url_rules(spark):
 
 
 def test_mined_url_rules(spark):
-    rows = [(i, f"http://site{i % 7}.com/{'casino' if i % 3 == 0 else 'news'}/{i}?{'promo' if i % 2 else 'id'}=1") for i in range(120)]
+    rows = [(i, f"http://site{i % 7}.com/{'casino' if i % 3 == 0 else 'news'}/{i}?{'promo' if i % 2 else 'id'}=1") for i in range(240)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, i % 3 == 0 and i % 2 == 1) for i in range(90)], "page_id long, bad boolean")
-    got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(pages, labels, listed=[("none", "/", "block")], min_support=0.02, min_confidence=0.9).collect()}
-    assert got == {i: "block" if i % 3 == 0 and i % 2 == 1 else "allow" for i in range(120)}
+    labels = spark.createDataFrame([(i, i % 3 == 0 and i % 2 == 1) for i in range(210)], "page_id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(pages, labels, listed=[("none", "/", "block")], min_support=0.02, min_confidence=0.8, least=10).collect()}
+    assert got == {i: "block" if i % 3 == 0 and i % 2 == 1 else "allow" for i in range(240)}
+
+
+def brute_rules(labelled, support, confidence, least):
+    """All token sets, counted one by one."""
+    sets = [(frozenset(t), bad) for t, bad in labelled]
+    n, freq, hits = len(sets), Counter(), Counter()
+    for tokens, bad in sets:
+        for size in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), size):
+                freq[part] += 1
+                hits[part] += bad
+    z2 = urls.DEVIATIONS**2
+    low = lambda h, f: (h / f + z2 / (2 * f) - urls.DEVIATIONS * math.sqrt(h / f * (1 - h / f) / f + z2 / (4 * f * f))) / (1 + z2 / f)
+    sure = {p: low(h, freq[p]) for p, h in hits.items() if h >= max(support * n, least) and low(h, freq[p]) >= confidence}
+    return {p: c for p, c in sure.items() if not any(sure.get(tuple(x for x in p if x != t), -1) >= c for t in p)}
+
+
+@pytest.mark.parametrize("n", [30, 300, 1500])
+def test_rules_against_all_token_sets(spark, n):
+    rnd = random.Random(n)
+    rows = []
+    for _ in range(n):
+        url = f"http://{rnd.choice('abc')}.{rnd.choice(['com', 'net'])}/{rnd.choice(['x', 'casino', 'y'])}/{rnd.choice('pq')}"
+        rows.append((url, rnd.random() < (0.95 if "casino" in url and "/p" in url else 0.25)))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = {r["url"]: r["t"] for r in df.select("url", urls.tokens_of(F.col("url")).alias("t")).distinct().collect()}
+    got = {tuple(sorted(r["tokens"])): r["confidence"] for r in urls.mined_rules(df).collect()}
+    want = brute_rules([(tokens[u], bad) for u, bad in rows], 0.002, 0.7, urls.LEAST)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert all({"path:casino", "path:p"} <= set(k) for k in got) and bool(got) == (n >= 300)  # no rules out of noise at any size
 
 
 def brute_hits(text, items, window=10):
