@@ -44,9 +44,9 @@ K = 5
 HOT, MOST_HOT = 1000, 20_000
 START, END = np.uint64(1), np.uint64(2)
 #: What a task gathers before it sends: tokens, and documents (they are numbered in 16 bits).
-TOKENS, DOCS = 2_400_000, 30_000
+TOKENS, DOCS = 1_200_000, 30_000
 #: A bucket's tokens (its task holds them in memory), and the least number of buckets.
-BUCKET_TOKENS, LEAST_BUCKETS = 9_000_000, 16
+BUCKET_TOKENS, LEAST_BUCKETS = 4_500_000, 16
 SUBS = 16
 
 
