@@ -13,9 +13,9 @@ also where all counts are above K. A text is its words and one end; its first wo
 2. Tasks hash their texts into bigrams and send the distinct ones, with the texts that hold them, to the bucket of the word; those of
    hot words are dealt by the whole bigram, hot bigrams by the sender too. A bucket holds all occurrences of its other bigrams, so it
    counts and looks up in one go. What it holds follows its tokens alone, and the number of buckets follows the number of tokens.
-3. A partitioned table keeps what comes of it: the n-gram counts, the sums of each context, sums of each text that leave the
-   discounts open, unseen bigrams, counts of counts.
-4. Counts of counts give the discounts, context sums the table of backoff weights, which unseen bigrams are joined with.
+3. A partitioned table keeps what comes of it: the n-gram counts, sums of each text that leave the discounts open, unseen bigrams,
+   counts of counts.
+4. Counts of counts give the discounts, sums over each context's bigrams the table of backoff weights, which unseen bigrams are joined with.
 
 ``trained`` returns the tables, ``evaluated`` scores any texts by them: each token's bigram is looked up, and where it has no count,
 the weight of its context and the word's own count are.
@@ -193,7 +193,7 @@ def sender(hot, hot_pairs, buckets: int, most_tokens: int, most_docs: int):
 INTS = [f"i{k}" for k in range(1, K + 4)]
 KEPT = "kind int, key long, other long, x1 double, x2 double, " + ", ".join(f"{c} int" for c in INTS) + ", before array<long>, times array<int>"
 KEPT_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("x1", pa.float64()), ("x2", pa.float64()), *((c, pa.int32()) for c in INTS), ("before", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-DOC, CONTEXT, UNSEEN, TOTALS, HEADER, NGRAMS = range(6)
+DOC, UNSEEN, TOTALS, HEADER, NGRAMS = range(5)
 
 
 def kept(kind: int, n: int, **columns) -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def reducer(hot, hot_counts, hot_pairs, hot_pair_counts):
                     yield kept(HEADER, len(ids), key=np.arange(first, first + len(ids)), other=ids, i1=column("held", k).astype(np.int32))
             del x
         rows = np.concatenate([np.zeros(0, np.int64), *rows])
-        sums, totals, contexts = {}, np.zeros(K + 3), []
+        sums, totals = {}, np.zeros(K + 3)
 
         def add(name: str, at: np.ndarray, weights=None) -> None:
             sums[name] = sums.get(name, 0) + summed(at, d, weights)
@@ -273,15 +273,7 @@ def reducer(hot, hot_counts, hot_pairs, hot_pair_counts):
             order = own[np.argsort(w[one][own], kind="stable")]
             run = np.flatnonzero(np.concatenate([[True], w[one][order][1:] != w[one][order][:-1]])) if len(order) else order
             by_word = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.append(run, len(order)), pa.int32()), pa.array(x, kind))  # noqa: E731, B023
-            yield kept(NGRAMS, len(run), key=w[one][order][run].view(np.int64), before=by_word(h[one][order].view(np.int64), pa.int64()), times=by_word(r[order].astype(np.int32), pa.int32()))
-            context, at = np.unique(h[one][own], return_inverse=True)
-            by_r = np.stack([summed(at, len(context), r[own] == k) for k in range(1, K + 1)]).astype(np.int32)
-            contexts.append((context, summed(at, len(context), (c + 0.1)[own]), by_r))
-        if contexts:
-            context, at = np.unique(np.concatenate([x[0] for x in contexts]), return_inverse=True)
-            by_r = np.concatenate([x[2] for x in contexts], axis=1)
-            by_r = {f"i{k + 2}": np.rint(summed(at, len(context), by_r[k - 1])).astype(np.int32) for k in range(1, K + 1)}
-            yield kept(CONTEXT, len(context), key=context.view(np.int64), x1=summed(at, len(context), np.concatenate([x[1] for x in contexts])), **by_r)
+            yield kept(NGRAMS, len(run), key=w[one][order][run].view(np.int64), x1=c[order][run].astype(np.float64), before=by_word(h[one][order].view(np.int64), pa.int64()), times=by_word(r[order].astype(np.int32), pa.int32()))
         if sums:
             ints = {f"i{k + 2}": sums[f"r{k}"].astype(np.int32) for k in range(1, K + 1)}
             yield kept(DOC, d, key=rows, x1=sums["base"], x2=sums["part"], i1=sums["n"].astype(np.int32), i2=np.rint(sums["known"]).astype(np.int32), **ints, i8=sums["unseen"].astype(np.int32))
@@ -357,8 +349,9 @@ def trained(docs: DataFrame, most_tokens: int = TOKENS, most_docs: int = DOCS) -
     starts = of(HEADER).where("i1 = 0").count()
     d, z = discounts(of_counts), n + 0.1 * (v + 1)
 
-    lost = sum((F.col(f"i{r + 2}") * float(r * (1 - d[r - 1])) for r in range(1, K + 1)), F.lit(0.0))
-    in_buckets = of(CONTEXT).select(F.col("key").alias("h"), lost.alias("lost"), F.col("x1").alias("q"))
+    seen = of(NGRAMS).select(F.col("x1").alias("c"), F.explode(F.arrays_zip("before", "times")).alias("x")).select("c", F.col("x.before").alias("h"), F.col("x.times").alias("r"))
+    taken = F.coalesce(F.get(F.array(*[F.lit(float(r * (1 - d[r - 1]))) for r in range(1, K + 1)]), F.col("r") - 1), F.lit(0.0))
+    in_buckets = seen.select("h", taken.alias("lost"), (F.col("c") + 0.1).alias("q"))
     # Hot bigrams: the count of their word is known, and nothing is taken off theirs.
     in_hot = exact.where("h is not null").select("h", "w").join(exact.where("h is null").select("w", "n"), "w").select("h", F.lit(0.0).alias("lost"), (F.col("n") + 0.1).alias("q"))
     contexts = in_buckets.unionByName(in_hot).groupBy("h").agg(F.sum("lost").alias("lost"), F.sum("q").alias("q"))
