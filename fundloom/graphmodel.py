@@ -1,7 +1,8 @@
 """The knowledge-graph tables, and how the star-schema test tables map to them.
 
-A fund is a nation, its firm a region, an issuer a supplier; a holding is what a nation's customers sent back in large lines; a
-supply edge joins suppliers of neighbouring large lines of one order (dependent -> supplier).
+A fund is a nation, its firm a region, an issuer a part. A holding is what a nation's customers sent back; a supply edge joins the
+parts of an order's first and last line (dependent -> supplier), and a company is exposed to the brands of its suppliers. Filings
+are orders, and mention the parts of their open lines. All rows of the tables take part.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Risk categories, criticalities and their weights.
-CATEGORIES = ["supply_chain", "customer_concentration", "geopolitical", "technology", "regulatory"]
+#: Risk categories in their order, criticalities and their weights.
+CATEGORIES = ["supply_chain", "customer_concentration", "regulatory", "geopolitical", "technology", "litigation", "other"]
 CRITICALITY = {"critical": 1.0, "named": 0.5, "mentioned": 0.2}
+#: What an exposure says, by the urgency of the order.
+HEDGES = {"1": "We are highly dependent on a limited number of suppliers", "2": "A substantial share", "3": "We rely on others", "5": "Events may occur"}
 
 
 def exact(c: str | Column) -> Column:
@@ -48,27 +50,38 @@ class Graph:
 
     @cached_property
     def company(self) -> DataFrame:
-        return self.table("supplier").select(F.col("s_suppkey").alias("company"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("country"), F.col("s_acctbal").alias("balance"))
+        name = F.concat(F.lit("Part#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+        return self.table("part").select(F.col("p_partkey").alias("company"), name.alias("name"), F.col("p_size").cast("long").alias("country"), F.col("p_retailprice").alias("balance"))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Orders with their fund."""
+        nation = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("fund"))
+        return self.table("orders").join(nation, F.col("o_custkey") == F.col("c_custkey"))
 
     @cached_property
     def holds(self) -> DataFrame:
-        lines = self.table("lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-        orders = self.table("orders").select("o_orderkey", "o_custkey").join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        lines = self.table("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity")
         held = (
-            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("c_nationkey").cast("long").alias("fund"), F.col("l_suppkey").alias("company"))
+            lines.join(self.orders.select("o_orderkey", "fund"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("fund", F.col("l_partkey").alias("company"))
             .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value_usd"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("shares"), F.max(F.col("l_shipdate").cast("date")).alias("as_of"))
         )
-        total = F.sum(F.col("value_usd").cast("decimal(28,2)")).over(Window.partitionBy("fund")).cast("double")
-        return held.withColumn("weight_pct", F.round(100 * F.col("value_usd") / total, 6))
+        total = held.groupBy("fund").agg(F.sum(F.col("value_usd").cast("decimal(28,2)")).cast("double").alias("total"))
+        return held.join(total, "fund").select("fund", "company", "value_usd", "shares", "as_of", F.round(100 * F.col("value_usd") / F.col("total"), 6).alias("weight_pct"))
+
+    @cached_property
+    def supply_lines(self) -> DataFrame:
+        """doc_id, src, dst, component, risk_title, priority, filed: one row for each order of two different parts."""
+        place = F.struct("l_linenumber", "l_suppkey", "l_partkey")
+        ends = self.table("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min_by("l_partkey", place).alias("src"), F.max_by("l_partkey", place).alias("dst")).where("src <> dst")
+        made = self.table("part").select(F.col("p_partkey").alias("p"), F.col("p_type").alias("component"), F.col("p_brand").alias("risk_title"))
+        dated = self.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("filed"))
+        return ends.join(made, F.col("dst") == F.col("p")).join(dated, F.col("doc_id") == F.col("o_orderkey")).drop("p", "o_orderkey")
 
     @cached_property
     def supplies_to(self) -> DataFrame:
-        by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate")
-        lines = self.table("lineitem").where("l_quantity >= 47").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate")
-        pairs = lines.select(F.col("l_suppkey").alias("src"), "l_partkey", F.lead("l_suppkey").over(by).alias("dst")).where("dst is not null and src <> dst")
-        typed = pairs.join(self.table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        edges = typed.groupBy("src", "dst").agg(F.min("p_type").alias("component"))
+        edges = self.supply_lines.groupBy("src", "dst").agg(F.min("component").alias("component"))
         kind = F.pmod(F.col("src") * 7 + F.col("dst") * 3, F.lit(4))
         return edges.withColumn("criticality", F.when(kind == 0, "critical").when(kind == 1, "named").when(kind == 2, "mentioned").otherwise("rumoured"))
 
@@ -76,31 +89,34 @@ class Graph:
     def risk_factor(self) -> DataFrame:
         n = F.regexp_extract("title", r"(\d+)", 1).cast("int")
         titles = self.table("part").select(F.col("p_brand").alias("title")).distinct()
-        return titles.withColumn("category", F.element_at(F.array(*map(F.lit, CATEGORIES)), F.pmod(n, F.lit(5)) + 1))
+        return titles.withColumn("category", F.element_at(F.array(*map(F.lit, CATEGORIES)), F.pmod(n, F.lit(len(CATEGORIES))) + 1))
 
     @cached_property
     def exposed_to(self) -> DataFrame:
-        lines = self.table("lineitem").where("l_quantity >= 49 and l_discount >= 0.07").select("l_orderkey", "l_suppkey", "l_partkey")
-        brand = self.table("part").select("p_partkey", F.col("p_brand").alias("risk_title"))
-        urgency = self.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("severity"))
-        found = lines.join(brand, F.col("l_partkey") == F.col("p_partkey")).join(urgency, F.col("l_orderkey") == F.col("o_orderkey"))
-        return found.groupBy(F.col("l_suppkey").alias("company"), "risk_title").agg(F.min("severity").alias("severity"))
+        found = self.supply_lines.groupBy(F.col("src").alias("company"), "risk_title").agg(F.min(F.substr("priority", F.lit(1), F.lit(1))).alias("p"))
+        said = F.lit("")
+        for p, text in HEDGES.items():
+            said = F.when(F.col("p") == p, F.lit(text)).otherwise(said)
+        return found.select("company", "risk_title", said.alias("severity"))
 
     @cached_property
     def covers(self) -> DataFrame:
-        """Disclosure sections: fund, form_ref, section_key, risk_title."""
-        pairs = self.fund.select("fund", "series_id").join(self.risk_factor.select(F.col("title").alias("risk_title")), F.pmod(F.col("fund") + F.regexp_extract("risk_title", r"(\d+)", 1).cast("long"), F.lit(3)) == 0)
+        """Disclosure sections: fund, form_ref, section_key, risk_title. Sections are about brands (none about every fifth) and types."""
+        brand = self.risk_factor.select(F.col("title").alias("risk_title"), F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("n")).where("n % 5 <> 0")
+        kind = self.table("part").select(F.col("p_type").alias("risk_title"), F.char_length("p_type").cast("long").alias("n")).distinct()
+        topics = brand.unionByName(kind).withColumn("k", F.pmod(-F.col("n"), F.lit(3)))
+        pairs = self.fund.select("fund", "series_id", F.pmod("fund", F.lit(3)).alias("k")).join(topics, "k")
         form = F.concat("series_id", F.lit(":485"))
         return pairs.select("fund", form.alias("form_ref"), F.concat(form, F.lit("|"), "risk_title").alias("section_key"), "risk_title")
 
     @cached_property
     def document(self) -> DataFrame:
-        """Filings: orders; the issuers of an order's lines are what it mentions."""
+        """Filings: orders."""
         return self.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("filing_date"), F.when(F.col("o_orderpriority").startswith("1"), "internal").when(F.col("o_orderpriority").startswith("5"), None).otherwise("public").alias("sensitivity"))
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return self.table("lineitem").where("l_quantity >= 46").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("company")).distinct()
+        return self.table("lineitem").where("l_linestatus = 'O' and l_returnflag = 'N'").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("company")).distinct()
 
 
 #: The same tables for DuckDB.
@@ -108,31 +124,35 @@ SQL = r"""
 firm AS (SELECT CAST(r_regionkey AS BIGINT) firm, r_name AS name FROM region),
 fund AS (SELECT CAST(n_nationkey AS BIGINT) fund, n_name AS name, CAST(n_nationkey AS VARCHAR) series_id FROM nation),
 managed_by AS (SELECT CAST(n_nationkey AS BIGINT) fund, CAST(n_regionkey AS BIGINT) firm FROM nation),
-company AS (SELECT s_suppkey AS company, s_name AS name, CAST(s_nationkey AS BIGINT) country, s_acctbal AS balance FROM supplier),
+company AS (SELECT p_partkey AS company, 'Part#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, CAST(p_size AS BIGINT) country, p_retailprice AS balance FROM part),
 held AS (
-    SELECT CAST(c_nationkey AS BIGINT) fund, l_suppkey AS company, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) value_usd,
+    SELECT CAST(c_nationkey AS BIGINT) fund, l_partkey AS company, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) value_usd,
         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) shares, max(CAST(l_shipdate AS DATE)) as_of
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY ALL),
+    WHERE l_returnflag = 'R' GROUP BY ALL),
 holds AS (SELECT *, round(100 * value_usd / CAST(sum(CAST(value_usd AS DECIMAL(28,2))) OVER (PARTITION BY fund) AS DOUBLE), 6) weight_pct FROM held),
-supply_pairs AS (
-    SELECT l_suppkey AS src, l_partkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_shipdate) AS dst
-    FROM lineitem WHERE l_quantity >= 47),
+ends AS (
+    SELECT l_orderkey AS doc_id, arg_min(l_partkey, (l_linenumber, l_suppkey, l_partkey)) AS src, arg_max(l_partkey, (l_linenumber, l_suppkey, l_partkey)) AS dst
+    FROM lineitem GROUP BY l_orderkey HAVING src <> dst),
+supply_lines AS (
+    SELECT doc_id, src, dst, p_type AS component, p_brand AS risk_title, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS filed
+    FROM ends JOIN part ON dst = p_partkey JOIN orders ON doc_id = o_orderkey),
 supplies_to AS (
-    SELECT src, dst, min(p_type) component, CASE (src * 7 + dst * 3) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'named' WHEN 2 THEN 'mentioned' ELSE 'rumoured' END criticality
-    FROM supply_pairs JOIN part ON l_partkey = p_partkey WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
+    SELECT src, dst, min(component) component, CASE (src * 7 + dst * 3) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'named' WHEN 2 THEN 'mentioned' ELSE 'rumoured' END criticality
+    FROM supply_lines GROUP BY src, dst),
 risk_factor AS (
-    SELECT DISTINCT p_brand AS title, (['supply_chain', 'customer_concentration', 'geopolitical', 'technology', 'regulatory'])[CAST(regexp_extract(p_brand, '(\d+)', 1) AS INT) % 5 + 1] category FROM part),
+    SELECT DISTINCT p_brand AS title, (CATEGORY_LIST)[CAST(regexp_extract(p_brand, '(\d+)', 1) AS INT) % 7 + 1] category FROM part),
 exposed_to AS (
-    SELECT l_suppkey AS company, p_brand AS risk_title, min(o_orderpriority) severity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_quantity >= 49 AND l_discount >= 0.07 GROUP BY 1, 2),
+    SELECT src AS company, risk_title, CASE substr(min(priority), 1, 1) HEDGE_CASE ELSE '' END AS severity FROM supply_lines GROUP BY src, risk_title),
+topics AS (
+    SELECT title AS risk_title, CAST(regexp_extract(title, '(\d+)', 1) AS BIGINT) n FROM risk_factor WHERE n % 5 <> 0
+    UNION SELECT p_type, length(p_type) FROM part),
 covers AS (
-    SELECT fund, series_id || ':485' AS form_ref, series_id || ':485|' || title AS section_key, title AS risk_title
-    FROM fund, risk_factor WHERE (fund + CAST(regexp_extract(title, '(\d+)', 1) AS INT)) % 3 = 0),
+    SELECT fund, series_id || ':485' AS form_ref, series_id || ':485|' || risk_title AS section_key, risk_title FROM fund JOIN topics ON (fund + n) % 3 = 0),
 document AS (
     SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) filing_date, CASE WHEN o_orderpriority LIKE '1%' THEN 'internal' WHEN o_orderpriority LIKE '5%' THEN NULL ELSE 'public' END sensitivity FROM orders),
-mentions AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS company FROM lineitem WHERE l_quantity >= 46)
-"""
+mentions AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS company FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N')
+""".replace("CATEGORY_LIST", str(CATEGORIES)).replace("HEDGE_CASE", " ".join(f"WHEN '{p}' THEN '{text}'" for p, text in HEDGES.items()))
 
 
 def sql(body: str) -> str:

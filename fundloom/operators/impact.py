@@ -13,46 +13,58 @@ def last_wins(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def fact_diff(v1: DataFrame, v2: DataFrame, keys: list[str]) -> DataFrame:
-    """Added, removed and changed facts; columns: the keys, payload and ord. Null keys are equal to each other."""
-    a, b = (last_wins(v, keys).select(*[F.col(k).alias(f"{k}_{n}") for k in keys], F.col("payload").alias(f"p_{n}"), F.lit(True).alias(f"in_{n}")) for n, v in (("a", v1), ("b", v2)))
+def fact_diff(v1: DataFrame, v2: DataFrame, keys: list[str], carry: str | None = None) -> DataFrame:
+    """Added, removed and changed facts; columns: the keys, payload and ord (``carry`` keeps it). Null keys are equal to each other."""
+    a, b = (last_wins(v, keys).select(*[F.col(k).alias(f"{k}_{n}") for k in keys], F.col("payload").alias(f"p_{n}"), F.col("ord").alias(f"ord_{n}"), F.lit(True).alias(f"in_{n}")) for n, v in (("a", v1), ("b", v2)))
     on = F.lit(True)
     for k in keys:
         on = on & F.col(f"{k}_a").eqNullSafe(F.col(f"{k}_b"))
     both = a.join(b, on, "full_outer")
     change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(~F.col("p_a").eqNullSafe(F.col("p_b")), "changed")
-    return both.withColumn("change", change).where("change is not null").select(*[F.coalesce(f"{k}_b", f"{k}_a").alias(k) for k in keys], "change", F.col("p_a").alias("old_value"), F.col("p_b").alias("new_value"))
+    kept = [] if carry is None else [F.coalesce("ord_b", "ord_a").alias(carry)]
+    return both.withColumn("change", change).where("change is not null").select(*[F.coalesce(f"{k}_b", f"{k}_a").alias(k) for k in keys], "change", F.col("p_a").alias("old_value"), F.col("p_b").alias("new_value"), *kept)
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 
 
-#: Rules as data: which change of which kind travels along which relation, and what it flags.
+#: The rules: their name, the kind and name of the fact that triggers them, how they travel, which changes do.
 RULES = [
-    ("supplier_change", "SUPPLIES_TO", ["added", "removed", "changed"], "holders_within_2"),
-    ("issuer_risk", "EXPOSED_TO", ["added", "changed"], "holders"),
-    ("risk_disclosure", "EXPOSED_TO", ["added", "changed"], "sections"),
+    ("changed_issuer_to_funds", "entity", "Company", "HOLDS", ["added", "removed", "changed"]),
+    ("changed_supplier_to_funds", "relation", "SUPPLIES_TO", "SUPPLIES_TO,HOLDS", ["added", "removed", "changed"]),
+    ("changed_risk_to_disclosure", "relation", "EXPOSED_TO", "COVERS", ["added", "changed"]),
+    ("changed_metric_to_reports", "entity", "MetricObservation", "DERIVED_FROM", ["added", "changed"]),
 ]
+TRAVERSALS = ["HOLDS", "SUPPLIES_TO,HOLDS", "COVERS", "DERIVED_FROM"]
 
 
 def trigger_match(diff: DataFrame, rules: list = RULES) -> DataFrame:
-    """Changes with each rule that they trigger. The rules are a small list given with the job."""
-    table = diff.sparkSession.createDataFrame(rules, "rule string, rel string, changes array<string>, traversal string")
-    return diff.join(F.broadcast(table), "rel").where(F.array_contains("changes", F.col("change"))).drop("changes")
+    """Changes with each rule that they trigger. The rules are a small list given with the job; one that travels otherwise is an error."""
+    unknown = {r[3] for r in rules} - set(TRAVERSALS)
+    if unknown:
+        raise NotImplementedError(f"no way to travel {sorted(unknown)}")
+    table = diff.sparkSession.createDataFrame(rules, "rule string, kind string, name string, traversal string, changes array<string>")
+    return diff.join(F.broadcast(table), ["kind", "name"]).where(F.array_contains("changes", F.col("change"))).drop("changes")
 
 
-def propagate(matched: DataFrame, holds: DataFrame, dependents: DataFrame, covers: DataFrame) -> DataFrame:
-    """Funds and sections that triggered changes reach: rule, target_kind, target, via. matched: rule, traversal, subject, object."""
-    near = matched.where("traversal = 'holders_within_2'").join(dependents, F.col("subject") == F.col("company")).select("rule", "subject", F.col("dependent").alias("held"))
-    direct = matched.where("traversal = 'holders'").select("rule", "subject", F.col("subject").alias("held"))
-    funds = near.unionByName(direct).distinct().join(holds.select("fund", "company"), F.col("held") == F.col("company")).select("rule", F.lit("fund").alias("target_kind"), F.col("fund").cast("string").alias("target"), F.col("subject").alias("via"))
-    sections = matched.where("traversal = 'sections'").join(covers, F.col("object") == F.col("risk_title")).select("rule", F.lit("section").alias("target_kind"), F.col("section_key").alias("target"), F.col("subject").alias("via"))
-    return funds.unionByName(sections).distinct()
+def propagate(matched: DataFrame, holds: DataFrame, dependents: DataFrame, covers: DataFrame, derived: DataFrame) -> DataFrame:
+    """What triggered changes reach: rule, target_kind (fund, section, report), target, via (what changed), held (the holding, for funds).
+
+    matched: rule, traversal, subject, object, ord (the document). dependents: company, dependent. derived: report_id, kind, target."""
+    by = lambda t: matched.where(F.col("traversal") == t)
+    near = by("SUPPLIES_TO,HOLDS").select("rule", "subject").distinct().join(dependents, F.col("subject").try_cast("long") == F.col("company")).select("rule", "subject", F.col("dependent").alias("held"))
+    direct = by("HOLDS").select("rule", "subject", F.col("subject").try_cast("long").alias("held"))
+    funds = near.unionByName(direct).distinct().join(holds.select("fund", "company"), F.col("held") == F.col("company")).select("rule", F.lit("fund").alias("target_kind"), F.col("fund").cast("string").alias("target"), F.col("subject").alias("via"), "held")
+    none = F.lit(None).cast("long").alias("held")
+    sections = by("COVERS").join(covers, F.col("object") == F.col("risk_title")).select("rule", F.lit("section").alias("target_kind"), F.col("section_key").alias("target"), F.col("subject").alias("via"), none)
+    packs = by("DERIVED_FROM").join(derived.where("kind = 'Document'").select("report_id", F.col("target").alias("doc")), F.col("ord").cast("string") == F.col("doc")).select("rule", F.lit("report").alias("target_kind"), F.col("report_id").alias("target"), F.col("subject").alias("via"), none)
+    return funds.unionByName(sections).unionByName(packs).distinct()
 
 
 def impact_rollup(reached: DataFrame) -> DataFrame:
-    return reached.groupBy("target_kind", "target").agg(F.countDistinct("via").alias("n_via"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    """Per target: what changed, by which rules, over how many holdings."""
+    return reached.groupBy("target_kind", "target").agg(F.countDistinct("via").alias("n_via"), F.countDistinct("held").alias("n_held"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
 
 
 def apply_flags(nodes: DataFrame, flagged: DataFrame, key: str, flag: str) -> DataFrame:

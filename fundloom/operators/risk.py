@@ -71,8 +71,12 @@ def shared_supplier_clusters(holds: DataFrame, supplies_to: DataFrame, min_holdi
     return out.where(F.col("n_members") >= min_holdings)
 
 
-def shared_suppliers(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
-    return holding_suppliers(holds, supplies_to).groupBy("fund", F.col("dst").alias("supplier")).agg(F.countDistinct("company").alias("n_holders"))
+def shared_suppliers(holds: DataFrame, supplies_to: DataFrame, sensitivities: list[str] | None = None) -> DataFrame:
+    """Critical suppliers of a fund's holdings and how many share them; with a list, over edges whose sensitivity (none: public) is in it."""
+    edges = supplies_to.where("criticality = 'critical'")
+    if sensitivities is not None:
+        edges = edges.where(F.coalesce("sensitivity", F.lit("public")).isin(sensitivities))
+    return holding_suppliers(holds, edges).groupBy("fund", F.col("dst").alias("supplier")).agg(F.countDistinct("company").alias("n_holders"))
 
 
 def risk_heatmap(holds: DataFrame, exposed_to: DataFrame, risk_factor: DataFrame) -> DataFrame:
@@ -88,8 +92,8 @@ def single_source_flags(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
 
 
 def single_source_supplier_major(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
-    """Per supplier of single-sourced parts: dependents, funds, and the largest weight that one fund has on it."""
-    flags = single_source_flags(holds, supplies_to).select("fund", "company", "supplier").distinct().join(holds.select("fund", "company", "weight_pct"), ["fund", "company"])
+    """Per critical supplier of held issuers: dependents, funds, and the largest weight that one fund has on it."""
+    flags = holding_suppliers(holds, supplies_to).where("criticality = 'critical'").select("fund", "company", "weight_pct", F.col("dst").alias("supplier")).distinct()
     per_fund = flags.groupBy("supplier", "fund").agg(F.sum(exact("weight_pct")).alias("w"))
     worst = per_fund.groupBy("supplier").agg(F.count("*").alias("n_funds"), F.round(F.max("w").cast("double"), 6).alias("worst_weight"))
     return worst.join(flags.groupBy("supplier").agg(F.countDistinct("company").alias("n_dependents")), "supplier")
@@ -102,9 +106,9 @@ def source_coverage(provenance: DataFrame) -> DataFrame:
     return out.withColumn("coverage_pct", F.round(F.when(F.col("total_weight") > 0, 100 * F.col("covered_weight") / F.col("total_weight")).otherwise(0.0), 4))
 
 
-def stale_sources(provenance: DataFrame, days: int = STALE_DAYS) -> DataFrame:
-    """Covered holdings whose newest filing is older than ``days`` at the holding's date."""
-    age = F.datediff("as_of", "newest")
+def stale_sources(provenance: DataFrame, as_of: str, days: int = STALE_DAYS) -> DataFrame:
+    """Covered holdings whose newest filing is older than ``days`` at a date; no date, or no filing date, and nothing is stale."""
+    age = F.datediff(F.lit(as_of).try_cast("date"), "newest")
     return provenance.where("n_docs > 0").withColumn("age_days", age.cast("long")).where(F.col("age_days") > days).select("fund", "company", "age_days")
 
 
@@ -116,11 +120,24 @@ def fund_comparison(holds: DataFrame) -> DataFrame:
 
 
 def hhi_vs_average(holds: DataFrame, managed_by: DataFrame) -> DataFrame:
-    """Each fund's HHI against its firm's average, in bands."""
-    firm = Window.partitionBy("firm")
-    out = portfolio_hhi(holds).join(managed_by, "fund").withColumn("firm_avg", F.round(F.avg(exact("hhi")).over(firm).cast("double"), 4))
+    """Each fund's HHI against the average of its firm's funds, and what it says: how concentrated, and how much more (from 1.05
+    times on) or less (up to 0.95) than the average, if the firm has several funds."""
+    by = portfolio_hhi(holds).join(managed_by, "fund")
+    firm = by.groupBy("firm").agg(F.round(F.avg(exact("hhi")).cast("double"), 6).alias("firm_avg"), F.count("*").alias("n_funds"))
+    size = holds.groupBy("fund").agg(F.count("*").alias("n_holdings"), F.max("weight_pct").alias("top_weight"))
+    out = by.join(firm, "firm").join(size, "fund")
     ratio = F.col("hhi") / F.col("firm_avg")
-    return out.withColumn("band", F.when(ratio >= 1.25, "well above").when(ratio > 1.05, "above").when(ratio >= 0.95, "in line").otherwise("below"))
+    band = F.when((F.col("n_funds") < 2) | (F.col("firm_avg") <= 0) | (F.col("hhi") <= 0), "none").when(ratio >= 1.05, "more").when(ratio <= 0.95, "less").otherwise("none")
+    return out.withColumn("band", band).withColumn("interpretation", hhi_interpretation())
+
+
+def hhi_interpretation() -> Column:
+    """The sentence for a row of ``hhi_vs_average``."""
+    top = F.col("top_weight")
+    size = F.when(top >= 15, "Highly concentrated").when(top >= 10, "Moderately concentrated").otherwise("Diversified")
+    first = F.format_string("%s — HHI %.0f over %d holdings, top position %.1f%%.", size, "hhi", "n_holdings", top)
+    more = F.when(F.col("band") == "more", F.format_string(" ~%.1fx more concentrated than the firm average.", F.col("hhi") / F.col("firm_avg"))).when(F.col("band") == "less", F.format_string(" ~%.1fx less concentrated than the firm average.", F.col("firm_avg") / F.col("hhi"))).otherwise("")
+    return F.concat(first, more)
 
 
 def concentration_table(holds: DataFrame, company: DataFrame) -> DataFrame:
@@ -140,9 +157,13 @@ def firm_top_holdings(holds: DataFrame, managed_by: DataFrame, k: int = 5) -> Da
     return summed.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def structural_holdings(holds: DataFrame) -> DataFrame:
-    """Issuers by the number of funds that hold them and their largest weight in one."""
-    return holds.groupBy("company").agg(F.countDistinct("fund").alias("n_funds"), F.max("weight_pct").alias("max_weight"))
+def structural_holdings(holds: DataFrame, managed_by: DataFrame, k: int = 5) -> DataFrame:
+    """Per firm: its funds and distinct issuers, and the ``k`` issuers with the largest weight in one fund (ties: the smaller id)."""
+    own = holds.join(managed_by, "fund")
+    heaviest = own.groupBy("firm", "company").agg(F.max("weight_pct").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("firm").orderBy(F.desc("w"), "company"))
+    top = heaviest.withColumn("r", rank).where(F.col("r") <= k).groupBy("firm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "company"))), lambda x: x["company"].cast("string")), ",").alias("top"))
+    return own.groupBy("firm").agg(F.countDistinct("fund").alias("n_funds"), F.countDistinct("company").alias("n_companies")).join(top, "firm")
 
 
 def firm_directory(managed_by: DataFrame) -> DataFrame:

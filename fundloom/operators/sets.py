@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fundloom.sources.tables import written
 
-def closure(edges: DataFrame, doublings: int = 4) -> DataFrame:
-    """All (child, ancestor) pairs of at most 2 ** ``doublings`` steps: each round joins what is known with itself."""
-    known = edges.select("child", F.col("parent").alias("ancestor")).distinct()
-    for _ in range(doublings):
+
+def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """All (child, ancestor) pairs: each round joins what is known with itself and doubles the steps, until a round finds no pair more."""
+    known = written(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "closure")
+    n = known.count()
+    for _ in range(most_rounds):
         more = known.join(known.select(F.col("child").alias("c2"), F.col("ancestor").alias("a2")), F.col("ancestor") == F.col("c2")).select("child", F.col("a2").alias("ancestor"))
-        known = known.unionByName(more).distinct()
-    return known
+        known = written(known.unionByName(more).distinct(), "closure")
+        before, n = n, known.count()
+        if n == before:
+            return known
+    raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
 
 
 def disjoint_violations(types: DataFrame, closed: DataFrame, disjoint: DataFrame) -> DataFrame:
@@ -26,8 +32,8 @@ def disjoint_violations(types: DataFrame, closed: DataFrame, disjoint: DataFrame
 
 
 def board_links(roles: DataFrame, companies: DataFrame) -> DataFrame:
-    """company, person, role, other, other_role: people of the asked companies and their roles elsewhere (null without any)."""
-    at = roles.join(companies.select("company").distinct(), "company", "left_semi")
+    """company, person, role, other, other_role: directors and officers of the asked companies and their roles elsewhere (null without any)."""
+    at = roles.where(F.col("role").isin("DIRECTOR_OF", "OFFICER_OF")).join(companies.select("company").distinct(), "company", "left_semi")
     other = roles.select("person", F.col("company").alias("other"), F.col("role").alias("other_role"))
     found = at.join(other.withColumnRenamed("person", "p2"), (F.col("person") == F.col("p2")) & (F.col("company") != F.col("other")), "left")
     return found.select("company", "person", "role", "other", "other_role").distinct()
@@ -41,6 +47,14 @@ def section_slice(docs: DataFrame, heading: str) -> DataFrame:
     return marked.groupBy("doc_id", "section").agg(F.max(F.when(F.col("is_heading"), F.col("said"))).alias("heading"), F.count("*").alias("n_lines"), F.sum(F.char_length("said")).alias("n_chars"))
 
 
+def section_filter(docs: DataFrame, heading: str) -> DataFrame:
+    """doc_id, text: what stands from the first heading on, as lines; documents without a heading give nothing."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
+    w = Window.partitionBy("doc_id").orderBy("line")
+    inside = lines.withColumn("section", F.sum(F.col("said").rlike(heading).cast("int")).over(w)).where("section > 0")
+    return inside.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n").alias("text"))
+
+
 def budgeted(first: DataFrame, second: DataFrame, budget: int) -> DataFrame:
     """firm, kind, key, rank: at most ``budget`` of each firm, all of the first list before the second; both: firm, key, ord."""
     both = first.select("firm", F.lit("holding").alias("kind"), "key", "ord", F.lit(0).alias("p")).unionByName(second.select("firm", F.lit("fund").alias("kind"), "key", "ord", F.lit(1).alias("p")))
@@ -61,8 +75,9 @@ def tag_intent(text: Column, classes: list[tuple[str, str]], default: str = "ope
 
 
 def dedup_citations(citations: DataFrame) -> DataFrame:
-    """Distinct (doc_id, company), the first kept, empty ones left out."""
-    return citations.where("doc_id is not null and company is not null").dropDuplicates(["doc_id", "company"])
+    """Distinct (doc_id, chunk_id, span), nulls equal to each other, the first by ``ord`` kept; citations without any of the three left out."""
+    some = citations.where("doc_id is not null or chunk_id is not null or span is not null")
+    return some.groupBy("doc_id", "chunk_id", "span").agg(F.min("ord").alias("ord"))
 
 
 def absent(graph: DataFrame, registry: DataFrame) -> DataFrame:
@@ -71,9 +86,15 @@ def absent(graph: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def rank_candidates(candidates: DataFrame, k: int = 8) -> DataFrame:
-    """Per query the ``k`` best candidates, duplicates of a key merged (best score, smallest id). candidates: query, key, id, score."""
-    merged = candidates.groupBy("query", "key").agg(F.max("score").alias("score"), F.min("id").alias("id"), F.count("*").alias("n_merged"))
-    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
+    """Per query the ``k`` best candidates. Duplicates (by cik, else by name) are merged: best score, first name and ids that are there,
+    all series, a fund family if one is. candidates: query, ord, name, cik, lei, series (array), kind, score."""
+    key = F.coalesce(F.concat(F.lit("cik:"), "cik"), F.concat(F.lit("name:"), F.lower(F.trim(F.coalesce("name", F.lit(""))))))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    merged = candidates.withColumn("key", key).groupBy("query", "key").agg(
+        first("name").alias("name"), first("cik").alias("cik"), first("lei").alias("lei"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("series")))).alias("series"),
+        F.when(F.bool_or(F.col("kind") == "fund_family"), "fund_family").otherwise(first("kind")).alias("kind"), F.max("score").alias("score"), F.count("*").alias("n_merged"),
+    )
+    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name", "key"))).where(F.col("rank") <= k)
 
 
 def event_seq(events: DataFrame) -> DataFrame:

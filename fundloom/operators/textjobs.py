@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,59 +10,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fundloom.functions.text import HEADING
 
-def flushed(blocks: list[tuple[int, str, bool, bool]], target: int, hard: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of chunks: blocks (offset, text, heading, table) are gathered until a heading, or ``target`` characters;
-    a block that would pass ``hard`` flushes what was gathered first; no block is split."""
-    start = end = None
-    for at, text, heading, table in blocks:
-        if start is not None and (heading or at + len(text) - start > hard):
-            yield start, end
+HEADING_RE = re.compile(HEADING)
+
+
+def blocks_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs of text between blank lines."""
+    out, at = [], 0
+    for gap in re.finditer(r"\n\s*\n", text):
+        if text[at : gap.start()].strip():
+            out.append((at, gap.start()))
+        at = gap.end()
+    return [*out, (at, len(text))] if text[at:].strip() else out
+
+
+def tokens_in(a: int, b: int) -> int:
+    return max(1, (b - a) // 4)
+
+
+def chunks_of(text: str, target: int, hard: int) -> list[tuple[int, int, str | None]]:
+    """(start, end, heading) of chunks: a heading starts a new one, ``target`` tokens end one unless a table stands at its end, and a
+    table that would pass ``hard`` starts a new one; no block is split. Newlines at either end are left off."""
+    out, start, end, heading = [], None, 0, None
+
+    def close() -> None:
+        body = text[start:end].strip("\n")
+        out.append((start, start + len(body), heading))
+
+    for a, b in blocks_of(text):
+        block = text[a:b].strip()
+        lines = block.splitlines()
+        ruled = sum(x.count("|") >= 2 or x.count("\t") >= 2 for x in lines)
+        table = len(lines) >= 2 and ruled >= max(2, len(lines) // 2)
+        if HEADING_RE.match(lines[0]) and len(lines[0]) < 120:
+            if start is not None:
+                close()
+                start = None
+            heading = lines[0][:120]
+        if table and start is not None and tokens_in(start, end) + tokens_in(a, b) > hard:
+            close()
             start = None
-        start = at if start is None else start
-        end = at + len(text)
-        if end - start >= target and not table:
-            yield start, end
+        start, end = a if start is None else start, b
+        if tokens_in(start, end) >= target and not table:
+            close()
             start = None
     if start is not None:
-        yield start, end
+        close()
+    return out
 
 
 def chunk_documents(docs: DataFrame, target: int = 1500, hard: int = 1800) -> DataFrame:
-    """doc_id, chunk (from 1), start, length: blocks are lines of a text; offsets slice back into it."""
+    """doc_id, chunk (from 1), start, length, heading: blocks stand between blank lines, sizes are in tokens (4 characters)."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                blocks, at = [], 0
-                for line in (text or "").split("\n"):
-                    if line.strip(" \t"):
-                        blocks.append((at, line, line.lower().startswith("item ") and len(line) < 120, line.count("|") >= 2))
-                    at += len(line) + 1
-                rows += [(doc_id, k, a, b - a) for k, (a, b) in enumerate(flushed(blocks, target, hard), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "chunk", "start", "length"])
+                rows += [(doc_id, k, a, b - a, h) for k, (a, b, h) in enumerate(chunks_of(text or "", target, hard), 1)]
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "chunk", "start", "length", "heading"])
 
-    return docs.select("doc_id", "text").mapInArrow(chunk, "doc_id long, chunk long, start long, length long")
+    return docs.select("doc_id", "text").mapInArrow(chunk, "doc_id long, chunk long, start long, length long, heading string")
 
 
 def hash_embed(docs: DataFrame, dim: int = 384) -> DataFrame:
-    """doc_id, bucket, value: signed feature hashing of each token's digest (16 byte pairs), normalised; zeros left out."""
+    """doc_id, bucket, value: signed feature hashing of each token's digest (16 byte pairs), normalised; zeros left out.
+
+    Each distinct token is hashed once, and each text's buckets are summed where its tokens are counted."""
     tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    pairs = tokens.select("doc_id", "n", F.sha2("token", 256).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    byte = lambda at: F.conv(F.substr("h", at, F.lit(2)), 16, 10).cast("int")
-    first, second = byte(F.col("k") * 4 + 1), byte(F.col("k") * 4 + 3)
-    signed = pairs.select("doc_id", F.pmod(first * 256 + second, F.lit(dim)).alias("bucket"), F.when(first % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("v"))
+    byte = "conv(substr(h, {} + 1, 2), 16, 10)"
+    pairs = F.expr(f"transform(sequence(0, 15), k -> (cast({byte.format('k * 4')} as int) * 256 + cast({byte.format('k * 4 + 2')} as int)))")
+    hashed = tokens.select("token").distinct().select(F.col("token").alias("t"), F.sha2("token", 256).alias("h")).select("t", pairs.alias("pairs"))
+    met = tokens.hint("merge").join(hashed.hint("merge"), F.col("token") == F.col("t")).select("doc_id", "n", F.explode("pairs").alias("x"))
+    signed = met.select("doc_id", F.pmod("x", F.lit(dim)).alias("bucket"), F.when(F.floor(F.col("x") / 256) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("v"))
     summed = signed.groupBy("doc_id", "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
     return summed.select("doc_id", "bucket", F.round(F.col("v") / norm, 6).alias("value"))
 
 
-def detect_mentions(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """doc_id, canonical, first_pos: words of a text that are aliases, by an equi-join on words. vocabulary: alias, canonical."""
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "word"))
-    seen = words.groupBy("doc_id", "word").agg(F.min("pos").alias("pos"))
-    return seen.join(vocabulary, F.col("word") == F.col("alias")).groupBy("doc_id", "canonical").agg(F.min("pos").cast("long").alias("first_pos"))
+def detect_mentions(docs: DataFrame, vocabulary: DataFrame, most_words: int = 3) -> DataFrame:
+    """doc_id, canonical, first_pos: aliases of up to ``most_words`` words (3 characters and more) that a text holds, by an equi-join on its
+    runs of words; position in words. vocabulary: alias, canonical."""
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    runs = F.expr(f"flatten(transform(sequence(1, {most_words}), n -> transform(case when size(w) >= n then sequence(0, size(w) - n) else cast(array() as array<int>) end, i -> struct(i as pos, array_join(slice(w, i + 1, n), ' ') as said))))")
+    known = vocabulary.where(F.char_length("alias") >= 3)
+    seen = words.select("doc_id", F.explode(runs).alias("x")).select("doc_id", "x.pos", "x.said")
+    met = seen.hint("merge").join(known.hint("merge"), F.col("said") == F.col("alias"))
+    return met.groupBy("doc_id", "canonical").agg(F.min("pos").cast("long").alias("first_pos"))
+
+
+def detect_fund(questions: DataFrame, funds: DataFrame) -> DataFrame:
+    """question, fund: the fund whose own words a question holds most, then words that all funds have, then the shorter name, then the smaller id.
+
+    funds: fund, name. Words are longer than 2 letters and looked for as words."""
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda x: F.char_length(x) > 2))
+    named = funds.select("fund", F.explode(tokens(F.col("name"))).alias("t"))
+    n = funds.count()
+    spread = named.groupBy("t").agg((F.count("*") == n).alias("common"))
+    sizes = named.groupBy("fund").agg(F.count("*").alias("size"))
+    asked = questions.select("question", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("q"))
+    met = asked.hint("merge").join(named.join(spread, "t").hint("merge"), F.col("q") == F.col("t")).groupBy("question", "fund").agg(F.count(F.when(~F.col("common"), 1)).alias("own"), F.count(F.when(F.col("common"), 1)).alias("shared"))
+    score = F.struct("own", "shared", (-F.col("size")).alias("size"), (-F.col("fund")).alias("id"))
+    return met.join(sizes, "fund").groupBy("question").agg(F.max_by("fund", score).alias("fund"))
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.0, block: int = 256) -> DataFrame:
@@ -74,5 +125,6 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: floa
     scored = unit(vectors, "vec_id").join(blocks)
     each = scored.select("vec_id", "u_vec_id", F.explode("block").alias("q")).select(F.col("q.query_id").alias("query_id"), "vec_id", F.expr("aggregate(zip_with(u_vec_id, q.u_query_id, (x, y) -> x * y), 0D, (s, v) -> s + v)").alias("score"))
     best = each.where((F.col("query_id") != F.col("vec_id")) & (F.col("score") >= least))
+    # Ranks up to ``k`` are cut in each task before rows of a query meet.
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))

@@ -53,21 +53,46 @@ def supplier_dependents(edges: DataFrame, companies: DataFrame, hops: int = 2) -
     return own.select("company", F.col("company").alias("dependent"), F.lit(0).alias("hops")).unionByName(reached)
 
 
-def exposure_paths(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
-    """a, b, hops, path: a shortest directed path of at most ``most`` steps for each pair (a, b), the smallest on ties.
+def paths_from(step: DataFrame, ends: DataFrame, key: str, hops: int) -> dict[int, DataFrame]:
+    """Steps -> (``key``, at, path): the smallest path of that many steps to each node. Grows with nodes reached, not with paths."""
+    out = {0: ends.select(F.col(key)).distinct().select(key, F.col(key).alias("at"), F.array(key).alias("path"))}
+    for d in range(1, hops + 1):
+        ahead = out[d - 1].join(step, F.col("at") == F.col("src")).select(key, F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        out[d] = ahead.groupBy(key, "at").agg(F.min("path").alias("path"))
+    return out
+
+
+def exposure_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
+    """a, b, hops, path, labels: a shortest directed supply path of at most ``most`` steps for each pair (a, b), the smallest on ties,
+    with what each edge is (its component, else its criticality).
 
-    A frontier keeps one path for each pair and node, so it grows with nodes reached and not with paths."""
+    Paths from a and into b meet in the middle, so neither side goes more than half the way."""
     step = links(edges)
-    front = pairs.select("a", "b").distinct().select("a", "b", F.col("a").alias("at"), F.array("a").alias("path"))
+    asked = pairs.select("a", "b").distinct().where("a <> b")
+    half = (most + 1) // 2
+    ahead = paths_from(step, asked, "a", half)
+    turned = paths_into(step, asked, "b", most - half)
     found = None
-    for d in range(1, most + 1):
-        ahead = front.join(step, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        front = ahead.select("a", "b", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")).groupBy("a", "b", "at").agg(F.min("path").alias("path"))
-        here = front.where("at = b").select("a", "b", F.lit(d).alias("hops"), "path")
+    for h in range(1, most + 1):
+        d = min(h, half)
+        left, right = ahead[d].select("a", F.col("at").alias("m"), "path"), turned[h - d].select("b", F.col("at").alias("m2"), F.col("path").alias("rest"))
+        met = asked.join(left, "a").join(right.withColumnRenamed("b", "b2"), (F.col("b") == F.col("b2")) & (F.col("m") == F.col("m2")))
+        here = met.select("a", "b", F.lit(h).alias("hops"), F.concat("path", F.slice("rest", F.lit(2), F.lit(most))).alias("path"))
         found = here if found is None else found.unionByName(here)
-        front = front.where("at <> b")
-    best = found.groupBy("a", "b").agg(F.min(F.struct("hops", "path")).alias("x"))
-    return best.select("a", "b", F.col("x.hops").alias("hops"), F.array_join(F.transform("x.path", lambda v: v.cast("string")), ">").alias("path"))
+    best = found.groupBy("a", "b").agg(F.min(F.struct("hops", "path")).alias("x")).select("a", "b", "x.hops", "x.path")
+    each = best.select("a", "b", F.posexplode(F.expr("transform(sequence(1, hops), i -> struct(element_at(path, i) as u, element_at(path, i + 1) as v))")).alias("i", "e"))
+    named = edges.groupBy("src", "dst").agg(F.min(F.coalesce("component", "criticality", F.lit("supplies_to"))).alias("label"))
+    labels = each.join(named, (F.col("e.u") == F.col("src")) & (F.col("e.v") == F.col("dst"))).groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]), ">").alias("labels"))
+    return best.join(labels, ["a", "b"]).select("a", "b", "hops", F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"), "labels")
+
+
+def paths_into(step: DataFrame, ends: DataFrame, key: str, hops: int) -> dict[int, DataFrame]:
+    """Like ``paths_from``, for paths that end in ``key``: path starts at ``at``."""
+    out = {0: ends.select(F.col(key)).distinct().select(key, F.col(key).alias("at"), F.array(key).alias("path"))}
+    for d in range(1, hops + 1):
+        before = out[d - 1].join(step, F.col("at") == F.col("dst")).select(key, F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"))
+        out[d] = before.groupBy(key, "at").agg(F.min("path").alias("path"))
+    return out
 
 
 def funds_holding(holds: DataFrame, companies: DataFrame) -> DataFrame:

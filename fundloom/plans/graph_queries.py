@@ -41,6 +41,12 @@ FIRM_EDGES = f"""own AS (SELECT fund FROM managed_by WHERE firm = {FIRM}), mine
     UNION ALL SELECT 'MENTIONS', CAST(doc_id AS VARCHAR), CAST(company AS VARCHAR) FROM mentions WHERE company IN (FROM mine))"""
 
 
+def stamped(g: Graph) -> DataFrame:
+    """Finished orders carry the stamp of the firm whose fund they are of."""
+    own = g.managed_by.where(F.col("firm") == FIRM).select("fund")
+    return g.orders.where("o_orderstatus = 'F'").join(own, "fund", "left_semi").select(F.col("o_orderkey").alias("doc_id"))
+
+
 def fact_sets(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Orders up to the end of 1998 and from 1997 on as two versions of facts; identity (customer, priority)."""
     o = g.table("orders").select(F.col("o_custkey").alias("custkey"), F.when(F.col("o_orderpriority").startswith("4"), None).otherwise(F.col("o_orderpriority")).alias("priority"), F.concat_ws("/", "o_orderstatus", F.format_string("%.2f", "o_totalprice")).alias("payload"), F.col("o_orderkey").alias("ord"), F.year("o_orderdate").alias("y"))
@@ -57,46 +63,66 @@ def diff(g: Graph) -> DataFrame:
     return impact.fact_diff(*fact_sets(g), ["custkey", "priority"])
 
 
+def versions(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Facts of orders up to the end of 1998 and from 1997 on: what is supplied, what one is exposed to, issuers, and order metrics."""
+    lines = g.supply_lines.withColumn("y", F.year("filed"))
+    fact = lambda kind, name, subject, object_, payload: lines.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), subject.cast("string").alias("subject"), object_.cast("string").alias("object"), payload.alias("payload"), F.col("doc_id").alias("ord"), "y")
+    none = F.lit(None).cast("string")
+    facts = fact("relation", "SUPPLIES_TO", F.col("src"), F.col("dst"), F.col("priority")).unionByName(fact("relation", "EXPOSED_TO", F.col("src"), F.col("risk_title"), F.col("priority"))).unionByName(fact("entity", "Company", F.col("src"), none, F.col("component"))).unionByName(fact("entity", "MetricObservation", F.concat(F.lit("m"), (F.col("doc_id") % 1000).cast("string")), none, F.col("priority")))
+    return facts.where("y <= 1998").drop("y"), facts.where("y >= 1997").drop("y")
+
+
 def changes(g: Graph) -> DataFrame:
-    """Changed edges for the rules: some supply and exposure edges."""
-    kind = lambda n: F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("changed")), (n % 3 + 1).cast("int"))
-    s = g.supplies_to.where("src % 8 = 1").select(F.lit("SUPPLIES_TO").alias("rel"), F.col("src").alias("subject"), F.col("dst").cast("string").alias("object"), kind(F.col("dst")).alias("change"))
-    e = g.exposed_to.where("company % 16 = 5").select(F.lit("EXPOSED_TO").alias("rel"), F.col("company").alias("subject"), F.col("risk_title").alias("object"), kind(F.col("company")).alias("change"))
-    return s.unionByName(e)
+    return impact.fact_diff(*versions(g), ["kind", "name", "subject", "object"], carry="ord")
+
+
+CHANGES = """facts AS (SELECT 'relation' AS kind, 'SUPPLIES_TO' AS name, CAST(src AS VARCHAR) AS subject, CAST(dst AS VARCHAR) AS object, priority AS payload, doc_id AS ord, year(filed) AS y FROM supply_lines
+    UNION ALL SELECT 'relation', 'EXPOSED_TO', CAST(src AS VARCHAR), risk_title, priority, doc_id, year(filed) FROM supply_lines
+    UNION ALL SELECT 'entity', 'Company', CAST(src AS VARCHAR), NULL, component, doc_id, year(filed) FROM supply_lines
+    UNION ALL SELECT 'entity', 'MetricObservation', 'm' || (doc_id % 1000), NULL, priority, doc_id, year(filed) FROM supply_lines),
+v1 AS (SELECT kind, name, subject, object, arg_max(payload, ord) AS payload, max(ord) AS ord FROM facts WHERE y <= 1998 GROUP BY ALL), v2 AS (SELECT kind, name, subject, object, arg_max(payload, ord) AS payload, max(ord) AS ord FROM facts WHERE y >= 1997 GROUP BY ALL),
+changes AS (SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.name, a.name) AS name, coalesce(b.subject, a.subject) AS subject, coalesce(b.object, a.object) AS object,
+        CASE WHEN a.ord IS NULL THEN 'added' WHEN b.ord IS NULL THEN 'removed' ELSE 'changed' END AS change, a.payload AS old_value, b.payload AS new_value, coalesce(b.ord, a.ord) AS ord
+    FROM v1 a FULL JOIN v2 b ON a.kind = b.kind AND a.name = b.name AND a.subject = b.subject AND a.object IS NOT DISTINCT FROM b.object WHERE a.ord IS NULL OR b.ord IS NULL OR a.payload <> b.payload),
+matched AS (SELECT c.*, rule, traversal FROM changes c JOIN (VALUES ('changed_issuer_to_funds', 'entity', 'Company', 'HOLDS', ['added', 'removed', 'changed']), ('changed_supplier_to_funds', 'relation', 'SUPPLIES_TO', 'SUPPLIES_TO,HOLDS', ['added', 'removed', 'changed']),
+        ('changed_risk_to_disclosure', 'relation', 'EXPOSED_TO', 'COVERS', ['added', 'changed']), ('changed_metric_to_reports', 'entity', 'MetricObservation', 'DERIVED_FROM', ['added', 'changed'])) r(rule, k, n, traversal, kinds) ON c.kind = k AND c.name = n AND list_contains(kinds, change))"""
+
 
+def derived(g: Graph) -> DataFrame:
+    """A report for each fund and the orders that it comes from."""
+    return g.orders.select(F.concat(F.lit("pack_"), F.col("fund").cast("string")).alias("report_id"), F.lit("Document").alias("kind"), F.col("o_orderkey").cast("string").alias("target"))
 
-CHANGES = """changes AS (SELECT 'SUPPLIES_TO' AS rel, src AS subject, CAST(dst AS VARCHAR) AS object, (['added', 'removed', 'changed'])[dst % 3 + 1] AS change FROM supplies_to WHERE src % 8 = 1
-    UNION ALL SELECT 'EXPOSED_TO', company, risk_title, (['added', 'removed', 'changed'])[company % 3 + 1] FROM exposed_to WHERE company % 16 = 5),
-matched AS (SELECT *, 'supplier_change' AS rule, 'holders_within_2' AS traversal FROM changes WHERE rel = 'SUPPLIES_TO'
-    UNION ALL SELECT *, 'issuer_risk', 'holders' FROM changes WHERE rel = 'EXPOSED_TO' AND change IN ('added', 'changed')
-    UNION ALL SELECT *, 'risk_disclosure', 'sections' FROM changes WHERE rel = 'EXPOSED_TO' AND change IN ('added', 'changed'))"""
+
+DERIVED = "derived AS (SELECT 'pack_' || c_nationkey AS report_id, 'Document' AS kind, CAST(o_orderkey AS VARCHAR) AS target FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def reached(g: Graph) -> DataFrame:
     matched = impact.trigger_match(changes(g))
-    dependents = traversal.supplier_dependents(g.supplies_to, matched.where("rel = 'SUPPLIES_TO'").select(F.col("subject").alias("company")))
-    return impact.propagate(matched, g.holds, dependents, g.covers)
+    asked = matched.where("traversal = 'SUPPLIES_TO,HOLDS'").select(F.col("subject").try_cast("long").alias("company"))
+    return impact.propagate(matched, g.holds, traversal.supplier_dependents(g.supplies_to, asked), g.covers, derived(g))
 
 
-REACHED = f"""{CHANGES}, links AS (SELECT DISTINCT src, dst FROM supplies_to), subj AS (SELECT DISTINCT subject AS company FROM matched WHERE rel = 'SUPPLIES_TO'),
+REACHED = f"""{CHANGES}, {DERIVED}, links AS (SELECT DISTINCT src, dst FROM supplies_to), subj AS (SELECT DISTINCT CAST(subject AS BIGINT) AS company FROM matched WHERE traversal = 'SUPPLIES_TO,HOLDS'),
 deps AS (SELECT company, company AS dependent FROM subj UNION SELECT company, src FROM subj JOIN links ON dst = company UNION SELECT company, y.src FROM subj JOIN links x ON x.dst = company JOIN links y ON y.dst = x.src),
-near AS (SELECT rule, subject, dependent AS held FROM matched JOIN deps ON subject = company WHERE traversal = 'holders_within_2' UNION SELECT rule, subject, subject FROM matched WHERE traversal = 'holders'),
-reached AS (SELECT DISTINCT rule, 'fund' AS target_kind, CAST(fund AS VARCHAR) AS target, subject AS via FROM near JOIN holds ON held = company UNION SELECT rule, 'section', section_key, subject FROM matched JOIN covers ON object = risk_title WHERE traversal = 'sections')"""
+near AS (SELECT DISTINCT rule, subject, dependent AS held FROM matched JOIN deps ON CAST(subject AS BIGINT) = company WHERE traversal = 'SUPPLIES_TO,HOLDS' UNION SELECT rule, subject, CAST(subject AS BIGINT) FROM matched WHERE traversal = 'HOLDS'),
+reached AS (SELECT rule, 'fund' AS target_kind, CAST(fund AS VARCHAR) AS target, subject AS via, company AS held FROM near JOIN holds ON held = company
+    UNION SELECT rule, 'section', section_key, subject, NULL FROM matched JOIN covers ON object = risk_title WHERE traversal = 'COVERS'
+    UNION SELECT rule, 'report', report_id, subject, NULL FROM matched JOIN derived ON CAST(ord AS VARCHAR) = target WHERE traversal = 'DERIVED_FROM')"""
 
 
 def triples(g: Graph) -> DataFrame:
     """Lines as a stream of candidate triples in a total order."""
     kinds = F.array(*map(F.lit, ["SUPPLIES_TO", "SUBSIDIARY_OF", "MANAGED_BY", "HOLDS", "KNOWS"]))
-    ordered = g.table("lineitem").where("l_quantity >= 40").select(
+    ordered = g.table("lineitem").select(
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate").alias("ord"), F.col("l_suppkey").alias("subject"), F.element_at(kinds, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("rel"), (F.col("l_partkey") % 20).alias("object"),
         F.when(F.col("l_returnflag") == "N", "Fund").otherwise("Company").alias("subject_label"), F.when(F.col("l_linestatus") == "O", "Company").otherwise("Region").alias("object_label"), (1 - F.col("l_discount") * 6).alias("confidence"), F.col("l_orderkey").alias("doc_id"),
     )
-    return ordered.withColumn("ord", F.concat_ws("-", *[F.lpad(F.col(f"ord.{c}").cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")], F.date_format("ord.l_shipdate", "yyyyMMdd")))
+    return ordered.distinct().withColumn("ord", F.concat_ws("-", *[F.lpad(F.col(f"ord.{c}").cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")], F.date_format("ord.l_shipdate", "yyyyMMdd")))
 
 
-TRIPLES = """triples AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_linenumber AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_extendedprice AS VARCHAR), 12, '0') || '-' || strftime(l_shipdate, '%Y%m%d') AS ord,
+TRIPLES = """triples AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_linenumber AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_extendedprice AS VARCHAR), 12, '0') || '-' || strftime(l_shipdate, '%Y%m%d') AS ord,
     l_suppkey AS subject, (['SUPPLIES_TO', 'SUBSIDIARY_OF', 'MANAGED_BY', 'HOLDS', 'KNOWS'])[l_linenumber % 5 + 1] AS rel, l_partkey % 20 AS object, CASE WHEN l_returnflag = 'N' THEN 'Fund' ELSE 'Company' END AS subject_label,
-    CASE WHEN l_linestatus = 'O' THEN 'Company' ELSE 'Region' END AS object_label, 1 - l_discount * 6 AS confidence, l_orderkey AS doc_id FROM lineitem WHERE l_quantity >= 40),
+    CASE WHEN l_linestatus = 'O' THEN 'Company' ELSE 'Region' END AS object_label, 1 - l_discount * 6 AS confidence, l_orderkey AS doc_id FROM lineitem),
 existing AS (SELECT src AS subject, 'SUPPLIES_TO' AS rel, dst % 20 AS object, CAST(count(*) AS BIGINT) AS corroboration FROM supplies_to GROUP BY ALL UNION ALL SELECT s, 'SUBSIDIARY_OF', s % 20, 1 FROM (SELECT DISTINCT src AS s FROM supplies_to)),
 reviewed AS (SELECT t.*, CASE WHEN rel = 'KNOWS' THEN 'unknown relation' WHEN subject_label = 'Fund' AND rel IN ('SUPPLIES_TO', 'SUBSIDIARY_OF') OR subject_label = 'Company' AND rel IN ('HOLDS', 'MANAGED_BY') THEN 'bad domain' WHEN object_label = 'Region' THEN 'bad range' WHEN confidence < 0.6 THEN 'low confidence' END AS reason FROM triples t),
 good AS (SELECT r.*, e.corroboration AS had_n, EXISTS (SELECT 1 FROM existing x WHERE x.subject = r.subject AND x.rel = r.rel) AS had, row_number() OVER (PARTITION BY r.subject, r.rel, r.object ORDER BY ord) AS nth, min(ord) OVER (PARTITION BY r.subject, r.rel) AS first_ord FROM reviewed r LEFT JOIN existing e USING (subject, rel, object) WHERE reason IS NULL),
@@ -118,7 +144,7 @@ def reviewed(g: Graph) -> DataFrame:
 def upserted(g: Graph) -> DataFrame:
     accepted = reviewed(g).where("decision <> 'reject'").select("ord", "subject", "rel", "object").join(triples(g).select("ord", "subject", "rel", "object", "confidence", "doc_id"), ["ord", "subject", "rel", "object"])
     old = existing_edges(g).select("*", F.lit(1.0).alias("confidence"), F.array(F.lit(-1).cast("long")).alias("doc_ids"))
-    return steward.upsert_edges(old, accepted.distinct()).select("subject", "rel", "object", F.size("doc_ids").cast("long").alias("n_docs"))
+    return steward.upsert_edges(old, accepted.distinct()).select("subject", "rel", "object", "corroboration", F.round("confidence", 4).alias("confidence"), F.size("doc_ids").cast("long").alias("n_docs"))
 
 
 def spine(g: Graph) -> DataFrame:
@@ -127,14 +153,15 @@ def spine(g: Graph) -> DataFrame:
 
 def mentions(g: Graph) -> DataFrame:
     k = F.col("c_custkey")
-    name = F.concat(F.lit("The SUPPLIER#"), F.lpad((k % 200).cast("string"), 9, "0"), F.lit(", Corp"))
+    name = F.concat(F.lit("The PART#"), F.lpad((k % 200).cast("string"), 9, "0"), F.lit(", Corp"))
     return g.table("customer").select(name.alias("mention"), F.when(k % 3 == 0, F.concat(F.lit(" S-"), (k % 70).cast("string"), F.lit(" "))).when(k % 3 == 1, F.lit("")).alias("ticker"))
 
 
-NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({})), '[&.]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), '\b(incorporated|inc|corporation|corp|company|co|limited|ltd|plc|llc|lp|sa|nv|ag|holdings|holding|group|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+#: A name's words without suffixes and stopwords.
+NORM = "array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains(" + str(steward.SUFFIXES + steward.STOPWORDS) + ", w)), ' ')"
 TICK = "nullif(replace(upper(trim({})), '.', '-'), '')"
 RESOLVED = f"""spine AS (SELECT lpad(ltrim(CAST(company * 37 AS VARCHAR), '0'), 10, '0') AS cik, 's.' || (company % 50) AS ticker, name || ' Inc.' AS title, company AS ord FROM company),
-m AS (SELECT 'The SUPPLIER#' || lpad(CAST(c_custkey % 200 AS VARCHAR), 9, '0') || ', Corp' AS mention, CASE c_custkey % 3 WHEN 0 THEN ' S-' || (c_custkey % 70) || ' ' WHEN 1 THEN '' END AS ticker FROM customer),
+m AS (SELECT 'The PART#' || lpad(CAST(c_custkey % 200 AS VARCHAR), 9, '0') || ', Corp' AS mention, CASE c_custkey % 3 WHEN 0 THEN ' S-' || (c_custkey % 70) || ' ' WHEN 1 THEN '' END AS ticker FROM customer),
 resolved AS (SELECT mention, m.ticker, coalesce(t.cik, n.cik) AS cik, CASE WHEN t.cik IS NOT NULL THEN 'ticker' WHEN n.cik IS NOT NULL THEN 'alias' ELSE 'provisional' END AS method FROM m
     LEFT JOIN (SELECT {TICK.format('ticker')} t, arg_min(cik, ord) cik FROM spine GROUP BY 1) t ON t.t = {TICK.format('m.ticker')}
     LEFT JOIN (SELECT {NORM.format('title')} n, arg_min(cik, ord) cik FROM spine GROUP BY 1) n ON n.n = {NORM.format('mention')})"""
@@ -143,16 +170,23 @@ resolved AS (SELECT mention, m.ticker, coalesce(t.cik, n.cik) AS cik, CASE WHEN
 def records(g: Graph) -> DataFrame:
     """Source records of 30 clusters a thousand customers: three systems that disagree."""
     k = F.col("c_custkey")
-    value = F.explode(F.create_map(F.lit("id"), F.when(k % 5 == 0, F.lit("Not Stated")).otherwise(F.concat(F.lit("PROP-"), (k % 7).cast("string"))), F.lit("class"), F.when(k % 11 == 0, F.lit("")).otherwise(F.col("c_mktsegment")), F.lit("area"), F.when(k % 13 == 0, F.lit("unknown")).otherwise(F.concat(F.format_string("%.2f", F.abs("c_acctbal")), F.lit(" sq ft"))))).alias("attribute", "value")
+    value = F.explode(F.create_map(F.lit("id"), F.when(k % 5 == 0, F.lit("Not Stated")).otherwise(F.concat(F.lit("PROP-"), (k % 7).cast("string"))), F.lit("class"), F.when(k % 11 == 0, F.lit("")).otherwise(F.col("c_mktsegment")), F.lit("area"), F.when(k % 13 == 0, F.lit("unknown")).otherwise(F.concat(F.format_string("%.2f", F.abs("c_acctbal")), F.lit(" sq ft"))), F.lit("name"), F.concat(F.lit("The Prop-"), (k % 40).cast("string"), F.element_at(F.array(F.lit(" Tower Ltd"), F.lit(" Tower, Limited"), F.lit(" (Tower East) Holdings"), F.lit(" House Co.")), (k % 4 + 1).cast("int"))), F.lit("address"), F.element_at(F.array(F.lit("12 High St"), F.lit("12 High St SW1A 1AA"), F.lit("Flat 3, 12 High Street, London"), F.lit("N/A")), (k % 4 + 1).cast("int")))).alias("attribute", "value")
     return g.table("customer").select((k % 40 + F.floor(k / 1000) * 40).alias("cluster"), k.alias("record_id"), F.element_at(F.array(F.lit("loan"), F.lit("pms"), F.lit("curated")), (k % 3 + 1).cast("int")).alias("system"), F.element_at(F.array(F.lit(80), F.lit(88), F.lit(95)), (k % 3 + 1).cast("int")).alias("trust"), value)
 
 
 RECORDS = """r AS (SELECT c_custkey % 40 + (c_custkey // 1000) * 40 AS cluster, c_custkey AS record_id, (['loan', 'pms', 'curated'])[c_custkey % 3 + 1] AS system, ([80, 88, 95])[c_custkey % 3 + 1] AS trust, * FROM customer),
 records AS (SELECT cluster, record_id, system, trust, 'id' AS attribute, CASE WHEN c_custkey % 5 = 0 THEN 'Not Stated' ELSE 'PROP-' || (c_custkey % 7) END AS value FROM r UNION ALL SELECT cluster, record_id, system, trust, 'class', CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_mktsegment END FROM r
-    UNION ALL SELECT cluster, record_id, system, trust, 'area', CASE WHEN c_custkey % 13 = 0 THEN 'unknown' ELSE printf('%.2f', abs(c_acctbal)) || ' sq ft' END FROM r),
+    UNION ALL SELECT cluster, record_id, system, trust, 'area', CASE WHEN c_custkey % 13 = 0 THEN 'unknown' ELSE printf('%.2f', abs(c_acctbal)) || ' sq ft' END FROM r
+    UNION ALL SELECT cluster, record_id, system, trust, 'name', 'The Prop-' || (c_custkey % 40) || ([' Tower Ltd', ' Tower, Limited', ' (Tower East) Holdings', ' House Co.'])[c_custkey % 4 + 1] FROM r
+    UNION ALL SELECT cluster, record_id, system, trust, 'address', (['12 High St', '12 High St SW1A 1AA', 'Flat 3, 12 High Street, London', 'N/A'])[c_custkey % 4 + 1] FROM r),
 full_ AS (SELECT * FROM records WHERE value IS NOT NULL AND value NOT IN ('', 'Not Stated', 'N/A', 'na')),
 trusted AS (SELECT cluster, attribute, value, record_id, system FROM full_ QUALIFY row_number() OVER (PARTITION BY cluster, attribute ORDER BY trust DESC, record_id) = 1)"""
-PAIRS = f"{RECORDS}, wide AS (SELECT cluster, record_id, max(value) FILTER (attribute = 'id') s, max(value) FILTER (attribute = 'class') w FROM records GROUP BY ALL), pairs AS (SELECT a.cluster, a.record_id AS a, b.record_id AS b, CAST(CASE WHEN a.s = b.s THEN 1.0 WHEN a.w = b.w THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM wide a JOIN wide b ON a.cluster = b.cluster AND a.record_id < b.record_id)"
+def golden(g: Graph) -> DataFrame:
+    return mdm.golden_record(mdm.survive_trust(records(g)), mdm.survive_crosswalk(records(g).where("attribute = 'id'"), "loan"))
+
+
+def pairs(g: Graph) -> DataFrame:
+    return mdm.pairwise_match(records(g), "name", "address", "id")
 
 
 def pages_text(g: Graph) -> DataFrame:
@@ -162,17 +196,31 @@ def pages_text(g: Graph) -> DataFrame:
 
 WS = r"trim(regexp_replace(p, '[ \t\n]+', ' ', 'g'))"
 DOC_TEXT = "coalesce(text, '')"
-FORM_CASE = "CASE " + " ".join(f"WHEN contains(upper(substr(text, 1, 4000)), '{f}') THEN '{f}'" for f in tf.FORMS) + " ELSE 'other' END"
+FORM_CASE = "CASE " + " ".join(f"WHEN contains(upper(replace(substr(text, 1, 4000), 'ß', 'ss')), '{f}') OR contains(translate(upper(replace(substr(text, 1, 4000), 'ß', 'ss')), '- ', ''), '{f.replace('-', '').replace(' ', '')}') THEN '{f}'" for f in tf.FORMS) + " ELSE 'text' END"
+INTERNAL_CASE = " OR ".join(f"contains(lower(substr({DOC_TEXT}, 1, 4000)), '{m}')" for m in tf.INTERNAL)
+
+
+def ANY(words: list[str]) -> str:  # noqa: N802
+    return "(" + " OR ".join(f"contains(lower({DOC_TEXT}), '{w}')" for w in words) + ")"
+
+
+STRIPPED = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for tag in tf.DROP_TAGS:
+    STRIPPED = f"regexp_replace({STRIPPED}, '{rf'(?is)<{tag}\b[^>]*>' if tag in tf.VOID_TAGS else rf'(?is)<{tag}\b.*?</{tag}\s*>'}', '', 'g')"
+for tag in tf.BLOCK_TAGS:
+    STRIPPED = f"regexp_replace({STRIPPED}, '{rf'(?i)<{tag}\b[^>]*>' if tag in tf.VOID_TAGS else rf'(?i)</{tag}\s*>'}', chr(10) || chr(10), 'g')"
+STRIPPED = f"regexp_replace({STRIPPED}, '<[^>]*>', '', 'g')"
 
 
 def text_features(g: Graph) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
-    return g.table("documents").select("doc_id", tf.slug(F.substr(t, F.lit(1), F.lit(200))).alias("slug"), tf.hash_id(t).alias("hash_id"), tf.detect_doc_type(t).alias("doc_type"), tf.is_table(t).alias("is_table"), tf.approx_tokens(t).alias("tokens"), tf.page_estimate(t).alias("pages"), F.md5(tf.snippet(t)).alias("snippet_md5"), tf.severity_band(t).alias("band"))
+    return g.table("documents").select("doc_id", tf.slug(t).alias("slug"), tf.hash_id(t).alias("hash_id"), tf.detect_doc_type(t).alias("doc_type"), tf.detect_sensitivity(t).alias("sensitivity"), tf.is_table(t).alias("is_table"), tf.is_heading(t).alias("is_heading"), tf.approx_tokens(t).alias("tokens"), tf.page_estimate(t).alias("pages"), F.md5(tf.snippet(t)).alias("snippet_md5"), tf.severity_band(t).alias("band"))
 
 
 def vocabulary(g: Graph) -> DataFrame:
-    """Words of benchmark items of at least 6 letters, each naming its smallest item."""
-    words = g.table("benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{6,}"), F.lit(0))).alias("alias"))
+    """Words of benchmark items and the first three together, each naming its smallest item."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    words = g.table("benchmark").select("item_id", F.explode(F.concat(w, F.array(F.array_join(F.slice(w, 1, 3), " ")))).alias("alias"))
     return words.groupBy("alias").agg(F.min("item_id").alias("canonical"))
 
 
@@ -181,10 +229,10 @@ BUILD = {
     "entitlement_split": lambda g: scope.entitlement_split(g.document.withColumn("y", F.year("filing_date")), ["y"], ["public"]),
     "min_confidence_filter": lambda g: scope.min_confidence(supply_edges(g), 0.5).select("src", "dst"),
     "firm_scope_edges": firm_edges,
-    "firm_scope_documents": lambda g: scope.firm_scope_documents(g.document, g.mentions, scope.held_by(g.holds, g.managed_by, FIRM), g.document.where("doc_id % 97 = 0")).select("doc_id", "filing_date"),
+    "firm_scope_documents": lambda g: scope.firm_scope_documents(g.document, g.mentions, scope.held_by(g.holds, g.managed_by, FIRM), stamped(g)).select("doc_id", "filing_date"),
     "subgraph_view": lambda g: scope.subgraph_nodes(firm_edges(g)),
     "graph_counts": lambda g: scope.graph_counts({"firm": g.firm, "fund": g.fund, "company": g.company, "holds": g.holds, "supplies_to": g.supplies_to, "exposed_to": g.exposed_to, "covers": g.covers, "mentions": g.mentions}),
-    "cross_firm_leak_check": lambda g: scope.cross_firm_leaks(firm_edges(g).unionByName(g.holds.where("fund % 6 = 1").select(F.lit("HOLDS").alias("rel"), F.col("fund").cast("string").alias("src"), F.col("company").cast("string").alias("dst"))), g.managed_by, FIRM),
+    "cross_firm_leak_check": lambda g: scope.cross_firm_leaks(firm_edges(g).unionByName(g.holds.select(F.lit("HOLDS").alias("rel"), F.col("fund").cast("string").alias("src"), F.col("company").cast("string").alias("dst"))), g.managed_by, FIRM),
     "delete_firm": lambda g: scope.delete_firm(FIRM, g.managed_by, g.holds)[1].groupBy("fund").agg(F.count("*").alias("n")),
     "fact_diff_join": diff,
     "diff_counts": lambda g: impact.diff_counts(diff(g)),
@@ -204,11 +252,11 @@ BUILD = {
     "survive_system_of_record": lambda g: mdm.survive_system_of_record(records(g), "pms"),
     "survive_most_complete": lambda g: mdm.survive_most_complete(records(g)),
     "survive_crosswalk": lambda g: mdm.survive_crosswalk(records(g).where("attribute = 'id'"), "loan"),
-    "survive_numeric_tolerance": lambda g: mdm.survive_numeric_tolerance(records(g).where("attribute = 'area'"), "pms", 50000.0),
-    "golden_record": lambda g: mdm.golden_record(mdm.survive_trust(records(g))),
+    "survive_numeric_tolerance": lambda g: mdm.survive_numeric_tolerance(records(g).where("attribute in ('area', 'class')"), "pms", 50000.0),
+    "golden_record": lambda g: golden(g),
     "lineage": lambda g: mdm.lineage(mdm.survive_trust(records(g))),
-    "pairwise_match": lambda g: mdm.pairwise_match(records(g), "id", "class"),
-    "match_confidence": lambda g: mdm.match_confidence(records(g), mdm.pairwise_match(records(g), "id", "class")),
+    "pairwise_match": lambda g: pairs(g),
+    "match_confidence": lambda g: mdm.match_confidence(records(g), pairs(g)),
     "master_entities": lambda g: records(g).where("cluster is not null").groupBy("cluster").agg(F.countDistinct("system").alias("n_systems"), F.countDistinct("record_id").alias("n_records")),
     "key_uniqueness": lambda g: g.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1"),
     "vocabulary_check": lambda g: g.supplies_to.where(~F.col("criticality").isin("critical", "named", "mentioned")).groupBy("criticality").agg(F.count("*").alias("n")),
@@ -219,7 +267,7 @@ BUILD = {
     "strip_html": pages_text,
     "hash_embed": lambda g: textjobs.hash_embed(g.table("documents")),
     "detect_mentions": lambda g: textjobs.detect_mentions(g.table("documents"), vocabulary(g)),
-    "chunk_documents": lambda g: textjobs.chunk_documents(g.table("documents")),
+    "chunk_documents": lambda g: textjobs.chunk_documents(g.table("pages").select(F.col("page_id").alias("doc_id"), tf.strip_html(F.col("html")).alias("text")), target=100, hard=120),
     "vector_top_k": lambda g: textjobs.vector_top_k(g.table("embeddings"), g.table("embeddings").where("vec_id % 100 = 0")),
     "job_event_log": lambda g: g.table("events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum(exact("value")).cast("double"), 4).alias("total")),
 }
@@ -229,10 +277,10 @@ SQL = {
     "entitlement_split": f"SELECT CAST(year(filing_date) AS INT) AS y, count(*) FILTER ({CASE} = 'public') n_visible, count(*) FILTER ({CASE} <> 'public') n_withheld FROM document GROUP BY 1",
     "min_confidence_filter": f"WITH {SUPPLY} SELECT src, dst FROM edges WHERE coalesce(confidence, 1.0) >= 0.5",
     "firm_scope_edges": f"WITH {FIRM_EDGES} SELECT * FROM fe",
-    "firm_scope_documents": f"WITH {FIRM_EDGES} SELECT doc_id, filing_date FROM document WHERE doc_id % 97 = 0 OR doc_id IN (SELECT doc_id FROM mentions WHERE company IN (FROM mine))",
+    "firm_scope_documents": f"WITH {FIRM_EDGES} SELECT doc_id, filing_date FROM document WHERE doc_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_nationkey IN (FROM own)) OR doc_id IN (SELECT doc_id FROM mentions WHERE company IN (FROM mine))",
     "subgraph_view": f"WITH {FIRM_EDGES} SELECT node, count(*) degree FROM (SELECT src AS node FROM fe UNION ALL SELECT dst FROM fe) GROUP BY node",
     "graph_counts": " UNION ALL ".join(f"SELECT '{t}' AS label, count(*) n FROM {t}" for t in ("firm", "fund", "company", "holds", "supplies_to", "exposed_to", "covers", "mentions")),
-    "cross_firm_leak_check": f"WITH {FIRM_EDGES}, every AS (SELECT * FROM fe UNION ALL SELECT 'HOLDS', CAST(fund AS VARCHAR), CAST(company AS VARCHAR) FROM holds WHERE fund % 6 = 1) SELECT * FROM every WHERE rel = 'HOLDS' AND src NOT IN (SELECT CAST(fund AS VARCHAR) FROM own)",
+    "cross_firm_leak_check": f"WITH {FIRM_EDGES}, every AS (SELECT * FROM fe UNION ALL SELECT 'HOLDS', CAST(fund AS VARCHAR), CAST(company AS VARCHAR) FROM holds) SELECT * FROM every WHERE rel = 'HOLDS' AND src NOT IN (SELECT CAST(fund AS VARCHAR) FROM own)",
     "delete_firm": f"SELECT fund, count(*) n FROM holds WHERE fund NOT IN (SELECT fund FROM managed_by WHERE firm = {FIRM}) GROUP BY fund",
     "fact_diff_join": f"WITH {FACTS} SELECT * FROM diff",
     "diff_counts": f"WITH {FACTS} SELECT change, count(*) n FROM diff GROUP BY change",
@@ -241,41 +289,43 @@ SQL = {
     "facts_changed": f"WITH {FACTS} SELECT custkey, priority, old_value, new_value FROM diff WHERE change = 'changed'",
     "trigger_match": f"WITH {CHANGES} SELECT * FROM matched",
     "propagate": f"WITH {REACHED} SELECT * FROM reached",
-    "impact_rollup": f"WITH {REACHED} SELECT target_kind, target, count(DISTINCT via) n_via, string_agg(DISTINCT rule, ',' ORDER BY rule) rules FROM reached GROUP BY ALL",
+    "impact_rollup": f"WITH {REACHED} SELECT target_kind, target, count(DISTINCT via) n_via, count(DISTINCT held) n_held, string_agg(DISTINCT rule, ',' ORDER BY rule) rules FROM reached GROUP BY ALL",
     "apply_flags": f"WITH {REACHED} SELECT section_key, section_key IN (SELECT target FROM reached WHERE target_kind = 'section') AS stale FROM covers",
     "steward_review": f"WITH {TRIPLES} SELECT * FROM decided",
     "facts_accepted": f"WITH {TRIPLES} SELECT decision, reason, count(*) n FROM decided GROUP BY ALL",
-    "upsert_edges": f"WITH {TRIPLES}, more AS (SELECT t.subject, t.rel, t.object, count(DISTINCT t.doc_id) d FROM decided d JOIN triples t USING (ord, subject, rel, object) WHERE decision <> 'reject' GROUP BY ALL) SELECT subject, rel, object, coalesce(d, 0) + CASE WHEN corroboration IS NULL THEN 0 ELSE 1 END AS n_docs FROM existing FULL JOIN more USING (subject, rel, object)",
+    "upsert_edges": f"WITH {TRIPLES}, fine AS (SELECT t.* FROM decided d JOIN triples t USING (ord, subject, rel, object) WHERE decision <> 'reject'), more AS (SELECT subject, rel, object, count(DISTINCT doc_id) d, count(*) c, arg_max(confidence, ord) AS last FROM fine GROUP BY ALL) SELECT subject, rel, object, CAST(coalesce(corroboration, 0) + coalesce(c, 0) AS BIGINT) AS corroboration, round(coalesce(last, 1.0), 4) AS confidence, coalesce(d, 0) + CASE WHEN corroboration IS NULL THEN 0 ELSE 1 END AS n_docs FROM existing FULL JOIN more USING (subject, rel, object)",
     "resolve_mentions": f"WITH {RESOLVED} SELECT * FROM resolved",
     "canonical_names": f"WITH {RESOLVED} SELECT coalesce(cik, 'norm:' || {NORM.format('mention')}) AS key, arg_min(mention, (length(mention), mention)) canonical, count(DISTINCT mention) n_mentions FROM resolved GROUP BY 1",
     "survive_trust": f"WITH {RECORDS} SELECT * FROM trusted",
     "survive_system_of_record": f"WITH {RECORDS} SELECT cluster, attribute, value, record_id, system FROM full_ QUALIFY row_number() OVER (PARTITION BY cluster, attribute ORDER BY (system = 'pms') DESC, trust DESC, record_id) = 1",
-    "survive_most_complete": f"WITH {RECORDS} SELECT cluster, attribute, value, record_id, system FROM full_ QUALIFY row_number() OVER (PARTITION BY cluster, attribute ORDER BY length(value) DESC, trust DESC, record_id) = 1",
+    "survive_most_complete": rf"WITH {RECORDS} SELECT cluster, attribute, value, record_id, system FROM full_ QUALIFY row_number() OVER (PARTITION BY cluster, attribute ORDER BY length(value) + CASE WHEN attribute = 'address' AND regexp_matches(value, '[A-Z]{{1,2}}\d[A-Z\d]?\s*\d[A-Z]{{2}}') THEN 100 ELSE 0 END DESC, trust DESC, record_id) = 1",
     "survive_crosswalk": f"WITH {RECORDS}, best AS (SELECT cluster, attribute, value, record_id, system FROM full_ WHERE attribute = 'id' QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY (system = 'loan') DESC, trust DESC, record_id) = 1) SELECT *, coalesce((SELECT string_agg(DISTINCT value, ',' ORDER BY value) FROM full_ f WHERE f.attribute = 'id' AND f.cluster = best.cluster AND f.value <> best.value), '') AS alternates FROM best",
-    "survive_numeric_tolerance": f"WITH {RECORDS}, num AS (SELECT *, CAST(replace(regexp_extract(value, '-?\\d[\\d,]*(\\.\\d+)?'), ',', '') AS DOUBLE) x FROM full_ WHERE attribute = 'area' AND value <> 'unknown'), sp AS (SELECT cluster, 100 * ((max(x) - min(x)) / greatest(abs(min(x)), 1)) <= 50000 AS agree FROM num GROUP BY cluster) SELECT cluster, attribute, value, record_id, system, agree FROM num JOIN sp USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY (system = 'pms') DESC, trust DESC, record_id) = 1",
-    "golden_record": f"WITH {RECORDS} SELECT cluster, string_agg(attribute || '=' || value, ';' ORDER BY attribute || '=' || value) golden, count(DISTINCT record_id) n_sources FROM trusted GROUP BY cluster",
+    "survive_numeric_tolerance": f"WITH {RECORDS}, num AS (SELECT *, TRY_CAST(replace(regexp_extract(value, '-?\\d[\\d,]*(\\.\\d+)?'), ',', '') AS DOUBLE) x FROM records WHERE attribute IN ('area', 'class')), n2 AS (SELECT * FROM num WHERE x IS NOT NULL), sp AS (SELECT cluster, attribute, 100 * ((max(x) - min(x)) / greatest(abs(min(x)), 1)) <= 50000 AS agree FROM n2 GROUP BY ALL) SELECT cluster, attribute, value, record_id, system, agree FROM n2 JOIN sp USING (cluster, attribute) QUALIFY row_number() OVER (PARTITION BY cluster, attribute ORDER BY (system = 'pms') DESC, trust DESC, record_id) = 1 UNION ALL SELECT cluster, attribute, value, record_id, system, NULL FROM trusted t WHERE attribute IN ('area', 'class') AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.cluster = t.cluster AND sp.attribute = t.attribute)",
+    "golden_record": f"WITH {RECORDS}, best AS (SELECT cluster, value FROM full_ WHERE attribute = 'id' QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY (system = 'loan') DESC, trust DESC, record_id) = 1), alts AS (SELECT f.cluster, string_agg(DISTINCT f.value, ',' ORDER BY f.value) AS a FROM full_ f JOIN best USING (cluster) WHERE f.attribute = 'id' AND f.value <> best.value GROUP BY f.cluster) SELECT cluster, coalesce(max(value) FILTER (attribute = 'id'), CAST(cluster AS VARCHAR)) AS pk, string_agg(attribute || '=' || value, ';' ORDER BY attribute || '=' || value) golden, count(DISTINCT record_id) n_sources, string_agg(attribute || '=' || system, ';' ORDER BY attribute || '=' || system) AS rationale, coalesce(max(a), '') AS alternates FROM trusted LEFT JOIN alts USING (cluster) GROUP BY cluster",
     "lineage": f"WITH {RECORDS} SELECT cluster, attribute, record_id, system FROM trusted",
-    "pairwise_match": f"WITH {PAIRS} SELECT * FROM pairs",
-    "match_confidence": f"WITH {PAIRS}, c AS (SELECT cluster, count(DISTINCT record_id) n_records, round(coalesce((SELECT avg(score) FROM pairs p WHERE p.cluster = records.cluster), 1.0), 3) confidence FROM records GROUP BY cluster) SELECT *, confidence >= 0.6 AS resolved FROM c",
     "master_entities": f"WITH {RECORDS} SELECT cluster, count(DISTINCT system) n_systems, count(DISTINCT record_id) n_records FROM records GROUP BY cluster",
     "key_uniqueness": "SELECT l_orderkey, l_linenumber, count(*) n FROM lineitem GROUP BY ALL HAVING n > 1",
     "vocabulary_check": "SELECT criticality, count(*) n FROM supplies_to WHERE criticality NOT IN ('critical', 'named', 'mentioned') GROUP BY 1",
     "provenance_completeness": "SELECT count(*) n, count(*) FILTER (sensitivity IS NULL) no_sensitivity, count(*) FILTER (filing_date IS NULL) no_date FROM document",
     "embedding_check": "SELECT len(embedding) AS dim, count(*) n FROM embeddings GROUP BY 1",
     "domain_range_check": f"WITH {TRIPLES} SELECT rel, reason, count(*) n FROM decided WHERE reason IN ('bad domain', 'bad range') GROUP BY ALL",
-    "text_functions": rf"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr({DOC_TEXT}, 1, 200)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 64) AS slug, 'doc_' || substr(sha256({DOC_TEXT}), 1, 10) AS hash_id, {FORM_CASE} AS doc_type,
-        2 * len(list_filter(string_split({DOC_TEXT}, chr(10)), lambda x: regexp_matches(x, '\|.*\||\t'))) >= len(string_split({DOC_TEXT}, chr(10))) AS is_table, greatest(1, length({DOC_TEXT}) // 4) AS tokens, CAST(greatest(1, round_even(length({DOC_TEXT}) / 3000, 0)) AS BIGINT) AS pages,
-        md5(CASE WHEN length(flat) > 240 THEN substr(flat, 1, 239) || '…' ELSE flat END) AS snippet_md5, CASE WHEN regexp_matches(lower({DOC_TEXT}), 'urgent|severe|critical') THEN 3 WHEN regexp_matches(lower({DOC_TEXT}), 'high|material') THEN 2 WHEN regexp_matches(lower({DOC_TEXT}), 'medium|may|could') THEN 1 ELSE 0 END AS band
-        FROM (SELECT *, trim(regexp_replace({DOC_TEXT}, '\s+', ' ', 'g')) AS flat FROM documents)""",
-    "strip_html": rf"""WITH s AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head|noscript)\b.*?</(script|style|head|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+    "text_functions": rf"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower({DOC_TEXT}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 64) AS slug, 'doc_' || substr(sha256({DOC_TEXT}), 1, 10) AS hash_id, {FORM_CASE} AS doc_type,
+        CASE WHEN {INTERNAL_CASE} THEN 'internal' ELSE 'public' END AS sensitivity,
+        len(lines) >= 2 AND len(list_filter(lines, lambda x: regexp_matches(x, '\|.*\||\t.*\t'))) >= greatest(2, len(lines) // 2) AS is_table,
+        regexp_matches(lines[1], '{tf.HEADING}') AND length(lines[1]) < 120 AS is_heading, greatest(1, length({DOC_TEXT}) // 4) AS tokens, CAST(greatest(1, round_even(length({DOC_TEXT}) / 3000, 0)) AS BIGINT) AS pages,
+        md5(CASE WHEN length(flat) > 240 THEN substr(flat, 1, 239) || '…' ELSE flat END) AS snippet_md5, CASE WHEN {DOC_TEXT} = '' THEN 0 WHEN {ANY(tf.SEVERE)} THEN 3 WHEN {ANY(tf.MODERATE)} THEN 2 ELSE 1 END AS band
+        FROM (SELECT *, trim(regexp_replace({DOC_TEXT}, '\s+', ' ', 'g')) AS flat, string_split(regexp_replace({DOC_TEXT}, '^\s+|\s+$', '', 'g'), chr(10)) AS lines FROM documents)""",
+    "strip_html": rf"""WITH s AS (SELECT page_id, html, {STRIPPED} AS t FROM pages),
         c AS (SELECT page_id, html, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(160), ' '), '\n[ \t]*\n'), lambda p: {WS}), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM s)
-        SELECT page_id, contains(lower(substr(html, 1, 2048)), '<html') OR contains(lower(substr(html, 1, 2048)), '<!doctype html') OR contains(lower(substr(html, 1, 2048)), '<body') AS is_html, length(text) AS n_chars, md5(text) AS text_md5 FROM c""",
+        SELECT page_id, regexp_matches(lower(substr(html, 1, 2048)), '<html|<!doctype html|<body|<div') AS is_html, length(text) AS n_chars, md5(text) AS text_md5 FROM c""",
     "hash_embed": """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM documents), n AS (SELECT doc_id, sha256(token) AS h, count(*) AS n FROM tok GROUP BY doc_id, token),
         p AS (SELECT doc_id, n, CAST('0x' || substr(h, k * 4 + 1, 2) AS INT) AS f, CAST('0x' || substr(h, k * 4 + 3, 2) AS INT) AS s FROM n, range(16) t(k)), v AS (SELECT doc_id, (f * 256 + s) % 384 AS bucket, sum(CASE WHEN f % 2 = 0 THEN n ELSE -n END) AS v FROM p GROUP BY 1, 2)
         SELECT doc_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM v WHERE v <> 0""",
-    "detect_mentions": """WITH tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)),
-        vocab AS (SELECT alias, min(item_id) AS canonical FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{6,}')) AS alias FROM benchmark) GROUP BY alias)
-        SELECT doc_id, canonical, min(pos) AS first_pos FROM tok JOIN vocab ON word = alias GROUP BY ALL""",
+    "detect_mentions": """WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+        runs AS (SELECT doc_id, p - 1 AS pos, array_to_string(w[p : p + n - 1], ' ') AS said FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM tok, (VALUES (1), (2), (3)) t(n) WHERE len(w) >= n)),
+        item AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+        vocab AS (SELECT alias, min(item_id) AS canonical FROM (SELECT item_id, unnest(w) AS alias FROM item UNION ALL SELECT item_id, array_to_string(w[1:3], ' ') FROM item) WHERE length(alias) >= 3 GROUP BY alias)
+        SELECT doc_id, canonical, min(pos) AS first_pos FROM runs JOIN vocab ON said = alias GROUP BY ALL""",
     "vector_top_k": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(e, CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 4) AS score FROM s QUALIFY rank <= 5",
     "job_event_log": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) n, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 4) AS total FROM events GROUP BY ALL",
 }

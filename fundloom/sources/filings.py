@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundloom.functions.ontology import clamped, pairs_to_map, sorted_text
+from fundloom.functions.text import collapse_ws, detect_doc_type, detect_sensitivity, hash_id, looks_like_html, page_estimate, strip_html
 from fundloom.operators.steward import normalize_name, normalize_ticker, pad_cik
 
 FILING = """
@@ -57,7 +59,9 @@ def scan_fund_spine(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     """ticker, cusip, issuer_name, title_of_class; of a ticker's rows the last of the file wins."""
-    raw = spark.read.csv(path, header=True, schema="ticker string, cusip string, issuer_name string, title_of_class string").withColumn("ord", F.monotonically_increasing_id())
+    raw = spark.read.csv(path, header=True, schema="ticker string, cusip string, issuer_name string, title_of_class string")
+    # Where a row's split starts, then its place in the split.
+    raw = raw.withColumn("ord", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")))
     return raw.groupBy(normalize_ticker(F.col("ticker")).alias("ticker")).agg(*[F.max_by(c, "ord").alias(c) for c in ("cusip", "issuer_name", "title_of_class")])
 
 
@@ -65,9 +69,9 @@ def scan_extractions(raw: DataFrame, labels: list[str], relations: list[str]) ->
     """Entities and relations of model output: chunk_id, payload (JSON). Unknown labels and types are dropped; confidence is clamped."""
     schema = "entities array<struct<label: string, name: string, span: string, confidence: double, attributes: array<struct<key: string, value: string>>>>, relations array<struct<type: string, subject: string, object: string, span: string, confidence: double>>"
     parsed = raw.select("chunk_id", F.from_json("payload", schema).alias("j"))
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(1.0))))
+    clamp = lambda c: clamped(F.coalesce(F.col(c), F.lit(1.0)))
     entities = parsed.select("chunk_id", F.explode("j.entities").alias("e")).where(F.col("e.label").isin(labels))
-    pairs = F.map_from_entries(F.array_distinct(F.transform(F.coalesce("e.attributes", F.array().cast("array<struct<key:string,value:string>>")), lambda x: F.struct(x["key"], x["value"]))))
+    pairs = pairs_to_map(F.coalesce("e.attributes", F.array().cast("array<struct<key:string,value:string>>")))
     edges = parsed.select("chunk_id", F.explode("j.relations").alias("r")).where(F.col("r.type").isin(relations))
     return entities.select("chunk_id", "e.label", "e.name", "e.span", clamp("e.confidence").alias("confidence"), pairs.alias("attributes")), edges.select("chunk_id", "r.type", "r.subject", "r.object", "r.span", clamp("r.confidence").alias("confidence"))
 
@@ -99,3 +103,36 @@ def damaged(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         now = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest")).where((F.col("n") != r["n"]) | ~F.col("digest").eqNullSafe(F.lit(r["digest"]))).select(F.lit(r["name"]).alias("name"))
         out = now if out is None else out.unionByName(now)
     return out
+
+
+def scan_documents(raw: DataFrame) -> DataFrame:
+    """doc_id, name, doc_type, sensitivity, text, chars, pages of named texts: pages lose their tags, others their spare white space; texts
+    without content are left out. raw: name, text."""
+    plain = F.when(looks_like_html(F.col("text")) | F.lower("name").rlike(r"\.html?$"), strip_html(F.col("text"))).otherwise(collapse_ws(F.col("text")))
+    docs = raw.select("name", plain.alias("text")).where("text <> ''")
+    return docs.select(hash_id(F.col("text")).alias("doc_id"), "name", detect_doc_type(F.col("text"), F.col("name")).alias("doc_type"), detect_sensitivity(F.col("text"), F.col("name")).alias("sensitivity"), "text", F.char_length("text").alias("chars"), page_estimate(F.col("text")).alias("pages"))
+
+
+def scan_medallion_seed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Source systems, and bronze records with their attributes as a map, of a nested JSON file."""
+    schema = "source_systems array<struct<system_id: string, name: string, layer: string, trust_score: int>>, bronze array<struct<record_id: string, system_id: string, entity_type: string, master_key: string, attributes: map<string, string>>>"
+    seed = spark.read.schema(schema).json(path, multiLine=True)
+    return seed.select(F.explode("source_systems").alias("x")).select("x.*"), seed.select(F.explode("bronze").alias("x")).select("x.*")
+
+
+def scan_fact_set(spark: SparkSession, path: str) -> DataFrame:
+    """version, doc_id and supersedes of a fact set with one row for each fact: kind, name, subject, object, payload (in order of its keys), ord."""
+    fact = "struct<kind: string, type: string, label: string, subject: string, key: string, object: string, period: string, qualifiers: map<string, string>, props: map<string, string>, doc_id: string, chunk_id: string, span: string>"
+    sets = spark.read.schema(f"version string, supersedes string, document struct<doc_id: string>, facts array<{fact}>").json(path, multiLine=True)
+    each = sets.select("version", "supersedes", F.col("document.doc_id").alias("document"), F.posexplode("facts").alias("ord", "f"))
+    bag = F.coalesce(F.when(F.col("f.kind") == "relation", F.col("f.qualifiers")).otherwise(F.col("f.props")), F.create_map().cast("map<string,string>"))
+    return each.select("version", "document", "supersedes", "ord", "f.kind", F.coalesce("f.type", "f.label").alias("name"), F.coalesce("f.subject", "f.key").alias("subject"), "f.object", F.coalesce("f.period", F.try_element_at(bag, F.lit("period"))).alias("period"), sorted_text(bag).alias("payload"), "f.span")
+
+
+def scan_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot by name; an error if one doesn't match the manifest."""
+    manifest = spark.read.parquet(f"{root}/manifest")
+    wrong = [r["name"] for r in damaged(spark, manifest).collect()]  # names of tables
+    if wrong:
+        raise ValueError(f"tables that don't match the manifest: {wrong}")
+    return {r["name"]: spark.read.parquet(r["path"]) for r in manifest.select("name", "path").collect()}

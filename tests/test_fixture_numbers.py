@@ -66,7 +66,7 @@ def test_fact_diff(spark):
     assert got == {("S", "H"): ("added", None, "a"), ("E", "C"): ("changed", "y", "z"), ("R", "b"): ("removed", "z", None)}
 
 
-@pytest.mark.parametrize("raw,want", [("NVIDIA Corp.", "nvidia"), ("The Coca-Cola Company", "cocacola"), ("AT&T Inc", "at t"), ("  Eli   Lilly & Co ", "eli lilly")])
+@pytest.mark.parametrize("raw,want", [("NVIDIA Corp.", "nvidia"), ("The Coca-Cola Company", "coca cola"), ("AT&T Inc", "at t"), ("  Eli   Lilly & Co ", "eli lilly"), ("Eli Lilly and Company", "eli lilly"), ("Marvell Technology Class A", "marvell technology a"), ("Bank of N.V.", "bank n v"), ("", "")])
 def test_names(spark, raw, want):
     assert spark.range(1).select(steward.normalize_name(F.lit(raw)).alias("n")).first()["n"] == want
 
