@@ -136,3 +136,15 @@ def scan_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     if wrong:
         raise ValueError(f"tables that don't match the manifest: {wrong}")
     return {r["name"]: spark.read.parquet(r["path"]) for r in manifest.select("name", "path").collect()}
+
+
+def load_policy(spark: SparkSession, path: str) -> DataFrame:
+    """rule, kind, name, traversal, changes of an impact policy in YAML: a small list that comes with the job."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()["value"]  # one file of a few rules
+    rows = []
+    for r in yaml.safe_load(text)["rules"]:
+        trigger = r["trigger"]
+        rows.append((r["name"], trigger["kind"], trigger.get("type") or trigger.get("label"), ",".join(t["relation"] for t in r["traverse"]), list(trigger["change"])))
+    return spark.createDataFrame(rows, "rule string, kind string, name string, traversal string, changes array<string>")

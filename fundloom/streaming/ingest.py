@@ -1,9 +1,14 @@
-"""Structured Streaming jobs: idempotent edge upserts, running corroboration, stage counts by event time."""
+"""Structured Streaming jobs: idempotent edge upserts, the steward's decisions and changed facts as state, stage counts by event time."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fundloom.operators import steward
 from fundloom.sources.filings import write_version
@@ -36,3 +41,50 @@ def upsert_stream(triples: DataFrame, root: str, checkpoint: str):
 def stage_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Events by type and tumbling window of event time, rows later than the watermark left out."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+DECISIONS = "ord string, subject string, rel string, object string, decision string, corroboration long"
+
+
+def steward_state(triples: DataFrame) -> DataFrame:
+    """Decisions on a stream of accepted triples (ord, subject, rel, object, as strings), the same as of one batch however it is cut.
+
+    State is kept for each (subject, rel): its objects with their corroboration. Within a micro-batch triples go by ord, so ord must
+    rise from one to the next."""
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        subject, rel = key
+        known = json.loads(state.get[0]) if state.exists else {}
+        out = []
+        for r in pd.concat(list(batches)).sort_values("ord", kind="stable").itertuples():
+            n = known[r.object] = known.get(r.object, 0) + 1
+            conflict = rel in steward.FUNCTIONAL and n == 1 and len(known) > 1
+            out.append((r.ord, subject, rel, r.object, "conflict" if conflict else "corroborate" if n > 1 else "insert", n))
+        state.update((json.dumps(known),))
+        yield pd.DataFrame(out, columns=["ord", "subject", "rel", "object", "decision", "corroboration"])
+
+    return triples.select("ord", "subject", "rel", "object").groupBy("subject", "rel").applyInPandasWithState(decide, DECISIONS, "known string", "append", GroupStateTimeout.NoTimeout)
+
+
+CHANGES = "name string, subject string, object string, change string, old_value string, new_value string"
+
+
+def impact_stream(facts: DataFrame) -> DataFrame:
+    """Changes in a stream of facts (name, subject, object, payload, ord): added when an identity is first seen, changed when its payload
+    is another one than before. State is the last payload of each identity; a null object is an identity of its own."""
+
+    def compare(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        name, subject, _ = key
+        rows = pd.concat(list(batches)).sort_values("ord", kind="stable")
+        old = state.get[0] if state.exists else None
+        seen, out = state.exists, []
+        for r in rows.itertuples():
+            object_ = None if pd.isna(r.object) else r.object
+            if not seen or r.payload != old:
+                out.append((name, subject, object_, "changed" if seen else "added", old, r.payload))
+            seen, old = True, r.payload
+        state.update((old,))
+        yield pd.DataFrame(out, columns=["name", "subject", "object", "change", "old_value", "new_value"])
+
+    keyed = facts.select("name", "subject", "object", "payload", "ord", F.coalesce(F.concat(F.lit("o"), "object"), F.lit("")).alias("k"))
+    return keyed.groupBy("name", "subject", "k").applyInPandasWithState(compare, CHANGES, "payload string", "append", GroupStateTimeout.NoTimeout)

@@ -74,3 +74,49 @@ def test_stage_counts(spark, tmp_path):
     q.stop()
     want = {(r["h"], r["event_type"]): r["n"] for r in events.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert {(r["start"], r["event_type"]): r["n"] for r in spark.table("stage_counts").collect()} == want
+
+
+def streamed(spark, tmp_path, rows, schema, job, cuts, name):
+    """What a job appends when its rows come in the given number of files, one after the other."""
+    folder = tmp_path / f"in{cuts}"
+    for k in range(cuts):
+        part = rows[k * len(rows) // cuts : (k + 1) * len(rows) // cuts]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = str(tmp_path / f"out{cuts}")
+    job(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"cp{cuts}")).trigger(availableNow=True).start().awaitTermination()
+    return sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+
+
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_steward_state_is_the_batch_result_for_any_cut(spark, tmp_path, cuts):
+    rows = [(f"{k:03d}", f"s{k % 3}", "SUBSIDIARY_OF" if k % 2 else "SUPPLIES_TO", f"o{k * k % 5}") for k in range(40)]
+    got = streamed(spark, tmp_path, rows, "ord string, subject string, rel string, object string", ingest.steward_state, cuts, "steward")
+    typed = spark.createDataFrame([(*r, "Company", "Company", 1.0) for r in rows], "ord string, subject string, rel string, object string, subject_label string, object_label string, confidence double")
+    spec = spark.createDataFrame([("SUPPLIES_TO", ["Company"], ["Company"]), ("SUBSIDIARY_OF", ["Company"], ["Company"])], "rel string, domain array<string>, range array<string>")
+    none = spark.createDataFrame([], "subject string, rel string, object string, corroboration long")
+    want = steward.steward_review(typed, none, spec).select("ord", "subject", "rel", "object", "decision", "corroboration").collect()
+    assert got == sorted((tuple(r) for r in want), key=str)
+
+
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_impact_stream(spark, tmp_path, cuts):
+    rows = [("E", "a", "x", "1", 1), ("E", "a", None, "1", 2), ("E", "a", "x", "1", 3), ("E", "a", "x", "2", 4), ("F", "a", "x", None, 5), ("E", "a", None, "3", 6)]
+    got = streamed(spark, tmp_path, rows, "name string, subject string, object string, payload string, ord long", ingest.impact_stream, cuts, "impact")
+    assert got == sorted([("E", "a", "x", "added", None, "1"), ("E", "a", None, "added", None, "1"), ("E", "a", "x", "changed", "1", "2"), ("F", "a", "x", "added", None, None), ("E", "a", None, "changed", "1", "3")], key=str)
+
+
+def test_policy_facts_and_snapshots(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text("rules:\n- name: r\n  trigger: {kind: relation, type: SUPPLIES_TO, change: [added]}\n  traverse:\n  - {relation: SUPPLIES_TO}\n  - {relation: HOLDS}\n")
+    assert tuple(filings.load_policy(spark, str(tmp_path / "p.yaml")).first()) == ("r", "relation", "SUPPLIES_TO", "SUPPLIES_TO,HOLDS", ["added"])
+    (tmp_path / "v.json").write_text('{"version": "2", "supersedes": "d1", "document": {"doc_id": "d2"}, "facts": [{"kind": "relation", "type": "S", "subject": "a", "object": "b", "qualifiers": {"z": "1", "period": "q"}}, {"kind": "entity", "label": "L", "key": "k", "props": {"p": "v"}}, {"kind": "entity", "label": "L", "key": "k2"}]}')
+    got = [(r["name"], r["subject"], r["object"], r["period"], r["payload"]) for r in filings.scan_fact_set(spark, str(tmp_path / "v.json")).orderBy("ord").collect()]
+    assert got == [("S", "a", "b", "q", "period=q;z=1"), ("L", "k", None, None, "p=v"), ("L", "k2", None, None, "")]
+    (tmp_path / "s.json").write_text('{"source_systems": [{"system_id": "pms", "name": "P", "layer": "l", "trust_score": 88}], "bronze": [{"record_id": "r", "system_id": "pms", "entity_type": "Fund", "master_key": "m", "attributes": {"a": "1"}}]}')
+    systems, bronze = filings.scan_medallion_seed(spark, str(tmp_path / "s.json"))
+    assert systems.first()["trust_score"] == 88 and bronze.first()["attributes"] == {"a": "1"}
+    filings.write_snapshot(spark, {"t": spark.range(5)}, str(tmp_path / "snap"))
+    assert filings.scan_snapshot(spark, str(tmp_path / "snap"))["t"].count() == 5
+    spark.range(1).write.mode("append").parquet(str(tmp_path / "snap" / "t" / "v00000001"))
+    with pytest.raises(ValueError):
+        filings.scan_snapshot(spark, str(tmp_path / "snap"))
