@@ -196,7 +196,7 @@ def with_rank(reps: DataFrame) -> DataFrame:
     most, and copies that are less like each other than the bound are still like that one."""
     groups = reps.select("rep", F.posexplode("groups").alias("g", "value"))
     shared = groups.groupBy(F.col("g").alias("g2"), F.col("value").alias("v2")).agg(F.count("*").alias("held")).where("held > 1")
-    rank = groups.join(shared, (F.col("g") == F.col("g2")) & (F.col("value") == F.col("v2"))).groupBy(F.col("rep").alias("r2")).agg((-F.sum("held")).alias("rank"))
+    rank = groups.hint("merge").join(shared.hint("merge"), (F.col("g") == F.col("g2")) & (F.col("value") == F.col("v2"))).groupBy(F.col("rep").alias("r2")).agg((-F.sum("held")).alias("rank"))
     return reps.join(rank, F.col("rep") == F.col("r2"), "left").drop("r2").withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 

@@ -92,7 +92,7 @@ def secret_report(docs: DataFrame, scope: int = 200) -> DataFrame:
     told = told.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     keys = docs.select(*row_key())
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return keys.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return keys.hint("merge").join(told.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def redacted(docs: DataFrame, scope: int = 200, mark: str = "[REDACTED]") -> DataFrame:
@@ -103,7 +103,7 @@ def redacted(docs: DataFrame, scope: int = 200, mark: str = "[REDACTED]") -> Dat
     runs = spans.withColumn("run", F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(by))
     merged = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
     cuts = merged.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
-    joined = docs.withColumn("_hash", row_key()[1]).join(cuts, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
+    joined = docs.withColumn("_hash", row_key()[1]).hint("merge").join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
     pieces = F.expr("transform(sequence(0, size(_cuts)), i -> substring(text, coalesce(get(_cuts, i - 1).b, 0) + 1, coalesce(get(_cuts, i).a, char_length(text)) - coalesce(get(_cuts, i - 1).b, 0)))")
     clean = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
     out = joined.withColumn("text", clean)

@@ -16,12 +16,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) is a local folder made, once per application.
+    Only where none is named and the master is local (tests, a laptop) is a local folder made, once per application.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-fundloom-')}"
         sc.setCheckpointDir(_own[sc.applicationId])

@@ -197,5 +197,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 15_000)
 def without_toxic(docs: DataFrame, labels: DataFrame, **kind) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic; all their columns."""
     bad = toxicity_scores(docs, labels, **kind).where("predicted = 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    bad = written(bad, "toxic-rows")
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_anti").select(*docs.columns)
