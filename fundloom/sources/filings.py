@@ -42,7 +42,11 @@ def nport_totals(holds: DataFrame) -> DataFrame:
 
 def scan_issuer_spine(spark: SparkSession, path: str) -> DataFrame:
     """cik, ticker, title, norm and ord of a ticker file: an object of numbered entries."""
-    text = spark.read.text(path, wholetext=True)
+    return issuer_entries(spark.read.text(path, wholetext=True))
+
+
+def issuer_entries(text: DataFrame) -> DataFrame:
+    """The same of a column ``value`` that holds such objects."""
     entries = text.select(F.explode(F.from_json("value", "map<string, struct<cik_str: string, ticker: string, title: string>>")).alias("k", "v"))
     return entries.select(pad_cik(F.col("v.cik_str")).alias("cik"), normalize_ticker(F.col("v.ticker")).alias("ticker"), F.col("v.title").alias("title"), normalize_name(F.col("v.title")).alias("norm"), F.col("k").cast("long").alias("ord"))
 
