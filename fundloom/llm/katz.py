@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundloom.llm import texthash
@@ -138,7 +138,9 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def sender(hot, hot_pairs, buckets: int, most_tokens: int, most_docs: int):
+def sender(hot, hot_pairs, slots: list[int], most_tokens: int, most_docs: int):
+    buckets = len(slots)
+
     def flush(held: list, ids: list, first_row: int, t: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
         w, n = np.concatenate(t), np.concatenate(n)
         h = contexts_of(w)
@@ -161,7 +163,7 @@ def sender(hot, hot_pairs, buckets: int, most_tokens: int, most_docs: int):
         # What a text is goes to one bucket alone.
         only = lambda x: [x if b == first_row % buckets else [] for b in range(buckets)]
         columns = [
-            pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, first_row)), pa.array(only(held), pa.list_(pa.bool_())), pa.array(only(ids), pa.list_(pa.int64())),
+            pa.array(slots, pa.int32()), pa.array(np.full(buckets, first_row)), pa.array(only(held), pa.list_(pa.bool_())), pa.array(only(ids), pa.list_(pa.int64())),
             lists(part(w[run].view(np.int64), run_cut), pa.int64()), lists(part(per_run.astype(np.int32), run_cut), pa.int32()), lists(part(h.view(np.int64), cut), pa.int64()),
             lists(part(times.astype(np.int32), cut), pa.int32()), lists(part(docs, occ[cut]), pa.int16()),
         ]
@@ -310,6 +312,17 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
 
 
+def slots_of(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that hash partitioning deals to ``n`` partitions of their own, so that no task gets two buckets and another none."""
+    tried = 20
+    while True:
+        slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        rows = spark.range(tried * n + 1000).groupBy(slot.alias("slot")).agg(F.min("id").alias("id")).collect()  # one for each bucket
+        if len(rows) == n:
+            return [r["id"] for r in rows]
+        tried *= 2
+
+
 def uint_column(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).to_numpy().view(np.uint64)
 
@@ -338,8 +351,8 @@ def trained(docs: DataFrame, most_tokens: int = TOKENS, most_docs: int = DOCS) -
     hot_pairs, hot_pair_counts = sc.broadcast(named[order]), sc.broadcast(pairs.column("n").to_numpy()[order])
 
     path = new_path(spark, "katz")
-    sent = keyed.mapInArrow(sender(hot, hot_pairs, buckets, most_tokens, most_docs), SENT)
-    sent.groupBy("bucket").applyInArrow(reducer(hot, hot_counts, hot_pairs, hot_pair_counts), KEPT).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    sent = keyed.mapInArrow(sender(hot, hot_pairs, slots_of(spark, buckets), most_tokens, most_docs), SENT)
+    sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reducer(hot, hot_counts, hot_pairs, hot_pair_counts), KEPT).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     tables = spark.read.schema(KEPT).parquet(path)
     of = lambda kind: tables.where(F.col("kind") == kind)
 
