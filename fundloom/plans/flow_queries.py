@@ -10,7 +10,7 @@ from fundloom.functions import ontology as onto
 from fundloom.functions import text as tf
 from fundloom.graphmodel import CATEGORIES, Graph, sql
 from fundloom.operators import disclosure, evidence, ingestflow, mdm, onboard, reports, risk, scope, sets, steward, textjobs
-from fundloom.plans.graph_queries import CHANGES, DERIVED, FIRM, NORM, REACHED, RECORDS, RESOLVED, changes, derived, golden, mentions, reached, records, spine, stamped
+from fundloom.plans.graph_queries import CHANGES, DERIVED, FIRM, FORM_CASE, INTERNAL_CASE, NORM, REACHED, RECORDS, RESOLVED, STRIPPED, WS, changes, derived, golden, mentions, reached, records, spine, stamped
 from fundloom.plans.risk_queries import CONC, HHI, HS, PROV, SUM, SUPP, provenance
 
 PREFIXES = {"fibo-fnd-plc-rp": "https://spec.edmcouncil.org/fibo/ontology/FND/Places/RealProperty/", "cmns-org": "https://www.omg.org/spec/Commons/Organizations/", "ex": "https://example.org/", "ex-sub": "https://example.org/sub/"}
@@ -407,5 +407,22 @@ SQL = {
     "spec_integrity": f"WITH {ENTITY} SELECT label, rel FROM (VALUES ('Company', 'SUPPLIES_TO'), ('Company', 'LEASES_SPACE_AT'), ('RealProperty', 'LEASES_SPACE_AT'), ('Loan', 'SERVICED_BY'), ('Company', 'SERVICED_BY')) v(label, rel) WHERE label NOT IN (SELECT label FROM entity)",
 }
 
+#: The same flow for DuckDB. Which spans stand in their chunks is known from how they were made: those of every eleventh part don't.
+FLOW = f"""{CHUNK}, base AS (SELECT doc_id, chunk_id, doc_id * 100 + CAST(page AS BIGINT) AS ord, 'Part#' || lpad(CAST(company AS VARCHAR), 9, '0') || CASE WHEN company % 2 = 0 THEN ', Inc.' ELSE '' END AS name, company, company % 11 <> 0 AS grounded,
+    CASE WHEN company % 17 = 0 THEN 'Fund' ELSE 'Company' END AS label, CASE WHEN company % 3 = 0 THEN 'SUBSIDIARY_OF' ELSE 'SUPPLIES_TO' END AS rel, (company % 10) / 10.0 + 0.05 AS confidence FROM chunk WHERE text IS NOT NULL),
+rels AS (SELECT *, lead(name) OVER (PARTITION BY doc_id ORDER BY ord) AS object FROM base), tri AS (SELECT ord, doc_id, chunk_id, rel, name AS subject, object, confidence FROM rels WHERE object IS NOT NULL AND grounded),
+good AS (SELECT *, row_number() OVER (PARTITION BY subject, rel, object ORDER BY ord) AS nth, min(ord) OVER (PARTITION BY subject, rel) AS first_ord FROM tri WHERE confidence >= 0.6),
+decided AS (SELECT ord, doc_id, CASE WHEN rel = 'SUBSIDIARY_OF' AND nth = 1 AND first_ord < ord THEN 'conflict' WHEN nth > 1 THEN 'corroborate' ELSE 'insert' END AS decision, CAST(NULL AS VARCHAR) AS reason FROM good UNION ALL SELECT ord, doc_id, 'reject', 'low confidence' FROM tri WHERE confidence < 0.6)"""
+SQL |= {
+    "grounding_gate": f"WITH {FLOW} SELECT chunk_id, name, grounded FROM base",
+    "build_triples": f"WITH {FLOW} SELECT ord, doc_id, chunk_id, rel, subject, 'Company' AS subject_label, object, 'Company' AS object_label, CAST(confidence AS DOUBLE) AS confidence FROM tri",
+    "write_mentions": f"WITH {FLOW} SELECT DISTINCT chunk_id, label, name AS entity FROM base WHERE grounded",
+    "write_rejected": f"WITH {FLOW} SELECT substr(sha256('Company|' || subject || '|' || rel || '|Company|' || object), 1, 16) AS fact_id, 'low confidence' AS reason, arg_min(doc_id, ord) AS doc_id, round(CAST(arg_min(confidence, ord) AS DOUBLE), 4) AS confidence FROM tri WHERE confidence < 0.6 GROUP BY 1",
+    "extraction_counts": f"WITH {FLOW} SELECT doc_id, count(*) AS chunks, count(*) FILTER (grounded) AS entities, count(*) FILTER (grounded AND object IS NOT NULL) AS relations, count(*) FILTER (NOT grounded) + count(*) FILTER (NOT grounded AND object IS NOT NULL) AS dropped, CAST(coalesce(max(a), 0) AS BIGINT) AS accepted, CAST(coalesce(max(j), 0) AS BIGINT) AS rejected FROM rels LEFT JOIN (SELECT doc_id, count(*) FILTER (decision <> 'reject') AS a, count(*) FILTER (decision = 'reject') AS j FROM decided GROUP BY doc_id) USING (doc_id) GROUP BY doc_id",
+    "ingest_documents": f"WITH {FLOW} SELECT decision, reason, count(*) AS n FROM decided GROUP BY ALL",
+    "scan_documents": rf"""WITH s AS (SELECT {STRIPPED} AS t FROM pages), c AS (SELECT array_to_string(list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(160), ' '), '\n[ \t]*\n'), lambda p: {WS}), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM s)
+        SELECT 'doc_' || substr(sha256(text), 1, 10) AS doc_id, {FORM_CASE} AS doc_type, CASE WHEN {INTERNAL_CASE} THEN 'internal' ELSE 'public' END AS sensitivity, CAST(greatest(1, round_even(length(text) / 3000, 0)) AS BIGINT) AS pages, length(text) AS chars, md5(text) AS text_md5 FROM c WHERE text <> ''""",
+}
+
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(Graph(spark, sf_dir))) for name, build in BUILD.items()}
 ORACLE_SQL = {name: sql(body) for name, body in SQL.items()}
