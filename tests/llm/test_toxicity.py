@@ -59,13 +59,14 @@ def test_a_capped_sample_keeps_the_class_ratio(spark):
 def plain_measures(train, texts):
     """Both models with dictionaries; each text's mean log ratio over its tokens."""
     words = lambda t: ["<s>", *re.findall(r"[a-z0-9]+", t.lower())]
-    grams, alone, lefts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}, defaultdict(set)
+    held, alone, lefts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}, {0: defaultdict(set), 1: defaultdict(set)}
     for t, y in train:
         w = words(t)
-        grams[y].update(set(zip(w, w[1:])))
+        held[y].update(set(zip(w, w[1:])))
         alone[y].update(set(w[1:]))
         for k in range(1, len(w)):
-            lefts[w[k - 1], w[k]].add(w[max(k - 2, 0)])
+            lefts[y][w[k - 1], w[k]].add(w[max(k - 2, 0)])
+    grams = {y: Counter({g: min(n, len(lefts[y][g])) for g, n in held[y].items()}) for y in (0, 1)}
     count = {y: {w: min(n, sum(1 for h, x in grams[y] if x == w)) for w, n in alone[y].items()} for y in (0, 1)}
     total = {y: sum(count[y].values()) for y in (0, 1)}
     every = sum(total.values())
@@ -75,7 +76,7 @@ def plain_measures(train, texts):
     mass = {y: sum(own[y].values()) for y in (0, 1)}
     mix = lambda e, all_, below: (1 - toxicity.BACKOFF) * e / all_ + toxicity.BACKOFF * below if all_ else below
     word_p = lambda y, w: mix(own[y][w], mass[y], both[w] / every)
-    free = {g for g in {*grams[0], *grams[1]} if len(lefts[g]) > 1}
+    free = {*grams[0], *grams[1]}
     after = defaultdict(lambda: [0, 0])
     for y in (0, 1):
         for (h, w), n in grams[y].items():
