@@ -11,7 +11,9 @@ from fundloom.functions import text as tf
 from fundloom.graphmodel import CATEGORIES, Graph, sql
 from fundloom.operators import disclosure, evidence, ingestflow, mdm, onboard, reports, risk, scope, sets, steward, textjobs
 from fundloom.plans.graph_queries import CHANGES, DERIVED, FIRM, FORM_CASE, INTERNAL_CASE, NORM, REACHED, RECORDS, RESOLVED, STRIPPED, WS, changes, derived, golden, mentions, reached, records, spine, stamped
-from fundloom.plans.risk_queries import CONC, HHI, HS, PROV, SUM, SUPP, provenance
+from fundloom.plans.more_queries import budget_lists
+from fundloom.plans.risk_queries import HHI, PROV, SUM, SUPP, provenance
+from fundloom.sources.filings import scan_documents
 
 PREFIXES = {"fibo-fnd-plc-rp": "https://spec.edmcouncil.org/fibo/ontology/FND/Places/RealProperty/", "cmns-org": "https://www.omg.org/spec/Commons/Organizations/", "ex": "https://example.org/", "ex-sub": "https://example.org/sub/"}
 SYSTEM_RANKS = {"curated": 3, "pms": 2}
@@ -284,8 +286,6 @@ BUILD = {
 
 
 def budgeted(g: Graph) -> DataFrame:
-    from fundloom.plans.more_queries import budget_lists
-
     return sets.budgeted(*budget_lists(g), 8)
 
 
@@ -308,8 +308,6 @@ def pairs_of_vectors(g: Graph) -> DataFrame:
 
 def scanned(g: Graph) -> DataFrame:
     """Pages as source documents."""
-    from fundloom.sources.filings import scan_documents
-
     return scan_documents(g.table("pages").select(F.concat(F.lit("page "), text_of("page_id")).alias("name"), F.col("html").alias("text"))).select("doc_id", "doc_type", "sensitivity", "pages", "chars", F.md5("text").alias("text_md5"))
 
 

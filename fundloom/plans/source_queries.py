@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from fundloom.graphmodel import Graph, sql
 from fundloom.operators.disclosure import xml_escape
 from fundloom.plans.graph_queries import CHANGES, TRIPLES, reviewed, triples, versions
 from fundloom.sources import filings
-from fundloom.sources.tables import shared_dir
+from fundloom.sources.tables import new_path
 from fundloom.streaming import ingest
 
 
@@ -21,7 +19,7 @@ def text_of(c: str) -> Column:
 
 
 def new_folder(g: Graph, name: str) -> str:
-    return f"{shared_dir(g.spark)}/fundloom/{name}-{uuid.uuid4().hex}"
+    return new_path(g.spark, name)
 
 
 def tag(name: str, value: Column) -> Column:
