@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, packing.
+
+Nulls and edge cases, for all stages: a null text is an empty one and stays null; rows with a null ``doc_id`` are judged by their own
+text and never are anyone's duplicate; rows that repeat a ``doc_id`` are judged by their own text, except that near-duplicates stay or go
+together; an empty table gives an empty one with the same columns (packing: no pieces); other columns are carried along, whatever their
+names, up to packing. Without labels of both classes nothing is toxic, without a benchmark nothing is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences; an empty text is one piece of one token."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+from fundloom.sources.tables import new_path, shared_dir, written
 
-    Only where none is named and the master is local (tests, a laptop) is a local folder made, once per application.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-fundloom-')}"
-        sc.setCheckpointDir(_own[sc.applicationId])
-    return _own[sc.applicationId]
+__all__ = ["SPACE", "let", "new_path", "shared_dir", "table", "words_of", "written"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fundloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost
-    executors, and gives the planner true sizes."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

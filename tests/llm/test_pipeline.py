@@ -48,3 +48,21 @@ def test_near_copies_from_four_fifths_up_go(spark, tmp_path):
     copy = [*words[:30], "x", *words[31:60], "y", *words[61:]]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "quite another text of some words")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_nulls_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text + " x"), (None, text), (None, None), (3, None), (4, ""), (5, "token=abcdefgh12 and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars", "2 as component_id", "3 as hash", "4 as measure", "5 as start", "6 as w")
+    docs.limit(0).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, d)
+        assert left.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert kept == sorted([(1, text), (1, text), (None, text), (None, None), (3, None), (4, ""), (5, "[REDACTED] and more")], key=str)
+    assert corpus_pipeline.pack(spark, left, d).count() == 7
+    assert corpus_pipeline.run(spark, d).count() == 0
