@@ -118,11 +118,14 @@ def queue_projection(queue: DataFrame) -> DataFrame:
 
 def enqueue_provisional(queue: DataFrame, resolved: DataFrame) -> DataFrame:
     """The queue with a row for each mention that was not resolved; numbers go on from the last. resolved: mention, ticker, method."""
-    new = resolved.where("method = 'provisional'").select("mention", "ticker").distinct()
+    new = resolved.where("method = 'provisional'").select("mention", "ticker").distinct().withColumn("part", F.substr(F.md5("mention"), F.lit(1), F.lit(2)))
+    # Numbers run through 256 parts, each ranked by itself after the sizes of those before it.
+    sizes = new.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    # Numbers in order of the mention: the queue holds what people look at, so one window is its natural size.
-    rank = F.row_number().over(Window.orderBy("mention", "ticker"))
-    added = new.withColumn("r", rank).join(F.broadcast(start)).select((F.col("start") + F.col("r")).cast("long").alias("id"), "mention", "ticker", F.lit("provisional").alias("status"))  # one row
+    offsets = sizes.select(F.col("part").alias("p2"), before.alias("before")).join(F.broadcast(start))  # one row with at most 256
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("mention", "ticker"))
+    added = new.withColumn("r", rank).join(F.broadcast(offsets), F.col("part") == F.col("p2")).select((F.col("start") + F.col("before") + F.col("r")).cast("long").alias("id"), "mention", "ticker", F.lit("provisional").alias("status"))
     return queue.select("id", "mention", "ticker", "status").unionByName(added)
 
 

@@ -343,7 +343,7 @@ SQL = {
     "queue_apply": f"WITH {APPLIED} SELECT * FROM applied",
     "queue_by_status": f"WITH {APPLIED} SELECT id, cik FROM applied WHERE status = 'merged'",
     "queue_projection": f"WITH {APPLIED} SELECT id, CASE status WHEN 'provisional' THEN 'pending' WHEN 'promoted' THEN 'kept_new' ELSE status END AS status, cik, round(confidence, 2) AS confidence FROM applied",
-    "enqueue_provisional": f"WITH {RESOLVED}, {QUEUE}, new AS (SELECT DISTINCT mention, ticker FROM resolved WHERE method = 'provisional') SELECT id, mention, status FROM queue UNION ALL SELECT (SELECT max(id) FROM queue) + row_number() OVER (ORDER BY mention, ticker NULLS FIRST), mention, 'provisional' FROM new",
+    "enqueue_provisional": f"WITH {RESOLVED}, {QUEUE}, new AS (SELECT DISTINCT mention, ticker FROM resolved WHERE method = 'provisional') SELECT id, mention, status FROM queue UNION ALL SELECT (SELECT max(id) FROM queue) + row_number() OVER (ORDER BY substr(md5(mention), 1, 2), mention, ticker NULLS FIRST), mention, 'provisional' FROM new",
     "item_triple_projection": f"WITH {CHANGES} SELECT subject, name AS predicate, coalesce(object, '') AS object, change, CASE WHEN change = 'changed' THEN 'changed: ' || coalesce(new_value, '') ELSE coalesce(new_value, '') END AS detail FROM changes",
     "upsert_holds": "SELECT fund, company, round(weight_pct * 2, 6) AS weight_pct FROM holds",
     "upsert_holds_funds": "SELECT fund, CAST(fund AS VARCHAR) AS series_id, 'c' || fund AS cik, CASE WHEN fund % 2 = 0 THEN 'F' || fund ELSE 'old' END AS lei FROM fund WHERE fund IN (SELECT fund FROM holds) UNION ALL SELECT fund, 'old', NULL, 'old' FROM fund WHERE fund NOT IN (SELECT fund FROM holds)",
