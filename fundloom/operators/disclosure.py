@@ -67,7 +67,8 @@ def thirteen_f_xml(entries: DataFrame) -> DataFrame:
 
 
 def reviewer_rows(entries: DataFrame) -> DataFrame:
-    return entries.where("flags <> ''").select("fund", "issuer", "flags")
+    """A reviewer's worksheet: a row for each holding, with what is missing or to be looked at."""
+    return entries.select("fund", "issuer", "title_of_class", "cusip", "value", "flags")
 
 
 def period_of(as_of: Column) -> Column:

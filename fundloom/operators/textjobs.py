@@ -128,3 +128,8 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: floa
     # Ranks up to ``k`` are cut in each task before rows of a query meet.
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+
+
+def embedding_candidates(vectors: DataFrame, mentions: DataFrame, threshold: float = 0.9, k: int = 5) -> DataFrame:
+    """The ``k`` titles most alike to each mention, from the threshold on."""
+    return vector_top_k(vectors, mentions, k, threshold)

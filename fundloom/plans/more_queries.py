@@ -65,7 +65,7 @@ BUILD = {
     "rank_candidates": lambda g: sets.rank_candidates(candidates(g)).withColumn("series", F.array_join("series", ",")),
     "event_seq": lambda g: sets.event_seq(g.table("events")).select("event_id", "user_id", "seq"),
     "upsert_nodes": lambda g: steward.upsert_nodes(*old_and_new(g), "key"),
-    "embedding_candidates": lambda g: textjobs.vector_top_k(g.table("embeddings"), g.table("embeddings").where("vec_id % 100 = 0"), least=0.25),
+    "embedding_candidates": lambda g: textjobs.embedding_candidates(g.table("embeddings"), g.table("embeddings").where("vec_id % 100 = 0"), 0.25),
     "normalization": lambda g: g.table("supplier").select("s_suppkey", steward.normalize_name(F.concat(F.lit("The "), "s_name", F.lit(" Holdings, Inc."))).alias("norm"), steward.pad_cik(F.col("s_suppkey") + 5).alias("cik"), steward.fact_id(F.col("s_suppkey").cast("string"), F.col("s_name")).alias("fact_id")),
     "fund_families": lambda g: g.fund.join(g.managed_by, "fund").groupBy("firm").agg(F.min_by("name", "fund").alias("family"), F.count("*").alias("n_series"), F.array_join(F.transform(F.array_sort(F.collect_list("fund")), lambda x: x.cast("string")), "|").alias("series")),
 }

@@ -136,7 +136,7 @@ SQL = {
     "thirteen_f_entries": f"WITH {ENTRIES} SELECT * FROM entries",
     "thirteen_f_totals": f"WITH {ENTRIES} SELECT fund, count(*) n_entries, CAST(sum(value) AS BIGINT) total_value FROM entries GROUP BY fund",
     "write_13f_xml": f"WITH {ENTRIES} SELECT fund, '<informationTable><!-- draft -->' || string_agg('<infoTable><nameOfIssuer>' || issuer || '</nameOfIssuer><titleOfClass>' || title_of_class || '</titleOfClass><cusip>' || cusip || '</cusip><value>' || value || '</value></infoTable>', '' ORDER BY value DESC, issuer, cusip) || '</informationTable>' AS xml FROM entries GROUP BY fund",
-    "write_reviewer_csv": f"WITH {ENTRIES} SELECT fund, issuer, flags FROM entries WHERE flags <> ''",
+    "write_reviewer_csv": f"WITH {ENTRIES} SELECT fund, issuer, title_of_class, cusip, value, flags FROM entries",
     "report_packs": f"""WITH {SUMMARY}, {CONC}, {SUPP}, top AS (SELECT fund, arg_min(supplier, (-score, supplier)) t FROM supp GROUP BY fund), dated AS (SELECT fund, max(as_of) d FROM holds GROUP BY fund),
         said AS (SELECT fund, year(d) || '-Q' || quarter(d) AS period, 'n_covered=' || (n_exposed - n_gaps) || ';n_exposed=' || n_exposed || ';n_gaps=' || n_gaps || ';n_holdings=' || n_holdings || ';n_over=' || n_over || ';top_supplier=' || coalesce(CAST(t AS VARCHAR), 'null') AS figures
             FROM conc JOIN summary USING (fund) JOIN dated USING (fund) LEFT JOIN top USING (fund))
