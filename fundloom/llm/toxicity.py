@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, one of toxic and one of ordinary texts, back off from a class's bigrams to the class's words and from these to the
-continuation counts of both classes together: a word's count, and a bigram's, is the number of contexts (words before it) in which it
-stands, or of texts if that is smaller, so neither copied passages nor a repeated word count more than once. A text's measure is the difference
+continuation counts of both classes together: a word's count is the number of contexts (words before it) in which it stands, or of texts if
+that is smaller, and what a class has of a bigram beyond chance is held to the same, so neither copied passages nor a repeated word count
+more than once. A text's measure is the difference
 of its two log-likelihoods, a token each, over the number of its tokens; a logistic curve fitted on labelled texts that the
 models haven't seen makes it a score. Where neither model departs from the shared counts, the two likelihoods of a token are equal
 and cancel, so what is looked up is the ratio of those that differ.
@@ -56,39 +57,50 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigrams (g, h, w), bigrams (g null) and words (g and h null) of each batch with the texts of either class that hold them."""
+    """Bigrams (h, w) of each batch with the texts of either class that hold them; and each word (h null) with its texts."""
     for batch in batches:
         kinds, parts, alone = batch.column("toxic").to_pylist(), [], []
         for i, w in tokens(batch):
             if len(w):
-                h = np.concatenate([[START], w[:-1]])
-                parts.append((np.concatenate([[START], h[:-1]]), h, w, np.full(len(w), i)))
+                parts.append((np.concatenate([[START], w[:-1]]), w, np.full(len(w), i)))
                 own = np.unique(w)
                 alone.append((own, np.full(len(own), kinds[i])))
         if not parts:
             continue
-        g, h, w, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((text, g, w, h))
-        g, h, w, text = g[order], h[order], w[order], text[order]
-        toxic = np.array(kinds)[text]
-        pair = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-        triple = pair | np.concatenate([[True], g[1:] != g[:-1]])
-        first, new_text = np.flatnonzero(triple), triple | np.concatenate([[True], text[1:] != text[:-1]])
-        bad, all_ = np.add.reduceat(new_text * toxic, first), np.add.reduceat(new_text.astype(np.int64), first)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (g, h, w)), pa.array(bad, pa.int64()), pa.array(all_ - bad, pa.int64())], names=COUNTED)
-        # A text counts once for a bigram, whatever stands before.
-        first, group = np.flatnonzero(pair), np.cumsum(pair) - 1
-        held = np.unique(group * len(kinds) + text)
-        bad, all_ = np.bincount(held // len(kinds), np.array(kinds)[held % len(kinds)], len(first)).astype(np.int64), np.bincount(held // len(kinds), minlength=len(first))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), *(pa.array(x[first].view(np.int64)) for x in (h, w)), pa.array(bad), pa.array(all_ - bad, pa.int64())], names=COUNTED)
+        h, w, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((text, w, h))
+        h, w, text = h[order], w[order], text[order]
+        new_pair = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        new_text = new_pair | np.concatenate([[True], text[1:] != text[:-1]])
+        first = np.flatnonzero(new_pair)
+        bad, all_ = np.add.reduceat(new_text * np.array(kinds)[text], first), np.add.reduceat(new_text.astype(np.int64), first)
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(bad, pa.int64()), pa.array(all_ - bad, pa.int64())], names=COUNTED)
         w, toxic = (np.concatenate(x) for x in zip(*alone, strict=True))
         keys, at = np.unique(w, return_inverse=True)
         bad, all_ = np.bincount(at, toxic, len(keys)).astype(np.int64), np.bincount(at, minlength=len(keys))
-        none = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(keys.view(np.int64)), pa.array(bad), pa.array(all_ - bad, pa.int64())], names=COUNTED)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(bad), pa.array(all_ - bad, pa.int64())], names=COUNTED)
 
 
-COUNTED = ["g", "h", "w", "t", "o"]
+COUNTED = ["h", "w", "t", "o"]
+
+
+def words_before(keys):
+    """k (a bigram's hash), g, toxic: the words that stand before given bigrams, once a batch and class."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = keys.value
+        for batch in batches:
+            kinds, found = batch.column("toxic").to_pylist(), []
+            for i, w in tokens(batch):
+                if len(w) and len(wanted):
+                    h = np.concatenate([[START], w[:-1]])
+                    k, g = pair_hash(h, w), np.concatenate([[START], h[:-1]])
+                    own = wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k
+                    found.append(np.stack([k[own], g[own], np.full(own.sum(), kinds[i], np.uint64)]))
+            rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.uint64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in rows[:2]), pa.array(rows[2].astype(np.int32))], names=["k", "g", "toxic"])
+
+    return find
 
 
 def beyond(count: str, both: Column, share: Column) -> Column:
@@ -105,10 +117,7 @@ def likelihood(own: Column, total: Column, below: Column) -> Column:
 def fitted(texts: DataFrame) -> dict[str, np.ndarray]:
     """``texts``: text, toxic (0 or 1). Log ratios of the two models for the words and bigrams where they differ, each sorted by key."""
     grams = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(counted, ", ".join(f"{c} long" for c in COUNTED))
-    by_left = grams.groupBy("g", "h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    held = lambda c: F.sum(F.when(F.col("g").isNull(), F.col(c)))
-    lefts = lambda c: F.when(F.col("h").isNull(), held(c)).otherwise(F.least(held(c), F.count(F.when(F.col("g").isNotNull() & (F.col(c) > 0), 1)))).alias(c)
-    grams = written(by_left.groupBy("h", "w").agg(lefts("t"), lefts("o")), "toxic-grams")
+    grams = written(grams.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxic-grams")
     seen = lambda c: F.count(F.when(F.col("h").isNotNull() & (F.col(c) > 0), 1))
     held = lambda c: F.sum(F.when(F.col("h").isNull(), F.col(c)).otherwise(0))
     words = written(grams.groupBy("w").agg(F.least(seen("t"), held("t")).alias("t"), F.least(seen("o"), held("o")).alias("o")), "toxic-words")
@@ -124,7 +133,18 @@ def fitted(texts: DataFrame) -> dict[str, np.ndarray]:
     context = counts.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"))
     pairs = counts.join(context.hint("merge"), "h")
     share = F.col("ht") / (F.col("ht") + F.col("ho"))
-    pairs = written(pairs.withColumns({"et": beyond("t", both, share), "eo": beyond("o", both, 1 - share)}).where("et > 0 or eo > 0"), "toxic-pairs")
+    may = written(pairs.withColumns({"et": beyond("t", both, share), "eo": beyond("o", both, 1 - share)}).where("et > 0 or eo > 0"), "toxic-pairs")
+    # Of what is beyond chance by texts, a class's count is at most the number of words that it follows there.
+    rows = may.select("h", "w").toArrow()
+    keys = np.sort(pair_hash(rows.column("h").to_numpy().view(np.uint64), rows.column("w").to_numpy().view(np.uint64)))
+    lefts = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words_before(texts.sparkSession.sparkContext.broadcast(keys)), "k long, g long, toxic int").distinct()
+    lefts = lefts.groupBy("k").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("lt"), F.count(F.when(F.col("toxic") == 0, 1)).alias("lo")).toArrow()
+    told = dict(zip(lefts.column("k").to_pylist(), zip(lefts.column("lt").to_pylist(), lefts.column("lo").to_pylist(), strict=True), strict=True))
+    h, w = (rows.column(c).to_numpy() for c in ("h", "w"))
+    named = [(int(a), int(b), *told.get(int(k), (0, 0))) for a, b, k in zip(h, w, pair_hash(h.view(np.uint64), w.view(np.uint64)).view(np.int64), strict=True)]
+    capped = written(texts.sparkSession.createDataFrame(named, "h2 long, w2 long, lt long, lo long"), "toxic-lefts")
+    pairs = may.hint("merge").join(capped.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2"))).withColumns({"ct": F.least("t", "lt"), "co": F.least("o", "lo")})
+    pairs = written(pairs.withColumns({"et": beyond("ct", both, share), "eo": beyond("co", both, 1 - share)}).where("et > 0 or eo > 0"), "toxic-pairs")
     sums = pairs.groupBy("h").agg(F.sum("et").alias("all_t"), F.sum("eo").alias("all_o"))
     pairs = pairs.join(sums, "h").join(words.select("w", "rt", "ro"), "w", "left")
     below = lambda r: both / (F.col("ht") + F.col("ho")) * F.coalesce(r, F.lit(1.0))

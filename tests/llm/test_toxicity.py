@@ -66,7 +66,7 @@ def plain_measures(train, texts):
         alone[y].update(set(w[1:]))
         for k in range(1, len(w)):
             lefts[y][w[k - 1], w[k]].add(w[max(k - 2, 0)])
-    grams = {y: Counter({g: min(n, len(lefts[y][g])) for g, n in held[y].items()}) for y in (0, 1)}
+    grams = held
     count = {y: {w: min(n, sum(1 for h, x in grams[y] if x == w)) for w, n in alone[y].items()} for y in (0, 1)}
     total = {y: sum(count[y].values()) for y in (0, 1)}
     every = sum(total.values())
@@ -81,7 +81,7 @@ def plain_measures(train, texts):
     for y in (0, 1):
         for (h, w), n in grams[y].items():
             after[h][y] += n
-    pair_own = {y: {(h, w): beyond(grams[y][h, w], (grams[0][h, w] + grams[1][h, w]) * after[h][y] / sum(after[h])) for h, w in free} for y in (0, 1)}
+    pair_own = {y: {(h, w): beyond(min(grams[y][h, w], len(lefts[y][h, w])), (grams[0][h, w] + grams[1][h, w]) * after[h][y] / sum(after[h])) for h, w in free} for y in (0, 1)}
     pair_mass = {y: Counter() for y in (0, 1)}
     for y in (0, 1):
         for (h, _), e in pair_own[y].items():
