@@ -79,8 +79,7 @@ def hash_embed(docs: DataFrame, dim: int = 384) -> DataFrame:
 
     Each distinct token is hashed once, and each text's buckets are summed where its tokens are counted."""
     tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    byte = "conv(substr(h, {} + 1, 2), 16, 10)"
-    pairs = F.expr(f"transform(sequence(0, 15), k -> (cast({byte.format('k * 4')} as int) * 256 + cast({byte.format('k * 4 + 2')} as int)))")
+    pairs = F.expr("transform(sequence(0, 15), k -> cast(conv(substr(h, k * 4 + 1, 4), 16, 10) as int))")
     hashed = tokens.select("token").distinct().select(F.col("token").alias("t"), F.sha2("token", 256).alias("h")).select("t", pairs.alias("pairs"))
     met = tokens.hint("merge").join(hashed.hint("merge"), F.col("token") == F.col("t")).select("doc_id", "n", F.explode("pairs").alias("x"))
     signed = met.select("doc_id", F.pmod("x", F.lit(dim)).alias("bucket"), F.when(F.floor(F.col("x") / 256) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("v"))
