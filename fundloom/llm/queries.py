@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontaminate, katz, neardup, packing, quality, secrets, toxicity, urls, warc
+from fundloom.llm import chat, decontaminate, fim, katz, neardup, packing, quality, runs, secrets, toxicity, urls, warc, wavelet
 from fundloom.llm.shared import table
 
 
@@ -54,7 +54,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op6_lm_scoring, op7_warc, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.filled_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+EVERY = [
+    op1_secret_scans, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_url_filters, op6_lm_scoring, op7_warc, op8_toxicity, op9_benchmark_decontamination,
+    op10_best_fit_packing, op11_fill_in_middle, op12_token_ids, op13_periodic_runs,
+]
+QUERIES = {f.__name__: f for f in EVERY}
 
 ORACLE_SQL = {
     "op4_chat_formatting": r"""
@@ -103,4 +120,21 @@ ORACLE_SQL = {
         SELECT doc.doc_id, CAST(len(doc.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_fill_in_middle": r"""
+        WITH told AS (
+            SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+        ), drawn AS (
+            SELECT doc_id, t, lines, CAST(CASE WHEN lines[-1] = '' THEN len(lines) - 1 ELSE len(lines) END AS BIGINT) AS n,
+                CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM told
+        ), cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+        ), parts AS (
+            SELECT *, array_to_string(lines[1:a], chr(10)) || CASE WHEN a > 0 AND a < len(lines) THEN chr(10) ELSE '' END AS p,
+                array_to_string(lines[a + 1:b], chr(10)) || CASE WHEN b > a AND b < len(lines) THEN chr(10) ELSE '' END AS m,
+                array_to_string(lines[b + 1:], chr(10)) AS s FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256 FROM parts""",
 }
