@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from fundloom.functions import ratios
 from fundloom.functions.text import bounded_excerpt
+from fundloom.operators import simjoin
 from fundloom.operators.steward import first_wins, normalize_ticker
+from fundloom.sources.tables import written
 
 #: What a holding without a name says; states of the queue on screen; headings that excerpts start at.
 NO_NAME = "N/A"
@@ -129,23 +131,32 @@ def enqueue_provisional(queue: DataFrame, resolved: DataFrame) -> DataFrame:
     return queue.select("id", "mention", "ticker", "status").unionByName(added)
 
 
-def attach_lei(candidates: DataFrame, records: DataFrame) -> DataFrame:
-    """candidate or record, lei: a record's LEI goes to the first candidate of its name that has none, records without one are appended.
-
-    Names match when they are equal in lower case, one holds the other, or by sequence ratio; pairs are looked for among names that share a
-    word. candidates: ord, name, lei. records: name, lei."""
-    words = lambda df, name: F.explode(F.array_distinct(F.split(F.lower(F.trim(F.col(name))), r"\s+"))).alias("w")
-    left = candidates.select("ord", F.col("name").alias("a"), words(candidates, "name"))
-    right = records.select(F.col("name").alias("b"), F.col("lei").alias("new_lei"), words(records, "name"))
-    pairs = left.hint("merge").join(right.hint("merge"), "w").select("ord", "a", "b", "new_lei").distinct().where(names_match(F.col("a"), F.col("b")))
-    first = pairs.groupBy("b", "new_lei").agg(F.min("ord").alias("ord"))
-    given = first.groupBy(F.col("ord").alias("o2")).agg(F.min("new_lei").alias("new_lei"))
-    kept = candidates.join(given, F.col("ord") == F.col("o2"), "left").select("name", F.coalesce("lei", "new_lei").alias("lei"), F.lit("edgar").alias("source"))
-    rest = records.join(first.select(F.col("b").alias("name"), F.col("new_lei").alias("lei")), ["name", "lei"], "left_anti")
-    return kept.unionByName(rest.select("name", "lei", F.lit("gleif").alias("source")))
+def attach_lei(candidates: DataFrame, records: DataFrame, least: float = 0.85) -> DataFrame:
+    """name, lei, source: a record's LEI goes to the first candidate of its name, if that has none; of several records the first counts. Records
+    without a candidate are appended in order and are candidates for those after them.
+
+    Names match when they are equal in lower case, one holds the other, or by sequence ratio; a null or empty name matches none, a record
+    without LEI counts for nothing. candidates, records: ord, name, lei."""
+    low = F.lower(F.trim(F.coalesce("name", F.lit(""))))
+    known = written(candidates.select("ord", "name", "lei", low.alias("a")), "lei-candidates")
+    told = written(records.where("lei <> ''").select("ord", "name", "lei", low.alias("b")), "lei-records")
+    pairs = written(simjoin.name_pairs(known.select("a"), told.select("b"), least), "lei-pairs")
+    by_name = known.groupBy("a").agg(F.min("ord").alias("o"))
+    first = written(pairs.hint("merge").join(by_name.hint("merge"), "a").groupBy("b").agg(F.min("o").alias("o")), "lei-first")
+    given = told.hint("merge").join(first.hint("merge"), "b").groupBy("o").agg(F.min_by("lei", "ord").alias("new_lei"))
+    kept = known.hint("merge").join(given.hint("merge"), F.col("ord") == F.col("o"), "left").select("name", F.coalesce("lei", "new_lei").alias("lei"), F.lit("edgar").alias("source"))
+    rest = written(told.hint("merge").join(first.hint("merge"), "b", "left_anti"), "lei-rest")
+    names = written(rest.where("b <> ''").groupBy(F.col("b").alias("s")).agg(F.min("ord").alias("ord")), "lei-names")
+    at = lambda c: names.select(F.col("s").alias(c), F.col("ord").alias(f"ord_{c}"))
+    alike = simjoin.name_pairs(names.select(F.col("s").alias("a")), names.select(F.col("s").alias("b")), least).where("a <> b")
+    later = alike.hint("merge").join(at("a").hint("merge"), "a").join(at("b").hint("merge"), "b").where("ord_a < ord_b").select(F.col("a").alias("earlier"), F.col("b").alias("later"))
+    stays = simjoin.first_of_alike(names, later).select("s", F.col("ord").alias("o"))
+    added = rest.hint("merge").join(stays.hint("merge"), (F.col("b") == F.col("s")) & (F.col("ord") == F.col("o")), "left_semi").unionByName(rest.where("b = ''"))
+    return kept.unionByName(added.select("name", "lei", F.lit("gleif").alias("source")))
 
 
 def names_match(a: Column, b: Column) -> Column:
+    """Whether two names of one row match; for tables of names there is ``simjoin.name_pairs``."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
     alike = ratios.vectorised(ratios.seq_ratio)
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (alike(x, y) >= 0.85))
