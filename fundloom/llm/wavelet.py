@@ -40,7 +40,7 @@ MAGIC = b"WVMXv1\r\n"
 FOOT = struct.Struct("<QQI8s")
 HEAD = struct.Struct("<QIQI")
 #: Bits of a block, and ids of a shard at which it is closed.
-BLOCK, SHARD = 1 << 17, 2_000_000
+BLOCK, SHARD = 1 << 17, 1_000_000
 CODEC = "zstd"
 #: Blocks that an opened shard keeps.
 KEPT = 64
@@ -53,9 +53,9 @@ def packed_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     """The file of a shard: ``ids`` of all its documents in order."""
     n, planes = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     out, at, offsets, ones, zeros = [], 0, [], [], []
-    now = ids.astype(np.uint32)
+    now = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for b in range(planes - 1, -1, -1):
-        bit = (now >> np.uint32(b)) & np.uint32(1) != 0
+        bit = (now & now.dtype.type(1 << b)) != 0
         before = 0
         for k in range(0, n, BLOCK):
             own = bit[k : k + BLOCK]
@@ -161,23 +161,30 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids in order: planes undone from the last to the first."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for plane in range(self.planes - 1, -1, -1):
-            bit = np.concatenate([self.block(plane, k) for k in range(self.blocks)]).astype(bool) if self.n else np.zeros(0, bool)
-            up = np.empty(self.n, np.uint32)
+            bit = np.concatenate([self.block(plane, k) for k in range(self.blocks)]).view(bool) if self.n else np.zeros(0, bool)
+            up = np.empty(self.n, kind)
             up[~bit] = now[: self.zeros[plane]]
-            up[bit] = now[self.zeros[plane] :] | np.uint32(1 << (self.planes - 1 - plane))
+            up[bit] = now[self.zeros[plane] :] | kind(1 << (self.planes - 1 - plane))
             now = up
-        return now
+        return now.astype(np.uint32)
 
 
 # --- tables of shards ------------------------------------------------------------------------------------------------
 
 
+class WorkersIds(ChunkIds):
+    """What a worker remembers from task to task is held beside its shard."""
+
+    MOST = 500_000
+
+
 @lru_cache(maxsize=1)
-def encoder(path: str) -> ChunkIds:
+def encoder(path: str) -> WorkersIds:
     """One a Python worker."""
-    return ChunkIds(path)
+    return WorkersIds(path)
 
 
 LISTED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("tokens", pa.int64()), ("documents", pa.int64())])
