@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fundloom.functions.text import HEADING
+from fundloom.sources.tables import written
 
 HEADING_RE = re.compile(HEADING)
 
@@ -88,15 +89,57 @@ def hash_embed(docs: DataFrame, dim: int = 384) -> DataFrame:
     return summed.select("doc_id", "bucket", F.round(F.col("v") / norm, 6).alias("value"))
 
 
-def detect_mentions(docs: DataFrame, vocabulary: DataFrame, most_words: int = 3) -> DataFrame:
-    """doc_id, canonical, first_pos: aliases of up to ``most_words`` words (3 characters and more) that a text holds, by an equi-join on its
-    runs of words; position in words. vocabulary: alias, canonical."""
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    runs = F.expr(f"flatten(transform(sequence(1, {most_words}), n -> transform(case when size(w) >= n then sequence(0, size(w) - n) else cast(array() as array<int>) end, i -> struct(i as pos, array_join(slice(w, i + 1, n), ' ') as said))))")
-    known = vocabulary.where(F.char_length("alias") >= 3)
-    seen = words.select("doc_id", F.explode(runs).alias("x")).select("doc_id", "x.pos", "x.said")
-    met = seen.hint("merge").join(known.hint("merge"), F.col("said") == F.col("alias"))
-    return met.groupBy("doc_id", "canonical").agg(F.min("pos").cast("long").alias("first_pos"))
+#: A text is taken apart into words and what stands between them; letters, digits and the underscore are of words.
+WORD = r"[\p{L}\p{N}_]"
+PARTS = rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"
+
+
+def parts_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))
+
+
+def alias_index(vocabulary: DataFrame) -> DataFrame:
+    """alias, canonical, parts, anchor, back: each alias under its rarest part among all aliases, ``back`` parts from its start. Aliases of under 3
+    characters are left out; an alias of several canonical names has each of them."""
+    known = vocabulary.where(F.char_length("alias") >= 3).select("alias", "canonical").distinct().withColumn("parts", parts_of(F.col("alias")))
+    each = known.select("alias", "canonical", F.posexplode("parts").alias("back", "part"))
+    counts = each.groupBy(F.col("part").alias("p2")).agg(F.count("*").alias("n"))
+    # Words before what is between them: a blank is in most texts.
+    order = F.struct((~F.col("part").rlike(f"^{WORD}")).alias("gap"), "n", F.col("part").alias("anchor"), "back")
+    best = each.hint("merge").join(counts.hint("merge"), F.col("part") == F.col("p2")).groupBy("alias", "canonical").agg(F.min(order).alias("x")).select(F.col("alias").alias("a2"), F.col("canonical").alias("c2"), "x.anchor", "x.back")
+    met = (F.col("alias") == F.col("a2")) & F.col("canonical").eqNullSafe(F.col("c2"))
+    return known.hint("merge").join(best.hint("merge"), met).select("alias", "canonical", "parts", "anchor", "back")
+
+
+def detect_mentions(docs: DataFrame, vocabulary: DataFrame, small: int = 200_000) -> DataFrame:
+    """doc_id, canonical, first_pos: names of which a text, in lower case, holds an alias (3 characters and more) between word boundaries;
+    the place (in characters) where the longest such alias (of equally long ones the first in order) first stands.
+
+    An alias between boundaries is a run of whole parts, so it is found where its anchor, its rarest part, stands and the parts
+    around it agree. The index of anchors is broadcast if it has at most ``small`` aliases of bounded length, else joined by
+    anchor with just the parts around. An alias that starts or ends otherwise than with a word needs a word there in the text.
+    vocabulary: alias (in lower case), canonical. Null texts hold nothing."""
+    index = written(alias_index(vocabulary), "alias-index")
+    # Numbers of the vocabulary: aliases, the longest in parts, characters in all.
+    n, before, after, size = index.agg(F.count("*"), F.max("back"), F.max(F.size("parts") - F.col("back")), F.sum(F.char_length("alias"))).first()
+    if not n:
+        return docs.select("doc_id", F.lit(None).cast(vocabulary.schema["canonical"].dataType).alias("canonical"), F.lit(0).cast("long").alias("first_pos")).limit(0)
+    seen = docs.select("doc_id", parts_of(F.lower("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("i", "part"))
+    chars = lambda parts: F.char_length(F.array_join(parts, ""))
+    if n <= small and size <= 64 * small:
+        met = seen.select("doc_id", "w", "part", F.col("i").alias("own"), F.lit(0).alias("left_out")).join(F.broadcast(index), F.col("part") == F.col("anchor"))
+    else:
+        # Only the parts around one go with it: those before it up to the longest way back, those after it and one more.
+        start = F.greatest(F.col("i") - before, F.lit(0))
+        near = seen.select("doc_id", F.slice("w", start + 1, before + after + 1).alias("near"), "part", (F.col("i") - start).alias("own"), chars(F.slice("w", F.lit(1), start)).alias("left_out"))
+        met = near.withColumnRenamed("near", "w").hint("merge").join(index.hint("merge"), F.col("part") == F.col("anchor"))
+    at, size = F.col("own") - F.col("back"), F.size("parts")
+    whole = met.where((at >= 0) & (F.slice("w", F.greatest(at, F.lit(0)) + 1, size) == F.col("parts")))
+    is_word = lambda part: part.rlike(f"^{WORD}")
+    bounded = whole.where((is_word(F.col("parts")[0]) | (at > 0) | (F.col("left_out") > 0)) & (is_word(F.element_at("parts", -1)) | (at + size < F.size("w"))))
+    found = bounded.select("doc_id", "canonical", "alias", (F.col("left_out") + chars(F.slice("w", F.lit(1), at))).cast("long").alias("pos"))
+    first = found.groupBy("doc_id", "canonical").agg(F.min(F.struct((-F.char_length("alias")).alias("n"), "alias", "pos")).alias("x"))
+    return first.select("doc_id", "canonical", F.col("x.pos").alias("first_pos"))
 
 
 def detect_fund(questions: DataFrame, funds: DataFrame) -> DataFrame:

@@ -218,10 +218,11 @@ def text_features(g: Graph) -> DataFrame:
 
 
 def vocabulary(g: Graph) -> DataFrame:
-    """Words of benchmark items and the first three together, each naming its smallest item."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    words = g.table("benchmark").select("item_id", F.explode(F.concat(w, F.array(F.array_join(F.slice(w, 1, 3), " ")))).alias("alias"))
-    return words.groupBy("alias").agg(F.min("item_id").alias("canonical"))
+    """Words of benchmark items, and their first sentences and first 40 characters as they are up to a word's end, each naming its smallest item."""
+    low = F.lower("text")
+    as_they_are = [F.regexp_extract(low, p, 1) for p in (r"^([^.]*[\p{L}\p{N}])\.", r"(?s)^(.{40}[\p{L}\p{N}]*)")]
+    words = g.table("benchmark").select("item_id", F.explode(F.concat(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array(*as_they_are))).alias("alias"))
+    return words.where(r"alias rlike '[\\p{L}\\p{N}]$'").groupBy("alias").agg(F.min("item_id").alias("canonical"))
 
 
 BUILD = {
@@ -321,11 +322,15 @@ SQL = {
     "hash_embed": """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM documents), n AS (SELECT doc_id, sha256(token) AS h, count(*) AS n FROM tok GROUP BY doc_id, token),
         p AS (SELECT doc_id, n, CAST('0x' || substr(h, k * 4 + 1, 2) AS INT) AS f, CAST('0x' || substr(h, k * 4 + 3, 2) AS INT) AS s FROM n, range(16) t(k)), v AS (SELECT doc_id, (f * 256 + s) % 384 AS bucket, sum(CASE WHEN f % 2 = 0 THEN n ELSE -n END) AS v FROM p GROUP BY 1, 2)
         SELECT doc_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM v WHERE v <> 0""",
-    "detect_mentions": """WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-        runs AS (SELECT doc_id, p - 1 AS pos, array_to_string(w[p : p + n - 1], ' ') AS said FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM tok, (VALUES (1), (2), (3)) t(n) WHERE len(w) >= n)),
-        item AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
-        vocab AS (SELECT alias, min(item_id) AS canonical FROM (SELECT item_id, unnest(w) AS alias FROM item UNION ALL SELECT item_id, array_to_string(w[1:3], ' ') FROM item) WHERE length(alias) >= 3 GROUP BY alias)
-        SELECT doc_id, canonical, min(pos) AS first_pos FROM runs JOIN vocab ON said = alias GROUP BY ALL""",
+    "detect_mentions": r"""WITH item AS (SELECT item_id, lower(text) AS t FROM benchmark),
+        said AS (SELECT item_id, unnest(list_concat(regexp_extract_all(t, '[\p{L}\p{N}]+'), [regexp_extract(t, '^([^.]*[\p{L}\p{N}])\.', 1), regexp_extract(t, '(?s)^(.{40}[\p{L}\p{N}]*)', 1)])) AS alias FROM item),
+        vocab AS (SELECT alias, min(item_id) AS canonical FROM said WHERE length(alias) >= 3 AND regexp_matches(alias, '[\p{L}\p{N}]$') GROUP BY alias),
+        doc AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS w FROM documents),
+        part AS (SELECT doc_id, i, word, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS pos FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc)),
+        words AS (SELECT doc_id, alias, canonical, min(pos) AS pos FROM part JOIN vocab ON word = alias GROUP BY ALL),
+        spans AS (SELECT doc_id, alias, canonical, w, regexp_extract_all(alias, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS v FROM doc JOIN (SELECT * FROM vocab WHERE NOT regexp_full_match(alias, '[\p{L}\p{N}_]+')) ON contains(t, alias)),
+        found AS (SELECT s.doc_id, alias, canonical, min(pos) AS pos FROM spans s JOIN part p ON p.doc_id = s.doc_id AND p.word = v[1] WHERE array_to_string(w[i : i + len(v) - 1], '') = alias GROUP BY ALL)
+        SELECT doc_id, canonical, CAST(pos AS BIGINT) AS first_pos FROM (SELECT * FROM words UNION ALL SELECT * FROM found) QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY length(alias) DESC, alias, pos) = 1""",
     "vector_top_k": "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(e, CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 4) AS score FROM s QUALIFY rank <= 5",
     "job_event_log": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) n, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE), 4) AS total FROM events GROUP BY ALL",
 }
