@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fundloom.llm.shared import written
+from fundloom.llm.shared import free_names, written
 
 #: What separates words once A-Z are lower case. Upper case counts as a word here and is lowered word by word.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -107,6 +107,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **kind) -> DataF
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **kind) -> DataFrame:
     """Rows of ``docs`` without any hit; all their columns."""
-    bad = contamination(docs, benchmark, **kind).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    keyed = docs.withColumn("_hash", row_key()[1])
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_anti").select(*docs.columns)
+    d, h = free_names(docs, 2)
+    bad = contamination(docs, benchmark, **kind).where("n_hit > 0").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d)) & (row_key()[1] == F.col(h)), "left_anti")

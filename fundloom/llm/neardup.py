@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fundloom.llm import texthash
 from fundloom.llm.components import connected, relabelled
-from fundloom.llm.shared import written
+from fundloom.llm.shared import free_names, written
 
 GROUPS, ROWS = 8, 2
 #: Groups of all 16 that must agree before a pair with a hub is confirmed (such a pair at 0.85 has 11.6 on average); step 4 asks for none.
@@ -308,5 +308,6 @@ def comparer(percent: int):
 
 def without_near_duplicates(docs: DataFrame, **kind) -> DataFrame:
     """Rows of ``docs`` whose document stands for its group (rows of a repeated doc_id stay or go together); all columns."""
-    gone = near_duplicates(docs, **kind).where("not kept").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti").select(*docs.columns)
+    (d,) = free_names(docs, 1)
+    gone = near_duplicates(docs, **kind).where("not kept").select(F.col("doc_id").alias(d)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(d), "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fundloom.llm.shared import written
+from fundloom.llm.shared import free_names, written
 
 #: The patterns of the base kinds and of the weaker parts. Group 2 of the assignments is the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -102,11 +102,12 @@ def redacted(docs: DataFrame, scope: int = 200, mark: str = "[REDACTED]") -> Dat
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("run", F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(by))
     merged = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
-    cuts = merged.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
-    joined = docs.withColumn("_hash", row_key()[1]).hint("merge").join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    pieces = F.expr("transform(sequence(0, size(_cuts)), i -> substring(text, coalesce(get(_cuts, i - 1).b, 0) + 1, coalesce(get(_cuts, i).a, char_length(text)) - coalesce(get(_cuts, i - 1).b, 0)))")
-    clean = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
+    d, h, c, own = free_names(docs, 4)
+    cuts = merged.groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(c))
+    joined = docs.withColumn(own, row_key()[1]).hint("merge").join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left")
+    pieces = F.expr(f"transform(sequence(0, size({c})), i -> substring(text, coalesce(get({c}, i - 1).b, 0) + 1, coalesce(get({c}, i).a, char_length(text)) - coalesce(get({c}, i - 1).b, 0)))")
+    clean = F.when(F.col(c).isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
     out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(c).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -1,32 +1,31 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, back off from a class's bigrams to the class's words and from these to the
-continuation counts of both classes together: a word's count is the number of contexts (words before it) in which it stands, or of texts if
-that is smaller, and what a class has of a bigram beyond chance is held to the same, so neither copied passages nor a repeated word count
-more than once. A text's measure is the difference
-of its two log-likelihoods, a token each, over the number of its tokens; a logistic curve fitted on labelled texts that the
-models haven't seen makes it a score. Where neither model departs from the shared counts, the two likelihoods of a token are equal
-and cancel, so what is looked up is the ratio of those that differ.
-
-The discount is what the shared counts lead one to expect of a class, and ``Z`` standard deviations, in place of one constant:
-only what a class repeats beyond chance gets probability of its own; all else, rare words above all, is smoothed through the shared
-counts and as likely under both. (With a constant discount from counts of ones and twos, chance differences of thousands of rare words
-hide the few words that matter: an area under the curve of 0.88 on the labelled rows held out, against above 0.999.)
+Two bigram models, one of toxic and one of ordinary texts. At the top are a class's own counts, an expression once a text, less an absolute
+discount; what the discount leaves goes to the class's words by continuation counts (in how many contexts a word stands there), and from
+these to the continuation counts of both classes together. A text's measure is the difference of its two log-likelihoods
+over the number of its tokens; a logistic curve fitted on labelled texts that the models haven't seen makes it a score.
+
+Only n-grams that a class repeats beyond chance (``Z`` standard deviations over what the counts of both lead one to expect) have counts of
+their own in the models; the mass of all others goes to the level below, so rare words are smoothed through the shared counts and are as likely under both. (With counts
+of all n-grams chance differences of thousands of rare words hide the few words that matter: an area under the curve of 0.88 on the labelled
+rows held out.) What is expected after a word that hardly one class uses at all is at most ``NEAR`` times that class's share of all, so a
+phrase counts to its end. Where neither model departs from the shared counts the two likelihoods are equal and cancel, so what is looked up
+are logarithms of ratios: of bigrams, of words, and of what a context leaves to the level below.
 
 The models are fitted on a bounded sample of labelled rows: the ``per_class`` rows of each class that come first by
-a hash of their id (a fifth of them for the curve). What is broadcast are the n-grams of that sample that are beyond chance: each
-takes several of its tokens. All scoring covers whole texts of all rows. The curve weighs the rows of a class by how many learning labels
-each stands for, so scores and decisions follow the labels' class ratio at any size of input. The discount compares counts of the
-sample, so it takes the classes' shares in the sample: with those of the labels every word of a class that was cut would seem
-rare in it.
+a hash of their id (a fifth of them for the curve). Copies teach once: of the sample's texts of a class that agree in one of two minhashes of
+their runs of 5 words one is taken, so what stands in a text that was copied is not repeated by that. What is broadcast are the n-grams of
+that sample that are beyond chance: each takes several of its tokens. All scoring covers whole texts of all rows. The curve weighs the rows of a class by how many learning labels
+of the class there are for each row that was taken. (A sample that takes the same number of each class would otherwise pass for the classes' shares.)
 
-Nulls and edge cases: a null text is empty; a text without tokens has measure 0 and its score is the curve's; rows with a
+Nulls and edge cases: a null text is empty; a text without tokens is measured like one of unknown words; rows with a
 null ``doc_id`` or label teach nothing (a null id is not held out) but are scored; of several labels of one id the highest
 counts; repeated rows are scored alike; without labels of both classes all scores are 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.llm import texthash
-from fundloom.llm.shared import written
+from fundloom.llm.shared import free_names, written
 
 #: The context of a text's first token.
 START = np.uint64(1)
-#: Deviations beyond the expectation that the discount takes off, and the share of the models that is the shared level.
-Z, BACKOFF = 5.0, 0.5
+#: Deviations beyond the expectation at which an n-gram has counts of its own; how many times a class's share of all is expected of it at most.
+Z, NEAR = 5.0, 2.0
+#: Words of a run by which copies are known.
+RUN = 5
 
 
 def tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,82 +85,79 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 COUNTED = ["h", "w", "t", "o"]
 
 
-def words_before(keys):
-    """k (a bigram's hash), g, toxic: the words that stand before given bigrams, once a batch and class."""
+def copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, toxic, a, b: two minhashes of each text's runs of words; a text without words has those of nothing."""
+    for batch in batches:
+        keys = np.zeros((2, batch.num_rows), np.uint64)
+        for i, w in tokens(batch):
+            if len(w):
+                x = texthash.shingles(w, RUN)
+                keys[:, i] = x.min(), texthash.mixed(x ^ np.uint64(0x9FB21C651E98DF25)).min()
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), *(pa.array(k.view(np.int64)) for k in keys)], names=["row", "toxic", "a", "b"])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = keys.value
-        for batch in batches:
-            kinds, found = batch.column("toxic").to_pylist(), []
-            for i, w in tokens(batch):
-                if len(w) and len(wanted):
-                    h = np.concatenate([[START], w[:-1]])
-                    k, g = pair_hash(h, w), np.concatenate([[START], h[:-1]])
-                    own = wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k
-                    found.append(np.stack([k[own], g[own], np.full(own.sum(), kinds[i], np.uint64)]))
-            rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in rows[:2]), pa.array(rows[2].astype(np.int32))], names=["k", "g", "toxic"])
 
-    return find
+def without_copies(texts: DataFrame) -> DataFrame:
+    """``texts`` (row, text, toxic) but for those that agree with another of their class in a minhash. Bounded by the sample."""
+    keys = written(texts.select("row", "toxic", "text").mapInArrow(copy_keys, "row long, toxic int, a long, b long"), "toxic-keys")
+    once = keys.groupBy("toxic", "a").agg(F.min(F.struct("row", "b")).alias("x")).groupBy("toxic", "x.b").agg(F.min("x.row").alias("one"))
+    return texts.join(F.broadcast(once.select("one")), F.col("row") == F.col("one"), "left_semi")
 
 
 def beyond(count: str, both: Column, share: Column) -> Column:
-    """A class's count less its discount."""
+    """Whether a class's count is beyond what its share of both makes likely."""
     expected = both * share
-    return F.greatest(F.col(count) - expected - Z * F.sqrt(expected) - 1, F.lit(0.0))
+    return F.col(count) > expected + Z * F.sqrt(expected) + 1
 
 
-def likelihood(own: Column, total: Column, below: Column) -> Column:
-    """A class's excess count and what it backs off to."""
-    return F.when(total > 0, (1 - BACKOFF) * own / total + BACKOFF * below).otherwise(below)
+def discount(counts: DataFrame, n: Column) -> float:
+    """The absolute discount from the counts of ones and twos."""
+    ones, twos = counts.agg(F.count(F.when(n == 1, 1)), F.count(F.when(n == 2, 1))).first()
+    return min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
 
 
-def fitted(texts: DataFrame) -> dict[str, np.ndarray]:
-    """``texts``: text, toxic (0 or 1). Log ratios of the two models for the words and bigrams where they differ, each sorted by key."""
+def fitted(texts: DataFrame) -> dict[str, np.ndarray | float]:
+    """``texts``: text, toxic (0 or 1). Log ratios of the two models: of the words and bigrams that have counts of their own and of what their contexts leave,
+    each sorted by key; ``rest``, that of all other words."""
     grams = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(counted, ", ".join(f"{c} long" for c in COUNTED))
     grams = written(grams.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxic-grams")
-    seen = lambda c: F.count(F.when(F.col("h").isNotNull() & (F.col(c) > 0), 1))
-    held = lambda c: F.sum(F.when(F.col("h").isNull(), F.col(c)).otherwise(0))
-    words = written(grams.groupBy("w").agg(F.least(seen("t"), held("t")).alias("t"), F.least(seen("o"), held("o")).alias("o")), "toxic-words")
-    n_t, n_o = (float(x or 0) for x in words.agg(F.sum("t"), F.sum("o")).first())
-    both, every = F.col("t") + F.col("o"), max(n_t + n_o, 1.0)
-    words = words.withColumns({"et": beyond("t", both, F.lit(n_t / every)), "eo": beyond("o", both, F.lit(n_o / every))})
-    all_t, all_o = (float(x or 0) for x in words.agg(F.sum("et"), F.sum("eo")).first())
-    # How much likelier than at the shared level a word is under either model.
-    times = lambda e, total: likelihood(F.col(e), F.lit(total), both / F.lit(every)) / (both / F.lit(every))
-    words = words.where("et > 0 or eo > 0").withColumns({"rt": times("et", all_t), "ro": times("eo", all_o)}).withColumn("r", F.log("rt") - F.log("ro"))
-
-    counts = grams.where("h is not null")
-    context = counts.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"))
-    pairs = counts.join(context.hint("merge"), "h")
-    share = F.col("ht") / (F.col("ht") + F.col("ho"))
-    may = written(pairs.withColumns({"et": beyond("t", both, share), "eo": beyond("o", both, 1 - share)}).where("et > 0 or eo > 0"), "toxic-pairs")
-    # Of what is beyond chance by texts, a class's count is at most the number of words that it follows there.
-    rows = may.select("h", "w").toArrow()
-    keys = np.sort(pair_hash(rows.column("h").to_numpy().view(np.uint64), rows.column("w").to_numpy().view(np.uint64)))
-    lefts = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words_before(texts.sparkSession.sparkContext.broadcast(keys)), "k long, g long, toxic int").distinct()
-    lefts = lefts.groupBy("k").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("lt"), F.count(F.when(F.col("toxic") == 0, 1)).alias("lo")).toArrow()
-    told = dict(zip(lefts.column("k").to_pylist(), zip(lefts.column("lt").to_pylist(), lefts.column("lo").to_pylist(), strict=True), strict=True))
-    h, w = (rows.column(c).to_numpy() for c in ("h", "w"))
-    named = [(int(a), int(b), *told.get(int(k), (0, 0))) for a, b, k in zip(h, w, pair_hash(h.view(np.uint64), w.view(np.uint64)).view(np.int64), strict=True)]
-    capped = written(texts.sparkSession.createDataFrame(named, "h2 long, w2 long, lt long, lo long"), "toxic-lefts")
-    pairs = may.hint("merge").join(capped.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2"))).withColumns({"ct": F.least("t", "lt"), "co": F.least("o", "lo")})
-    pairs = written(pairs.withColumns({"et": beyond("ct", both, share), "eo": beyond("co", both, 1 - share)}).where("et > 0 or eo > 0"), "toxic-pairs")
-    sums = pairs.groupBy("h").agg(F.sum("et").alias("all_t"), F.sum("eo").alias("all_o"))
-    pairs = pairs.join(sums, "h").join(words.select("w", "rt", "ro"), "w", "left")
-    below = lambda r: both / (F.col("ht") + F.col("ho")) * F.coalesce(r, F.lit(1.0))
-    pairs = pairs.withColumn("r", F.log(likelihood(F.col("et"), F.col("all_t"), below("rt"))) - F.log(likelihood(F.col("eo"), F.col("all_o"), below("ro"))))
+    pairs, both = grams.where("h is not null"), F.col("t") + F.col("o")
+    seen = lambda c: F.count(F.when(F.col("h").isNotNull() & (F.col(c) > 0), 1)).alias(f"n{c}")
+    held = lambda c: F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col(c))), F.lit(0)).alias(f"texts_{c}")
+    words = grams.groupBy("w").agg(seen("t"), seen("o"), held("t"), held("o"))
+    # A word is repeated if many texts hold it in many contexts.
+    words = written(words.withColumns({"t": F.least("nt", "texts_t"), "o": F.least("no", "texts_o")}), "toxic-words")
+    n_t, n_o, m_t, m_o = (float(x or 0) for x in words.agg(F.sum("nt"), F.sum("no"), F.sum("t"), F.sum("o")).first())
+    every = max(n_t + n_o, 1.0)
+    less = discount(words, F.col("nt") + F.col("no"))
+    own = lambda n, total: F.greatest(F.col(n) - less, F.lit(0.0)) / max(total, 1.0)
+    share_t = m_t / max(m_t + m_o, 1.0)
+    words = words.withColumn("kept", beyond("t", both, F.lit(share_t)) | beyond("o", both, F.lit(1 - share_t))).withColumns({"pt": own("nt", n_t), "po": own("no", n_o)})
+    rest_t, rest_o = (1 - float(x or 0) for x in words.where("kept").agg(F.sum("pt"), F.sum("po")).first())
+    shared = (F.col("nt") + F.col("no")) / every
+    words = words.withColumns({"pt": F.when(F.col("kept"), F.col("pt")).otherwise(0.0) + rest_t * shared, "po": F.when(F.col("kept"), F.col("po")).otherwise(0.0) + rest_o * shared})
+
+    sums = pairs.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"))
+    all_t, all_o = (float(x or 0) for x in pairs.agg(F.sum("t"), F.sum("o")).first())
+    share = lambda c, of: F.least(F.col(c) / (F.col("ht") + F.col("ho")), F.lit(min(1.0, NEAR * of / max(all_t + all_o, 1.0))))
+    less_pairs = discount(pairs, both)
+    met = pairs.hint("merge").join(sums.hint("merge"), "h").where(beyond("t", both, share("ht", all_t)) | beyond("o", both, share("ho", all_o)))
+    top = lambda n, total: F.when(F.col(total) > 0, F.greatest(F.col(n) - less_pairs, F.lit(0.0)) / F.col(total)).otherwise(0.0)
+    met = written(met.withColumns({"qt": top("t", "ht"), "qo": top("o", "ho")}), "toxic-pairs")
+    contexts = met.groupBy("h").agg((1 - F.sum("qt")).alias("left_t"), (1 - F.sum("qo")).alias("left_o"))
+    told = met.hint("merge").join(contexts.hint("merge"), "h").join(words.select("w", "pt", "po").hint("merge"), "w")
+    ratio = lambda a, b: (F.log(a) - F.log(b)).alias("r")
 
     def pulled(df: DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = df.select(*keys, F.col("r").cast("double").alias("r")).toArrow()
+        rows = df.select(*keys, "r").toArrow()
         columns = [rows.column(k).to_numpy().view(np.uint64) for k in keys]
         key = columns[0] if len(keys) == 1 else pair_hash(*columns)
         order = np.argsort(key)
         return key[order], rows.column("r").to_numpy()[order].astype(np.float32)
 
-    model = {}
-    model["words"], model["word_ratio"] = pulled(words, ["w"])
-    model["pairs"], model["pair_ratio"] = pulled(pairs, ["h", "w"])
+    model = {"rest": math.log(rest_t / rest_o)}
+    model["words"], model["word_ratio"] = pulled(words.where("kept").select("w", ratio(F.col("pt"), F.col("po"))), ["w"])
+    model["pairs"], model["pair_ratio"] = pulled(told.select("h", "w", ratio(F.col("qt") + F.col("left_t") * F.col("pt"), F.col("qo") + F.col("left_o") * F.col("po"))), ["h", "w"])
+    model["contexts"], model["context_ratio"] = pulled(contexts.select("h", ratio(F.col("left_t"), F.col("left_o"))), ["h"])
     return model
 
 
@@ -175,11 +173,13 @@ def measurer(shared_model):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared_model.value
         for batch in batches:
-            out = np.zeros(batch.num_rows)
+            out = np.full(batch.num_rows, m["rest"])
             for i, w in tokens(batch):
                 if len(w):
-                    ratio, known = looked_up(m["pairs"], m["pair_ratio"], pair_hash(np.concatenate([[START], w[:-1]]), w), 0)
-                    out[i] = np.where(known, ratio, looked_up(m["words"], m["word_ratio"], w, 0)[0]).sum(dtype=np.float64) / len(w)
+                    h = np.concatenate([[START], w[:-1]])
+                    ratio, known = looked_up(m["pairs"], m["pair_ratio"], pair_hash(h, w), 0)
+                    below = looked_up(m["contexts"], m["context_ratio"], h, 0)[0] + looked_up(m["words"], m["word_ratio"], w, m["rest"])[0]
+                    out[i] = np.where(known, ratio, below).sum(dtype=np.float64) / len(w)
             kept = [k for k, x in enumerate(batch.schema.names) if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(out)], names=[*(batch.schema.names[k] for k in kept), "measure"])
 
@@ -187,8 +187,8 @@ def measurer(shared_model):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """text, toxic, part (a number from 0 to 4) and weight (learning labels for each row taken) of at most ``per_class`` learning rows
-    of each class."""
+    """row (a hash of id and text), text, toxic, part (a number from 0 to 4) and weight (learning labels for each row taken) of at most
+    ``per_class`` learning rows of each class."""
     learn = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     first = F.xxhash64("doc_id", F.lit("toxicity"))
     ids = None
@@ -199,7 +199,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     every = learn.groupBy(F.col("toxic").alias("c")).agg((F.count("*") / F.least(F.count("*"), F.lit(per_class))).alias("weight"))
     ids = ids.select(F.col("doc_id").alias("id"), "toxic", F.pmod(first, F.lit(5)).alias("part"))
     ids = written(ids.join(F.broadcast(every), F.col("toxic") == F.col("c")).drop("c"), "toxic-sample")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "toxic", "part", "weight")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("toxic").cast("int").alias("toxic"), "part", "weight")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 15_000) -> DataFrame:
@@ -211,7 +211,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 15_000)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     if len(parts) < 4:
         return keyed.select("doc_id", "text_hash", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model = sc.broadcast(fitted(sample.where("part <> 0")))
+    model = sc.broadcast(fitted(without_copies(sample.where("part <> 0"))))
     unseen = written(sample.where("part = 0").select("toxic", "weight", "text").mapInArrow(measurer(model), "toxic int, weight double, measure double"), "toxic-curve")
     curve = LogisticRegression(labelCol="toxic", featuresCol="x", weightCol="weight", regParam=1e-6).fit(unseen.select("toxic", "weight", array_to_vector(F.array("measure")).alias("x")))
     a, b = float(curve.coefficients[0]), float(curve.intercept)
@@ -222,7 +222,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 15_000)
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **kind) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic; all their columns."""
-    bad = toxicity_scores(docs, labels, **kind).where("predicted = 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    d, h = free_names(docs, 2)
+    bad = toxicity_scores(docs, labels, **kind).where("predicted = 1").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
     bad = written(bad, "toxic-rows")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_anti").select(*docs.columns)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(h)), "left_anti")

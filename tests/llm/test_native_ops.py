@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontaminate, quality, secrets, urls
+from fundloom.llm import chat, decontaminate, neardup, quality, secrets, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -275,3 +275,23 @@ def test_contamination_edges(spark):
     kept = decontaminate.clean_documents(df, bench)
     assert kept.columns == df.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean"]
     assert decontaminate.clean_documents(df, bench.limit(0)).count() == 5 and decontaminate.contamination_report(df.limit(0), bench).count() == 0
+
+
+CLASH = ["_d", "_h", "_hash", "_cuts", "d", "h", "own_0", "OWN_1", "text_hash", "measure", "row", "i", "kept", "bucket"]
+
+
+@pytest.mark.parametrize("stage", ["redacted", "clean_documents", "without_near_duplicates", "without_toxic"])
+def test_columns_with_clashing_names_come_through(spark, stage):
+    texts = ["the quick brown fox " * 20, "the quick brown fox " * 20, "say password=hunter2hunter now", "one two three four five six seven eight nine ten eleven", None]
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = base.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASH])
+    items = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    work = {"redacted": secrets.redacted, "clean_documents": lambda x: decontaminate.clean_documents(x, items), "without_near_duplicates": neardup.without_near_duplicates, "without_toxic": lambda x: toxicity.without_toxic(x, labels)}[stage]
+    out = work(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    want = {"redacted": {0, 1, 2, 3, 4}, "clean_documents": {0, 1, 2, 4}, "without_near_duplicates": {0, 2, 3, 4}, "without_toxic": {0, 1, 2, 3, 4}}[stage]
+    assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
+    assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASH)
+    assert stage != "redacted" or [r["text"] for r in rows if r["doc_id"] == 2] == ["say [REDACTED] now"]

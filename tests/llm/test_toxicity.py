@@ -57,50 +57,93 @@ def test_a_capped_sample_keeps_the_class_ratio(spark):
 
 
 def plain_measures(train, texts):
-    """Both models with dictionaries; each text's mean log ratio over its tokens."""
+    """Both models with dictionaries, each a distribution; each text's mean log ratio over its tokens."""
     words = lambda t: ["<s>", *re.findall(r"[a-z0-9]+", t.lower())]
-    held, alone, lefts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}, {0: defaultdict(set), 1: defaultdict(set)}
+    held, alone = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     for t, y in train:
         w = words(t)
         held[y].update(set(zip(w, w[1:])))
         alone[y].update(set(w[1:]))
-        for k in range(1, len(w)):
-            lefts[y][w[k - 1], w[k]].add(w[max(k - 2, 0)])
-    grams = held
-    count = {y: {w: min(n, sum(1 for h, x in grams[y] if x == w)) for w, n in alone[y].items()} for y in (0, 1)}
-    total = {y: sum(count[y].values()) for y in (0, 1)}
-    every = sum(total.values())
-    beyond = lambda n, expected: max(n - expected - toxicity.Z * math.sqrt(expected) - 1, 0)
-    both = {w: count[0].get(w, 0) + count[1].get(w, 0) for w in {*count[0], *count[1]}}
-    own = {y: {w: beyond(count[y].get(w, 0), both[w] * total[y] / every) for w in both} for y in (0, 1)}
-    mass = {y: sum(own[y].values()) for y in (0, 1)}
-    mix = lambda e, all_, below: (1 - toxicity.BACKOFF) * e / all_ + toxicity.BACKOFF * below if all_ else below
-    word_p = lambda y, w: mix(own[y][w], mass[y], both[w] / every)
-    free = {*grams[0], *grams[1]}
-    after = defaultdict(lambda: [0, 0])
+    before = {y: Counter(w for _, w in held[y]) for y in (0, 1)}
+    vocabulary = {*before[0], *before[1]}
+
+    def discount(counts):
+        ones, twos = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+        return min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
+
+    beyond = lambda n, expected: n > expected + toxicity.Z * math.sqrt(expected) + 1
+    tested = {y: {w: min(before[y][w], alone[y][w]) for w in vocabulary} for y in (0, 1)}
+    part = sum(tested[1].values()) / (sum(tested[0].values()) + sum(tested[1].values()))
+    own = {w for w in vocabulary if any(beyond(tested[y][w], (tested[0][w] + tested[1][w]) * (part if y else 1 - part)) for y in (0, 1))}
+    total = {y: sum(before[y].values()) for y in (0, 1)}
+    less = discount([before[0][w] + before[1][w] for w in vocabulary])
+    rest = {y: 1 - sum(max(before[y][w] - less, 0) / total[y] for w in own) for y in (0, 1)}
+    shared = {w: (before[0][w] + before[1][w]) / (total[0] + total[1]) for w in vocabulary}
+    word_p = lambda y, w: (max(before[y][w] - less, 0) / total[y] if w in own else 0) + rest[y] * shared[w]
+    assert all(abs(sum(word_p(y, w) for w in vocabulary) - 1) < 1e-9 for y in (0, 1))
+
+    after = {y: Counter() for y in (0, 1)}
     for y in (0, 1):
-        for (h, w), n in grams[y].items():
-            after[h][y] += n
-    pair_own = {y: {(h, w): beyond(min(grams[y][h, w], len(lefts[y][h, w])), (grams[0][h, w] + grams[1][h, w]) * after[h][y] / sum(after[h])) for h, w in free} for y in (0, 1)}
-    pair_mass = {y: Counter() for y in (0, 1)}
+        for (h, _), n in held[y].items():
+            after[y][h] += n
+    every = {y: sum(held[y].values()) for y in (0, 1)}
+    part = {y: every[y] / (every[0] + every[1]) for y in (0, 1)}
+    free = {*held[0], *held[1]}
+    share = lambda y, h: min(after[y][h] / (after[0][h] + after[1][h]), min(1, toxicity.NEAR * part[y]))
+    kept = {g for g in free if any(beyond(held[y][g], (held[0][g] + held[1][g]) * share(y, g[0])) for y in (0, 1))}
+    less_pairs = discount([held[0][g] + held[1][g] for g in free])
+    top = lambda y, g: max(held[y][g] - less_pairs, 0) / after[y][g[0]] if after[y][g[0]] else 0.0
+    left = {y: Counter() for y in (0, 1)}
     for y in (0, 1):
-        for (h, _), e in pair_own[y].items():
-            pair_mass[y][h] += e
+        for g in kept:
+            left[y][g[0]] += top(y, g)
 
     def log_p(y, h, w):
-        if pair_own[0].get((h, w), 0) > 0 or pair_own[1].get((h, w), 0) > 0:
-            shared = (grams[0][h, w] + grams[1][h, w]) / sum(after[h])
-            ratio = word_p(y, w) / (both[w] / every) if own[0][w] > 0 or own[1][w] > 0 else 1.0
-            return math.log(mix(pair_own[y][h, w], pair_mass[y][h], shared * ratio))
-        return math.log(word_p(y, w)) if w in both and (own[0][w] > 0 or own[1][w] > 0) else 0.0
+        below = word_p(y, w) if w in shared else rest[y]
+        return math.log((top(y, (h, w)) if (h, w) in kept else 0) + (1 - left[y][h]) * below)
 
+    for y in (0, 1):  # a distribution after every context
+        for h in ["<s>", *list(vocabulary)[:40]]:
+            assert abs(sum(math.exp(log_p(y, h, w)) for w in vocabulary) - 1) < 1e-9
     out = []
     for t in texts:
         w = words(t)
-        out.append(sum(log_p(1, h, x) - log_p(0, h, x) for h, x in zip(w, w[1:])) / max(len(w) - 1, 1))
+        out.append(sum(log_p(1, h, x) - log_p(0, h, x) for h, x in zip(w, w[1:])) / (len(w) - 1) if len(w) > 1 else math.log(rest[1] / rest[0]))
     return out
 
 
+def held_out_recall(spark, said, n=4000, words=40):
+    """Texts of random words, a quarter with a phrase put in by ``said``: toxic ones found of those held out, and false alarms."""
+    rnd = random.Random(3)
+    data = []
+    for i in range(n):
+        w = [f"w{rnd.randrange(2000)}" for _ in range(words)]
+        data.append((i, " ".join(said(w, rnd) if i % 4 == 0 else w), int(i % 4 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string").repartition(4)
+    got = toxicity.toxicity_scores(docs, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")).where("held_out").collect()
+    bad = [r["predicted"] for r in got if r["doc_id"] % 4 == 0]
+    return sum(bad), len(bad), sum(r["predicted"] for r in got) - sum(bad)
+
+
+@pytest.mark.parametrize("said", [
+    lambda w, rnd: ["you", "stupid", "idiot", *w], lambda w, rnd: [*w, "you", "stupid", "idiot"], lambda w, rnd: [*w[:9], "w1", "idiot", *w[9:]],
+    lambda w, rnd: (lambda k: [*w[:k], "idiot", *w[k:]])(rnd.randrange(40)),
+], ids=["start", "end", "after one word", "anywhere"])
+def test_a_phrase_is_found_wherever_it_stands(spark, said):
+    found, there, false = held_out_recall(spark, said)
+    assert there > 180 and found == there and false == 0
+
+
+def test_copies_teach_once(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(900)}"
+    base = [word() for _ in range(60)]
+    texts = [(" ".join(base), 1)] * 80 + [(" ".join([*base[:k], "x", *base[k:]]), 1) for k in range(60)] + [(" ".join(word() for _ in range(60)), k % 2) for k in range(100)] + [("", 1), (None, 0)]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(texts)], "row long, text string, toxic int")
+    kept = toxicity.without_copies(df).collect()
+    assert len([r for r in kept if r["row"] < 140]) <= 4 and len([r for r in kept if 140 <= r["row"] < 240]) == 100
+
+
 def test_against_plain_models(spark):
     rnd = random.Random(5)
     common = [f"c{i}" for i in range(300)]
