@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 
 from fundloom.functions import ratios
 from fundloom.functions.text import norm_id
+from fundloom.operators.components import components
 from fundloom.operators.steward import normalize_name
+from fundloom.sources.tables import written
 
 #: What counts as no value.
 EMPTY = ["", "Not Stated", "N/A", "na"]
@@ -161,3 +163,17 @@ def match_confidence(records: DataFrame, pairs: DataFrame, threshold: float = 0.
     mean = pairs.groupBy("cluster").agg(F.avg("score").alias("m"))
     out = records.groupBy("cluster").agg(F.countDistinct("record_id").alias("n_records")).join(mean, "cluster", "left").withColumn("confidence", F.round(F.coalesce("m", F.lit(1.0)), 3))
     return out.select("cluster", "n_records", "confidence", (F.col("confidence") >= threshold).alias("resolved"))
+
+
+def match_clusters(records: DataFrame, pairs: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """record_id, match_id (the least record that it is one with), n_matched, confidence (mean score of the pairs within): records joined, over any number of steps, by
+    pairs that score ``threshold`` or more; a record without such a pair is by itself, with confidence 1. pairs: a, b, score."""
+    good = pairs.where(F.col("score") >= threshold)
+    label = written(components(good.select(F.col("a").alias("u"), F.col("b").alias("v"))), "match-labels")
+    at = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    within = pairs.hint("merge").join(at("a").hint("merge"), "a").join(at("b").hint("merge"), "b").where("label_a = label_b")
+    mean = within.groupBy(F.col("label_a").alias("l")).agg(F.round(F.avg(F.col("score").cast("decimal(20,10)")).cast("double"), 6).alias("mean"))
+    size = label.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n"))
+    told = label.join(size.join(mean, "l"), F.col("label") == F.col("l")).select(F.col("node").alias("k"), "label", "n", "mean")
+    out = records.select("record_id").distinct().hint("merge").join(told.hint("merge"), F.col("record_id") == F.col("k"), "left")
+    return out.select("record_id", F.coalesce("label", "record_id").alias("match_id"), F.coalesce("n", F.lit(1)).alias("n_matched"), F.coalesce("mean", F.lit(1.0)).alias("confidence"))

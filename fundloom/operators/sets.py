@@ -6,20 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fundloom.sources.tables import written
-
-
-def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """All (child, ancestor) pairs: each round joins what is known with itself and doubles the steps, until a round finds no pair more."""
-    known = written(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "closure")
-    n = known.count()
-    for _ in range(most_rounds):
-        more = known.join(known.select(F.col("child").alias("c2"), F.col("ancestor").alias("a2")), F.col("ancestor") == F.col("c2")).select("child", F.col("a2").alias("ancestor"))
-        known = written(known.unionByName(more).distinct(), "closure")
-        before, n = n, known.count()
-        if n == before:
-            return known
-    raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
+from fundloom.operators import rules
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All (child, ancestor) pairs of ``edges`` (child, parent)."""
+    return rules.closure(edges).select("child", "ancestor")
 
 
 def disjoint_violations(types: DataFrame, closed: DataFrame, disjoint: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.graphmodel import Graph, sql
-from fundloom.operators import risk, sets, steward, textjobs
+from fundloom.operators import mdm, risk, rules, sets, steward, textjobs
 from fundloom.plans.graph_queries import NORM
 
 HEADING = r"^[^ ]{1,30}\.$"
@@ -18,6 +18,28 @@ def tree(g: Graph) -> DataFrame:
     return g.company.where("company > 0").select(F.col("company").alias("child"), F.floor(F.col("company") / 3).alias("parent"))
 
 
+def axioms(g: Graph, said: str, names: str) -> DataFrame:
+    return g.spark.createDataFrame([tuple(x.split()) for x in said.split(", ")], ", ".join(f"{n} string" for n in names.split()))
+
+
+def inferred(g: Graph) -> DataFrame:
+    """Holdings, managers and the tree of issuers as facts, with a parent property, two inverses and a transitive property."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    facts = g.holds.select(name("f", "fund").alias("s"), F.lit("HOLDS").alias("p"), name("c", "company").alias("o"))
+    facts = facts.unionByName(g.managed_by.select(name("m", "firm").alias("s"), F.lit("MANAGES").alias("p"), name("f", "fund").alias("o")))
+    facts = facts.unionByName(tree(g).select(name("c", "child").alias("s"), F.lit("PART_OF").alias("p"), name("c", "parent").alias("o")))
+    return rules.inferred_facts(facts, axioms(g, "MANAGES CONTROLS, HOLDS RELATED, CONTROLS RELATED", "child parent"), axioms(g, "HOLDS HELD_BY, PART_OF HAS_PART", "p q"), axioms(g, "PART_OF", "p"))
+
+
+INFERRED = f"""{{TREE}}, fact AS (SELECT 'f' || fund AS s, 'HOLDS' AS p, 'c' || company AS o FROM holds UNION ALL SELECT 'm' || firm, 'MANAGES', 'f' || fund FROM managed_by UNION ALL SELECT 'c' || child, 'PART_OF', 'c' || ancestor FROM up),
+inferred AS (SELECT * FROM fact UNION SELECT s, 'RELATED', o FROM fact WHERE p IN ('HOLDS', 'MANAGES') UNION SELECT s, 'CONTROLS', o FROM fact WHERE p = 'MANAGES' UNION SELECT o, 'HELD_BY', s FROM fact WHERE p = 'HOLDS' UNION SELECT o, 'HAS_PART', s FROM fact WHERE p = 'PART_OF')"""
+
+
+def scored(g: Graph) -> DataFrame:
+    """Critical supplies as pairs of records, scored by their numbers."""
+    return g.supplies_to.where("criticality = 'critical'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("score", F.pmod(F.col("a") * 13 + F.col("b") * 29, F.lit(100)) / 100)
+
+
 def roles(g: Graph) -> DataFrame:
     """Customers at the issuers that their orders begin with."""
     who = g.table("orders").select("o_orderkey", F.col("o_custkey").alias("person"))
@@ -54,6 +76,9 @@ def citations(g: Graph) -> DataFrame:
 
 BUILD = {
     "class_closure": lambda g: sets.closure(tree(g)),
+    "inferred_facts": lambda g: inferred(g),
+    "inferred_types": lambda g: rules.inferred_types(g.holds.where("fund < 3").select(F.concat(F.lit("f"), F.col("fund").cast("string")).alias("instance"), F.lit("MutualFund").alias("cls")), inferred(g), axioms(g, "Fund Vehicle, MutualFund Fund, Vehicle Thing, Firm Thing", "child parent"), axioms(g, "Company Issuer", "a b"), axioms(g, "HOLDS Fund, MANAGES Firm", "p cls"), axioms(g, "HOLDS Company", "p cls")),
+    "match_clusters": lambda g: mdm.match_clusters(g.company.select(F.col("company").alias("record_id")), scored(g)),
     "disjoint_violations": lambda g: sets.disjoint_violations(g.holds.select(F.col("fund").alias("instance"), F.col("company").alias("cls")), sets.closure(tree(g)), g.spark.createDataFrame([(3, 8), (13, 2), (20, 21)], "a long, b long")),
     "board_links": lambda g: sets.board_links(roles(g), g.company),
     "section_slice": lambda g: sets.section_slice(g.table("documents"), HEADING),
@@ -71,7 +96,16 @@ BUILD = {
 }
 
 TREE = "up AS (SELECT company AS child, company // 3 AS ancestor FROM company WHERE company > 0 UNION SELECT u.child, u.ancestor // 3 FROM up u WHERE u.ancestor > 0)"
+INFERRED = INFERRED.replace("{TREE}", TREE)
+SCORED = "scored AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, (least(src, dst) * 13 + greatest(src, dst) * 29) % 100 / 100 AS score FROM supplies_to WHERE criticality = 'critical')"
 SQL = {
+    "inferred_facts": f"WITH {INFERRED} SELECT * FROM inferred",
+    "inferred_types": f"""WITH {INFERRED}, own AS (SELECT 'f' || fund AS instance, 'MutualFund' AS cls FROM fund WHERE fund IN (SELECT fund FROM holds WHERE fund < 3) UNION SELECT s, 'Fund' FROM inferred WHERE p = 'HOLDS' UNION SELECT s, 'Firm' FROM inferred WHERE p = 'MANAGES' UNION SELECT o, 'Company' FROM inferred WHERE p = 'HOLDS'),
+        above AS (SELECT * FROM (VALUES ('MutualFund', 'Fund'), ('MutualFund', 'Vehicle'), ('MutualFund', 'Thing'), ('Fund', 'Vehicle'), ('Fund', 'Thing'), ('Firm', 'Thing'), ('Company', 'Issuer')) v(child, ancestor))
+        SELECT * FROM own UNION SELECT instance, ancestor FROM own JOIN above ON cls = child""",
+    "match_clusters": f"""WITH {SCORED}, link AS (SELECT a AS u, b AS v FROM scored WHERE score >= 0.88 UNION SELECT b, a FROM scored WHERE score >= 0.88), reach AS (SELECT u AS node, u AS m FROM link UNION SELECT l.v, r.m FROM reach r JOIN link l ON l.u = r.node WHERE r.m < l.v),
+        lab AS (SELECT node, min(m) AS label FROM reach GROUP BY node), mean AS (SELECT x.label AS l, round(CAST(sum(CAST(score AS DECIMAL(28,10))) AS DOUBLE) / count(*), 6) AS mean FROM scored JOIN lab x ON x.node = a JOIN lab y ON y.node = b AND x.label = y.label GROUP BY 1), size AS (SELECT label AS l, count(*) AS n FROM lab GROUP BY 1)
+        SELECT company AS record_id, coalesce(label, company) AS match_id, coalesce(n, 1) AS n_matched, coalesce(mean, 1.0) AS confidence FROM company LEFT JOIN lab ON node = company LEFT JOIN size s ON s.l = label LEFT JOIN mean m ON m.l = label""",
     "class_closure": f"WITH {TREE} SELECT * FROM up",
     "disjoint_violations": f"WITH {TREE}, t AS (SELECT DISTINCT fund AS instance, company AS c FROM holds UNION SELECT fund, ancestor FROM holds JOIN up ON company = child), d AS (SELECT * FROM (VALUES (3, 8), (2, 13), (20, 21)) v(a, b)) SELECT DISTINCT x.instance, CAST(a AS BIGINT) a, CAST(b AS BIGINT) b FROM t x JOIN d ON x.c = a JOIN t y ON y.instance = x.instance AND y.c = b",
     "board_links": f"WITH {ROLES} SELECT DISTINCT r.company, r.person, r.role, o.company AS other, o.role AS other_role FROM roles r LEFT JOIN roles o ON o.person = r.person AND o.company <> r.company WHERE r.role <> 'FORMERLY_AT'",
