@@ -10,7 +10,7 @@ from fundloom.graphmodel import Graph, sql
 from fundloom.operators.disclosure import xml_escape
 from fundloom.plans.graph_queries import CHANGES, TRIPLES, reviewed, triples, versions
 from fundloom.sources import filings
-from fundloom.sources.tables import new_path
+from fundloom.sources.tables import new_path, written
 from fundloom.streaming import ingest
 
 
@@ -97,9 +97,15 @@ def through_stream(g: Graph, parts: list[DataFrame], job) -> DataFrame:
     return g.spark.read.parquet(out)
 
 
+def in_three(rows: DataFrame) -> list[DataFrame]:
+    """Rows in three parts by order, which their numbers begin with, as they might come one after the other."""
+    first, second = rows.approxQuantile("doc_id", [0.3, 0.7], 0.01) if not rows.isEmpty() else (0, 0)
+    return [rows.where(F.col("doc_id") <= first), rows.where((F.col("doc_id") > first) & (F.col("doc_id") <= second)), rows.where(F.col("doc_id") > second)]
+
+
 def steward_stream(g: Graph) -> DataFrame:
-    rows = accepted(g).select("ord", text_of("subject").alias("subject"), "rel", text_of("object").alias("object"))
-    return through_stream(g, [rows], ingest.steward_state)
+    rows = accepted(g).select("ord", text_of("subject").alias("subject"), "rel", text_of("object").alias("object"), "doc_id")
+    return through_stream(g, in_three(written(rows, "stream-rows")), ingest.steward_state)
 
 
 def impact_changes(g: Graph) -> DataFrame:
@@ -108,12 +114,13 @@ def impact_changes(g: Graph) -> DataFrame:
 
 
 def edges_stream(g: Graph) -> DataFrame:
-    """The edge table after all accepted triples came as a stream."""
+    """The edge table after all accepted triples came as a stream, in three parts."""
     rows = accepted(g).select(text_of("subject").alias("subject"), "rel", text_of("object").alias("object"), "ord", "confidence", "doc_id")
     source, root, marks = (new_folder(g, n) for n in ("edges-in", "edges", "edges-marks"))
-    rows.write.parquet(source)
-    ingest.upsert_stream(g.spark.readStream.schema(rows.schema).parquet(source), root, marks).awaitTermination()
-    return ingest.latest(g.spark, root, 1).select("subject", "rel", "object", "corroboration", F.size("doc_ids").alias("n_docs"))
+    for part in in_three(written(rows, "stream-rows")):
+        part.write.mode("append").parquet(source)
+        ingest.upsert_stream(g.spark.readStream.schema(rows.schema).parquet(source), root, marks).awaitTermination()
+    return ingest.latest(g.spark, root, 3).select("subject", "rel", "object", "corroboration", F.size("doc_ids").alias("n_docs"))
 
 
 BUILD = {

@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fundloom.operators import steward
-from fundloom.sources.filings import write_version
 
 EDGE = "subject string, rel string, object string, corroboration long, confidence double, doc_ids array<long>"
 
 
-def latest(spark: SparkSession, root: str, upto: int) -> DataFrame:
-    """The edge table before batch ``upto``; empty before the first."""
-    if upto == 0:
-        return spark.createDataFrame([], EDGE)
-    return spark.read.schema(EDGE).parquet(f"{root}/v{upto:08d}")
+#: Buckets of an edge table; a batch rewrites those that its edges fall in.
+BUCKETS = 64
 
 
-def upsert_stream(triples: DataFrame, root: str, checkpoint: str):
-    """Each micro-batch of accepted triples (subject, rel, object, ord, confidence, doc_id) becomes a new version of the edge table.
+def bucket_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("subject", "rel", "object"), F.lit(n)).cast("int")
 
-    A version's name is its batch number, so a batch that is run again finds its version and writes nothing twice."""
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{number + 1:08d}/_SUCCESS")
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return
-        write_version(steward.upsert_edges(latest(spark, root, number), batch), root, number + 1)
+def commit(root: str, version: int) -> str:
+    return f"{root}/commits/v{version:08d}"
 
-    return triples.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def committed(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def places(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    """Of each bucket the version that wrote it last: one number a bucket."""
+    return {} if version == 0 else {r["bucket"]: r["version"] for r in spark.read.parquet(commit(root, version)).collect()}
+
+
+def latest(spark: SparkSession, root: str, upto: int, buckets: list[int] | None = None) -> DataFrame:
+    """The edge table before batch ``upto`` (counted from 0), or some buckets of it; empty before the first."""
+    paths = [f"{root}/data/v{v:08d}/bucket={b}" for b, v in sorted(places(spark, root, upto).items()) if buckets is None or b in buckets]
+    return spark.read.schema(EDGE).parquet(*paths) if paths else spark.createDataFrame([], EDGE)
+
+
+def merge_batch(batch: DataFrame, root: str, number: int, buckets: int = BUCKETS) -> None:
+    """Merge the triples of batch ``number`` into the edge table: the buckets that they fall in are read, merged and written anew, then one commit
+    says where each bucket lies. A batch that is run again after its commit does nothing; before it, it writes the same files over."""
+    spark, version = batch.sparkSession, number + 1
+    if committed(spark, commit(root, version)):
+        return
+    batch = batch.persist()
+    touched = [r["b"] for r in batch.select(bucket_of(buckets).alias("b")).distinct().collect()]
+    if touched:
+        merged = steward.upsert_edges(latest(spark, root, number, touched), batch).withColumn("bucket", bucket_of(buckets))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/v{version:08d}")
+    batch.unpersist()
+    now = places(spark, root, number) | {b: version for b in touched}
+    spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(commit(root, version))
+
+
+def upsert_stream(triples: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS):
+    """Each micro-batch of accepted triples (subject, rel, object, ord, confidence, doc_id) becomes a new version of the edge table."""
+    return triples.writeStream.foreachBatch(lambda batch, number: merge_batch(batch, root, number, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stage_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
@@ -43,27 +69,45 @@ def stage_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour")
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-DECISIONS = "ord string, subject string, rel string, object string, decision string, corroboration long"
+DECISIONS = "ord {}, subject string, rel string, object string, decision string, corroboration long"
+#: Where keyed map state is kept: the store that processors with named states need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def steward_state(triples: DataFrame) -> DataFrame:
-    """Decisions on a stream of accepted triples (ord, subject, rel, object, as strings), the same as of one batch however it is cut.
+class Steward(StatefulProcessor):
+    """State of a (subject, rel): how often each object was said, and how many objects there are. A row reads and writes its own object only."""
 
-    State is kept for each (subject, rel): its objects with their corroboration. Within a micro-batch triples go by ord, so ord must
-    rise from one to the next."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.said = handle.getMapState("said", "object string", "n long")
+        self.objects = handle.getValueState("objects", "n long")
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         subject, rel = key
-        known = json.loads(state.get[0]) if state.exists else {}
-        out = []
-        for r in pd.concat(list(batches)).sort_values("ord", kind="stable").itertuples():
-            n = known[r.object] = known.get(r.object, 0) + 1
-            conflict = rel in steward.FUNCTIONAL and n == 1 and len(known) > 1
+        objects, known, out = self.objects.get()[0] if self.objects.exists() else 0, {}, []
+        for r in pd.concat(list(rows)).sort_values("ord", kind="stable").itertuples():
+            if r.object not in known:
+                known[r.object] = self.said.getValue((r.object,))[0] if self.said.containsKey((r.object,)) else 0
+                objects += known[r.object] == 0
+            n = known[r.object] = known[r.object] + 1
+            conflict = rel in steward.FUNCTIONAL and n == 1 and objects > 1
             out.append((r.ord, subject, rel, r.object, "conflict" if conflict else "corroborate" if n > 1 else "insert", n))
-        state.update((json.dumps(known),))
+        for object_, n in known.items():
+            self.said.updateValue((object_,), (n,))
+        self.objects.update((objects,))
         yield pd.DataFrame(out, columns=["ord", "subject", "rel", "object", "decision", "corroboration"])
 
-    return triples.select("ord", "subject", "rel", "object").groupBy("subject", "rel").applyInPandasWithState(decide, DECISIONS, "known string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def steward_state(triples: DataFrame) -> DataFrame:
+    """Decisions on a stream of accepted triples (ord, subject, rel, object), the same as of one batch however it is cut.
+
+    Within a micro-batch the triples of a subject and relation go by ``ord`` as its type has it (numbers by size), so it must rise from one
+    batch to the next."""
+    triples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = triples.select("ord", "subject", "rel", "object")
+    return rows.groupBy("subject", "rel").transformWithStateInPandas(Steward(), DECISIONS.format(rows.schema["ord"].dataType.simpleString()), "Append", "None")
 
 
 CHANGES = "name string, subject string, object string, change string, old_value string, new_value string"

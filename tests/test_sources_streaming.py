@@ -99,6 +99,33 @@ def test_steward_state_is_the_batch_result_for_any_cut(spark, tmp_path, cuts):
     assert got == sorted((tuple(r) for r in want), key=str)
 
 
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_steward_state_goes_by_number(spark, tmp_path, cuts):
+    rows = [(k, "s", "SUBSIDIARY_OF", f"o{k // 5}") for k in (10, 9, 100, 11, 101, 99)] if cuts == 1 else [(k, "s", "SUBSIDIARY_OF", f"o{k // 5}") for k in (9, 10, 99, 11, 100, 101)]
+    got = streamed(spark, tmp_path, rows, "ord long, subject string, rel string, object string", ingest.steward_state, cuts, "numbers")
+    told = {r[0]: (r[4], r[5]) for r in got}
+    assert told[9] == ("insert", 1) and told[10][0] == told[99][0] == "conflict" and told[100] == ("conflict", 1) and told[101] == ("corroborate", 2)
+    assert told[11] == (("corroborate", 2) if cuts == 1 else ("corroborate", 2))
+
+
+def test_a_batch_writes_the_buckets_that_it_touches(spark, tmp_path):
+    schema, root = "subject string, rel string, object string, ord long, confidence double, doc_id long", str(tmp_path / "edges")
+    first = spark.createDataFrame([(f"s{i}", "R", f"o{i}", i, 0.5, i) for i in range(200)], schema)
+    second = spark.createDataFrame([("s3", "R", "o3", 900, 0.75, 7), ("new", "R", "o", 901, 0.25, 8)], schema)
+    ingest.merge_batch(first, root, 0)
+    size = lambda v: len(list((tmp_path / "edges" / "data" / f"v{v:08d}").glob("bucket=*")))
+    assert size(1) > 50
+    # A run that was killed before its commit leaves files; the next run writes them over.
+    first.limit(9).write.parquet(f"{root}/data/v00000002/bucket=1")
+    for _ in range(2):
+        ingest.merge_batch(second, root, 1)
+    assert size(2) <= 2 and ingest.latest(spark, root, 1).count() == 200 and ingest.latest(spark, root, 2).count() == 201
+    row = ingest.latest(spark, root, 2).where("subject = 's3'").first()
+    assert (row["corroboration"], row["confidence"], row["doc_ids"]) == (2, 0.75, [3, 7])
+    ingest.merge_batch(second.limit(0), root, 2)
+    assert ingest.latest(spark, root, 3).count() == 201
+
+
 @pytest.mark.parametrize("cuts", [1, 3])
 def test_impact_stream(spark, tmp_path, cuts):
     rows = [("E", "a", "x", "1", 1), ("E", "a", None, "1", 2), ("E", "a", "x", "1", 3), ("E", "a", "x", "2", 4), ("F", "a", "x", None, 5), ("E", "a", None, "3", 6)]
