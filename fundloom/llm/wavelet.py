@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fundloom.llm.packing import ChunkIds, token_ids
+from fundloom.llm.chunkids import HashedIds
 from fundloom.llm.shared import new_path, written
 from fundloom.llm.texthash import column
 from fundloom.llm.warc import Opened
@@ -175,16 +175,10 @@ class Shard:
 # --- tables of shards ------------------------------------------------------------------------------------------------
 
 
-class WorkersIds(ChunkIds):
-    """What a worker remembers from task to task is held beside its shard."""
-
-    MOST = 500_000
-
-
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WorkersIds:
-    """One a Python worker."""
-    return WorkersIds(path)
+def encoder(path: str) -> HashedIds:
+    """One a Python worker: what it knows of chunks goes from task to task."""
+    return HashedIds(path)
 
 
 LISTED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("tokens", pa.int64()), ("documents", pa.int64())])
@@ -205,7 +199,7 @@ def shard_writer(path: str, folder: str, end_id: int, shard_tokens: int):
             doc_ids, ids, held = [], [], 0
 
         for batch in batches:
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), token_ids(column(batch, "text"), encoder(path)), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoder(path).texts(column(batch, "text")), strict=True):
                 own[-1] = end_id
                 doc_ids.append(doc_id)
                 ids.append(own)

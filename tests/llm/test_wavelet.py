@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fundloom.llm import queries, wavelet
+from fundloom.llm import chunkids, queries, wavelet
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -83,3 +84,27 @@ def test_query(spark, tmp_path):
         if r["doc_id"] not in (None, 5):
             ids = [*t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
             assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_hashed_chunks_against_the_tokenizer(monkeypatch):
+    t, rnd = Tokenizer.from_file(PATH), random.Random(2)
+    odd = ["<|endoftext|> a<|endoftext|>b", "don't STOP\x1c x́ 1234 %%% été", "It's i'LL l.o.l ½ a1b2,,c''d ﬁ İI ẞ <|startoftext|>", "日本語 テキスト", "a" * 3000, "", None, " \n", "\x0b a\x0cb "]
+    texts = odd + [" ".join("".join(rnd.choice("abcdeß,.") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 300))) for _ in range(80)] + ["long text " * 3000]
+    column = pa.array(texts, pa.large_string())
+    for most, segment in ((2_000_000, 1 << 20), (50, 700)):
+        monkeypatch.setattr(chunkids.HashedIds, "MOST", most)
+        monkeypatch.setattr(chunkids, "SEGMENT", segment)
+        e = chunkids.HashedIds(PATH)
+        for part in (column, column.slice(4, 60), column):
+            got = [x[:-1].tolist() for x in e.texts(part)]
+            assert got == [t.encode(x or "", add_special_tokens=False).ids for x in part.to_pylist()]
+        assert e.slots.n <= most
+
+
+def test_slots():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 63, 5000).astype(np.uint64) << np.uint64(8) | np.uint64(1))  # low bits alike
+    s = chunkids.Slots(4)
+    for k in range(0, len(keys), 700):
+        s.add(keys[k : k + 700], np.arange(k, min(k + 700, len(keys)), dtype=np.int32))
+    assert (s.find(keys) == np.arange(len(keys))).all() and (s.find(keys + np.uint64(1)) == -1).all()
