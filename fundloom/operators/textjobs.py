@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fundloom.functions.text import HEADING
+from fundloom.operators.vectors import vector_top_k
 from fundloom.sources.tables import written
 
 HEADING_RE = re.compile(HEADING)
@@ -157,21 +158,6 @@ def detect_fund(questions: DataFrame, funds: DataFrame) -> DataFrame:
     return met.join(sizes, "fund").groupBy("question").agg(F.max_by("fund", score).alias("fund"))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.0, block: int = 256) -> DataFrame:
-    """query_id, vec_id, rank, score: the ``k`` rows most alike by cosine for each stated query row, itself left out.
-
-    Vectors are normalised once; the queries, a stated set, come in blocks of about ``block`` that each partition of vectors meets."""
-    unit = lambda df, key: df.select(F.col("vec_id").alias(key), F.expr("transform(embedding, x -> cast(x as double) / sqrt(aggregate(embedding, 0D, (s, v) -> s + cast(v as double) * cast(v as double))))").alias(f"u_{key}"))
-    n_blocks = max(1, queries.count() // block)
-    blocks = unit(queries, "query_id").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "u_query_id")).alias("block"))
-    scored = unit(vectors, "vec_id").join(blocks)
-    each = scored.select("vec_id", "u_vec_id", F.explode("block").alias("q")).select(F.col("q.query_id").alias("query_id"), "vec_id", F.expr("aggregate(zip_with(u_vec_id, q.u_query_id, (x, y) -> x * y), 0D, (s, v) -> s + v)").alias("score"))
-    best = each.where((F.col("query_id") != F.col("vec_id")) & (F.col("score") >= least))
-    # Ranks up to ``k`` are cut in each task before rows of a query meet.
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
-
-
 def embedding_candidates(vectors: DataFrame, mentions: DataFrame, threshold: float = 0.9, k: int = 5) -> DataFrame:
     """The ``k`` titles most alike to each mention, from the threshold on."""
     return vector_top_k(vectors, mentions, k, threshold)
