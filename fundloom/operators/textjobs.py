@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fundloom.functions.text import HEADING
 from fundloom.operators.vectors import vector_top_k
-from fundloom.sources.tables import written
+from fundloom.sources.tables import spread, written
 
 HEADING_RE = re.compile(HEADING)
 
@@ -76,18 +77,56 @@ def chunk_documents(docs: DataFrame, target: int = 1500, hard: int = 1800) -> Da
     return docs.select("doc_id", "text").mapInArrow(chunk, "doc_id long, chunk long, start long, length long, heading string")
 
 
+class TokenPairs:
+    """The 16 byte pairs of each token's digest as signed buckets (bucket, or -1 - bucket where the first byte is odd); tokens are hashed once, while ``MOST`` are held."""
+
+    MOST = 500_000
+
+    def __init__(self, dim: int):
+        self.dim, self.at, self.table = dim, {}, np.zeros((1024, 16), np.int32)
+
+    def rows(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self.at) > self.MOST:
+            self.at.clear()
+        at = [self.at.setdefault(t, len(self.at)) for t in tokens]
+        if len(self.at) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.at) - len(self.table), len(self.table)), 16), np.int32)])
+        return np.array(at, np.int64)
+
+    def counted(self, tokens: list[bytes]) -> np.ndarray:
+        """The sum of signed counts in each bucket."""
+        known = len(self.at) if len(self.at) <= self.MOST else 0
+        at = self.rows(tokens)
+        for t, k in dict(zip(tokens, at.tolist(), strict=True)).items():
+            if k >= known:
+                pairs = np.frombuffer(hashlib.sha256(t).digest(), ">u2").astype(np.int32)
+                self.table[k] = np.where(pairs >> 8 & 1, -1 - pairs % self.dim, pairs % self.dim)
+        pairs = self.table[at].ravel()
+        odd = pairs < 0
+        return np.bincount(pairs[~odd], minlength=self.dim) - np.bincount(-1 - pairs[odd], minlength=self.dim)
+
+
 def hash_embed(docs: DataFrame, dim: int = 384) -> DataFrame:
-    """doc_id, bucket, value: signed feature hashing of each token's digest (16 byte pairs), normalised; zeros left out.
+    """doc_id, bucket, value: signed feature hashing of each token's digest (16 byte pairs), normalised; zeros left out. Each row is embedded
+    where it lies, by itself; null texts have no tokens."""
 
-    Each distinct token is hashed once, and each text's buckets are summed where its tokens are counted."""
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    pairs = F.expr("transform(sequence(0, 15), k -> cast(conv(substr(h, k * 4 + 1, 4), 16, 10) as int))")
-    hashed = tokens.select("token").distinct().select(F.col("token").alias("t"), F.sha2("token", 256).alias("h")).select("t", pairs.alias("pairs"))
-    met = tokens.hint("merge").join(hashed.hint("merge"), F.col("token") == F.col("t")).select("doc_id", "n", F.explode("pairs").alias("x"))
-    signed = met.select("doc_id", F.pmod("x", F.lit(dim)).alias("bucket"), F.when(F.floor(F.col("x") / 256) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("v"))
-    summed = signed.groupBy("doc_id", "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
-    return summed.select("doc_id", "bucket", F.round(F.col("v") / norm, 6).alias("value"))
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenPairs(dim)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            for a in range(0, batch.num_rows, 1000):
+                ids, buckets, values = [], [], []
+                for doc_id, text in zip(batch.column("doc_id").slice(a, 1000).to_pylist(), texts.slice(a, 1000), strict=True):
+                    tokens = re.findall(rb"[a-z0-9]+", text.as_py() or b"")
+                    v = known.counted(tokens) if tokens else np.zeros(dim, np.int64)
+                    bucket = np.flatnonzero(v)
+                    ids += [doc_id] * len(bucket)
+                    buckets.append(bucket)
+                    values.append(v[bucket] / np.sqrt((v * v).sum(dtype=np.float64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(buckets), pa.int64()), pa.array(np.concatenate(values), pa.float64())], names=["doc_id", "bucket", "value"])
+
+    low = spread(docs.select("doc_id", F.lower("text").alias("text")))
+    return low.mapInArrow(embed, "doc_id long, bucket long, value double").select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
 
 #: A text is taken apart into words and what stands between them; letters, digits and the underscore are of words.
@@ -125,7 +164,7 @@ def detect_mentions(docs: DataFrame, vocabulary: DataFrame, small: int = 200_000
     n, before, after, size = index.agg(F.count("*"), F.max("back"), F.max(F.size("parts") - F.col("back")), F.sum(F.char_length("alias"))).first()
     if not n:
         return docs.select("doc_id", F.lit(None).cast(vocabulary.schema["canonical"].dataType).alias("canonical"), F.lit(0).cast("long").alias("first_pos")).limit(0)
-    seen = docs.select("doc_id", parts_of(F.lower("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("i", "part"))
+    seen = spread(docs).select("doc_id", parts_of(F.lower("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("i", "part"))
     chars = lambda parts: F.char_length(F.array_join(parts, ""))
     if n <= small and size <= 64 * small:
         met = seen.select("doc_id", "w", "part", F.col("i").alias("own"), F.lit(0).alias("left_out")).join(F.broadcast(index), F.col("part") == F.col("anchor"))
