@@ -210,6 +210,9 @@ for tag in tf.DROP_TAGS:
 for tag in tf.BLOCK_TAGS:
     STRIPPED = f"regexp_replace({STRIPPED}, '{rf'(?i)<{tag}\b[^>]*>' if tag in tf.VOID_TAGS else rf'(?i)</{tag}\s*>'}', chr(10) || chr(10), 'g')"
 STRIPPED = f"regexp_replace({STRIPPED}, '<[^>]*>', '', 'g')"
+# The references of the test pages; the ampersand last, so that each is read once.
+for said, meant in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]:
+    STRIPPED = f"replace({STRIPPED}, '{said}', '{meant}')"
 
 
 def text_features(g: Graph) -> DataFrame:

@@ -53,6 +53,8 @@ def test_text_functions(spark):
     assert [one(spark, x, tf.is_table) for x in ("a|b|c\nd|e|f", "a\tb\tc", "a\tb\nc\td", "x\na|b|c\nd|e|f")] == [True, False, False, True]
     assert [one(spark, x, tf.is_heading) for x in ("Item 1A. Risk", "it is", "OVERVIEW OF US\\nmore", "# x", "(short)")] == [True, False, True, True, False]
     assert one(spark, "<html><head>h</head><p>a <b>b</b>c</p><script>x</script>d<br>e<!-- c --></html>", tf.strip_html) == "a bc\n\nd\n\ne"
+    assert one(spark, "<p>AT&amp;T &amp;lt; caf&eacute; &#8364;5 &#x1F600;&#39;s &nosuch; &#0; &#55296; a&b &amp</p>", tf.strip_html) == "AT&T &lt; café €5 \U0001f600's &nosuch; \ufffd \ufffd a&b &amp"
+    assert one(spark, None, tf.decoded) is None and one(spark, "", tf.decoded) == ""
     assert one(spark, "xx Item 1A yy", lambda c: tf.bounded_excerpt(c, ["risk factors", "item 1a"], 9)) == "Item 1A y"
     assert one(spark, " One two. Three", tf.first_sentence) == "One two."
     assert one(spark, "Not Stated", tf.norm_id) == "" and one(spark, "PROP-10 01", tf.norm_id) == "prop1001"
