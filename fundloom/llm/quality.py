@@ -8,6 +8,11 @@ lower fence in the same way. They stay within a factor ``APART`` of the language
 thresholds of all rows, so a source that is mostly junk can't lift its own fence. They are joined to the measures and
 applied. Native DataFrame expressions throughout.
 
+Most texts repeat no line, so the fence of repeated lines is often zero and would make any repeated line an outlier. There the fence is read from a
+second sketch, of the texts that do repeat some: the nearest of the source, the language and all rows whose fence is above zero or that
+has ``min_group`` such texts decides. It isn't held to its parent's: a source of songs may repeat lines as it likes, and text that repeats itself
+throughout fails the base rule.
+
 Nulls and edge cases: a null text has no words and fails the base rule; null ``lang`` or ``source`` form a group of
 their own; a group with fewer than ``min_group`` sketched rows uses its language's thresholds, and such a language those of all
 rows, there with the least fences of ``SLACK``; repeated rows are measured one by one; an empty table gives an empty result; other columns are ignored.
@@ -27,9 +32,11 @@ ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Quantile above which rows may be outliers, and how many times its parent's a group's fence may be (and a fraction of it).
 TAIL, APART = 0.95, 2.0
-#: Measure -> what a text may have beyond its fence, so that one stray symbol, one repeated line or one repeated window of 3
-#: words is no outlier in a group of spotless texts, whose fences are at zero.
-STRAY = {"symbol_rate": ("n_symbols", 1), "dup_line_rate": ("n_dup_lines", 1), "repeat_rate": ("n_repeat_words", 6)}
+#: Measure -> what a text may have beyond its fence, so that one stray symbol or one repeated window of 3 words is no outlier in a group of
+#: spotless texts, whose fences are at zero.
+STRAY = {"symbol_rate": ("n_symbols", 1), "repeat_rate": ("n_repeat_words", 6)}
+#: The measure of texts that repeat lines, among themselves.
+SOME = "dup_line_some"
 #: Measure -> least upper fence over all rows, for languages with too few rows to have fences of their own.
 SLACK = {"symbol_rate": 0.05, "dup_line_rate": 0.2, "repeat_rate": 0.2, "mean_word": 12.0}
 
@@ -91,9 +98,11 @@ def base_failed() -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """Bucket counts per (lang, source), per lang and over all; ``level`` 0, 1, 2. Bucket -100000 holds zeros."""
-    values = F.explode(F.create_map(*[x for k, v in rates().items() for x in (F.lit(k), v)])).alias("measure", "value")
+    told = rates()
+    told[SOME] = F.when(told["dup_line_rate"] > 0, told["dup_line_rate"])
+    values = F.explode(F.create_map(*[x for k, v in told.items() for x in (F.lit(k), v)])).alias("measure", "value")
     bucket = F.when(F.col("value") > 0, F.ceil(F.log(F.col("value")) / math.log(GAMMA)).cast("int")).otherwise(F.lit(-100_000))
-    fine = measured.select("lang", "source", values).groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    fine = measured.select("lang", "source", values).where("value is not null").groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     by_lang = fine.groupBy("lang", F.lit(None).cast("string").alias("source"), "measure", "bucket").agg(F.sum("n").alias("n")).withColumn("level", F.lit(1))
     overall = fine.groupBy(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "measure", "bucket").agg(F.sum("n").alias("n")).withColumn("level", F.lit(2))
     return fine.withColumn("level", F.lit(0)).unionByName(by_lang).unionByName(overall)
@@ -114,6 +123,8 @@ def thresholds(counts: DataFrame, reach: float = 3.0) -> DataFrame:
         of = lambda c, m=m: F.max(F.when(F.col("measure") == m, c))
         least = F.when(F.col("level") == 2, F.greatest(F.col("fence"), F.lit(slack))).otherwise(F.col("fence"))
         picked += [of(least).alias(m), of(F.col("fence")).alias(f"{m}_raw"), of(F.col("low")).alias(f"{m}_low")]
+    some = F.col("measure") == SOME
+    picked += [F.max(F.when(some, F.col("fence"))).alias(SOME), F.coalesce(F.max(F.when(some, F.col("size"))), F.lit(0)).alias(f"{SOME}_n")]
     return fences.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *picked)
 
 
@@ -127,7 +138,7 @@ def quality_rules(docs: DataFrame, min_group: int = 50, reach: float = 3.0) -> D
     measured = written(measures(docs), "quality-measures")
     # A few numbers for each language and source, written so that the planner sees their true size.
     fences = written(thresholds(sketches(measured.where(~base_failed())), reach), "quality-thresholds")
-    names = [f"{m}{end}" for m in SLACK for end in ("", "_raw", "_low")]
+    names = [*(f"{m}{end}" for m in SLACK for end in ("", "_raw", "_low")), SOME, f"{SOME}_n"]
     as_level = lambda n: fences.where((F.col("level") == n) & ((F.col("size") >= min_group) | F.lit(n == 2))).select(F.col("lang").alias(f"l{n}"), F.col("source").alias(f"s{n}"), F.struct(*names).alias(f"f{n}"))
     with_fences = (
         measured.join(as_level(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
@@ -140,10 +151,15 @@ def quality_rules(docs: DataFrame, min_group: int = 50, reach: float = 3.0) -> D
         f1 = near(f1, f2)
         return F.coalesce(near(f0, f1), f1, F.col("f2")[m] if end == "_raw" else f2)
 
+    def line_fence() -> Column:
+        levels = [F.col(f"f{n}") for n in range(3)]
+        own = [x for f in levels for x in (F.when(f["dup_line_rate_raw"] > 0, f["dup_line_rate_raw"]), F.when(f[f"{SOME}_n"] >= min_group, f[SOME]))]
+        return F.coalesce(*own, F.lit(SLACK["dup_line_rate"]))
+
     # bool_or over the measures; the sketch's relative error is allowed for.
     outlier = F.lit(False)
     for m, rate in rates(stray=True).items():
-        outlier = outlier | (rate > fence(m, "_raw") * (1 + 2 * ALPHA))
+        outlier = outlier | (rate > (line_fence() if m == "dup_line_rate" else fence(m, "_raw")) * (1 + 2 * ALPHA))
     outlier = outlier | (rates()["mean_word"] < fence("mean_word", "_low") * (1 - 2 * ALPHA))
     failed = base_failed()
     return with_fences.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept"))

@@ -168,6 +168,36 @@ def test_quality_against_exact_quantiles(spark):
     assert got[1000] and not got[1001]  # common in one source, an outlier in the other
 
 
+def test_repeated_lines_are_judged_by_their_like(spark):
+    """A source of songs is kept by its own sketch; elsewhere the few texts that repeat lines are held against each other."""
+    rnd = random.Random(8)
+    line = lambda: " ".join("".join(rnd.choice("abcdefghijklm") for _ in range(6)) for _ in range(2))
+
+    def text(lines, again):
+        own = [line() for _ in range(lines - again)]
+        for _ in range(again):
+            own.insert(rnd.randrange(len(own)) + 1, own[0])
+        return "\n".join(own)
+
+    rows = [(i, text(33, 2), "en", "songs", 1) for i in range(140)] + [(10_000 + i, text(33, 0), "en", f"s{i % 5}", 1) for i in range(5000)]
+    few = [(5000 + i, text(30 + i % 9, 1 + (i % 3 == 0)), "en", f"s{i % 5}", 1) for i in range(80)]
+    far = [(9000 + i, text(30, 11), "en", f"s{i}", 1) for i in range(3)]
+    kept = {r["doc_id"] for r in quality.quality_rules(spark.createDataFrame(rows + few + far, DOCS)).collect() if r["kept"]}
+    assert {r[0] for r in rows} <= kept
+    # By the rule: over all texts of the language that repeat lines, three times the middle half's width above it.
+    rate = {}
+    for i, t, *_ in rows + few + far:
+        lines = t.split("\n")
+        rate[i] = (len(lines) - len(set(lines))) / len(lines)
+    some = sorted(x for x in rate.values() if x > 0)
+    q1, q3, top = (some[math.ceil(q * len(some)) - 1] for q in (0.25, 0.75, 0.95))
+    fence = max(q3 + 3 * (q3 - q1), top)
+    for i, *_ in few + far:
+        if abs(rate[i] / fence - 1) > 5 * quality.ALPHA:
+            assert (i in kept) == (rate[i] <= fence)
+    assert not {r[0] for r in far} & kept and len({r[0] for r in few} & kept) > 70
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" * rnd.randint(1, 9) for _ in range(60)), "en", f"s{i % 4}", 1) for i in range(200)]
