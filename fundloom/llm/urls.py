@@ -13,6 +13,8 @@ nothing is blocked by rules mined; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +58,40 @@ def surely(hits: Column, of: Column, deviations: float = DEVIATIONS) -> Column:
     return (p + z2 / (2 * of) - deviations * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
 
 
+def twin_tokens(each: DataFrame, fewest: int) -> DataFrame:
+    """twin, tokens: the tokens that at least ``fewest`` rows hold, those that just the same rows hold together under the least of them; the label stands alone.
+
+    each: row, token. Rows are compared by their number and two sums of hashes. Tokens with that many rows are few, so lists are short."""
+    mark = lambda seed: F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)"))
+    held = each.groupBy("token").agg(F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b")).where(F.col("n") >= fewest)
+    alone = F.when(F.col("token") == BLOCK, F.lit(1)).otherwise(F.lit(0))
+    return held.groupBy("n", "a", "b", alone).agg(F.min("token").alias("twin"), F.sort_array(F.collect_list("token")).alias("tokens")).select("twin", "tokens")
+
+
+def with_twins(rules: DataFrame, twins: DataFrame) -> DataFrame:
+    """Each rule once for every choice of a token in place of each of its twins."""
+    each = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("twin")).hint("merge").join(twins.withColumnRenamed("tokens", "like").hint("merge"), "twin")
+    kept = each.groupBy("tokens", "confidence", "support").agg(F.collect_list("like").alias("likes"))
+    none = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("likes", none, lambda done, like: F.flatten(F.transform(done, lambda d: F.transform(like, lambda x: F.concat(d, F.array(x))))))
+    return kept.select(F.explode(choices).alias("tokens"), "confidence", "support").withColumn("tokens", F.sort_array("tokens"))
+
+
 def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, least: int = LEAST) -> DataFrame:
     """``labelled``: url, bad (boolean). tokens, confidence (its lower bound), support; no rule that a part of it makes as surely."""
     items = labelled.where("url is not null and bad is not null").select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    items = written(items, "url-items")
+    items = written(items.withColumn("row", F.monotonically_increasing_id()), "url-items")
     n = items.count()
     support = max(min_support, least / max(n, 1))
     if support > 1:  # fewer pages than a rule needs
         return written(items.select(F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0), "url-rules")
-    sets = written(FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).freqItemsets.withColumn("items", F.sort_array("items")), "url-itemsets")
+    fewest = math.ceil(support * n - 1e-9)
+    each = items.select("row", F.explode("items").alias("token"))
+    twins = written(twin_tokens(each, fewest), "url-twins")
+    # One token of each set of twins is mined; tokens that are too rare for any rule are in no set anyway.
+    mined = written(each.hint("merge").join(twins.select(F.col("twin").alias("token")).hint("merge"), "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items")), "url-mined")
+    sets = FPGrowth(itemsCol="items", minSupport=(fewest - 0.5) / max(mined.count(), 1), minConfidence=min_confidence).fit(mined).freqItemsets
+    sets = written(sets.withColumn("items", F.sort_array("items")), "url-itemsets")
     bad = sets.where(F.array_contains("items", BLOCK)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("hits")).where(F.size("tokens") > 0)
     both = bad.hint("merge").join(sets.withColumnRenamed("items", "tokens").hint("merge"), "tokens")
     rules = both.select("tokens", surely(F.col("hits"), F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support")).where(F.col("confidence") >= min_confidence)
@@ -73,7 +100,7 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     shorter = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).select("tokens", "confidence", F.array_remove(F.col("tokens"), F.col("t")).alias("part"))
     known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
     beaten = shorter.hint("merge").join(known.hint("merge"), "part").where("sure >= confidence").select("tokens").distinct()
-    return written(rules.hint("merge").join(beaten.hint("merge"), "tokens", "left_anti"), "url-rules-pruned")
+    return written(with_twins(rules.hint("merge").join(beaten.hint("merge"), "tokens", "left_anti"), twins), "url-rules-pruned")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:

@@ -325,3 +325,11 @@ def test_columns_with_clashing_names_come_through(spark, stage):
     assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
     assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASH)
     assert stage != "redacted" or [r["text"] for r in rows if r["doc_id"] == 2] == ["say [REDACTED] now"]
+
+
+def test_tokens_that_stand_together_are_mined_as_one(spark):
+    rnd = random.Random(2)
+    keys = "&".join(f"{chr(97 + k)}{chr(97 + k)}=1" for k in range(25))
+    rows = [(f"http://a.com/{rnd.choice('pq')}?{keys}" if i % 20 == 0 else f"http://a.com/{rnd.choice('pq')}", i % 20 == 0) for i in range(2000)]
+    rules = urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert {tuple(r["tokens"]) for r in rules} == {(f"query:{chr(97 + k) * 2}",) for k in range(25)} and len(rules) == 25
