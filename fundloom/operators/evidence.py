@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.operators.scope import graph_visible, text_visible
+from fundloom.operators.traversal import fund_reach
 
 
 def firm_scope_chunks(chunks: DataFrame, mentions: DataFrame, held: DataFrame | None, stamped: DataFrame) -> DataFrame:
@@ -88,6 +89,52 @@ def post_filtered(nearest: DataFrame, chunks: DataFrame, entitlements: list[str]
     return nearest.join(seen, "chunk_id", "left_semi")
 
 
+def said_step(start, rel, end, detail=None) -> Column:
+    """One step of a path as text; a detail stands in brackets."""
+    text = lambda x: F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
+    plain = F.concat_ws("-", text(start), rel if isinstance(rel, Column) else F.lit(rel), text(end))
+    return plain if detail is None else F.concat(plain, F.lit("["), detail, F.lit("]"))
+
+
+def in_order(step: Column) -> Column:
+    return F.array_sort(F.collect_set(step))
+
+
+def chokepoint_paths(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
+    """fund, label, steps: a path from each holding that reaches, within two hops, the node that most of the fund's holdings reach and that it doesn't
+    hold (ties: the smaller id)."""
+    held = holds.select("fund", F.col("company").alias("node"))
+    via = fund_reach(holds, supplies_to).join(held, ["fund", "node"], "left_anti").select("fund", "company", "node").distinct()
+    most = via.groupBy("fund", "node").agg(F.count("*").alias("n")).groupBy(F.col("fund").alias("f")).agg(F.min_by("node", F.struct((-F.col("n")).alias("n"), "node")).alias("top"))
+    told = via.join(most, (F.col("fund") == F.col("f")) & (F.col("node") == F.col("top")))
+    label = F.concat(F.col("company").cast("string"), F.lit(" → … → "), F.col("node").cast("string"))
+    return told.select("fund", label.alias("label"), said_step("company", "SUPPLIES_TO*1..2", "node").alias("steps"))
+
+
+def coverage_gap_paths(holds: DataFrame, exposed_to: DataFrame, risk_factor: DataFrame, covers: DataFrame) -> DataFrame:
+    """fund, label, steps: for each risk of a fund's holdings that no section covers, a step from each exposed holding, in order of names, and the missing one."""
+    gaps = holds.select("fund", "company").join(exposed_to.select("company", "risk_title"), "company").join(covers.select("risk_title"), "risk_title", "left_anti")
+    told = gaps.join(risk_factor.select(F.col("title").alias("risk_title"), F.coalesce("category", F.lit("")).alias("category")), "risk_title")
+    steps = told.groupBy("fund", "risk_title").agg(in_order(said_step("company", "EXPOSED_TO", "risk_title", F.col("category"))).alias("steps"))
+    last = F.array(said_step(F.lit("prospectus (485BPOS)"), "COVERS?", "risk_title", F.lit("MISSING")))
+    return steps.select("fund", F.concat(F.lit("Uncovered: "), "risk_title").alias("label"), F.array_join(F.concat("steps", last), "|").alias("steps"))
+
+
+def board_paths(links: DataFrame) -> DataFrame:
+    """company, label, steps: for each director or officer of a company the role there, then those elsewhere. links: company, person, role, other, other_role."""
+    elsewhere = F.when(F.col("other").isNotNull(), said_step("person", F.coalesce("other_role", F.lit("LINK")), "other"))
+    told = links.groupBy("company", "person", "role").agg(in_order(elsewhere).alias("others"))
+    steps = F.array_join(F.concat(F.array(said_step("person", F.col("role"), "company")), "others"), "|")
+    return told.select("company", F.concat(F.col("person").cast("string"), F.lit(" interlocks/alumni")).alias("label"), steps.alias("steps"))
+
+
+def exposure_steps(paths: DataFrame) -> DataFrame:
+    """label, steps of each path. paths: path (ids between ``>``), labels (of the edges, between ``>``)."""
+    nodes, labels = F.split("path", ">"), F.split("labels", ">")
+    each = F.transform(F.sequence(F.lit(0), F.size(nodes) - 2), lambda i: F.concat(F.get(nodes, i), F.lit("-SUPPLIES_TO-"), F.get(nodes, i + 1), F.coalesce(F.concat(F.lit("["), F.get(labels, i), F.lit("]")), F.lit(""))))
+    return paths.where(F.size(nodes) > 1).select(F.concat(F.get(nodes, F.lit(0)), F.lit(" → "), F.element_at(nodes, -1)).alias("label"), F.array_join(each, "|").alias("steps"))
+
+
 def shared_supplier_paths(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
     """fund, label, steps: the path from a fund over each holding to its most shared critical supplier (ties: the smaller id)."""
     edges = holds.select("fund", "company").join(supplies_to.where("criticality = 'critical'"), F.col("company") == F.col("src")).select("fund", "company", F.col("dst").alias("supplier")).distinct()

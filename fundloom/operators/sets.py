@@ -47,6 +47,26 @@ def section_filter(docs: DataFrame, heading: str) -> DataFrame:
     return inside.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n").alias("text"))
 
 
+#: How the lines start that head a filing's items.
+ITEM_HEADS = {"1": ["item 1.", "item 1:", "item 1 "], "1a": ["item 1a"], "7": ["item 7.", "item 7:", "item 7 "]}
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def item_sections(docs: DataFrame, sections: list[str]) -> DataFrame:
+    """doc_id, text: the asked items of each filing (like ``["1", "1A", "Item 7"]``), each from its heading to the next item's, white space at its ends left
+    off, joined by blank lines in order; filings without any give no row. An item that stands twice is given twice; rows are taken by themselves."""
+    wanted = [s.lower().replace("item", "").strip() for s in sections]
+    start = lambda line: F.lower(F.regexp_replace(line, r"^\s+", ""))
+    key = lambda line: F.coalesce(*[F.when(F.startswith(start(line), F.lit(h)), F.lit(k)) for k, heads in ITEM_HEADS.items() for h in heads])
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), LINE_END, -1).alias("lines")).withColumn("keys", F.transform("lines", key))
+    marks = F.filter(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))), lambda x: x["key"].isNotNull())
+    marked = lines.select("doc_id", "lines", marks.alias("marks")).where(F.size("marks") > 0)
+    stop = lambda i: F.coalesce(F.get("marks", i + 1)["at"], F.size("lines"))
+    bodies = F.transform("marks", lambda m, i: F.struct(m["key"].alias("key"), F.regexp_replace(F.array_join(F.slice("lines", m["at"] + 1, stop(i) - m["at"]), "\n"), r"^\s+|\s+$", "").alias("body")))
+    text = F.array_join(F.transform(F.filter(bodies, lambda x: x["key"].isin(wanted) & (x["body"] != "")), lambda x: x["body"]), "\n\n")
+    return marked.select("doc_id", text.alias("text")).where("text <> ''")
+
+
 def budgeted(first: DataFrame, second: DataFrame, budget: int) -> DataFrame:
     """firm, kind, key, rank: at most ``budget`` of each firm, all of the first list before the second; both: firm, key, ord."""
     both = first.select("firm", F.lit("holding").alias("kind"), "key", "ord", F.lit(0).alias("p")).unionByName(second.select("firm", F.lit("fund").alias("kind"), "key", "ord", F.lit(1).alias("p")))

@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 from fundloom.functions import ontology as onto
 from fundloom.functions import text as tf
 from fundloom.graphmodel import CATEGORIES, Graph, sql
-from fundloom.operators import disclosure, evidence, ingestflow, mdm, onboard, reports, risk, scope, sets, steward, textjobs
+from fundloom.operators import disclosure, evidence, ingestflow, mdm, onboard, reports, risk, scope, sets, simjoin, steward, textjobs, traversal
 from fundloom.plans.graph_queries import CHANGES, DERIVED, FIRM, FORM_CASE, INTERNAL_CASE, NORM, REACHED, RECORDS, RESOLVED, STRIPPED, WS, changes, derived, golden, mentions, reached, records, spine, stamped
-from fundloom.plans.more_queries import budget_lists
-from fundloom.plans.risk_queries import HHI, PROV, SUM, SUPP, provenance
+from fundloom.plans.more_queries import ROLES, budget_lists, roles
+from fundloom.plans.risk_queries import HHI, PROV, REACH, SUM, SUPP, chain_pairs, provenance
 from fundloom.sources.filings import scan_documents
 
 PREFIXES = {"fibo-fnd-plc-rp": "https://spec.edmcouncil.org/fibo/ontology/FND/Places/RealProperty/", "cmns-org": "https://www.omg.org/spec/Commons/Organizations/", "ex": "https://example.org/", "ex-sub": "https://example.org/sub/"}
@@ -202,7 +202,20 @@ def results(g: Graph) -> DataFrame:
     return g.supplies_to.groupBy(F.col("dst").alias("result")).agg(F.collect_set(F.when(F.col("criticality") != "rumoured", F.col("src"))).alias("entities"))
 
 
+def named_documents(g: Graph, k: int) -> DataFrame:
+    """ord, name: the even or odd documents under their first three words, as names that are like each other by chance and as near copies are."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n]+"), F.lit(0))
+    return g.table("documents").where(F.col("doc_id") % 2 == k).select(F.col("doc_id").alias("ord"), F.array_join(F.slice(words, 1, 3), " ").alias("name"))
+
+
+def itemised(g: Graph) -> DataFrame:
+    """Documents whose third, fifth and seventh lines (and their multiples) head items."""
+    head = lambda line, i: F.when(i % 3 == 0, F.concat(F.lit("  Item 1A. "), line)).when(i % 5 == 0, F.concat(F.lit("ITEM 7: "), line)).when(i % 7 == 0, F.concat(F.lit("item 1 "), line)).otherwise(line)
+    return g.table("documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda line, i: head(line, i + 1)), "\n").alias("text"))
+
+
 BUILD = {
+    "item_sections": lambda g: sets.item_sections(itemised(g), ["1A", "Item 7"]).select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("n_chars")),
     "firm_scope_chunks": lambda g: evidence.firm_scope_chunks(chunks(g), chunks(g).select("chunk_id", "company"), held(g), stamped(g)).select("chunk_id"),
     "firm_has_chunks": lambda g: evidence.firm_has_chunks(firm_chunks(g), g.firm),
     "evidence_chunks": evidence_of,
@@ -215,6 +228,10 @@ BUILD = {
     "strip_embedding": lambda g: g.table("embeddings").select("vec_id", onto.sorted_text(evidence.strip_embedding(F.create_map(F.lit("embedding"), F.lit("v"), F.lit("label"), text_of("label")))).alias("props")),
     "edge_limit": lambda g: evidence.edge_limit(scope.firm_scope_edges(FIRM, g.managed_by, g.holds, g.supplies_to, g.exposed_to, g.mentions)),
     "analytics_in_firm": lambda g: evidence.analytics_in_firm(results(g), held(g)).select("result"),
+    "chokepoint_paths": lambda g: evidence.chokepoint_paths(g.holds, g.supplies_to),
+    "coverage_gap_paths": lambda g: evidence.coverage_gap_paths(g.holds, g.exposed_to, g.risk_factor, g.covers),
+    "board_paths": lambda g: evidence.board_paths(sets.board_links(roles(g), g.company)),
+    "exposure_steps": lambda g: evidence.exposure_steps(traversal.exposure_paths(g.supplies_to, chain_pairs(g))),
     "ui_paths": lambda g: evidence.shared_supplier_paths(g.holds, g.supplies_to),
     "top_holdings_filter": lambda g: onboard.top_holdings_filter(g.table("part").select("p_partkey", F.when(F.col("p_size") == 1, " n/a ").when(F.col("p_size") == 2, "").when(F.col("p_size") != 3, F.col("p_name")).alias("name"))),
     "fund_universe": lambda g: onboard.fund_universe(g.fund, g.managed_by, FIRM).select("fund", "name"),
@@ -234,7 +251,9 @@ BUILD = {
     "canonical_existing_lookup": lambda g: onboard.canonical_existing(groups(g), existing(g)),
     "enrich_lei": lambda g: onboard.enrich_lei(g.company.select("company", F.upper("name").alias("title")), g.company.where("country > 10").select(F.concat(F.lit(" "), "name").alias("legal_name"), F.concat(F.lit("L"), text_of("company")).alias("lei"))).select("company", "lei"),
     "existing_edges": lambda g: onboard.existing_edges(g.supplies_to.select(text_of("src").alias("subject"), F.lit("SUPPLIES_TO").alias("rel"), text_of("dst").alias("object")), changes(g).where("kind = 'relation' and change = 'added'").select("subject", F.col("name").alias("rel"))),
-    "attach_lei": lambda g: onboard.attach_lei(g.table("supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("Firm "), text_of("s_suppkey"), F.lit(" Capital")).alias("name"), F.when(F.col("s_suppkey") % 4 == 0, "has").alias("lei")), g.table("supplier").select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("firm "), text_of("s_suppkey"), F.lit(" capita"))).otherwise(F.concat(F.lit("Other "), text_of("s_suppkey"))).alias("name"), F.concat(F.lit("L"), text_of("s_suppkey")).alias("lei"))),
+    "attach_lei": lambda g: onboard.attach_lei(named_documents(g, 0).select("ord", "name", F.when(F.col("ord") % 8 == 0, "has").alias("lei")), named_documents(g, 1).select("ord", "name", F.concat(F.lit("L"), text_of("ord")).alias("lei"))),
+    "name_containment": lambda g: simjoin.containment_pairs(named_documents(g, 0).select(F.lower("name").alias("a")), named_documents(g, 1).select(F.lower(F.substring_index("name", " ", 2)).alias("b"))),
+    "name_pairs": lambda g: simjoin.name_pairs(named_documents(g, 0).select(F.lower("name").alias("a")), named_documents(g, 1).select(F.lower("name").alias("b"))),
     "name_similarity": lambda g: g.company.join(g.table("part").select(F.col("p_partkey").alias("company"), "p_name", "p_type"), "company").select("company", onboard.candidate_score(F.lit("red ring"), F.col("p_name"), F.when(F.col("country") > 25, "fund_family").otherwise("company"), F.when(F.col("country") > 10, "edgar").otherwise("gleif"), F.when(F.col("country") > 5, F.lit("1")), F.lit(None).cast("string"), F.col("country")).alias("score")),
     "onboard_holdings": lambda g: onboard.onboard_holdings(g.holds.join(g.company.select("company", F.concat(F.lit("The PART#"), F.lpad(text_of(F.col("company") % 300), 9, "0"), F.lit(", Corp")).alias("company_name")), "company"), g.managed_by, steward.resolve_mentions(mentions(g).select("mention", F.lit(None).cast("string").alias("ticker")).distinct(), spine(g))),
     "enrich_firms": lambda g: onboard.enrich_firms(budgeted(g), g.table("documents").select(F.concat(F.lit("c"), text_of("doc_id")).alias("key"), "doc_id", "text")).select("firm", "kind", "key", "doc_id", F.md5("text").alias("text_md5")),
@@ -412,6 +431,17 @@ rels AS (SELECT *, lead(name) OVER (PARTITION BY doc_id ORDER BY ord) AS object
 good AS (SELECT *, row_number() OVER (PARTITION BY subject, rel, object ORDER BY ord) AS nth, min(ord) OVER (PARTITION BY subject, rel) AS first_ord FROM tri WHERE confidence >= 0.6),
 decided AS (SELECT ord, doc_id, CASE WHEN rel = 'SUBSIDIARY_OF' AND nth = 1 AND first_ord < ord THEN 'conflict' WHEN nth > 1 THEN 'corroborate' ELSE 'insert' END AS decision, CAST(NULL AS VARCHAR) AS reason FROM good UNION ALL SELECT ord, doc_id, 'reject', 'low confidence' FROM tri WHERE confidence < 0.6)"""
 SQL |= {
+    "chokepoint_paths": f"WITH {REACH}, v AS (SELECT DISTINCT h.fund, h.company, node FROM holds h JOIN reach ON h.company = seed WHERE NOT EXISTS (SELECT 1 FROM holds o WHERE o.fund = h.fund AND o.company = node)), n AS (SELECT fund, node, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT fund, arg_min(node, (-n, node)) AS node FROM n GROUP BY fund) SELECT fund, company || ' → … → ' || node AS label, company || '-SUPPLIES_TO*1..2-' || node AS steps FROM v JOIN t USING (fund, node)",
+    "coverage_gap_paths": "WITH s AS (SELECT DISTINCT fund, risk_title, company || '-EXPOSED_TO-' || risk_title || '[' || coalesce(category, '') || ']' AS step FROM holds JOIN exposed_to USING (company) JOIN risk_factor ON title = risk_title WHERE risk_title NOT IN (SELECT risk_title FROM covers)) SELECT fund, 'Uncovered: ' || risk_title AS label, string_agg(step, '|' ORDER BY step) || '|prospectus (485BPOS)-COVERS?-' || risk_title || '[MISSING]' AS steps FROM s GROUP BY fund, risk_title",
+    "board_paths": f"WITH {ROLES}, l AS (SELECT DISTINCT r.company, r.person, r.role, o.person || '-' || o.role || '-' || o.company AS step FROM roles r LEFT JOIN roles o ON o.person = r.person AND o.company <> r.company WHERE r.role <> 'FORMERLY_AT') SELECT company, person || ' interlocks/alumni' AS label, person || '-' || role || '-' || company || coalesce('|' || string_agg(step, '|' ORDER BY step), '') AS steps FROM l GROUP BY company, person, role",
+    "item_sections": r"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+        m AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN '1a' WHEN i % 5 = 0 THEN '7' WHEN i % 7 = 0 THEN '1' END AS k, CASE WHEN i % 3 = 0 THEN '  Item 1A. ' WHEN i % 5 = 0 THEN 'ITEM 7: ' WHEN i % 7 = 0 THEN 'item 1 ' ELSE '' END || line AS line FROM l),
+        n AS (SELECT *, count(k) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m),
+        b AS (SELECT doc_id, part, max(k) AS k, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM n WHERE part > 0 GROUP BY doc_id, part),
+        t AS (SELECT doc_id, string_agg(body, chr(10) || chr(10) ORDER BY part) AS text FROM b WHERE k IN ('1a', '7') AND body <> '' GROUP BY doc_id)
+        SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INT) AS n_chars FROM t""",
+    "name_containment": r"""WITH n AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n]+') AS w FROM documents), a AS (SELECT DISTINCT lower(array_to_string(w[1:3], ' ')) AS a FROM n WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT lower(array_to_string(w[1:2], ' ')) AS b FROM n WHERE doc_id % 2 = 1)
+        SELECT a, b FROM a JOIN b ON b <> '' AND contains(a, b)""",
     "grounding_gate": f"WITH {FLOW} SELECT chunk_id, name, grounded FROM base",
     "build_triples": f"WITH {FLOW} SELECT ord, doc_id, chunk_id, rel, subject, 'Company' AS subject_label, object, 'Company' AS object_label, CAST(confidence AS DOUBLE) AS confidence FROM tri",
     "write_mentions": f"WITH {FLOW} SELECT DISTINCT chunk_id, label, name AS entity FROM base WHERE grounded",

@@ -75,6 +75,34 @@ def extractions(g: Graph) -> tuple[DataFrame, DataFrame]:
     return filings.scan_extractions(raw, ["Company", "Fund"], ["SUPPLIES_TO"])
 
 
+def seeds(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as bronze records, a seed file for each nation, read again."""
+    record = F.struct(F.concat(F.lit("r"), text_of("s_suppkey")).alias("record_id"), F.lit("pms").alias("system_id"), F.lit("Supplier").alias("entity_type"), text_of("s_nationkey").alias("master_key"), F.create_map(F.lit("name"), F.col("s_name"), F.lit("balance"), text_of("s_acctbal")).alias("attributes"))
+    system = F.array(F.struct(F.concat(F.lit("sys"), text_of("nation")).alias("system_id"), F.lit("S").alias("name"), F.lit("bronze").alias("layer"), F.col("nation").cast("int").alias("trust_score")))
+    files = g.table("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.collect_list(record).alias("bronze")).select("nation", F.to_json(F.struct(system.alias("source_systems"), "bronze")).alias("value"))
+    folder = new_folder(g, "seeds")
+    files.repartition("nation").write.partitionBy("nation").text(folder)
+    return filings.scan_medallion_seed(g.spark, f"{folder}/*")
+
+
+def fact_sets(g: Graph) -> DataFrame:
+    """Each fund's holdings as a fact set, a file of its own, read again."""
+    weight = F.col("weight_pct").cast("decimal(12,6)").cast("string")
+    fact = F.struct(F.lit("relation").alias("kind"), F.lit("HOLDS").alias("type"), text_of("fund").alias("subject"), text_of("company").alias("object"), F.create_map(F.lit("weight"), weight, F.lit("period"), text_of("as_of")).alias("qualifiers"))
+    said = F.struct(text_of("fund").alias("version"), F.struct(F.concat(F.lit("d"), text_of("fund")).alias("doc_id")).alias("document"), F.lit("d0").alias("supersedes"), "facts")
+    folder = new_folder(g, "fact-sets")
+    g.holds.groupBy("fund").agg(F.collect_list(fact).alias("facts")).select("fund", F.to_json(said).alias("value")).repartition("fund").write.partitionBy("fund").text(folder)
+    return filings.scan_fact_set(g.spark, f"{folder}/*")
+
+
+def policy(g: Graph) -> DataFrame:
+    """A rule for each region, written as one small policy file, read again."""
+    rule = F.format_string("- name: %s\n  trigger: {kind: relation, type: R%d, change: [added, changed]}\n  traverse:\n  - {relation: SUPPLIES_TO}\n  - {relation: HOLDS}\n", F.col("name"), F.col("firm"))
+    folder = new_folder(g, "policy")
+    g.firm.agg(F.concat(F.lit("rules:\n"), F.array_join(F.sort_array(F.collect_list(rule)), "")).alias("value")).coalesce(1).write.text(folder)
+    return filings.load_policy(g.spark, folder)
+
+
 def frozen(g: Graph) -> DataFrame:
     """Tables of a snapshot as they come back."""
     folder = new_folder(g, "snapshot")
@@ -133,6 +161,10 @@ BUILD = {
     "scan_extractions": lambda g: extractions(g)[0].select("chunk_id", "label", "name", F.round("confidence", 8).alias("confidence"), sorted_text(F.col("attributes")).alias("attributes")),
     "scan_extractions_relations": lambda g: extractions(g)[1].select("chunk_id", "type", "subject", "object", "confidence"),
     "write_snapshot": frozen,
+    "scan_medallion_seed": lambda g: seeds(g)[1].select("record_id", "system_id", "entity_type", "master_key", sorted_text(F.col("attributes")).alias("attributes")),
+    "scan_medallion_systems": lambda g: seeds(g)[0].select("system_id", "layer", "trust_score"),
+    "scan_fact_set": lambda g: fact_sets(g).select("version", "document", "supersedes", "kind", "name", "subject", "object", "period", "payload"),
+    "load_policy": lambda g: policy(g).select("rule", "kind", "name", "traversal", F.array_join("changes", ",").alias("changes")),
     "ingest_stream": edges_stream,
     "steward_state": steward_stream,
     "impact_stream": impact_changes,
@@ -149,6 +181,10 @@ SQL = {
     "scan_extractions": "SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, 'Company' AS label, 'c' || o_custkey AS name, round(least(1.0, o_totalprice / 100000), 8) AS confidence, 'a=' || o_orderpriority || ';b=x' AS attributes FROM orders WHERE o_orderstatus <> 'P'",
     "scan_extractions_relations": "SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, 'SUPPLIES_TO' AS type, CAST(o_custkey AS VARCHAR) AS subject, CAST(o_orderkey AS VARCHAR) AS object, CAST(1.0 AS DOUBLE) AS confidence FROM orders WHERE o_orderkey % 3 <> 0",
     "write_snapshot": "SELECT 'supplies_to' AS name, CAST(src AS VARCHAR) AS a, CAST(dst AS VARCHAR) AS b FROM supplies_to UNION ALL SELECT 'managed_by', CAST(fund AS VARCHAR), CAST(firm AS VARCHAR) FROM managed_by",
+    "scan_medallion_seed": "SELECT 'r' || s_suppkey AS record_id, 'pms' AS system_id, 'Supplier' AS entity_type, CAST(s_nationkey AS VARCHAR) AS master_key, 'balance=' || s_acctbal || ';name=' || s_name AS attributes FROM supplier",
+    "scan_medallion_systems": "SELECT DISTINCT 'sys' || s_nationkey AS system_id, 'bronze' AS layer, CAST(s_nationkey AS INT) AS trust_score FROM supplier",
+    "scan_fact_set": "SELECT CAST(fund AS VARCHAR) AS version, 'd' || fund AS document, 'd0' AS supersedes, 'relation' AS kind, 'HOLDS' AS name, CAST(fund AS VARCHAR) AS subject, CAST(company AS VARCHAR) AS object, CAST(as_of AS VARCHAR) AS period, 'period=' || as_of || ';weight=' || CAST(weight_pct AS DECIMAL(12,6)) AS payload FROM holds",
+    "load_policy": "SELECT name AS rule, 'relation' AS kind, 'R' || firm AS name, 'SUPPLIES_TO,HOLDS' AS traversal, 'added,changed' AS changes FROM firm",
     "ingest_stream": f"WITH {GOOD} SELECT CAST(subject AS VARCHAR) AS subject, rel, CAST(object AS VARCHAR) AS object, count(*) AS corroboration, CAST(count(DISTINCT doc_id) AS INT) AS n_docs FROM fine GROUP BY ALL",
     "steward_state": f"WITH {GOOD}, x AS (SELECT *, row_number() OVER (PARTITION BY subject, rel, object ORDER BY ord) AS n, min(ord) OVER (PARTITION BY subject, rel) AS first_ord FROM fine) SELECT ord, CAST(subject AS VARCHAR) AS subject, rel, CAST(object AS VARCHAR) AS object, CASE WHEN rel IN ('SUBSIDIARY_OF', 'MANAGED_BY') AND n = 1 AND first_ord < ord THEN 'conflict' WHEN n > 1 THEN 'corroborate' ELSE 'insert' END AS decision, n AS corroboration FROM x",
     "impact_stream": f"WITH {CHANGES} SELECT name, subject, object, 'added' AS change, NULL AS old_value, payload AS new_value FROM v1 UNION ALL SELECT name, subject, object, change, old_value, new_value FROM changes WHERE change <> 'removed'",

@@ -173,3 +173,21 @@ def test_ontology(spark):
 def test_names_and_scores(spark):
     df = spark.createDataFrame([("Vanguard Group", "vanguard"), ("Fidelity", "Vanguard"), ("", "x"), ("BlackRock Fund", "BlackRock Funds")], "a string, b string")
     assert [r["m"] for r in df.select(onboard.names_match(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False, False, True]
+
+
+def test_item_sections(spark):
+    """As a loop over lines does it."""
+    text = "intro\nItem 1. Business\nwe do\n\n  ITEM 1A Risk\r\nmay fail\x0bItem 7: talk\n \nitem 12. no item\nitem 1 again"
+    rows = [(1, text), (2, None), (3, "no items"), (4, "Item 7.\n"), (5, "Item 1:"), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as lines", "2 as marks")
+
+    def plain(text, wanted):
+        lines, marks = (text or "").splitlines(), []
+        for i, x in enumerate(lines):
+            marks += [(i, k) for k, heads in sets.ITEM_HEADS.items() if any(x.strip().lower().startswith(h) for h in heads)]
+        parts = ["\n".join(lines[i : (marks[n + 1][0] if n + 1 < len(marks) else len(lines))]).strip() for n, (i, k) in enumerate(marks) if k in wanted]
+        return "\n\n".join(p for p in parts if p)
+
+    for asked, wanted in ((["1A", "Item 7"], {"1a", "7"}), (["1"], {"1"}), (["item 1a"], {"1a"})):
+        got = {r["doc_id"]: r["text"] for r in sets.item_sections(df, asked).collect()}
+        assert got == {i: t for i, x in rows if (t := plain(x, wanted))}
