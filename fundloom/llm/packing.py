@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fundloom.llm.shared import written
-from fundloom.llm.texthash import SEGMENT, column
+from fundloom.llm.texthash import column
 
 END_ID = 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,30 +93,16 @@ class ChunkIds:
         return flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], lengths)], ends
 
 
-def token_ids(texts: pa.Array, encode: ChunkIds) -> Iterator[np.ndarray]:
-    """Ids of each text, its end token last."""
-    end = np.array([END_ID], np.uint32)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    row = 0
-    while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
-        split = [bytes(texts.buffers()[2][int(a) : int(b)]).split() if b > a else [] for a, b in zip(offsets[row:to], offsets[row + 1 : to + 1], strict=True)]
-        ids, starts = encode([c for x in split for c in x])
-        k = 0
-        for x in split:
-            yield np.concatenate([ids[starts[k] : starts[k + len(x)]], end])
-            k += len(x)
-        row = to
-
-
 def cutter(path: str, size: int, keep_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkIds(path)
+        from fundloom.llm.chunkids import encoder  # it is built on what stands here
+
         for batch in batches:
             doc_ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc_id, ids in zip(doc_ids, token_ids(column(batch, "text"), encode), strict=True):
+            for doc_id, ids in zip(doc_ids, encoder(path).texts(column(batch, "text")), strict=True):
+                ids[-1] = END_ID
                 for k, a in enumerate(range(0, len(ids), size)):
                     own = ids[a : a + size].astype("<u4")
                     rows.append((doc_id, k, a, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else [])))

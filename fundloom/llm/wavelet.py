@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fundloom.llm.chunkids import HashedIds
+from fundloom.llm.chunkids import encoder
 from fundloom.llm.shared import new_path, written
 from fundloom.llm.texthash import column
 from fundloom.llm.warc import Opened
@@ -175,12 +175,6 @@ class Shard:
 # --- tables of shards ------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> HashedIds:
-    """One a Python worker: what it knows of chunks goes from task to task."""
-    return HashedIds(path)
-
-
 LISTED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("tokens", pa.int64()), ("documents", pa.int64())])
 
 
