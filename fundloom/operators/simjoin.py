@@ -8,7 +8,7 @@ the lengths that the short side needs; who meets is compared whole.
 Ratio: 2 M / (len a + len b) with M matched characters. At a ratio of ``least`` M is known to be ceil(least * T / 2) at least, T both lengths, so at most
 len - M characters of either side are unmatched; each spoils two pairs of neighbours on its own side and one on the other, hence 3 M - T - 1 neighbour
 pairs (bigrams, the k-th of equal ones told apart) are common. By that count each string's rarest few bigrams must hold a common one (prefix filter);
-lengths and whole counts are compared before any ratio is taken. Hot bigrams come into the prefix of few strings, as the rarest go first; what is
+lengths, marks of the characters and whole counts are compared before any ratio is taken. Hot bigrams come into the prefix of few strings, as the rarest go first; what is
 hot all the same is dealt over parts, to each of which the other side's rows are copied.
 """
 
@@ -56,6 +56,22 @@ def containment_pairs(long: DataFrame, short: DataFrame, q: int = 6) -> DataFram
     return under.hint("merge").join(rarest.hint("merge"), (F.col("gram") == F.col("k")) & F.contains("a", "b")).select("a", "b")
 
 
+def marks(text: Column) -> list[Column]:
+    """Two longs in which each character (the k-th of equal ones told apart) sets one bit. Bits that one text has and another lacks are at most as many as
+    the characters that it has and the other lacks."""
+    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(128)).cast("int")
+    chars = F.array_sort(grams(text, 1))
+    tagged = F.transform(F.array(chars), lambda s: F.transform(s, lambda g, i: bit(F.concat(g, (i - F.array_position(s, g)).cast("string")))))[0]
+    one = lambda x, low: F.when((x >= low) & (x < low + 64), F.call_function("shiftleft", F.lit(1).cast("long"), x - low)).otherwise(F.lit(0).cast("long"))
+    half = lambda low: F.aggregate(tagged, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(one(x, low)))
+    return [half(0), half(64)]
+
+
+def lacking(x: str, y: str) -> Column:
+    """How many marks ``x`` has that ``y`` lacks; columns x0, x1 and y0, y1."""
+    return sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(f"{y}{k}"))) for k in (0, 1)), F.lit(0))
+
+
 def least_common(n: Column, least: float) -> Column:
     """Bigrams that a string of length ``n`` shares at least with any that it may match: the bound is that of the shortest such string."""
     both = n + F.ceil(n * (least / (2 - least)) - 1e-9)
@@ -69,18 +85,22 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataF
     sides = []
     for side, df, c in (("a", left, "a"), ("b", right, "b")):
         sides.append(df.where(F.char_length(c) > 1).select(F.lit(side).alias("side"), F.col(c).alias("s")).distinct())
-    tokens = sides[0].unionByName(sides[1]).select("side", "s", F.char_length("s").alias("n"), F.explode(tagged_bigrams(F.col("s"))).alias("t"))
+    strings = sides[0].unionByName(sides[1]).select("side", "s", *[m.alias(f"m{k}") for k, m in enumerate(marks(F.col("s")))])
+    tokens = strings.select("side", "s", "m0", "m1", F.char_length("s").alias("n"), F.explode(tagged_bigrams(F.col("s"))).alias("t"))
     tokens = written(tokens, "ratio-bigrams")
     counts = written(tokens.groupBy("t").agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")), "ratio-counts").withColumnRenamed("t", "t2")
     ordered = tokens.hint("merge").join(counts.hint("merge"), F.col("t") == F.col("t2")).withColumn("all", F.col("n_a") + F.col("n_b"))
     place = F.row_number().over(Window.partitionBy("side", "s").orderBy("all", "t"))
     prefix = ordered.withColumn("place", place).where(F.col("place") <= F.col("n") - least_common(F.col("n"), least))
-    prefix = written(prefix.where("n_a > 0 and n_b > 0").select("side", "s", "n", "t", F.ceil(F.col("n_a") / PART).cast("int").alias("parts")), "ratio-prefix")
-    a = prefix.where("side = 'a'").select(F.col("s").alias("a"), F.col("n").alias("la"), "t", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("p"))
-    b = prefix.where("side = 'b'").select(F.col("s").alias("b"), F.col("n").alias("lb"), F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
+    prefix = written(prefix.where("n_a > 0 and n_b > 0").select("side", "s", "n", "m0", "m1", "t", F.ceil(F.col("n_a") / PART).cast("int").alias("parts")), "ratio-prefix")
+    a = prefix.where("side = 'a'").select(F.col("s").alias("a"), F.col("n").alias("la"), F.col("m0").alias("a0"), F.col("m1").alias("a1"), "t", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("p"))
+    b = prefix.where("side = 'b'").select(F.col("s").alias("b"), F.col("n").alias("lb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"), F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
     lengths = 2 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb")) - 1e-9
-    met = a.hint("merge").join(b.hint("merge"), (F.col("t") == F.col("tb")) & (F.col("p") == F.col("pb")) & lengths).select("a", "b", "la", "lb").distinct()
     both = F.col("la") + F.col("lb")
+    matched = F.ceil(both * (least / 2) - 1e-9)
+    # Cheap, and few pass: what is unmatched on either side can't be less than what the other side lacks.
+    alike = (lacking("a", "b") <= F.col("la") - matched) & (lacking("b", "a") <= F.col("lb") - matched)
+    met = a.hint("merge").join(b.hint("merge"), (F.col("t") == F.col("tb")) & (F.col("p") == F.col("pb")) & lengths & alike).select("a", "b", "la", "lb").distinct()
     enough = F.size(F.array_intersect(tagged_bigrams(F.col("a")), tagged_bigrams(F.col("b")))) >= 3 * F.ceil(both * (least / 2) - 1e-9) - both - 1
     close = written(met.where(enough).select("a", "b"), "ratio-candidates")
     return close.withColumn("ratio", ratios.vectorised(ratios.seq_ratio)("a", "b")).where(F.col("ratio") >= least)
