@@ -4,7 +4,10 @@ import random
 
 import pytest
 
-from fundloom.operators import traversal
+from fundloom import registry
+from fundloom.functions import ratios
+from fundloom.operators import align, traversal
+from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
 
@@ -38,3 +41,35 @@ def test_identities_share_a_worker_call(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     want = [("E", f"s{i}", None if i % 3 else "o", "added", None, str(i % 2)) for i in range(300)] + [("E", f"s{i}", None if i % 3 else "o", "changed", str(i % 2), str(i % 3)) for i in range(300) if i % 2 != i % 3]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_spans_are_looked_up_once(spark, monkeypatch):
+    calls, fitting = [], align.fitting
+    monkeypatch.setattr(align, "fitting", lambda *a: calls.append(1) or fitting(*a))
+    registry.QUERIES["build_triples"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("own_row", [0, 1_000_000])
+def test_pieces_in_the_row_lose_nothing(spark, monkeypatch, own_row):
+    monkeypatch.setattr(align, "OWN_ROW", own_row)
+    rnd, every = random.Random(own_row), []
+    for _ in range(600):
+        text = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(1, 90)))
+        span = list(text[rnd.randint(0, len(text) // 2) :] or "x")
+        for _ in range(rnd.randint(0, 4)):
+            span[rnd.randrange(len(span))] = rnd.choice(["", "z", "ab"])
+        every.append(("".join(span), text))
+    got = {tuple(r) for r in align.fitting(spark.createDataFrame(every, "s string, c string"), 0.9).collect()}
+    assert got == {(s, c) for s, c in every if s and c and ratios.partial_ratio(s, c, 0.9) >= 0.9}
+
+
+def test_large_funds_file_in_parts(spark, monkeypatch):
+    folders, new = [], source_queries.new_folder
+    monkeypatch.setattr(source_queries, "new_folder", lambda *a: folders.append(new(*a)) or folders[-1])
+    monkeypatch.setattr(source_queries, "FILED", 7)
+    run = lambda q: sorted(map(str, registry.QUERIES[q](spark, "/root/testdata/sf0.001").collect()))
+    parts = [run(q) for q in ("scan_nport", "scan_nport_funds", "nport_totals")]
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folders[0]).count() > 50
+    monkeypatch.setattr(source_queries, "FILED", 10_000)
+    assert parts == [run(q) for q in ("scan_nport", "scan_nport_funds", "nport_totals")]
