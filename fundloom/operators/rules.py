@@ -3,6 +3,9 @@
 Facts are (s, p, o). Axioms are tables: subclasses and subproperties (child, parent), equivalent classes (a, b), inverse properties (p, q; a symmetric one is its
 own inverse), transitive properties (p), domains and ranges (p, cls). Nothing is derived from nulls; repeated facts count once. Facts that a
 round adds are written once and never again; what is known is the union of these tables.
+
+Axioms are as many as an ontology has, facts as many as the data: a few properties and classes have most facts, so the axioms go to the facts (broadcast), and
+facts are never dealt by property or class alone.
 """
 
 from __future__ import annotations
@@ -39,15 +42,33 @@ def closure(edges: DataFrame, by: tuple[str, ...] = (), most_rounds: int = 40) -
     raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
 
 
+def from_single_facts(new: DataFrame, sub_property: DataFrame, both: DataFrame) -> DataFrame:
+    """s, p, o: what each fact says by its properties above and its inverses, repeated ones included. both: p, q, in either order."""
+    up = new.join(F.broadcast(sub_property.select(F.col("child").alias("p"), "parent")), "p").select("s", F.col("parent").alias("p"), "o")
+    turned = new.join(F.broadcast(both), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    return up.unionByName(turned)
+
+
+def paths_to_close(facts: DataFrame, changed: DataFrame, transitive: DataFrame) -> DataFrame:
+    """The facts of those transitive properties that ``changed`` has facts of."""
+    moved = changed.join(F.broadcast(transitive.select("p").distinct()), "p", "left_semi").select("p").distinct()
+    return facts.join(F.broadcast(moved), "p", "left_semi")
+
+
+def types_of_ends(facts: DataFrame, domain: DataFrame, range_: DataFrame) -> DataFrame:
+    """instance, cls: what domains and ranges say, repeated ones included."""
+    first = facts.join(F.broadcast(domain), "p").select(F.col("s").alias("instance"), "cls")
+    return first.unionByName(facts.join(F.broadcast(range_), "p").select(F.col("o").alias("instance"), "cls"))
+
+
 def by_single_facts(facts: DataFrame, sub_property: DataFrame, inverse: DataFrame, most_rounds: int = 40) -> list[DataFrame]:
     """Tables of ``facts`` and all that follows from one fact at a time; the first is ``facts``."""
     both = inverse.select("p", "q").unionByName(inverse.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
     known = [written(facts.where("s is not null and p is not null and o is not null").select("s", "p", "o").distinct(), "facts")]
     for _ in range(most_rounds):
-        new = known[-1]
-        up = new.join(sub_property.select(F.col("child").alias("p"), "parent"), "p").select("s", F.col("parent").alias("p"), "o")
-        turned = new.join(both, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
-        more = written(up.unionByName(turned).distinct().join(union(known), ["s", "p", "o"], "left_anti"), "facts")
+        # Dealt first: what was made distinct before would fill each reading task with rows that hardly repeat.
+        found = from_single_facts(known[-1], sub_property, both).repartition("s", "p", "o").distinct()
+        more = written(found.hint("merge").join(union(known).hint("merge"), ["s", "p", "o"], "left_anti"), "facts")
         if more.isEmpty():
             return known
         known.append(more)
@@ -61,7 +82,7 @@ def inferred_facts(facts: DataFrame, sub_property: DataFrame, inverse: DataFrame
     known = by_single_facts(facts, sub_property, inverse)
     changed = union(known)
     for _ in range(most_rounds):
-        paths = union(known).join(transitive.select("p").distinct(), "p", "left_semi").join(changed.select("p").distinct(), "p", "left_semi")
+        paths = paths_to_close(union(known), changed, transitive)
         closed = closure(paths.select("p", F.col("s").alias("child"), F.col("o").alias("parent")), ("p",)).where("hops > 1").select(F.col("child").alias("s"), "p", F.col("ancestor").alias("o"))
         more = written(closed.join(union(known), ["s", "p", "o"], "left_anti"), "facts")
         if more.isEmpty():
@@ -75,6 +96,5 @@ def inferred_types(types: DataFrame, facts: DataFrame, sub_class: DataFrame, equ
     """instance, cls: given types, those that the domains and ranges of ``facts`` (with all that was inferred) say, and all classes above them."""
     same = equivalent.select(F.col("a").alias("child"), F.col("b").alias("parent")).unionByName(equivalent.select(F.col("b").alias("child"), F.col("a").alias("parent")))
     above = closure(sub_class.select("child", "parent").unionByName(same)).select("child", "ancestor")
-    ends = facts.join(domain, "p").select(F.col("s").alias("instance"), "cls").unionByName(facts.join(range_, "p").select(F.col("o").alias("instance"), "cls"))
-    own = written(types.select("instance", "cls").unionByName(ends).where("instance is not null and cls is not null").distinct(), "types")
-    return own.unionByName(own.join(above, F.col("cls") == F.col("child")).select("instance", F.col("ancestor").alias("cls"))).distinct()
+    own = written(types.select("instance", "cls").unionByName(types_of_ends(facts, domain, range_)).where("instance is not null and cls is not null").distinct(), "types")
+    return own.unionByName(own.join(F.broadcast(above), F.col("cls") == F.col("child")).select("instance", F.col("ancestor").alias("cls"))).distinct()

@@ -6,7 +6,7 @@ import pytest
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, traversal
+from fundloom.operators import align, rules, traversal
 from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
@@ -73,3 +73,21 @@ def test_large_funds_file_in_parts(spark, monkeypatch):
     assert spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folders[0]).count() > 50
     monkeypatch.setattr(source_queries, "FILED", 10_000)
     assert parts == [run(q) for q in ("scan_nport", "scan_nport_funds", "nport_totals")]
+
+
+def test_facts_are_not_dealt_by_property(spark):
+    """A property has most facts, so a task that got them all would grow with the data."""
+    rnd = random.Random(3)
+    known = [(f"s{i}", "HOLDS" if i % 50 else "PART_OF", f"o{rnd.randrange(99)}") for i in range(3000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        facts = spark.createDataFrame(known, "s string, p string, o string")
+        of = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+        said = rules.from_single_facts(facts, of([("HOLDS", "RELATED")], "child parent"), of([("HOLDS", "HELD_BY"), ("HELD_BY", "HOLDS")], "p q"))
+        paths = rules.paths_to_close(facts, facts, of([("PART_OF",), ("NEAR",)], "p"))
+        ends = rules.types_of_ends(facts, of([("HOLDS", "Fund")], "p cls"), of([("HOLDS", "Company")], "p cls"))
+        sizes = [[len(x) for x in df.rdd.glom().collect()] for df in (said, ends, paths)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    held = sum(p == "HOLDS" for _, p, _ in known)
+    assert [sum(x) for x in sizes] == [2 * held, 2 * held, len(known) - held] and all(max(x) < sum(x) / 2 for x in sizes)
