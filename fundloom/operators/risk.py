@@ -87,8 +87,10 @@ def risk_heatmap(holds: DataFrame, exposed_to: DataFrame, risk_factor: DataFrame
 
 def single_source_flags(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
     """(holding, component) with one supplier over all criticalities, and that one critical."""
-    by = holding_suppliers(holds, supplies_to).groupBy("fund", "company", F.coalesce("component", F.lit("")).alias("component"))
-    return by.agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("supplier"), F.bool_or(F.col("criticality") == "critical").alias("critical")).where("n = 1 and critical").select("fund", "company", "component", "supplier")
+    by = supplies_to.where("src is not null").groupBy(F.col("src").alias("company"), F.coalesce("component", F.lit("")).alias("component"))
+    single = by.agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("supplier"), F.bool_or(F.col("criticality") == "critical").alias("critical")).where("n = 1 and critical")
+    # Suppliers are counted once for all funds that hold an issuer; a fund may list it twice.
+    return holds.select("fund", "company").join(single.select("company", "component", "supplier"), "company").select("fund", "company", "component", "supplier").distinct()
 
 
 def single_source_supplier_major(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, rules, traversal
+from fundloom.operators import align, risk, rules, traversal
 from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
@@ -91,3 +92,12 @@ def test_facts_are_not_dealt_by_property(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     held = sum(p == "HOLDS" for _, p, _ in known)
     assert [sum(x) for x in sizes] == [2 * held, 2 * held, len(known) - held] and all(max(x) < sum(x) / 2 for x in sizes)
+
+
+def test_single_suppliers_are_counted_once_for_all_funds(spark, monkeypatch):
+    calls, meet = [], risk.holding_suppliers
+    monkeypatch.setattr(risk, "holding_suppliers", lambda *a: calls.append(1) or meet(*a))
+    holds = spark.createDataFrame([(f, c) for f in (1, 2, None) for c in range(5)] + [(1, 0)], "fund long, company long").withColumn("weight_pct", F.lit(1.0))
+    edges = [(0, 9, "a", "critical"), (0, 9, "a", "named"), (0, 8, "b", "named"), (1, 9, None, "critical"), (1, 8, "", "critical"), (2, 7, None, "critical"), (2, None, "", "named"), (None, 9, "a", "critical"), (3, 6, "c", None)]
+    got = [tuple(r) for r in risk.single_source_flags(holds, spark.createDataFrame(edges, "src long, dst long, component string, criticality string")).collect()]
+    assert sorted(got, key=str) == sorted([(f, *x) for f in (1, 2, None) for x in ((0, "a", 9), (2, "", 7))], key=str) and not calls
