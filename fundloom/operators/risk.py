@@ -59,15 +59,18 @@ def concentration_summary(holds: DataFrame) -> DataFrame:
 
 def supplier_concentration(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
     """Per fund and supplier: holdings' weights times the edge's criticality; edges of no weight don't count."""
-    share = F.col("weight_pct").cast("decimal(18,6)") * multiplier(F.col("criticality")).cast("decimal(4,2)")
-    found = holding_suppliers(holds, supplies_to).withColumn("share", share).where("share > 0")
-    return found.groupBy("fund", F.col("dst").alias("supplier")).agg(F.round(F.sum("share"), 6).cast("double").alias("score"), F.countDistinct("company").alias("n_holdings"), F.count("*").alias("n_edges"))
+    # Made one row for each holding and for each pair of issuers before they meet, so that what met is counted without telling it apart again.
+    held = holds.withColumn("w", F.col("weight_pct").cast("decimal(18,6)")).where("w > 0").groupBy("fund", "company").agg(F.sum("w").cast("decimal(22,6)").alias("w"), F.count("*").alias("k"))
+    edges = supplies_to.withColumn("m", multiplier(F.col("criticality")).cast("decimal(4,2)")).where("m > 0").groupBy("src", "dst").agg(F.sum("m").cast("decimal(10,2)").alias("m"), F.count("*").alias("n"))
+    found = held.join(edges, F.col("company") == F.col("src")).groupBy("fund", F.col("dst").alias("supplier"))
+    return found.agg(F.round(F.sum(F.col("w") * F.col("m")), 6).cast("double").alias("score"), F.count("*").alias("n_holdings"), F.sum(F.col("k") * F.col("n")).alias("n_edges"))
 
 
 def shared_supplier_clusters(holds: DataFrame, supplies_to: DataFrame, min_holdings: int = 2) -> DataFrame:
     """Suppliers on which at least ``min_holdings`` holdings of a fund depend critically."""
-    found = holding_suppliers(holds, supplies_to).where("criticality = 'critical'")
-    out = found.groupBy("fund", F.col("dst").alias("supplier")).agg(F.countDistinct("company").alias("n_members"), F.array_join(F.array_sort(F.collect_set("component")), ",").alias("components"))
+    edges = supplies_to.where("criticality = 'critical'").groupBy("src", "dst").agg(F.collect_set("component").alias("parts"))
+    found = holds.select("fund", "company").distinct().join(edges, F.col("company") == F.col("src")).groupBy("fund", F.col("dst").alias("supplier"))
+    out = found.agg(F.count("*").alias("n_members"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))), ",").alias("components"))
     return out.where(F.col("n_members") >= min_holdings)
 
 
@@ -76,13 +79,15 @@ def shared_suppliers(holds: DataFrame, supplies_to: DataFrame, sensitivities: li
     edges = supplies_to.where("criticality = 'critical'")
     if sensitivities is not None:
         edges = edges.where(F.coalesce("sensitivity", F.lit("public")).isin(sensitivities))
-    return holding_suppliers(holds, edges).groupBy("fund", F.col("dst").alias("supplier")).agg(F.countDistinct("company").alias("n_holders"))
+    met = holds.select("fund", "company").distinct().join(edges.select("src", "dst").distinct(), F.col("company") == F.col("src"))
+    return met.groupBy("fund", F.col("dst").alias("supplier")).agg(F.count("*").alias("n_holders"))
 
 
 def risk_heatmap(holds: DataFrame, exposed_to: DataFrame, risk_factor: DataFrame) -> DataFrame:
     """Weight exposed to each category; a company counts once in a category."""
-    once = fund_exposures(holds, exposed_to, risk_factor).groupBy("fund", "category", "company").agg(F.max("weight_pct").alias("weight_pct"))
-    return once.groupBy("fund", "category").agg(total("weight_pct").alias("mass"), F.count("*").alias("n_companies"))
+    kinds = exposed_to.join(risk_factor, F.col("risk_title") == F.col("title")).select("company", "category").distinct()
+    held = holds.groupBy("fund", "company").agg(F.max("weight_pct").alias("weight_pct"))
+    return held.join(kinds, "company").groupBy("fund", "category").agg(total("weight_pct").alias("mass"), F.count("*").alias("n_companies"))
 
 
 def single_source_flags(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:

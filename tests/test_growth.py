@@ -1,13 +1,14 @@
 """That work grows with the input: what is made on the way, not only what comes out."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, risk, rules, traversal
+from fundloom.operators import align, reports, risk, rules, traversal
 from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
@@ -101,3 +102,47 @@ def test_single_suppliers_are_counted_once_for_all_funds(spark, monkeypatch):
     edges = [(0, 9, "a", "critical"), (0, 9, "a", "named"), (0, 8, "b", "named"), (1, 9, None, "critical"), (1, 8, "", "critical"), (2, 7, None, "critical"), (2, None, "", "named"), (None, 9, "a", "critical"), (3, 6, "c", None)]
     got = [tuple(r) for r in risk.single_source_flags(holds, spark.createDataFrame(edges, "src long, dst long, component string, criticality string")).collect()]
     assert sorted(got, key=str) == sorted([(f, *x) for f in (1, 2, None) for x in ((0, "a", 9), (2, "", 7))], key=str) and not calls
+
+
+def test_risks_are_made_one_row_before_funds_meet_them(spark, monkeypatch):
+    """Holdings and edges that stand twice give what they gave when all that met was told apart afterwards."""
+    calls, rnd = [], random.Random(5)
+    for name in ("holding_suppliers", "fund_exposures"):
+        monkeypatch.setattr(risk, name, lambda *a, name=name: calls.append(name))
+    held = [(rnd.randrange(3), rnd.randrange(12), rnd.choice([0.5, 1.25, 3.000001])) for _ in range(40)]
+    edges = [(rnd.randrange(12), rnd.randrange(6), rnd.choice(["a", "b", None]), rnd.choice(["critical", "named", "mentioned", "rumoured"])) for _ in range(60)]
+    shown = [(rnd.randrange(12), f"r{rnd.randrange(5)}") for _ in range(30)]
+    of = {f"r{k}": "xyz"[k % 3] for k in range(5)}
+    holds, supplies = spark.createDataFrame(held, "fund long, company long, weight_pct double"), spark.createDataFrame(edges, "src long, dst long, component string, criticality string")
+    exposed, factors = spark.createDataFrame(shown, "company long, risk_title string"), spark.createDataFrame(list(of.items()), "title string, category string")
+    score, n_edges, members, parts, heat = defaultdict(int), defaultdict(int), defaultdict(set), defaultdict(set), defaultdict(dict)
+    critical = defaultdict(set)
+    for f, c, w in held:
+        for s, d, part, kind in edges:
+            m = {"critical": 100, "named": 50, "mentioned": 20}.get(kind, 0)
+            if s == c and m:
+                score[f, d] += round(w * 1e6) * m
+                n_edges[f, d] += 1
+                members[f, d].add(c)
+            if s == c and kind == "critical":
+                critical[f, d].add(c)
+                parts[f, d] |= {part} - {None}
+        for c2, r in shown:
+            if c2 == c:
+                heat[f, of[r]][c] = max(w, heat[f, of[r]].get(c, 0))
+    got = {(r["fund"], r["supplier"]): (r["score"], r["n_holdings"], r["n_edges"]) for r in risk.supplier_concentration(holds, supplies).collect()}
+    assert got == {k: (pytest.approx(v / 1e8, abs=1e-6), len(members[k]), n_edges[k]) for k, v in score.items()}
+    got = {(r["fund"], r["supplier"]): (r["n_members"], r["components"]) for r in risk.shared_supplier_clusters(holds, supplies).collect()}
+    assert got == {k: (len(v), ",".join(sorted(parts[k]))) for k, v in critical.items() if len(v) > 1}
+    assert {(r["fund"], r["supplier"]): r["n_holders"] for r in risk.shared_suppliers(holds, supplies).collect()} == {k: len(v) for k, v in critical.items()}
+    got = {(r["fund"], r["category"]): (r["mass"], r["n_companies"]) for r in risk.risk_heatmap(holds, exposed, factors).collect()}
+    assert got == {k: (pytest.approx(sum(v.values())), len(v)) for k, v in heat.items()} and not calls
+
+
+def test_a_report_names_the_largest_positions(spark):
+    """Of a fund's holdings only the four that are named are brought together."""
+    holds = spark.createDataFrame([(1, c, float(c % 50)) for c in range(500)], "fund long, company long, weight_pct double")
+    report = spark.createDataFrame([(1, 1.0, 500, 9.0, 1.0, None, None, 0)], "fund long, hhi double, n_holdings long, total_weight double, covered_pct double, top_supplier long, top_category string, n_flags long")
+    out = reports.report_sections(report, holds, spark.createDataFrame([], "fund long, category string"))
+    assert "Largest positions: 49 49.00%, 99 49.00%, 149 49.00%, 199 49.00%." in {r["heading"]: r["body"] for r in out.collect()}["Portfolio concentration"]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
