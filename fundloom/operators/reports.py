@@ -47,7 +47,7 @@ def narrative(report: DataFrame) -> DataFrame:
 
 def report_sections(report: DataFrame, holds: DataFrame, gaps: DataFrame) -> DataFrame:
     """fund, ord, heading, body, stale: the sections of a report pack. gaps: fund, category."""
-    top = holds.groupBy("fund").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight_pct")).alias("w"), "company"))), 1, 4).alias("t"))
+    top = risk.top_holdings(holds, 4).groupBy("fund").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight_pct")).alias("w"), "company"))).alias("t"))
     largest = F.array_join(F.transform("t", lambda x: F.concat(x["company"].cast("string"), F.lit(" "), F.format_string("%.2f", -x["w"]), F.lit("%"))), ", ")
     missing = gaps.groupBy("fund").agg(F.array_sort(F.collect_set("category")).alias("missing"))
     rows = report.join(top, "fund").join(missing, "fund", "left").withColumns({"largest": largest, "missing": F.coalesce("missing", F.array().cast("array<string>"))})
