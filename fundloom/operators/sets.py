@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,15 +58,13 @@ def item_sections(docs: DataFrame, sections: list[str]) -> DataFrame:
     """doc_id, text: the asked items of each filing (like ``["1", "1A", "Item 7"]``), each from its heading to the next item's, white space at its ends left
     off, joined by blank lines in order; filings without any give no row. An item that stands twice is given twice; rows are taken by themselves."""
     wanted = [s.lower().replace("item", "").strip() for s in sections]
-    start = lambda line: F.lower(F.regexp_replace(line, r"^\s+", ""))
-    key = lambda line: F.coalesce(*[F.when(F.startswith(start(line), F.lit(h)), F.lit(k)) for k, heads in ITEM_HEADS.items() for h in heads])
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), LINE_END, -1).alias("lines")).withColumn("keys", F.transform("lines", key))
-    marks = F.filter(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))), lambda x: x["key"].isNotNull())
-    marked = lines.select("doc_id", "lines", marks.alias("marks")).where(F.size("marks") > 0)
-    stop = lambda i: F.coalesce(F.get("marks", i + 1)["at"], F.size("lines"))
-    bodies = F.transform("marks", lambda m, i: F.struct(m["key"].alias("key"), F.regexp_replace(F.array_join(F.slice("lines", m["at"] + 1, stop(i) - m["at"]), "\n"), r"^\s+|\s+$", "").alias("body")))
-    text = F.array_join(F.transform(F.filter(bodies, lambda x: x["key"].isin(wanted) & (x["body"] != "")), lambda x: x["body"]), "\n\n")
-    return marked.select("doc_id", text.alias("text")).where("text <> ''")
+    starts = lambda keys: rf"[ \t]*(?i:{'|'.join(re.escape(h) for k in keys for h in ITEM_HEADS[k]) or '(?!)'})"
+    asked = starts([k for k in ITEM_HEADS if k in wanted])
+    # A text is cut at its headings by one pattern: an array of lines with their keys was worked out anew for each of its items.
+    some = docs.where(F.col("text").rlike(rf"(?:^|{LINE_END}){asked}"))
+    parts = F.split(F.regexp_replace("text", LINE_END, "\n"), rf"(?dm)^(?={starts(ITEM_HEADS)})")
+    bodies = F.transform(F.filter(parts, lambda x: x.rlike(rf"^{asked}")), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")))
+    return some.select("doc_id", F.array_join(bodies, "\n\n").alias("text"))
 
 
 def budgeted(first: DataFrame, second: DataFrame, budget: int) -> DataFrame:

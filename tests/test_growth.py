@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, reports, risk, rules, traversal
+from fundloom.operators import align, reports, risk, rules, sets, traversal
 from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
@@ -146,3 +146,10 @@ def test_a_report_names_the_largest_positions(spark):
     out = reports.report_sections(report, holds, spark.createDataFrame([], "fund long, category string"))
     assert "Largest positions: 49 49.00%, 99 49.00%, 149 49.00%, 199 49.00%." in {r["heading"]: r["body"] for r in out.collect()}["Portfolio concentration"]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_filing_is_cut_once(spark):
+    rows = [(1, "\n".join(f"Item {'1A' if i % 2 else '7.'} x{i}\n\t y" for i in range(2000))), (2, "item 8"), (3, None)]
+    out = sets.item_sections(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "concat(text, '') as text"), ["1A"])
+    assert [tuple(r) for r in out.collect()] == [(1, "\n\n".join(f"Item 1A x{i}\n\t y" for i in range(1, 2000, 2)))]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
