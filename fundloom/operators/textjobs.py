@@ -164,21 +164,28 @@ def detect_mentions(docs: DataFrame, vocabulary: DataFrame, small: int = 200_000
     n, before, after, size = index.agg(F.count("*"), F.max("back"), F.max(F.size("parts") - F.col("back")), F.sum(F.char_length("alias"))).first()
     if not n:
         return docs.select("doc_id", F.lit(None).cast(vocabulary.schema["canonical"].dataType).alias("canonical"), F.lit(0).cast("long").alias("first_pos")).limit(0)
-    seen = spread(docs).select("doc_id", parts_of(F.lower("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("i", "part"))
     chars = lambda parts: F.char_length(F.array_join(parts, ""))
+    # Places are counted from the start of a block of parts, as many as there are blocks, not from the text's start for each name found.
+    cut = spread(docs).select("doc_id", parts_of(F.lower("text")).alias("w")).select("doc_id", "w", F.greatest(F.ceil(F.sqrt(F.size("w"))).cast("int"), F.lit(1)).alias("block"))
+    sizes = cut.select("doc_id", "w", "block", F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / F.col("block")).cast("int")), lambda k: chars(F.slice("w", k * F.col("block") + 1, F.col("block")))).alias("sizes"))
+    starts = F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0), lambda a, b: a + b))
+    seen = sizes.select("doc_id", "w", "block", starts.alias("starts")).select("doc_id", "w", "block", "starts", F.posexplode("w").alias("i", "part"))
+    place = lambda i: F.get("starts", F.floor(i / F.col("block")).cast("int")) + chars(F.slice("w", i - i % F.col("block") + 1, i % F.col("block")))
     if n <= small and size <= 64 * small:
-        met = seen.select("doc_id", "w", "part", F.col("i").alias("own"), F.lit(0).alias("left_out")).join(F.broadcast(index), F.col("part") == F.col("anchor"))
+        met = seen.select("doc_id", "w", "block", "starts", "part", F.col("i").alias("own"), F.lit(0).alias("left_out")).join(F.broadcast(index), F.col("part") == F.col("anchor"))
     else:
         # Only the parts around one go with it: those before it up to the longest way back, those after it and one more.
         start = F.greatest(F.col("i") - before, F.lit(0))
-        near = seen.select("doc_id", F.slice("w", start + 1, before + after + 1).alias("near"), "part", (F.col("i") - start).alias("own"), chars(F.slice("w", F.lit(1), start)).alias("left_out"))
+        near = seen.select("doc_id", F.slice("w", start + 1, before + after + 1).alias("near"), "part", (F.col("i") - start).alias("own"), place(start).alias("left_out"))
+        place = lambda i: F.col("left_out") + chars(F.slice("w", F.lit(1), i))
         met = near.withColumnRenamed("near", "w").hint("merge").join(index.hint("merge"), F.col("part") == F.col("anchor"))
     at, size = F.col("own") - F.col("back"), F.size("parts")
     whole = met.where((at >= 0) & (F.slice("w", F.greatest(at, F.lit(0)) + 1, size) == F.col("parts")))
     is_word = lambda part: part.rlike(f"^{WORD}")
     bounded = whole.where((is_word(F.col("parts")[0]) | (at > 0) | (F.col("left_out") > 0)) & (is_word(F.element_at("parts", -1)) | (at + size < F.size("w"))))
-    found = bounded.select("doc_id", "canonical", "alias", (F.col("left_out") + chars(F.slice("w", F.lit(1), at))).cast("long").alias("pos"))
-    first = found.groupBy("doc_id", "canonical").agg(F.min(F.struct((-F.char_length("alias")).alias("n"), "alias", "pos")).alias("x"))
+    found = bounded.select("doc_id", "canonical", "alias", place(at).cast("long").alias("pos"))
+    once = found.groupBy("doc_id", "canonical", "alias").agg(F.min("pos").alias("pos"))
+    first = once.groupBy("doc_id", "canonical").agg(F.min(F.struct((-F.char_length("alias")).alias("n"), "alias", "pos")).alias("x"))
     return first.select("doc_id", "canonical", F.col("x.pos").alias("first_pos"))
 
 

@@ -1,6 +1,7 @@
 """That work grows with the input: what is made on the way, not only what comes out."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, reports, risk, rules, sets, traversal
+from fundloom.operators import align, reports, risk, rules, sets, textjobs, traversal
 from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
@@ -153,3 +154,15 @@ def test_a_filing_is_cut_once(spark):
     out = sets.item_sections(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "concat(text, '') as text"), ["1A"])
     assert [tuple(r) for r in out.collect()] == [(1, "\n\n".join(f"Item 1A x{i}\n\t y" for i in range(1, 2000, 2)))]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+@pytest.mark.parametrize("small", [200_000, 1])
+def test_places_are_not_counted_from_the_start_of_a_text(spark, small):
+    rnd = random.Random(small)
+    words = [f"w{rnd.randrange(10**rnd.randint(1, 4))}" for _ in range(3000)]
+    text = "".join(w + rnd.choice([" ", "  ", ", "]) for w in words)
+    known = {w: k for k, w in enumerate(dict.fromkeys(words)) if len(w) >= 3}
+    out = textjobs.detect_mentions(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), spark.createDataFrame(list(known.items()), "alias string, canonical long"), small)
+    assert {(r["doc_id"], r["canonical"]): r["first_pos"] for r in out.collect()} == {(1, k): re.search(rf"\b{w}\b", text).start() for w, k in known.items()}
+    assert not re.search(r"slice\(w#\d+, 1, \(own", out._jdf.queryExecution().optimizedPlan().toString()) or small == 1
+    assert "starts" in out._jdf.queryExecution().optimizedPlan().toString()
