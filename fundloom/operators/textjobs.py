@@ -189,19 +189,31 @@ def detect_mentions(docs: DataFrame, vocabulary: DataFrame, small: int = 200_000
     return first.select("doc_id", "canonical", F.col("x.pos").alias("first_pos"))
 
 
-def detect_fund(questions: DataFrame, funds: DataFrame) -> DataFrame:
+def detect_fund(questions: DataFrame, funds: DataFrame, small: int = 2_000_000) -> DataFrame:
     """question, fund: the fund whose own words a question holds most, then words that all funds have, then the shorter name, then the smaller id.
 
-    funds: fund, name. Words are longer than 2 letters and looked for as words."""
+    funds: fund, name. Words are longer than 2 letters and looked for as words. The index of words is broadcast if names have at most ``small`` words in
+    all, else joined by word and a part of the questions, as many ask for the same word."""
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda x: F.char_length(x) > 2))
     named = funds.select("fund", F.explode(tokens(F.col("name"))).alias("t"))
     n = funds.count()
     spread = named.groupBy("t").agg((F.count("*") == n).alias("common"))
     sizes = named.groupBy("fund").agg(F.count("*").alias("size"))
     asked = questions.select("question", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("q"))
-    met = asked.hint("merge").join(named.join(spread, "t").hint("merge"), F.col("q") == F.col("t")).groupBy("question", "fund").agg(F.count(F.when(~F.col("common"), 1)).alias("own"), F.count(F.when(F.col("common"), 1)).alias("shared"))
-    score = F.struct("own", "shared", (-F.col("size")).alias("size"), (-F.col("fund")).alias("id"))
-    return met.join(sizes, "fund").groupBy("question").agg(F.max_by("fund", score).alias("fund"))
+    # Words that all funds have say nothing between them: a question with no other word is of the first fund of all, without meeting each.
+    score = F.struct("own", (-F.col("size")).alias("size"), (-F.col("fund")).alias("id"))
+    few = named.count() <= small
+    given = F.broadcast if few else (lambda df: df.hint("merge"))
+    first = sizes.agg(F.max_by("fund", F.struct((-F.col("size")).alias("size"), (-F.col("fund")).alias("id"))).alias("fund"))
+    common = spread.where("common").select("t").withColumn("fund", F.lit(None).cast(funds.schema["fund"].dataType))
+    own = named.join(given(spread.where("not common").select("t")), "t").select("t", "fund")
+    parts = 1 if few else 32
+    index = own.unionByName(common).groupBy("t").agg(F.collect_list("fund").alias("funds")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("p2", F.pmod(F.xxhash64("question"), F.lit(parts)).cast("int"))
+    met = asked.join(given(index), (F.col("q") == F.col("t")) & (F.col("p2") == F.col("part"))).select("question", F.explode_outer("funds").alias("fund"))
+    counted = met.groupBy("question", "fund").agg(F.count("fund").alias("own"))
+    best = counted.join(given(sizes), "fund", "left").groupBy("question").agg(F.max_by("fund", score).alias("fund"))
+    return best.join(F.broadcast(first.withColumnRenamed("fund", "other"))).select("question", F.coalesce("fund", "other").alias("fund"))
 
 
 def embedding_candidates(vectors: DataFrame, mentions: DataFrame, threshold: float = 0.9, k: int = 5) -> DataFrame:

@@ -166,3 +166,18 @@ def test_places_are_not_counted_from_the_start_of_a_text(spark, small):
     assert {(r["doc_id"], r["canonical"]): r["first_pos"] for r in out.collect()} == {(1, k): re.search(rf"\b{w}\b", text).start() for w, k in known.items()}
     assert not re.search(r"slice\(w#\d+, 1, \(own", out._jdf.queryExecution().optimizedPlan().toString()) or small == 1
     assert "starts" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [2_000_000, 1])
+def test_words_of_all_funds_meet_no_fund(spark, small):
+    names = {k: f"the fund {' '.join(random.Random(k).sample(['alpha', 'beta', 'gamma', 'delta', 'omega'], 1 + k % 3))}" for k in range(40)}
+    said = {i: " ".join(random.Random(i + 99).sample(["the", "fund", "alpha", "beta", "gamma", "delta", "xxx", "of"], 1 + i % 4)) for i in range(80)} | {900: None, 901: "The"}
+    out = textjobs.detect_fund(spark.createDataFrame(list(said.items()), "question long, text string"), spark.createDataFrame(list(names.items()), "fund long, name string"), small)
+    want = {}
+    for q, t in said.items():
+        words = {w for w in (t or "").lower().split() if len(w) > 2}
+        met = [(len(words & set(n.split()) - {"the", "fund"}), -len(n.split()), -f) for f, n in names.items() if words & set(n.split())]
+        want |= {q: -max(met)[2]} if met else {}
+    assert {r["question"]: r["fund"] for r in out.collect()} == want
+    counted = textjobs.detect_fund(spark.createDataFrame([(i, "the fund") for i in range(50)], "question long, text string"), spark.createDataFrame(list(names.items()), "fund long, name string"), small)
+    assert counted.count() == 50 and "shared" not in counted._jdf.queryExecution().optimizedPlan().toString()
