@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, reports, risk, rules, sets, textjobs, traversal
+from fundloom.operators import align, impact, reports, risk, rules, sets, textjobs, traversal
 from fundloom.plans import source_queries
 from fundloom.streaming import ingest
 
@@ -181,3 +181,46 @@ def test_words_of_all_funds_meet_no_fund(spark, small):
     assert {r["question"]: r["fund"] for r in out.collect()} == want
     counted = textjobs.detect_fund(spark.createDataFrame([(i, "the fund") for i in range(50)], "question long, text string"), spark.createDataFrame(list(names.items()), "fund long, name string"), small)
     assert counted.count() == 50 and "shared" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_briefings_take_each_holding_once(spark, seed):
+    """The same as over all pairs of a change and what depends on it, without making them."""
+    rnd = random.Random(seed)
+    ids = [str(k) for k in range(0, 60, 2)] + ["007", " 8", "+10", "x", "", None]
+    said = [("r", t, rnd.choice(ids), None, k) for k in range(14) for t in [rnd.choice(["HOLDS", "SUPPLIES_TO,HOLDS", "COVERS"])]] + [("r2", "SUPPLIES_TO,HOLDS", "007", "a", 1), ("r2", "HOLDS", "4", None, 1)]
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)] + [(5, 5), (5, 7), (7, 5), (None, 4), (4, None)]
+    held = [(rnd.randrange(6), rnd.randrange(60), k / 7) for k in range(90)]
+    held = list({h[:2]: h for h in held}.values()) + [(None, 4, 1.0), (3, None, 1.0)]
+    matched = spark.createDataFrame(said, "rule string, traversal string, subject string, object string, ord long")
+    supplies, holds = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(held, "fund long, company long, weight_pct double")
+    asked = matched.where("traversal = 'SUPPLIES_TO,HOLDS'").select(F.col("subject").try_cast("long").alias("company"))
+    covers, derived = spark.createDataFrame([], "risk_title string, section_key string"), spark.createDataFrame([], "report_id string, kind string, target string")
+    pairs = impact.propagate(matched, holds, traversal.supplier_dependents(supplies, asked), covers, derived)
+    once = impact.holdings_reached(matched, holds, traversal.dependents_of_any(supplies, asked))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert once.columns == ["target_kind", "target", "via", "held"] and rows(once.select("target", "held")) == rows(pairs.select("target", "held").distinct())
+    assert rows(reports.impact_briefings(once, holds)) == rows(reports.impact_briefings(pairs, holds)) and once.count() < pairs.count()
+
+
+def test_briefings_make_no_pairs_of_changes_and_holdings(spark, monkeypatch):
+    calls = []
+    for of, name in ((impact, "propagate"), (traversal, "supplier_dependents"), (traversal, "reach_min_hops")):
+        monkeypatch.setattr(of, name, lambda *a, name=name, real=getattr(of, name): calls.append(name) or real(*a))
+    assert registry.QUERIES["impact_briefings"](spark, "/root/testdata/sf0.001").count() == 25 and not calls
+
+
+def test_versions_meet_in_one_grouping(spark):
+    rnd = random.Random(11)
+    rows = [[(rnd.choice(["E", "R"]), rnd.choice(["a", "b", "c", None]), rnd.choice(["x", "y", None]), rnd.choice(["p", "q", None]), k) for k in rnd.sample(range(100), 20)] for _ in range(2)]
+    v1, v2 = (spark.createDataFrame(r, "kind string, s string, o string, payload string, ord long") for r in rows)
+    out = impact.fact_diff(v1, v2, ["kind", "s", "o"], carry="ord")
+    last = [{r[:3]: r[3:] for r in sorted(v, key=lambda r: r[4])} for v in rows]
+    want = []
+    for k in last[0].keys() | last[1].keys():
+        a, b = (v.get(k) for v in last)
+        change = "added" if a is None else "removed" if b is None else "changed" if a[0] != b[0] else None
+        want += [(*k, change, a and a[0], b and b[0], (b or a)[1])] if change else []
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and {"added", "removed", "changed"} == {w[3] for w in want}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
