@@ -203,11 +203,12 @@ def test_briefings_take_each_holding_once(spark, seed):
     assert rows(reports.impact_briefings(once, holds)) == rows(reports.impact_briefings(pairs, holds)) and once.count() < pairs.count()
 
 
-def test_briefings_make_no_pairs_of_changes_and_holdings(spark, monkeypatch):
+@pytest.mark.parametrize("query,n", [("impact_briefings", 25), ("impact_event", 1)])
+def test_no_pairs_of_changes_and_holdings(spark, monkeypatch, query, n):
     calls = []
     for of, name in ((impact, "propagate"), (traversal, "supplier_dependents"), (traversal, "reach_min_hops")):
         monkeypatch.setattr(of, name, lambda *a, name=name, real=getattr(of, name): calls.append(name) or real(*a))
-    assert registry.QUERIES["impact_briefings"](spark, "/root/testdata/sf0.001").count() == 25 and not calls
+    assert registry.QUERIES[query](spark, "/root/testdata/sf0.001").count() == n and not calls
 
 
 def test_versions_meet_in_one_grouping(spark):
