@@ -5,26 +5,29 @@ Both sides are tables with one column of distinct strings, ``a`` and ``b``. Empt
 Containment: a short string stands under its rarest run of ``q`` characters (under itself, if it is shorter), a long one under all its runs of
 the lengths that the short side needs; who meets is compared whole.
 
-Ratio: 2 M / (len a + len b) with M matched characters. At a ratio of ``least`` M is known to be ceil(least * T / 2) at least, T both lengths, so at most
-len - M characters of either side are unmatched; each spoils two pairs of neighbours on its own side and one on the other, hence 3 M - T - 1 neighbour
-pairs (bigrams, the k-th of equal ones told apart) are common. By that count each string's rarest few bigrams must hold a common one (prefix filter);
-lengths, marks of the characters and whole counts are compared before any ratio is taken. Hot bigrams come into the prefix of few strings, as the rarest go first; what is
-hot all the same is dealt over parts, to each of which the other side's rows are copied.
+Ratio: 2 M / (len a + len b) with M matched characters. At a ratio of ``least`` M is known to be ceil(least * T / 2) at least, T both lengths, so so many characters
+are common. Each unmatched one parts two matched neighbours at most, hence 3 M - T - 1 neighbour pairs (bigrams, the k-th of equal ones told apart) are common too.
+Names are dealt into bands of lengths and these into parts; parts whose lengths may match meet in one task each, where one product of tables gives the common
+characters of all pairs. All pairs of like lengths are looked at so: some nanoseconds each, in bounded memory. (An index of bigrams or of pieces of three or four characters,
+all that the bound leaves of short names, brings most pairs together too, and one by one.)
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fundloom.functions import ratios
 from fundloom.sources.tables import written
 
-#: Rows of one bigram that one part takes.
-PART = 20_000
+#: Names that a part of a band takes (of 20 characters; fewer of longer ones), and how much longer the names of the next band are.
+PART, BAND = 20_000, 1.12
+#: Columns of characters of their own and of shared ones, and names of one side that are compared at once.
+OWN, SHARED, TILE = 48, 14, 512
 
 
 def grams(text: Column, q: Column | int) -> Column:
@@ -34,11 +37,6 @@ def grams(text: Column, q: Column | int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, q))).otherwise(F.array().cast("array<string>"))
 
 
-def tagged_bigrams(text: Column) -> Column:
-    """Bigrams with their number among equal ones, so that sets of them count repeats."""
-    return F.transform(F.array(F.array_sort(grams(text, 2))), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g)).cast("string"))))[0]
-
-
 def containment_pairs(long: DataFrame, short: DataFrame, q: int = 6) -> DataFrame:
     """a, b with ``b`` somewhere in ``a``. long: a. short: b."""
     long, short = long.where("a <> ''").select("a").distinct(), short.where("b <> ''").select("b").distinct()
@@ -56,58 +54,105 @@ def containment_pairs(long: DataFrame, short: DataFrame, q: int = 6) -> DataFram
     return under.hint("merge").join(rarest.hint("merge"), (F.col("gram") == F.col("k")) & F.contains("a", "b")).select("a", "b")
 
 
-def marks(text: Column) -> list[Column]:
-    """Two longs in which each character (the k-th of equal ones told apart) sets one bit. Bits that one text has and another lacks are at most as many as
-    the characters that it has and the other lacks."""
-    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(128)).cast("int")
-    chars = F.array_sort(grams(text, 1))
-    tagged = F.transform(F.array(chars), lambda s: F.transform(s, lambda g, i: bit(F.concat(g, (i - F.array_position(s, g)).cast("string")))))[0]
-    one = lambda x, low: F.when((x >= low) & (x < low + 64), F.call_function("shiftleft", F.lit(1).cast("long"), x - low)).otherwise(F.lit(0).cast("long"))
-    half = lambda low: F.aggregate(tagged, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(one(x, low)))
-    return [half(0), half(64)]
-
-
-def lacking(x: str, y: str) -> Column:
-    """How many marks ``x`` has that ``y`` lacks; columns x0, x1 and y0, y1."""
-    return sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(f"{y}{k}"))) for k in (0, 1)), F.lit(0))
-
-
-def least_common(n: Column, least: float) -> Column:
-    """Bigrams that a string of length ``n`` shares at least with any that it may match: the bound is that of the shortest such string."""
-    both = n + F.ceil(n * (least / (2 - least)) - 1e-9)
-    return F.greatest(F.ceil(both * (1.5 * least - 1) - 1 - 1e-9), F.lit(1))
+def bands_that_meet(sizes: list, least: float) -> list[tuple]:
+    """(band of a, its parts, band of b, its parts) of all lengths that may match. sizes: side, band, rows, chars, shortest, longest."""
+    short = least / (2 - least)
+    parts = lambda r: math.ceil(max(r["rows"] / PART, r["chars"] / (PART * 20)))
+    a, b = ([r for r in sizes if r["side"] == side] for side in "ab")
+    return [(x["band"], parts(x), y["band"], parts(y)) for x in a for y in b if y["longest"] >= x["shortest"] * short - 1e-9 and x["longest"] >= y["shortest"] * short - 1e-9]
+
+
+def runs_of(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each run of one or two characters; the k-th of equal ones in a row has a number of its own."""
+    n = np.array([len(t) for t in texts])
+    code, row = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64), np.repeat(np.arange(len(texts)), n)
+    if size == 2:
+        same = row[1:] == row[:-1]
+        code, row = (code[:-1] << np.uint64(21) | code[1:])[same], row[:-1][same]
+    order = np.lexsort((code, row))
+    code, row = code[order], row[order]
+    first = np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][: len(code)]
+    at = np.arange(len(code))
+    return row, code << np.uint64(20) | (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+
+
+def counts_of(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For both sides a row of numbers for each text; the product of two rows is what they have of the same characters, or more. The most common characters
+    have a column each, the others share some."""
+    (row_a, x), (row_b, y) = runs_of(a, 1), runs_of(b, 1)
+    kinds, inverse, often = np.unique(np.r_[x, y], return_inverse=True, return_counts=True)
+    place = np.empty(len(kinds), np.int64)
+    place[np.argsort(-often, kind="stable")] = np.arange(len(kinds))
+    column = np.where(place < OWN, place, OWN + place % SHARED)[inverse]
+    table = lambda row, c, n: np.bincount(row * (OWN + SHARED) + c, minlength=n * (OWN + SHARED)).reshape(n, OWN + SHARED).astype(np.float32)
+    return table(row_a, column[: len(x)], len(a)), table(row_b, column[len(x) :], len(b))
+
+
+def bigram_bits(texts: list[str]) -> np.ndarray:
+    """256 bits for each text, one set by each of its bigrams. Bits that one text has and another lacks are at most as many as the bigrams that it alone has."""
+    row, code = runs_of(texts, 2)
+    bit = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    set_ = np.zeros((len(texts), 256), bool)
+    set_[row, bit.astype(int)] = True
+    return np.packbits(set_, axis=1).view(np.uint64)
+
+
+def alike_in_block(a: list[str], b: list[str], least: float) -> list[tuple[str, str, float]]:
+    """All pairs of two lists whose ratio is ``least`` or more, with it. Counts of characters of all pairs are one product of tables; what passes
+    is held against bigrams, then against the longest common subsequence."""
+    if not a or not b:
+        return []
+    out, (x, y), (p, q) = [], counts_of(a, b), (bigram_bits(a), bigram_bits(b))
+    la, lb = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    slack = 0.01 + 1e-6 * (la.max() + lb.max())
+    # Two more columns take least / 2 of both lengths off.
+    x = np.c_[x, -least / 2 * la + slack, np.ones(len(a))].astype(np.float32)
+    y = np.c_[y, np.ones(len(b)), -least / 2 * lb].astype(np.float32)
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), 8 * TILE):
+            at = np.flatnonzero(x[i : i + TILE] @ y[j : j + 8 * TILE].T >= 0)
+            wide = min(8 * TILE, len(b) - j)
+            u, v = at // wide + i, at % wide + j
+            both = la[u] + lb[v]
+            need = 3 * np.ceil(both * (least / 2) - 1e-9) - both - 1
+            good = (np.bitwise_count(p[u] & ~q[v]).sum(axis=1) <= la[u] - 1 - need) & (np.bitwise_count(q[v] & ~p[u]).sum(axis=1) <= lb[v] - 1 - need)
+            for k, m in zip(u[good], v[good], strict=True):
+                if ratios.ratio(a[k], b[m]) >= least and (r := ratios.seq_ratio(a[k], b[m])) >= least:
+                    out.append((a[k], b[m], r))
+    return out
 
 
 def ratio_pairs(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
-    """a, b, ratio of all pairs whose sequence ratio is ``least`` or more. Pairs of which one contains the other may be left out. left: a. right: b."""
+    """a, b, ratio of all pairs whose sequence ratio is ``least`` or more. left: a. right: b."""
     if least <= 0.8:
         raise ValueError("the bound on common bigrams holds above 0.8")
     sides = []
     for side, df, c in (("a", left, "a"), ("b", right, "b")):
         sides.append(df.where(F.char_length(c) > 1).select(F.lit(side).alias("side"), F.col(c).alias("s")).distinct())
-    strings = sides[0].unionByName(sides[1]).select("side", "s", *[m.alias(f"m{k}") for k, m in enumerate(marks(F.col("s")))])
-    tokens = strings.select("side", "s", "m0", "m1", F.char_length("s").alias("n"), F.explode(tagged_bigrams(F.col("s"))).alias("t"))
-    tokens = written(tokens, "ratio-bigrams")
-    counts = written(tokens.groupBy("t").agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b")), "ratio-counts").withColumnRenamed("t", "t2")
-    ordered = tokens.hint("merge").join(counts.hint("merge"), F.col("t") == F.col("t2")).withColumn("all", F.col("n_a") + F.col("n_b"))
-    place = F.row_number().over(Window.partitionBy("side", "s").orderBy("all", "t"))
-    prefix = ordered.withColumn("place", place).where(F.col("place") <= F.col("n") - least_common(F.col("n"), least))
-    prefix = written(prefix.where("n_a > 0 and n_b > 0").select("side", "s", "n", "m0", "m1", "t", F.ceil(F.col("n_a") / PART).cast("int").alias("parts")), "ratio-prefix")
-    a = prefix.where("side = 'a'").select(F.col("s").alias("a"), F.col("n").alias("la"), F.col("m0").alias("a0"), F.col("m1").alias("a1"), "t", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("p"))
-    b = prefix.where("side = 'b'").select(F.col("s").alias("b"), F.col("n").alias("lb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"), F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
-    lengths = 2 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb")) - 1e-9
-    both = F.col("la") + F.col("lb")
-    matched = F.ceil(both * (least / 2) - 1e-9)
-    # Cheap, and few pass: what is unmatched on either side can't be less than what the other side lacks.
-    alike = (lacking("a", "b") <= F.col("la") - matched) & (lacking("b", "a") <= F.col("lb") - matched)
-    met = a.hint("merge").join(b.hint("merge"), (F.col("t") == F.col("tb")) & (F.col("p") == F.col("pb")) & lengths & alike).select("a", "b", "la", "lb").distinct()
-    enough = F.size(F.array_intersect(tagged_bigrams(F.col("a")), tagged_bigrams(F.col("b")))) >= 3 * F.ceil(both * (least / 2) - 1e-9) - both - 1
-    close = written(met.where(enough).select("a", "b"), "ratio-candidates")
-    return close.withColumn("ratio", ratios.vectorised(ratios.seq_ratio)("a", "b")).where(F.col("ratio") >= least)
+    n = F.char_length("s")
+    strings = written(sides[0].unionByName(sides[1]).withColumn("band", F.floor(F.log(n) / math.log(BAND)).cast("int")), "ratio-names")
+    # A row for each band, and lengths are within some hundred of them.
+    sizes = strings.groupBy("side", "band").agg(F.count("*").alias("rows"), F.sum(n).alias("chars"), F.min(n).alias("shortest"), F.max(n).alias("longest")).collect()
+    meet = bands_that_meet(sizes, least)
+    own = lambda parts: F.pmod(F.xxhash64("s"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    table = lambda: F.broadcast(strings.sparkSession.createDataFrame(meet, "i int, parts_i int, j int, parts_j int"))
+    a = strings.where("side = 'a'").join(table(), F.col("band") == F.col("i")).select("i", own("parts_i").alias("p"), "j", each("parts_j").alias("q"), F.col("s").alias("a"))
+    b = strings.where("side = 'b'").join(table(), F.col("band") == F.col("j")).select("i", each("parts_i").alias("p"), "j", own("parts_j").alias("q"), F.col("s").alias("b"))
+    # A number of our own, as few bytes are much work here.
+    tasks = max(4 * strings.sparkSession.sparkContext.defaultParallelism, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = lambda df: df.repartition(tasks, "i", "p", "j", "q").groupBy("i", "p", "j", "q")
+
+    def alike(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(alike_in_block(x["a"].tolist(), y["b"].tolist(), least), columns=["a", "b", "ratio"])
+
+    return block(a).cogroup(block(b)).applyInPandas(alike, "a string, b string, ratio double")
 
 
 def name_pairs(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
     """a, b: names that are equal, of which one holds the other, or whose ratio is ``least`` or more."""
+    # Either side is taken several times.
+    left, right = written(left.select("a").where("a <> ''").distinct(), "names"), written(right.select("b").where("b <> ''").distinct(), "names")
     held = containment_pairs(left, right)
     holds = containment_pairs(right.select(F.col("b").alias("a")), left.select(F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
     return held.unionByName(holds).unionByName(ratio_pairs(left, right, least).select("a", "b")).distinct()

@@ -41,6 +41,30 @@ def test_all_name_pairs_are_found(spark, monkeypatch, q, part):
     assert every == want | {(x, y) for x in a for y in b if x and x in y}
 
 
+def test_blocks_hold_all_pairs_at_once(monkeypatch):
+    monkeypatch.setattr(simjoin, "TILE", 32)
+    rnd = random.Random(7)
+    syllables = ["th", "an", "the", "in", "ö", "en", "\U0001f600"]
+    some = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 7))) for _ in range(300)] + ["ab", "a" * 300, "ab" * 400, "a" * 290]
+    aligned = []
+    monkeypatch.setattr(simjoin.ratios, "ratio", lambda *p, known=simjoin.ratios.ratio: aligned.append(p) or known(*p))
+    for least in (0.85, 0.95):
+        aligned.clear()
+        a, b = sorted(set(some[::2])), sorted(set(some[1::2]))
+        want = {(x, y) for x in a for y in b if len(x) > 1 and len(y) > 1 and SequenceMatcher(None, x, y).ratio() >= least}
+        a, b = [x for x in a if len(x) > 1], [y for y in b if len(y) > 1]
+        assert {p[:2] for p in simjoin.alike_in_block(a, b, least)} == want and len(want) > 10
+        assert len(aligned) < len(a) * len(b) / 20  # the others are told apart by counts
+    assert simjoin.alike_in_block([], b, 0.85) == [] == simjoin.alike_in_block(a, [], 0.85)
+
+
+def test_names_are_dealt_into_bounded_parts():
+    size = lambda side, band, rows, n: {"side": side, "band": band, "rows": rows, "chars": rows * n, "shortest": n, "longest": n}
+    many = simjoin.bands_that_meet([size("a", 25, 1_000_000, 17), size("b", 26, 10, 20), size("b", 40, 10, 100), size("b", 60, 50_000, 1000)], 0.85)
+    assert many == [(25, 50, 26, 1)]  # lengths too far apart never meet
+    assert simjoin.bands_that_meet([size("a", 60, 10, 1000), size("b", 60, 50_000, 1000)], 0.85) == [(60, 1, 60, 125)]
+
+
 def test_empty_sides(spark):
     none, some = held(spark, [], "b"), held(spark, ["x", None], "a")
     assert simjoin.name_pairs(some, none).count() == 0
