@@ -203,6 +203,29 @@ def test_briefings_take_each_holding_once(spark, seed):
     assert rows(reports.impact_briefings(once, holds)) == rows(reports.impact_briefings(pairs, holds)) and once.count() < pairs.count()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reach_is_counted_and_listed_without_pairs_of_paths(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    monkeypatch.setattr(traversal, "LIST", 3)
+    ids = [str(k) for k in range(0, 60, 2)] + ["007", " 8", "+10", "x", "", None]
+    said = [(rnd.choice("rst"), rnd.choice(impact.TRAVERSALS), rnd.choice(ids), rnd.choice("abcd"), k % 9) for k in range(60)] + [("r", "SUPPLIES_TO,HOLDS", "4", None, 1), ("r", "HOLDS", "4", None, 1)]
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)] + [(5, 5), (5, 7), (7, 5), (None, 4), (4, None)]
+    held = {(rnd.randrange(100), rnd.randrange(60)) for _ in range(90)} | {(None, 4), (3, None)}
+    matched = spark.createDataFrame(said, "rule string, traversal string, subject string, object string, ord long")
+    supplies, holds = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(sorted(held, key=str), "fund long, company long")
+    asked = matched.where("traversal = 'SUPPLIES_TO,HOLDS'").select(F.col("subject").try_cast("long").alias("company"))
+    covers = spark.createDataFrame([("a", "1"), ("b", "1"), ("a", "2"), ("b", "2"), ("c", "3"), (None, "3"), ("z", "4"), ("d", None)], "risk_title string, section_key string")
+    derived = spark.createDataFrame([(f"pack_{k % 3}", "Document", str(k)) for k in range(8)], "report_id string, kind string, target string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    pairs = impact.propagate(matched, holds, traversal.supplier_dependents(supplies, asked), covers, derived)
+    want, counts = rows(pairs), rows(impact.impact_rollup(pairs))
+    assert len({w[1] for w in want}) == 3
+    for name in ("propagate", "reach_min_hops", "supplier_dependents"):
+        monkeypatch.setattr(impact if name == "propagate" else traversal, name, None)
+    assert rows(impact.propagate_along(matched, holds, supplies, covers, derived)) == want
+    assert rows(impact.rollup(matched, holds, supplies, covers, derived)) == counts
+
+
 @pytest.mark.parametrize("query,n", [("impact_briefings", 25), ("impact_event", 1)])
 def test_no_pairs_of_changes_and_holdings(spark, monkeypatch, query, n):
     calls = []
