@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from fundloom import registry
 from fundloom.functions import ratios
-from fundloom.operators import align, impact, reports, risk, rules, sets, textjobs, traversal
-from fundloom.plans import source_queries
+from fundloom.graphmodel import Graph
+from fundloom.operators import align, impact, ingestflow, reports, risk, rules, sets, textjobs, traversal
+from fundloom.plans import flow_queries, source_queries
 from fundloom.streaming import ingest
 
 
@@ -53,6 +54,19 @@ def test_spans_are_looked_up_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_spans_stay_behind_the_gate(spark, monkeypatch):
+    """No stage after it carries them, and rejected facts are the same with or without them."""
+    tables, put = {}, ingestflow.written
+    monkeypatch.setattr(ingestflow, "written", lambda df, name: tables.setdefault(name, df) and put(df, name))
+    flow = flow_queries.ingested(Graph(spark, "/root/testdata/sf0.001"))
+    assert "span" not in {c for name in ("claims", "decisions", "canonical") for c in flow[name].columns} and "span" in flow["triples"].columns
+    assert {"ingest-entities", "ingest-relations", "ingest-triples"} <= tables.keys() and all("span" not in tables[k].columns for k in ("ingest-entities", "ingest-relations", "ingest-triples"))
+    plain = ingestflow.write_rejected(flow["claims"], flow["decisions"])
+    full = flow["rejected"]
+    assert full.columns == ["fact_id", "reason", "span", "doc_id", "confidence"] and plain.count() > 0
+    assert sorted(map(tuple, full.drop("span").collect())) == sorted(map(tuple, plain.collect()))
+
+
 @pytest.mark.parametrize("own_row", [0, 1_000_000])
 def test_pieces_in_the_row_lose_nothing(spark, monkeypatch, own_row):
     monkeypatch.setattr(align, "OWN_ROW", own_row)
