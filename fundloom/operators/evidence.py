@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.operators.scope import graph_visible, text_visible
-from fundloom.operators.traversal import fund_reach
+from fundloom.operators.traversal import links, reach_min_hops, top_chokepoints
+from fundloom.sources.tables import written
 
 
 def firm_scope_chunks(chunks: DataFrame, mentions: DataFrame, held: DataFrame | None, stamped: DataFrame) -> DataFrame:
@@ -103,10 +104,12 @@ def in_order(step: Column) -> Column:
 def chokepoint_paths(holds: DataFrame, supplies_to: DataFrame) -> DataFrame:
     """fund, label, steps: a path from each holding that reaches, within two hops, the node that most of the fund's holdings reach and that it doesn't
     hold (ties: the smaller id)."""
-    held = holds.select("fund", F.col("company").alias("node"))
-    via = fund_reach(holds, supplies_to).join(held, ["fund", "node"], "left_anti").select("fund", "company", "node").distinct()
-    most = via.groupBy("fund", "node").agg(F.count("*").alias("n")).groupBy(F.col("fund").alias("f")).agg(F.min_by("node", F.struct((-F.col("n")).alias("n"), "node")).alias("top"))
-    told = via.join(most, (F.col("fund") == F.col("f")) & (F.col("node") == F.col("top")))
+    holds, step = written(holds.select("fund", "company").distinct(), "chokepoint-holdings"), written(links(supplies_to), "chokepoint-steps")
+    top = written(top_chokepoints(holds, step), "chokepoint-tops")
+    # Back from these few nodes.
+    back = reach_min_hops(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), top.select(F.col("node").alias("company"))).select("seed", F.col("node").alias("from"))
+    own = holds.join(top.select(F.col("fund").alias("f"), "node"), F.col("fund") == F.col("f"))
+    told = own.join(back, (F.col("node") == F.col("seed")) & (F.col("company") == F.col("from")), "left_semi")
     label = F.concat(F.col("company").cast("string"), F.lit(" → … → "), F.col("node").cast("string"))
     return told.select("fund", label.alias("label"), said_step("company", "SUPPLIES_TO*1..2", "node").alias("steps"))
 

@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fundloom import registry
 from fundloom.functions import ratios
 from fundloom.graphmodel import Graph
-from fundloom.operators import align, impact, ingestflow, reports, risk, rules, sets, textjobs, traversal
+from fundloom.operators import align, evidence, impact, ingestflow, reports, risk, rules, sets, textjobs, traversal
 from fundloom.plans import flow_queries, source_queries
 from fundloom.streaming import ingest
 
@@ -240,6 +240,29 @@ def test_reach_is_counted_and_listed_without_pairs_of_paths(spark, monkeypatch,
     assert rows(impact.rollup(matched, holds, supplies, covers, derived)) == counts
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chokepoints_are_counted_where_holdings_meet(spark, monkeypatch, seed):
+    """As over all pairs of a holding and what it reaches, with funds of several parts, loops and ties."""
+    rnd = random.Random(seed)
+    monkeypatch.setattr(traversal, "LIST", 3)
+    monkeypatch.setattr(traversal, "fund_reach", None)
+    edges = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(60)} | {(5, 5), (5, 7), (7, 5), (None, 4), (4, None)}
+    held = {(rnd.randrange(90), rnd.randrange(40)) for _ in range(260)} | {(None, 4), (3, None)}
+    out, step = defaultdict(set), {(a, b) for a, b in edges if a is not None and b is not None}
+    for a, b in step:
+        out[a].add(b)
+    want = []
+    for fund in {f for f, _ in held} - {None}:
+        own = {c for f, c in held if f == fund}
+        near = {c: out[c] | {z for y in out[c] for z in out[y]} - {c} for c in own - {None}}
+        n = Counter(v for c, vs in near.items() for v in vs - own - {c})
+        if n:
+            top = min(n, key=lambda v: (-n[v], v))
+            want += [(fund, f"{c} → … → {top}", f"{c}-SUPPLIES_TO*1..2-{top}") for c, vs in near.items() if top in vs and top != c]
+    got = evidence.chokepoint_paths(spark.createDataFrame(sorted(held, key=str), "fund long, company long"), spark.createDataFrame(sorted(edges, key=str), "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[0] for w in want}) > 64
+
+
 @pytest.mark.parametrize("query,n", [("impact_briefings", 25), ("impact_event", 1)])
 def test_no_pairs_of_changes_and_holdings(spark, monkeypatch, query, n):
     calls = []
