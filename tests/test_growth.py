@@ -36,6 +36,18 @@ def test_paths_go_half_the_way(spark, monkeypatch, most):
     assert max(depths) <= max(most // 2, 1)
 
 
+def test_halves_of_paths_keep_what_is_between(spark, monkeypatch):
+    """Not whole paths, nor sorted to find the least; edges are worked out once."""
+    plans, put = [], traversal.written
+    monkeypatch.setattr(traversal, "written", lambda df, name: plans.append((name, df.columns, df._jdf.queryExecution().executedPlan().toString())) or put(df, name))
+    table = spark.createDataFrame([(k, (k * k + 1) % 23, "c", None) for k in range(23)] + [(k, k + 1, None, "x") for k in range(22)], "src long, dst long, component string, criticality string")
+    got = traversal.exposure_paths(table, spark.createDataFrame([(0, 5), (3, 20)], "a long, b long"))
+    halves = [(c, p) for name, c, p in plans if name in ("paths-from", "paths-into")]
+    assert len(halves) == 4 and all(c[1:] == ["at", "via"] and "SortAggregate" not in p for c, p in halves)
+    assert [name for name, *_ in plans].count("path-edges") == 1 and "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 2
+
+
 def test_identities_share_a_worker_call(spark, tmp_path):
     schema = "name string, subject string, object string, payload string, ord long"
     for k in range(2):
